@@ -405,3 +405,26 @@ def register_sql_functions(spark) -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {returns} RETURN {expression}")
         names.append(signature.split("(")[0])
     return names
+
+
+# -------------------------------------------------------------- footprints
+
+# Fixed value: the sphere the footprint areas are measured on.
+AREA_RADIUS_M = 6378137.0
+
+
+def spherical_area_m2(ring: Column) -> Column:
+    """Area of an open ring on the sphere, as footprint feeds report it."""
+    n = F.size(ring)
+    terms = F.transform(ring, lambda p, i: F.radians(
+        F.get(ring, (i + 1) % n)["lng"] - F.get(ring, (i + n - 1) % n)["lng"]) * F.sin(F.radians(p["lat"])))
+    return F.when(n < 3, F.lit(0.0)).otherwise(F.abs(_total(terms)) * (AREA_RADIUS_M * AREA_RADIUS_M / 2))
+
+
+def rings_intersect(ring: Column, other: Column, other_edges: Column) -> Column:
+    """Two polygons share a point: a vertex of either lies in the other, or edges cross."""
+    edges = ring_edges(ring)
+    crossing = F.exists(edges, lambda s: F.exists(
+        other_edges, lambda e: segments_cross(s["yj"], s["xj"], s["yi"], s["xi"], e["yj"], e["xj"], e["yi"], e["xi"])))
+    return F.exists(ring, lambda p: point_in_edges(p["lat"], p["lng"], other_edges)) \
+        | F.exists(other, lambda p: point_in_edges(p["lat"], p["lng"], edges)) | crossing
