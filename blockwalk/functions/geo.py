@@ -194,9 +194,14 @@ def vertex_mean(ring: Column) -> Column:
 
 
 def ring_area_m2(ring: Column) -> Column:
-    """Shoelace area with longitude scaled at the mean latitude; under 3 vertices is 0."""
+    """Shoelace area with longitude scaled at the mean latitude; under 3 vertices is 0.
+
+    Taken about the first vertex: products of raw degrees would lose a small
+    ring's area to cancellation.
+    """
     k = F.cos(F.radians(vertex_mean(ring)["lat"])) * (METRES_PER_DEGREE * METRES_PER_DEGREE)
-    twice = F.transform(ring_edges(ring), lambda e: e["xj"] * e["yi"] - e["xi"] * e["yj"])
+    y0, x0 = F.element_at(ring, 1)["lat"], F.element_at(ring, 1)["lng"]
+    twice = F.transform(ring_edges(ring), lambda e: (e["xj"] - x0) * (e["yi"] - y0) - (e["xi"] - x0) * (e["yj"] - y0))
     return F.when(F.size(ring) < 3, F.lit(0.0)).otherwise(F.abs(_total(twice)) * k / 2)
 
 

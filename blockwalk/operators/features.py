@@ -96,9 +96,13 @@ def classify_elements(elements: DataFrame, boundaries: DataFrame, compat_skip_no
         .select("hlb_id", "pos", "id", F.col("part").cast("long").alias("part"), "_f.*")
 
 
-def farmland_letters(features: DataFrame) -> DataFrame:
-    """Farmland with its letter A..Z by order of appearance, and its area."""
-    farms = Ordered.of(features.filter(F.col("kind") == "farmland"), ["hlb_id"], [F.col("pos"), F.col("id")]) \
+def farmland_letters(features: DataFrame, elements: DataFrame | None = None) -> DataFrame:
+    """Farmland with its letter A..Z by order of appearance, and its area.
+
+    ``elements`` (the classified table) lets the size check read raw rows.
+    """
+    farms = Ordered.of(features.filter(F.col("kind") == "farmland"), ["hlb_id"], [F.col("pos"), F.col("id")],
+                       count_on=elements) \
         .row_number("_n").rows()
     return farms.withColumn("label", F.chr(F.lit(65) + (F.col("_n") - 1) % 26)) \
         .withColumn("area_m2", geo.ring_area_m2(F.col("points"))).drop("_n")

@@ -16,14 +16,13 @@ def _cells(y, x, size):
     return np.floor(y / size).astype(np.int64), np.floor(x / size).astype(np.int64)
 
 
-def greedy_keep(y, x, radius, metric, fixed=None):
+def greedy_keep(y, x, radius, metric, fixed=None, reach=None):
     """Visit rows in order; keep one unless a kept row is closer than ``radius``.
 
-    ``metric(y1, x1, y2, x2)`` gives the distance; y and x must be scaled so that
-    rows within the radius lie at most ``radius`` apart on both axes.
-    Rows flagged ``fixed`` are always kept.
+    ``metric(y1, x1, y2, x2)`` gives the distance; rows within the radius differ by
+    at most ``reach`` on both axes.  Rows flagged ``fixed`` are always kept.
     """
-    cy, cx = _cells(y, x, radius)
+    cy, cx = _cells(y, x, radius if reach is None else reach)
     kept, grid = np.zeros(len(y), bool), defaultdict(list)
     for i in range(len(y)):
         near = False

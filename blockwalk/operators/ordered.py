@@ -43,8 +43,12 @@ class Ordered:
     chunk_rows: int = TASK_ROWS
 
     @staticmethod
-    def of(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int = TASK_ROWS) -> "Ordered":
+    def of(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int = TASK_ROWS,
+           count_on: DataFrame | None = None) -> "Ordered":
+        """``count_on`` may name a cheaper table holding at least the same rows per key."""
         keys, order = tuple(keys), tuple(order)
+        if count_on is not None and not any_hot(count_on, keys, limit):
+            return Ordered(df, keys, order)
         hot = hot_keys(df, keys, limit)
         total = hot.agg(F.sum("_n")).first()[0]
         if total is None:

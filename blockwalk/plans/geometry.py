@@ -169,7 +169,7 @@ CHECKS = {
         SELECT m.hlb_id, m.block_id, round(a.twice * 111320.0::DOUBLE * 111320 * cos(radians(la)) / 2, 3) AS area_m2,
                round(la, 6) AS mean_lat, round(ln, 6) AS mean_lng, round(p.ang, 6) AS angle, round(q.brg, 6) AS bearing,
                false AS crosses_itself
-        FROM m JOIN (SELECT hlb_id, block_id, abs(sum(xj * yi - xi * yj)) AS twice FROM e GROUP BY 1, 2) a USING (hlb_id, block_id)
+        FROM m JOIN (SELECT hlb_id, block_id, abs(sum((xj - 80) * (yi - 26) - (xi - 80) * (yj - 26))) AS twice FROM e GROUP BY 1, 2) a USING (hlb_id, block_id)
         JOIN (SELECT hlb_id, block_id, arg_max(atan2((by_ - ay) * 111320, (bx - ax) * 111320 * cos(radians(ay))),
                                              flat_len * 100 - edge * 1e-7) AS ang FROM g GROUP BY 1, 2) p USING (hlb_id, block_id)
         JOIN (SELECT hlb_id, block_id, arg_max(({t.bearing('ay', 'ax', 'by_', 'bx')} + 360) % 360, len * 100 - edge * 1e-7) AS brg

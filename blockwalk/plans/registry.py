@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["analytics", "geometry"]
+MODULES = ["analytics", "geometry", "features"]
 
 
 def _modules():

@@ -62,48 +62,51 @@ def _touches_box(pad: float) -> Column:
         p["lat"], p["lon"], F.col("south") - pad, F.col("west") - pad, F.col("north") + pad, F.col("east") + pad))
 
 
-def has_tag(key: str, pattern: str | None = None) -> Column:
-    value = domain.tag(F.col("tags"), key)
-    return F.coalesce(value.rlike(pattern), F.lit(False)) if pattern else value.isNotNull()
+def _has_any(*keys: str) -> Column:
+    """Some non-empty tag among the keys."""
+    return F.exists(F.map_entries("tags"), lambda e: e["key"].isin(*keys) & (e["value"] != ""))
 
 
-def _any(tests) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
+def _has_match(patterns: dict[str, str]) -> Column:
+    """Some tag whose value contains its key's pattern (one pass over the entries)."""
+    def test(e):
+        out = F.lit(False)
+        for key, pattern in patterns.items():
+            out = out | ((e["key"] == key) & e["value"].rlike(pattern))
+        return out
+
+    return F.exists(F.map_entries("tags"), test)
+
+
+def _select(elements: DataFrame, boxes: DataFrame, picked: Column, pad: float) -> DataFrame:
+    return elements.filter(F.coalesce(picked, F.lit(False))).join(boxes, "hlb_id").filter(_touches_box(pad)) \
+        .drop("south", "west", "north", "east")
 
 
 def road_elements(elements: DataFrame, boxes: DataFrame, pad: float = 0.003) -> DataFrame:
     """Ways that are roads or paths near each area's box."""
-    way = (F.col("type") == "way") & _any([
-        has_tag("highway"), has_tag("footway", "^crossing$"), has_tag("path"), has_tag("track")])
-    return elements.filter(way).join(boxes, "hlb_id").filter(_touches_box(pad)) \
-        .drop("south", "west", "north", "east")
+    way = (F.col("type") == "way") & (_has_any("highway", "path", "track") | _has_match({"footway": "^crossing$"}))
+    return _select(elements, boxes, way, pad)
 
 
 def feature_elements(elements: DataFrame, boxes: DataFrame, pad: float = 0.002) -> DataFrame:
     """Mapped features near each area's box; tag alternatives are unanchored patterns."""
-    way = _any([has_tag("building"), has_tag("highway"), has_tag("historic")]
-               + [has_tag(k, p) for k, p in domain.WAY_TAGS.items()]
-               + [has_tag("name") & has_tag(k) for k in ("building", "amenity", "leisure", "tourism", "shop")])
-    node = _any([has_tag("place"), has_tag("historic"), has_tag("name")]
-                + [has_tag(k, p) for k, p in domain.NODE_TAGS.items()])
-    picked = ((F.col("type") == "way") & way) | ((F.col("type") == "node") & node)
-    return elements.filter(picked).join(boxes, "hlb_id").filter(_touches_box(pad)) \
-        .drop("south", "west", "north", "east")
+    way = _has_any("building", "highway", "historic") | _has_match(domain.WAY_TAGS) \
+        | (_has_any("name") & _has_any("amenity", "leisure", "tourism", "shop"))
+    node = _has_any("place", "historic", "name") | _has_match(domain.NODE_TAGS)
+    t = F.col("type")
+    return _select(elements, boxes, ((t == "way") & way) | ((t == "node") & node), pad)
 
 
 def elements_in_ring(elements: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Roads, water and named nodes inside or touching each area's boundary."""
     t = F.col("type")
-    water = has_tag("natural", "^water$")
-    picked = ((t == "way") & _any([has_tag("highway"), has_tag("waterway"), has_tag("natural", "^(water|coastline)$"),
-                                   has_tag("landuse", "^reservoir$")])) \
-        | ((t == "relation") & water) | ((t == "node") & has_tag("name"))
+    way = _has_any("highway", "waterway") | _has_match({"natural": "^(water|coastline)$", "landuse": "^reservoir$"})
+    picked = ((t == "way") & way) | ((t == "relation") & _has_match({"natural": "^water$"})) \
+        | ((t == "node") & _has_any("name"))
     edged = boundaries.select("hlb_id", geo.ring_edges(F.col("ring")).alias("_edges"))
     line = F.transform(_outline(), lambda p: geo.point(p["lat"], p["lon"]))
-    return elements.filter(picked).join(edged, "hlb_id") \
+    return elements.filter(F.coalesce(picked, F.lit(False))).join(edged, "hlb_id") \
         .filter(geo.line_touches_ring(line, F.col("_edges"))).drop("_edges")
 
 
