@@ -85,7 +85,7 @@ def snap_segments(segments: DataFrame, roads: DataFrame, metres: float = SEGMENT
 
     ``segments``: hlb_id, segment_id, points.  Segments under two points are left alone.
     """
-    lats, lngs = (F.transform("points", lambda p, f=f: p[f]) for f in ("lat", "lng"))
+    lats, lngs = F.transform("points", lambda p: p["lat"]), F.transform("points", lambda p: p["lng"])
     centre = segments.filter(F.size("points") >= 2).select(
         "hlb_id", "segment_id", ((F.array_min(lats) + F.array_max(lats)) / 2).alias("lat"),
         ((F.array_min(lngs) + F.array_max(lngs)) / 2).alias("lng"))

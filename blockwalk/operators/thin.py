@@ -41,14 +41,14 @@ def greedy_thin(df: DataFrame, keys: Sequence[str], priority: Sequence[Column],
     order = {f"_o{i}": c for i, c in enumerate(priority)}
     hold = F.lit(False) if fixed is None else fixed
     rows = df.withColumns({"_fix": hold, **order})
-    by = ["_fix", *order]
+    by, ascending = ["_fix", *order], [False, *[True] * len(order)]
     small, large = split_groups(rows, keys, limit)
     distance = _py_metric(metric)
     # Cells of the walk are squares in degrees that cover the radius on both axes.
     reach = radius if metric == "degrees" else max(cells.degrees_for(radius))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by, ascending=[False, *[True] * len(order)], kind="stable")
+        pdf = pdf.sort_values(by, ascending=ascending, kind="stable")
         y, x = pdf["lat"].to_numpy(), pdf["lng"].to_numpy()
         return pdf[kernels.greedy_keep(y, x, radius, distance, pdf["_fix"].to_numpy(), reach)]
 
