@@ -29,6 +29,15 @@ def _c(value) -> Column:
     return F.col(value) if isinstance(value, str) else F.lit(float(value))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``.
+
+    The optimizer copies a projected expression into every place that reads it,
+    and a lambda evaluates its copy per array element; a lambda variable does not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # ---------------------------------------------------------------- distances
 
 def haversine_m(lat1, lng1, lat2, lng2, radius: float = EARTH_RADIUS_M) -> Column:
@@ -117,18 +126,20 @@ def ring_edges(ring: Column) -> Column:
     return F.when(F.size(ring) > 0, F.zip_with(ring, before, edge))
 
 
-def point_in_edges(lat, lng, edges: Column) -> Column:
-    """Even-odd ray test with the half-open edge rule."""
-    py, px = _c(lat), _c(lng)
-
+def inside_edges(p: Column, edges: Column) -> Column:
+    """Even-odd ray test with the half-open edge rule, for a point struct bound by :func:`let`."""
     def crosses(e):
-        spans = (e["yi"] > py) != (e["yj"] > py)
-        at = (e["xj"] - e["xi"]) * (py - e["yi"]) / (e["yj"] - e["yi"]) + e["xi"]
-        return F.coalesce(spans & (px < at), F.lit(False))
+        spans = (e["yi"] > p["lat"]) != (e["yj"] > p["lat"])
+        at = (e["xj"] - e["xi"]) * (p["lat"] - e["yi"]) / (e["yj"] - e["yi"]) + e["xi"]
+        return F.coalesce(spans & (p["lng"] < at), F.lit(False))
 
     return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
+def point_in_edges(lat, lng, edges: Column) -> Column:
+    return let(point(lat, lng), lambda p: inside_edges(p, edges))
+
+
 def point_in_ring(lat, lng, ring: Column) -> Column:
     return point_in_edges(lat, lng, ring_edges(ring))
 
@@ -157,12 +168,17 @@ def line_segments(line: Column) -> Column:
 
 def line_touches_ring(line: Column, edges: Column) -> Column:
     """A vertex lies inside, or a segment crosses an edge.  The closing edge is not tested."""
-    inside = F.exists(line, lambda p: point_in_edges(p["lat"], p["lng"], edges))
-    open_edges = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 1, F.lit(0)))
-    crossing = F.exists(line_segments(line), lambda s: F.exists(
-        open_edges, lambda e: segments_cross(s["yj"], s["xj"], s["yi"], s["xi"],
-                                             e["yj"], e["xj"], e["yi"], e["xi"])))
-    return inside | crossing
+    def test(w):
+        open_edges = F.slice(w["e"], F.lit(2), F.greatest(F.size(w["e"]) - 1, F.lit(0)))
+        inside = F.exists(w["l"], lambda p: inside_edges(p, w["e"]))
+        return inside | let(open_edges, lambda o: _any_cross(line_segments(w["l"]), o))
+
+    return let(F.struct(line.alias("l"), edges.alias("e")), test)
+
+
+def _any_cross(segments: Column, edges: Column) -> Column:
+    return F.exists(segments, lambda s: F.exists(edges, lambda e: segments_cross(
+        s["yj"], s["xj"], s["yi"], s["xi"], e["yj"], e["xj"], e["yi"], e["xi"])))
 
 
 def self_intersects(ring: Column) -> Column:
@@ -171,16 +187,16 @@ def self_intersects(ring: Column) -> Column:
     starts = F.transform(ring, lambda p, i: F.struct(
         i.alias("i"), p["lat"].alias("ay"), p["lng"].alias("ax"),
         F.get(ring, (i + 1) % n)["lat"].alias("by"), F.get(ring, (i + 1) % n)["lng"].alias("bx")))
-    hit = F.exists(starts, lambda a: F.exists(starts, lambda b: (
-        (b["i"] >= a["i"] + 2) & ~((a["i"] == 0) & (b["i"] == n - 1))
-        & segments_cross(a["ay"], a["ax"], a["by"], a["bx"], b["ay"], b["ax"], b["by"], b["bx"]))))
+    hit = let(starts, lambda edges: F.exists(edges, lambda a: F.exists(edges, lambda b: (
+        (b["i"] >= a["i"] + 2) & ~((a["i"] == 0) & (b["i"] == F.size(edges) - 1))
+        & segments_cross(a["ay"], a["ax"], a["by"], a["bx"], b["ay"], b["ax"], b["by"], b["bx"])))))
     return F.when(n < 4, F.lit(False)).otherwise(hit)
 
 
 def near_ring(lat, lng, ring: Column, degrees: float = 0.0012) -> Column:
     """Inside the ring, or within ``degrees`` of one of its vertices."""
-    return point_in_ring(lat, lng, ring) | F.exists(
-        ring, lambda p: degree_distance(lat, lng, p["lat"], p["lng"]) < degrees)
+    return let(point(lat, lng), lambda q: inside_edges(q, ring_edges(ring)) | F.exists(
+        ring, lambda p: degree_distance(q["lat"], q["lng"], p["lat"], p["lng"]) < degrees))
 
 
 def _total(array: Column) -> Column:
@@ -199,10 +215,13 @@ def ring_area_m2(ring: Column) -> Column:
     Taken about the first vertex: products of raw degrees would lose a small
     ring's area to cancellation.
     """
-    k = F.cos(F.radians(vertex_mean(ring)["lat"])) * (METRES_PER_DEGREE * METRES_PER_DEGREE)
-    y0, x0 = F.element_at(ring, 1)["lat"], F.element_at(ring, 1)["lng"]
-    twice = F.transform(ring_edges(ring), lambda e: (e["xj"] - x0) * (e["yi"] - y0) - (e["xi"] - x0) * (e["yj"] - y0))
-    return F.when(F.size(ring) < 3, F.lit(0.0)).otherwise(F.abs(_total(twice)) * k / 2)
+    def area(r):
+        k = F.cos(F.radians(vertex_mean(r)["lat"])) * (METRES_PER_DEGREE * METRES_PER_DEGREE)
+        y0, x0 = F.get(r, F.lit(0))["lat"], F.get(r, F.lit(0))["lng"]
+        twice = F.transform(ring_edges(r), lambda e: (e["xj"] - x0) * (e["yi"] - y0) - (e["xi"] - x0) * (e["yj"] - y0))
+        return F.abs(_total(twice)) * k / 2
+
+    return F.when(F.size(ring) < 3, F.lit(0.0)).otherwise(let(ring, area))
 
 
 def area_centroid(ring: Column) -> Column:
@@ -229,11 +248,13 @@ def bbox_ring(south, west, north, east) -> Column:
 
 
 def _longest_edge(ring: Column, length, value) -> Column:
-    n = F.size(ring)
-    scored = F.transform(ring, lambda p, i: F.struct(
-        length(p, F.get(ring, (i + 1) % n)).alias("len"), (-i).alias("rank"),
-        value(p, F.get(ring, (i + 1) % n)).alias("value")))
-    return F.array_max(scored)["value"]
+    def scored(r):
+        n = F.size(r)
+        return F.array_max(F.transform(r, lambda p, i: F.struct(
+            length(p, F.get(r, (i + 1) % n)).alias("len"), (-i).alias("rank"),
+            value(p, F.get(r, (i + 1) % n)).alias("value"))))["value"]
+
+    return let(ring, scored)
 
 
 def longest_edge_angle(ring: Column) -> Column:
@@ -283,9 +304,23 @@ def point_segment_m(lat, lng, alat, alng, blat, blng) -> Column:
                          (blng - lng) * k, (blat - lat) * METRES_PER_DEGREE)
 
 
+def edge_distance_m(p: Column, edges: Column) -> Column:
+    """Distance in metres to the nearest edge, for a point struct bound by :func:`let`."""
+    return F.array_min(F.transform(edges, lambda e: let(
+        F.struct(((e["xi"] - p["lng"]) * p["k"]).alias("ax"), ((e["yi"] - p["lat"]) * METRES_PER_DEGREE).alias("ay"),
+                 ((e["xj"] - p["lng"]) * p["k"]).alias("bx"), ((e["yj"] - p["lat"]) * METRES_PER_DEGREE).alias("by")),
+        lambda s: point_segment(F.lit(0.0), F.lit(0.0), s["ax"], s["ay"], s["bx"], s["by"]))))
+
+
+def scaled_point(lat, lng) -> Column:
+    """A point with the metres per degree of longitude at its latitude (k)."""
+    lat, lng = _c(lat), _c(lng)
+    return F.struct(lat.alias("lat"), lng.alias("lng"), (F.cos(F.radians(lat)) * METRES_PER_DEGREE).alias("k"))
+
+
 def min_edge_m(lat, lng, edges: Column) -> Column:
     """Distance in metres to the nearest of the given edges."""
-    return F.array_min(F.transform(edges, lambda e: point_segment_m(lat, lng, e["yi"], e["xi"], e["yj"], e["xj"])))
+    return let(scaled_point(lat, lng), lambda p: edge_distance_m(p, edges))
 
 
 def to_frame(lat, lng, clat, clng, angle) -> tuple[Column, Column]:
@@ -428,8 +463,6 @@ def spherical_area_m2(ring: Column) -> Column:
 
 def rings_intersect(ring: Column, other: Column, other_edges: Column) -> Column:
     """Two polygons share a point: a vertex of either lies in the other, or edges cross."""
-    edges = ring_edges(ring)
-    crossing = F.exists(edges, lambda s: F.exists(
-        other_edges, lambda e: segments_cross(s["yj"], s["xj"], s["yi"], s["xi"], e["yj"], e["xj"], e["yi"], e["xi"])))
-    return F.exists(ring, lambda p: point_in_edges(p["lat"], p["lng"], other_edges)) \
-        | F.exists(other, lambda p: point_in_edges(p["lat"], p["lng"], edges)) | crossing
+    return let(F.struct(ring_edges(ring).alias("e"), other_edges.alias("o")), lambda w:
+               F.exists(ring, lambda p: inside_edges(p, w["o"])) | F.exists(other, lambda p: inside_edges(p, w["e"]))
+               | _any_cross(w["e"], w["o"]))

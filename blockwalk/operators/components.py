@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockwalk.operators import cells, kernels
-from blockwalk.operators.lineage import cut
+from blockwalk.operators.lineage import cut, spread
 from blockwalk.operators.nearest import split_groups
 
 GROUP_ROWS = 200_000
@@ -31,7 +31,7 @@ def single_link(points: DataFrame, keys: Sequence[str], radius: float, limit: in
         labels = kernels.single_link(pdf["y"].to_numpy(), pdf["x"].to_numpy(), radius)
         return pdf.assign(component=pdf["id"].to_numpy()[labels])
 
-    out = small.groupBy(*keys).applyInPandas(link, schema)
+    out = spread(small, *keys).groupBy(*keys).applyInPandas(link, schema)
     return out if large is None else out.unionByName(_link_by_cells(large, keys, radius))
 
 

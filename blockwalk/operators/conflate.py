@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwalk.operators import components, kernels
+from blockwalk.operators.lineage import spread
 from blockwalk.operators.nearest import split_groups
 from blockwalk.operators.ordered import Ordered
 
@@ -44,7 +45,7 @@ def conflate(buildings: DataFrame, keys: Sequence[str] = ("hlb_id",), near: floa
         return pdf[kernels.attach_sources(pdf["lat"].to_numpy(), pdf["lng"].to_numpy(), pdf["source"].to_numpy(), near)]
 
     small, large = split_groups(rows, keys, limit)
-    out = small.groupBy(*keys).applyInPandas(walk, schema)
+    out = spread(small, *keys).groupBy(*keys).applyInPandas(walk, schema)
     if large is not None:
         # rows of one provider may share ids with another's, so chains are found on positions
         at = [*keys, "lat", "lng"]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockwalk.functions.geo import EARTH_RADIUS_M
-from blockwalk.operators.lineage import cut
+from blockwalk.operators.lineage import cut, spread
 from blockwalk.operators.ordered import TASK_ROWS, Ordered
 
 Step = Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]]
@@ -85,7 +85,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, start: tu
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
             return step(start, pdf.sort_values(order, kind="stable"))[1]
 
-        return df.groupBy(*keys).applyInPandas(whole, schema)
+        return spread(df, *keys).groupBy(*keys).applyInPandas(whole, schema)
 
     rows = cut(ordered.df)
     chunk = [*keys, "_chunk"]

@@ -1,4 +1,4 @@
-"""Cutting lineage so that a lost executor never costs the work of earlier rounds."""
+"""Cutting lineage between rounds, and spreading compute-heavy groups over the cluster."""
 
 from __future__ import annotations
 
@@ -23,3 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later jobs read the stored rows, on any executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by keys into the session's shuffle partitions.
+
+    Adaptive execution merges partitions by their bytes; rows that are few but
+    expensive (grid generation, per-group walks) would all land in one task.
+    A stated partition count is left alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from blockwalk.functions import geo
 from blockwalk.operators import cells, kernels
-from blockwalk.operators.lineage import cut
+from blockwalk.operators.lineage import cut, spread
 from blockwalk.operators.ordered import Ordered, hot_keys, nth_values
 
 #: Rows of one group that one task measures in memory.
@@ -43,7 +43,7 @@ def nearest_gaps(points: DataFrame, keys: Sequence[str], limit: int = GROUP_ROWS
         gap = kernels.nearest_gaps(pdf["lat"].to_numpy(), pdf["lng"].to_numpy())
         return pdf[[*keys, "id"]].assign(gap=np.where(np.isinf(gap), np.nan, gap))
 
-    out = small.groupBy(*keys).applyInPandas(measure, schema) \
+    out = spread(small, *keys).groupBy(*keys).applyInPandas(measure, schema) \
         .withColumn("gap", F.nanvl("gap", F.lit(None).cast("double")))
     return out if large is None else out.unionByName(_gaps_by_cells(large, keys))
 

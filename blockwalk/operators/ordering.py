@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from blockwalk.functions import domain, geo
 from blockwalk.operators import assign, components, kernels, nearest
-from blockwalk.operators.lineage import cut
+from blockwalk.operators.lineage import cut, spread
 from blockwalk.operators.ordered import Ordered, any_hot, nth_values
 
 SYSTEMS = ("serpentine", "census_u_loop", "boundary_serpentine")
@@ -231,7 +231,7 @@ def cluster_blocks(inside: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     keys = ["hlb_id", "block_id"]
     small, large = nearest.split_groups(rows, keys, limit)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + CLUSTERED
-    out = small.groupBy(*keys).applyInPandas(_cluster_block, schema)
+    out = spread(small, *keys).groupBy(*keys).applyInPandas(_cluster_block, schema)
     return out if large is None else out.unionByName(_cluster_large(large, keys, schema))
 
 

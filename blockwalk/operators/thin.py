@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from blockwalk.functions import geo
 from blockwalk.operators import cells, kernels
-from blockwalk.operators.lineage import cut
+from blockwalk.operators.lineage import cut, spread
 from blockwalk.operators.nearest import split_groups
 
 GROUP_ROWS = 200_000
@@ -52,7 +52,7 @@ def greedy_thin(df: DataFrame, keys: Sequence[str], priority: Sequence[Column],
         y, x = pdf["lat"].to_numpy(), pdf["lng"].to_numpy()
         return pdf[kernels.greedy_keep(y, x, radius, distance, pdf["_fix"].to_numpy(), reach)]
 
-    kept = small.groupBy(*keys).applyInPandas(walk, rows.schema)
+    kept = spread(small, *keys).groupBy(*keys).applyInPandas(walk, rows.schema)
     if large is not None:
         kept = kept.unionByName(_thin_in_rounds(large, keys, list(order), radius, metric))
     return kept.drop(*by)

@@ -107,7 +107,7 @@ def symbol_placement(s, d):
         (k % 360).cast("double").alias("heading"))
     walked = trajectory.with_motion(b.gps_points(s, d).filter("point_id % 3 <> 0"))
     path = walked.withColumns({"out_lat": F.col("lat"), "out_lng": F.col("lng")})
-    return trajectory.place_symbols(wanted, walked, path).select("session_id", "placement_id", "direction", _r("lat", 7), _r("lng", 7))
+    return trajectory.place_symbols(wanted, walked, path).select("session_id", "placement_id", "direction", _r("lat", 9), _r("lng", 9))
 
 
 def _lines(s, d):
@@ -246,8 +246,8 @@ CHECKS = {
         j AS (SELECT w.*, m.lat, m.lng, m.bearing FROM w ASOF JOIN m ON m.session_id = w.session_id AND m.ts <= w.ts),
         d AS (SELECT *, CASE k % 4 WHEN 2 THEN 0.0 WHEN 3 THEN 7.0 ELSE 3.0 END / 6371008.8::DOUBLE AS dd,
                 radians(CASE k % 4 WHEN 0 THEN bearing - 90 WHEN 1 THEN bearing + 90 WHEN 3 THEN k % 360 ELSE 0 END) AS th FROM j)
-        SELECT session_id, k AS placement_id, ['left', 'right', 'center', 'compass'][k % 4 + 1] AS direction, round(degrees(p2), 7) AS lat,
-               round(lng + degrees(atan2(sin(th) * sin(dd) * cos(radians(lat)), cos(dd) - sin(radians(lat)) * sin(p2))), 7) AS lng
+        SELECT session_id, k AS placement_id, ['left', 'right', 'center', 'compass'][k % 4 + 1] AS direction, round(degrees(p2), 9) AS lat,
+               round(lng + degrees(atan2(sin(th) * sin(dd) * cos(radians(lat)), cos(dd) - sin(radians(lat)) * sin(p2))), 9) AS lng
         FROM (SELECT *, asin(sin(radians(lat)) * cos(dd) + cos(radians(lat)) * sin(dd) * cos(th)) AS p2 FROM d)"""),
     "chaikin": f"""
         WITH ln AS (SELECT o_orderkey // 10 AS line_id, o_orderkey % 10 AS i,
