@@ -57,9 +57,9 @@ def conflate(buildings: DataFrame, keys: Sequence[str] = ("hlb_id",), near: floa
         linked = large.join(chain, at).join(places, [*keys, "_chain"])
         piles = _stacked(linked.filter("_places = 1"), [*keys, "_chain"]).select(*schema.names)
         walked = linked.filter("_places > 1").drop("_places")
-        spread = walked.groupBy(*keys, "_chain").applyInPandas(
+        strung = walked.groupBy(*keys, "_chain").applyInPandas(
             lambda pdf: walk(pdf.drop(columns="_chain")), schema)
-        out = out.unionByName(piles).unionByName(spread)
+        out = out.unionByName(piles).unionByName(strung)
     return out.drop("_pref")
 
 

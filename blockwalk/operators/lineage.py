@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame
 
+from blockwalk.ship import ship
+
 
 def checkpoint_dir(spark) -> str:
     """The cluster's shared checkpoint folder; a private one only where none is named."""
@@ -21,6 +23,7 @@ def checkpoint_dir(spark) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later jobs read the stored rows, on any executor."""
+    ship(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -32,4 +35,5 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     expensive (grid generation, per-group walks) would all land in one task.
     A stated partition count is left alone.
     """
+    ship(df.sparkSession)
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -68,8 +68,9 @@ def order_houses(symbols: DataFrame, blocks: DataFrame | None = None, system: st
     if system not in SYSTEMS:
         raise ValueError(f"unknown numbering system {system!r}")
     houses = symbols.filter(domain.is_numberable(F.col("symbol_type")))
-    # A whole area bounds each of its blocks and clusters, so one check covers every step below.
-    split = any_hot(houses, ["hlb_id"], GROUP_ROWS * 40)
+    # A whole area bounds each of its blocks and clusters, so one count covers every step below.
+    largest = houses.groupBy("hlb_id").count().agg(F.max("count")).first()[0] or 0
+    split = largest > GROUP_ROWS * 40
     if blocks is None or system == "boundary_serpentine":
         frames, placed = _area_frames(houses, boundaries if system == "boundary_serpentine" else None)
     else:
@@ -82,7 +83,7 @@ def order_houses(symbols: DataFrame, blocks: DataFrame | None = None, system: st
         within = _u_loop(inside.withColumn("cluster", F.lit(0).cast("long")), frames, split)
         within = within.withColumns({"_cscore": F.lit(0.0), "cluster": F.lit(0).cast("long")})
     else:
-        within = _cluster_order(inside, frames, split)
+        within = _cluster_order(inside, frames, split, largest)
     path = ["_a", "_b", "_c"]
     ranked = within.select("hlb_id", "id", "pos", "lat", "lng", "block_id", "cluster", F.lit(0).alias("_orphan"),
                            "block_score", "block_pos", "_cscore", *path)
@@ -218,18 +219,20 @@ def serpentine_in_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 CLUSTERED = "cluster long, size long, regular boolean, step long"
 
 
-def cluster_blocks(inside: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
+def cluster_blocks(inside: DataFrame, limit: int = GROUP_ROWS, largest: int | None = None) -> DataFrame:
     """Cluster of every house of a block, whether it looks like rows, and the walk through it if not.
 
     The link radius is 1.4 times the block's median nearest gap; clusters under
     three houses fall apart into single houses.  A block of at most three houses
     keeps its input order.  Blocks that fit a task are worked out there; larger
     ones use the cell-based distance and cluster jobs, and only the walk through
-    one irregular cluster remains a single task.
+    one irregular cluster remains a single task.  ``largest`` is a known bound on a
+    block's houses.
     """
     rows = inside.select("hlb_id", "block_id", "id", "pos", "lat", "lng", "block_score", "block_pos")
     keys = ["hlb_id", "block_id"]
-    small, large = nearest.split_groups(rows, keys, limit)
+    known = largest is not None and largest <= limit
+    small, large = (rows, None) if known else nearest.split_groups(rows, keys, limit)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + CLUSTERED
     out = spread(small, *keys).groupBy(*keys).applyInPandas(_cluster_block, schema)
     return out if large is None else out.unionByName(_cluster_large(large, keys, schema))
@@ -287,10 +290,9 @@ def _cluster_large(rows: DataFrame, keys: Sequence[str], schema: str) -> DataFra
     return known.filter("regular").unionByName(walked)
 
 
-def _cluster_order(inside: DataFrame, frames: DataFrame, split: bool) -> DataFrame:
+def _cluster_order(inside: DataFrame, frames: DataFrame, split: bool, largest: int) -> DataFrame:
     """Clusters north-west first; rows inside regular ones, a short walk inside the others."""
-    clustered = cluster_blocks(inside)
-    clustered = cut(clustered) if split else clustered
+    clustered = cut(cluster_blocks(inside, largest=largest))  # read several times below
     centre = clustered.groupBy(*GROUP).agg(geo.nwse_score(F.avg("lat"), F.avg("lng")).alias("_cscore"))
     rows = clustered.join(centre, GROUP)
     keep = ["hlb_id", "id", "pos", "lat", "lng", "block_id", "cluster", "block_score", "block_pos", "_cscore", "_a", "_b", "_c"]

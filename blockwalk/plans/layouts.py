@@ -33,9 +33,9 @@ def estimated_houses(s, d):
     n = lambda v: v.cast("double")
     boxes = b.table(s, d, "customer").select(
         k.alias("key"), n(k % 100).alias("x1"), n(k % 80).alias("y1"), n(k % 100 + 40 + k % 31).alias("x2"), n(k % 80 + 30).alias("y2"),
-        n(k % 90).alias("degrees"), (k % 14).alias("count"), F.lit(512.0).alias("width"), F.lit(512.0).alias("height"),
+        n(k % 90).alias("degrees"), (k % 14).alias("count"), F.lit(500.0).alias("width"), F.lit(500.0).alias("height"),
         F.lit(26.01).alias("north"), F.lit(26.0).alias("south"), F.lit(80.01).alias("east"), F.lit(80.0).alias("west"))
-    return layout.estimated_houses(boxes).select("key", "i", F.round("lat", 12).alias("lat"), F.round("lng", 12).alias("lng"))
+    return layout.estimated_houses(boxes).select("key", "i", F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"))
 
 
 def grid_snap(s, d):
@@ -190,8 +190,8 @@ CHECKS = {
         r AS (SELECT *, greatest(1, CAST(floor(n / cols + 0.5) AS BIGINT)) AS rows_ FROM c),
         g AS (SELECT *, unnest(range(0, least(n, cols * rows_))) AS i FROM r),
         o AS (SELECT *, (i % cols + 0.5) * w / cols - w / 2 AS ox, (i // cols + 0.5) * h / rows_ - h / 2 AS oy FROM g)
-        SELECT key, i, round(26.01 - (y1 + 15 + ox * sin(th) + oy * cos(th)) / 512 * 0.01, 12) AS lat,
-               round(80.0 + (x1 + w / 2 + ox * cos(th) - oy * sin(th)) / 512 * 0.01, 12) AS lng FROM o""",
+        SELECT key, i, round(26.01 - (y1 + 15 + ox * sin(th) + oy * cos(th)) / 500 * 0.01, 9) AS lat,
+               round(80.0 + (x1 + w / 2 + ox * cos(th) - oy * sin(th)) / 500 * 0.01, 9) AS lng FROM o""",
     "grid_snap": with_tables("symbols", query=f"""
         , bs AS (SELECT hlb_id, min(lat) AS y0, min(lng) AS x0, avg(lat) AS ym FROM symbols GROUP BY 1),
         g AS (SELECT s.*, y0, x0, 26.0::DOUBLE / 111320 AS dy, 26.0::DOUBLE / 111320 / cos(radians(ym)) AS dx FROM symbols s JOIN bs USING (hlb_id)),
