@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def thin_step(gap: float) -> Step:
             keep.append(ok)
             if ok:
                 y, x = oy, ox
-        return (y, x), pdf[keep]
+        return (y, x), pdf[np.array(keep, dtype=bool)]
 
     return step
 
