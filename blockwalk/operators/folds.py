@@ -74,13 +74,15 @@ def kalman(fixes: DataFrame, keys: list[str], order: list[str], limit: int = TAS
     return fold(fixes, keys, order, kalman_step, KALMAN_START, limit, 1e-13)
 
 
-def thin_path(points: DataFrame, keys: list[str], order: list[str], gap: float, limit: int = TASK_ROWS) -> DataFrame:
-    return fold(points, keys, order, thin_step(gap), (float("nan"), float("nan")), limit, 0.0)
+def thin_path(points: DataFrame, keys: list[str], order: list[str], gap: float, limit: int = TASK_ROWS,
+              count_on: DataFrame | None = None) -> DataFrame:
+    return fold(points, keys, order, thin_step(gap), (float("nan"), float("nan")), limit, 0.0, count_on)
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, start: tuple, limit: int, tolerance: float) -> DataFrame:
+def fold(df: DataFrame, keys: list[str], order: list[str], step: Step, start: tuple, limit: int, tolerance: float,
+         count_on: DataFrame | None = None) -> DataFrame:
     """Apply ``step`` along the order of each key; the output keeps the input columns."""
-    ordered = Ordered.of(df, keys, [F.col(c) for c in order], limit)
+    ordered = Ordered.of(df, keys, [F.col(c) for c in order], limit, count_on)
     schema = df.schema
     if not ordered.split:
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:

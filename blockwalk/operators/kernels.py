@@ -156,3 +156,25 @@ def attach_sources(lat, lng, source, near=3.6e-5):
         else:
             have[best].add(source[i])
     return lead
+
+
+def deviating(y, x, tolerance):
+    """Which vertices of one line stay: each interval keeps its farthest vertex while that exceeds ``tolerance``."""
+    keep = np.zeros(len(y), bool)
+    keep[[0, -1]] = True
+    open_ = [(0, len(y) - 1)]
+    while open_:
+        lo, hi = open_.pop()
+        if hi - lo < 2:
+            continue
+        dx, dy = x[hi] - x[lo], y[hi] - y[lo]
+        px, py = x[lo + 1:hi] - x[lo], y[lo + 1:hi] - y[lo]
+        length = dx * dx + dy * dy
+        t = np.clip((px * dx + py * dy) / length, 0.0, 1.0) if length else np.zeros(len(px))
+        d = (px - t * dx) ** 2 + (py - t * dy) ** 2
+        k = int(np.argmax(d))
+        if d[k] > tolerance * tolerance:
+            mid = lo + 1 + k
+            keep[mid] = True
+            open_ += [(lo, mid), (mid, hi)]
+    return keep

@@ -76,8 +76,7 @@ def order_houses(symbols: DataFrame, blocks: DataFrame | None = None, system: st
     else:
         frames = _frames(blocks)
         placed = assign.assign_blocks(houses, blocks)
-    if split:
-        placed = cut(placed)
+    placed = cut(placed)  # read for frames, rows, orphans
     inside = placed.filter("block_id IS NOT NULL")
     if system == "census_u_loop":
         within = _u_loop(inside.withColumn("cluster", F.lit(0).cast("long")), frames, split)
@@ -205,7 +204,7 @@ def _serpentine(rows: DataFrame, frames: DataFrame, split: bool) -> DataFrame:
 
 def serpentine_in_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """Plain serpentine of every block, without clusters: (hlb_id, block_id, id, place)."""
-    placed = assign.assign_blocks(rows, blocks).filter("block_id IS NOT NULL").withColumn("cluster", F.lit(0).cast("long"))
+    placed = cut(assign.assign_blocks(rows, blocks).filter("block_id IS NOT NULL").withColumn("cluster", F.lit(0).cast("long")))
     split = any_hot(rows, ["hlb_id"], GROUP_ROWS * 40)
     walked = _serpentine(placed, _frames(blocks), split)
     order = [F.col(c) for c in ("_a", "_b", "pos", "id")]

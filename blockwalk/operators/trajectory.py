@@ -3,15 +3,21 @@
 Two steps depend on their own earlier result and run as folds (see
 :mod:`blockwalk.operators.folds`): the filter, and the choice of kept points.
 Everything between and after them is window and join work.
+
+``count_on`` names a cheaper table with at least the same rows per session (the
+raw fixes); the check for oversized sessions then does not run the steps before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockwalk.functions import domain, geo
-from blockwalk.operators import assign, cells, folds
+from blockwalk.operators import assign, cells, folds, kernels
+from blockwalk.operators.lineage import cut, spread
+from blockwalk.operators.nearest import split_groups
 from blockwalk.operators.ordered import TASK_ROWS, Ordered
 
 # Thresholds of the recorder.
@@ -21,6 +27,7 @@ THIN_METRES = 0.8
 RETURN_METRES = 5.0
 RETURN_DEGREES = 150.0
 RETURN_AFTER = 30
+LINE_ROWS = 200_000
 KEY = ["session_id"]
 ORDER = ("ts", "point_id")
 
@@ -34,7 +41,7 @@ def smooth(fixes: DataFrame, limit: int = TASK_ROWS) -> DataFrame:
     return folds.kalman(fixes, KEY, list(ORDER), limit)
 
 
-def with_motion(smoothed: DataFrame, limit: int = TASK_ROWS) -> DataFrame:
+def with_motion(smoothed: DataFrame, limit: int = TASK_ROWS, count_on: DataFrame | None = None) -> DataFrame:
     """Movement class, five-fix stillness, and the smoothed bearing at every fix.
 
     Frames run over all fixes of the session, recorded or not; the bearing goes
@@ -43,7 +50,7 @@ def with_motion(smoothed: DataFrame, limit: int = TASK_ROWS) -> DataFrame:
     def last5(c):
         return lambda w: F.collect_list(c).over(w.rowsBetween(-4, 0))
 
-    rows = Ordered.of(smoothed, KEY, _order(), limit).frame(
+    rows = Ordered.of(smoothed, KEY, _order(), limit, count_on).frame(
         before=4, _ys=last5("lat"), _xs=last5("lng")).rows()
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v) / 5
     rows = rows.withColumns({"_cy": mean(F.col("_ys")), "_cx": mean(F.col("_xs"))})
@@ -63,7 +70,8 @@ def recordable() -> Column:
     return ~F.col("stationary") & (F.col("accuracy") <= MAX_ACCURACY) & F.col("movement").isin("walking", "fast_walk")
 
 
-def kept_path(motion: DataFrame, roads: DataFrame | None = None, limit: int = TASK_ROWS) -> DataFrame:
+def kept_path(motion: DataFrame, roads: DataFrame | None = None, limit: int = TASK_ROWS,
+              count_on: DataFrame | None = None) -> DataFrame:
     """Fixes that enter the path: at least 0.8 m from the last kept point, snapped to a mapped road if on one.
 
     The distance is measured from the smoothed fix to the last kept point as
@@ -73,14 +81,16 @@ def kept_path(motion: DataFrame, roads: DataFrame | None = None, limit: int = TA
     if roads is None:
         snapped = rows.withColumns({"road_id": F.lit(None).cast("long"), "out_lat": F.col("lat"), "out_lng": F.col("lng")})
     else:
+        rows = cut(rows)  # matched to roads and joined back
         near = assign.snap_points(rows, roads, "session_id", "point_id").drop("road_dist")
         snapped = rows.join(near, ["session_id", "point_id"], "left").withColumns({
             "out_lat": F.coalesce("snap_lat", "lat"), "out_lng": F.coalesce("snap_lng", "lng")}).drop("snap_lat", "snap_lng")
-    kept = folds.thin_path(snapped, KEY, list(ORDER), THIN_METRES, limit)
+    kept = folds.thin_path(snapped, KEY, list(ORDER), THIN_METRES, limit, count_on)
     return kept.withColumn("on_road", F.col("road_id").isNotNull())
 
 
-def segments(path: DataFrame, limit: int = TASK_ROWS, keep_duplicates: bool = False) -> DataFrame:
+def segments(path: DataFrame, limit: int = TASK_ROWS, keep_duplicates: bool = False,
+             count_on: DataFrame | None = None) -> DataFrame:
     """Points of the drawn segments: (session_id, segment, point_id, ts, out_lat, out_lng, road_type).
 
     A segment ends at a pause, a road-type change, or on entering a mapped road.
@@ -92,7 +102,7 @@ def segments(path: DataFrame, limit: int = TASK_ROWS, keep_duplicates: bool = Fa
     cols = path.columns
     path = path if "road_type" in cols else path.withColumn("road_type", F.lit("residential"))
     path = path if "paused" in cols else path.withColumn("paused", F.lit(False))
-    lagged = Ordered.of(path, KEY, _order(), limit).lag(
+    lagged = Ordered.of(path, KEY, _order(), limit, count_on).lag(
         _road="on_road", _type="road_type", _lat="out_lat", _lng="out_lng", _ts="ts", _id="point_id")
     was_on = F.coalesce("_road", F.lit(False))
     free = ~F.col("on_road")
@@ -110,7 +120,7 @@ def segments(path: DataFrame, limit: int = TASK_ROWS, keep_duplicates: bool = Fa
     points = numbered.filter(free).select("session_id", F.col("segment").cast("long").alias("segment"), "road_type",
                                           F.explode(F.array_compact(F.array(seed, twice, here))).alias("_p")) \
         .select("session_id", "segment", "road_type", "_p.*")
-    # a pause directly after the last point seeds the next segment with that point
+    points = cut(points)  # counted and filtered
     size = points.groupBy("session_id", "segment").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").drop("_n")
     return points.join(size, ["session_id", "segment"], "left_semi")
 
@@ -122,14 +132,15 @@ def segment_lines(points: DataFrame) -> DataFrame:
         .select("session_id", "segment", "road_type", F.transform("_p", lambda p: geo.point(p["out_lat"], p["out_lng"])).alias("points"))
 
 
-def path_length(path: DataFrame, lat: str = "out_lat", lng: str = "out_lng", limit: int = TASK_ROWS) -> DataFrame:
+def path_length(path: DataFrame, lat: str = "out_lat", lng: str = "out_lng", limit: int = TASK_ROWS,
+                count_on: DataFrame | None = None) -> DataFrame:
     """Metres along the path and its point count per session."""
-    rows = Ordered.of(path, KEY, _order(), limit).lag(_lat=lat, _lng=lng).rows()
+    rows = Ordered.of(path, KEY, _order(), limit, count_on).lag(_lat=lat, _lng=lng).rows()
     hop = F.coalesce(geo.haversine_m("_lat", "_lng", lat, lng), F.lit(0.0))
     return rows.groupBy("session_id").agg(F.sum(hop).alias("distance_m"), F.count(F.lit(1)).alias("points"))
 
 
-def return_path(path: DataFrame, points: DataFrame, limit: int = TASK_ROWS) -> DataFrame:
+def return_path(path: DataFrame, points: DataFrame, limit: int = TASK_ROWS, count_on: DataFrame | None = None) -> DataFrame:
     """First moment each session walks back along itself: (session_id, point_id, ts).
 
     A path point after the thirtieth returns when an earlier, finished segment has
@@ -146,7 +157,7 @@ def return_path(path: DataFrame, points: DataFrame, limit: int = TASK_ROWS) -> D
     legs = legs.groupBy("session_id", F.col("out_lat").alias("_slat"), F.col("out_lng").alias("_slng"), "_way") \
         .agg(F.min("_end").alias("_end")) \
         .withColumns({"_cy": cells.cell(F.col("_slat"), 2 * dy), "_cx": cells.cell(F.col("_slng"), 2 * dx)})
-    late = Ordered.of(path, KEY, _order(), limit).row_number("_n").rows().filter(F.col("_n") > RETURN_AFTER)
+    late = Ordered.of(path, KEY, _order(), limit, count_on).row_number("_n").rows().filter(F.col("_n") > RETURN_AFTER)
     asked = cells.probe(late.select("session_id", "point_id", "ts", "out_lat", "out_lng", "bearing"),
                         F.col("out_lat"), F.col("out_lng"), dy, dx, 2 * dy, 2 * dx)
     met = asked.join(legs, ["session_id", "_cy", "_cx"]) \
@@ -157,13 +168,14 @@ def return_path(path: DataFrame, points: DataFrame, limit: int = TASK_ROWS) -> D
         .select("session_id", F.col("_f.point_id").alias("point_id"), F.col("_f.ts").alias("ts"))
 
 
-def session_summary(sessions: DataFrame, path: DataFrame, points: DataFrame, symbols: DataFrame) -> DataFrame:
+def session_summary(sessions: DataFrame, path: DataFrame, points: DataFrame, symbols: DataFrame,
+                    count_on: DataFrame | None = None) -> DataFrame:
     """Distance, duration, houses (pucca and kutcha only), segments and kept points per session."""
     span = path.groupBy("session_id").agg(F.min("ts").alias("_t0"), F.max("ts").alias("_t1"))
     drawn = points.groupBy("session_id").agg(F.count_distinct("segment").alias("road_count"))
     houses = symbols.filter(F.col("symbol_type").isin(domain.COUNTED_HOUSES)).groupBy("session_id").agg(F.count(F.lit(1)).alias("house_count"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return sessions.select("session_id").join(path_length(path), "session_id", "left").join(span, "session_id", "left") \
+    return sessions.select("session_id").join(path_length(path, count_on=count_on), "session_id", "left").join(span, "session_id", "left") \
         .join(drawn, "session_id", "left").join(houses, "session_id", "left").select(
             "session_id", F.coalesce("distance_m", F.lit(0.0)).alias("distance_m"),
             F.coalesce(F.unix_seconds("_t1") - F.unix_seconds("_t0"), F.lit(0)).alias("duration_s"),
@@ -243,15 +255,25 @@ def chaikin(lines: DataFrame, keys: list[str], iterations: int = 3, straight: fl
     return rows
 
 
-def simplify(lines: DataFrame, keys: list[str], tolerance: float = 2.5 * 9e-6) -> DataFrame:
+def simplify(lines: DataFrame, keys: list[str], tolerance: float = 2.5 * 9e-6, limit: int = LINE_ROWS) -> DataFrame:
     """Douglas-Peucker on vertex rows (keys, i, lat, lng): vertices that deviate more than ``tolerance`` degrees stay.
 
-    Every open interval of every line is split at its farthest vertex in the same
-    round, so the number of rounds is the depth of the deepest line.
+    Lines that fit a task are walked there; longer ones are refined in rounds.
     """
-    from blockwalk.operators.lineage import cut
-
     rows = lines.select(*keys, F.col("i").cast("long").alias("i"), "lat", "lng")
+    small, large = split_groups(rows, keys, limit)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i", kind="stable")
+        return pdf[kernels.deviating(pdf["lat"].to_numpy(), pdf["lng"].to_numpy(), tolerance)]
+
+    kept = spread(small, *keys).groupBy(*keys).applyInPandas(walk, rows.schema)
+    return kept if large is None else kept.unionByName(_simplify_in_rounds(large, keys, tolerance))
+
+
+def _simplify_in_rounds(rows: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Every open interval of every line is split at its farthest vertex in the same round, so the
+    number of rounds is the depth of the deepest line."""
     ends = rows.groupBy(*keys).agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
     kept = cut(ends.select(*keys, F.explode(F.array("lo", "hi")).alias("i")).distinct())
     # each inner vertex carries the ends of the open interval it lies in

@@ -43,8 +43,9 @@ def path_length(s, d):
 
 def recorded_path(s, d):
     """The whole recorder: filter, stillness, quality, snapping, thinning."""
-    motion = trajectory.with_motion(trajectory.smooth(b.gps_points(s, d)))
-    return trajectory.kept_path(motion, survey_roads(s, d)).select(
+    raw = b.gps_points(s, d)
+    motion = trajectory.with_motion(trajectory.smooth(raw), count_on=raw)
+    return trajectory.kept_path(motion, survey_roads(s, d), count_on=raw).select(
         "session_id", "point_id", "on_road", "road_id", _r("out_lat", 7), _r("out_lng", 7))
 
 
@@ -58,21 +59,22 @@ def _broken_path(s, d):
 
 
 def segments(s, d):
-    return trajectory.segments(_broken_path(s, d)).select("session_id", "segment", "road_type", "part", "point_id")
+    return trajectory.segments(_broken_path(s, d), count_on=b.gps_points(s, d)).select("session_id", "segment", "road_type", "part", "point_id")
 
 
 def _shuttle(s, d):
     """Sessions walking a short lane to and fro, a day each way."""
     phase = (F.unix_seconds("ts") - 1704067200) % 172800 / F.lit(86400.0)
     x = F.when(phase < 1, phase).otherwise(2 - phase)
-    fixes = b.gps_points(s, d).withColumns({"lat": F.lit(26.001) + x * 0.0008, "lng": F.lit(80.001) + x * 0.00001})
-    return trajectory.with_motion(fixes).withColumns({
+    raw = b.gps_points(s, d)
+    fixes = raw.withColumns({"lat": F.lit(26.001) + x * 0.0008, "lng": F.lit(80.001) + x * 0.00001})
+    return trajectory.with_motion(fixes, count_on=raw).withColumns({
         "out_lat": F.col("lat"), "out_lng": F.col("lng"), "on_road": F.lit(False), "paused": F.col("point_id") % 7 == 0})
 
 
 def return_path(s, d):
-    path = _shuttle(s, d)
-    return trajectory.return_path(path, trajectory.segments(path)).select("session_id", "point_id")
+    path, raw = _shuttle(s, d), b.gps_points(s, d)
+    return trajectory.return_path(path, trajectory.segments(path, count_on=raw), count_on=raw).select("session_id", "point_id")
 
 
 def _marks(s, d):
@@ -84,16 +86,16 @@ def _marks(s, d):
 
 
 def session_summary(s, d):
-    path = _broken_path(s, d)
-    sessions = path.select("session_id").distinct()
-    return trajectory.session_summary(sessions, path, trajectory.segments(path), _marks(s, d)).withColumn("distance_m", _r("distance_m", 4))
+    path, raw = _broken_path(s, d), b.gps_points(s, d)
+    sessions = raw.select("session_id").distinct()
+    return trajectory.session_summary(sessions, path, trajectory.segments(path, count_on=raw), _marks(s, d), raw).withColumn("distance_m", _r("distance_m", 4))
 
 
 def session_document(s, d):
     """Sizes of the parts of every session's document."""
-    path = _broken_path(s, d)
-    sessions = path.select("session_id").distinct().withColumn("boundary", F.lit('{"type":"Polygon"}'))
-    docs = trajectory.session_document(sessions, _marks(s, d), trajectory.segment_lines(trajectory.segments(path)))
+    path, raw = _broken_path(s, d), b.gps_points(s, d)
+    sessions = raw.select("session_id").distinct().withColumn("boundary", F.lit('{"type":"Polygon"}'))
+    docs = trajectory.session_document(sessions, _marks(s, d), trajectory.segment_lines(trajectory.segments(path, count_on=raw)))
     size = lambda part: F.json_array_length(F.get_json_object("document", part)).cast("long")
     return docs.select("session_id", size("$.symbols").alias("symbols"), size("$.roads").alias("roads"),
                        F.get_json_object("document", "$.boundary").alias("boundary"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blockwalk.functions import geo
+
 _point = T.ArrayType(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lng", T.DoubleType())]))
 
 #: The parts of a project document that the jobs read; unknown members are ignored.
@@ -46,9 +48,10 @@ def read_jdbc(spark: SparkSession, url: str, relation: str, key: str, bounds: tu
 
 def parse_documents(documents: DataFrame) -> DataFrame:
     """Parse the ``data`` JSON; a broken document keeps its row with a null ``data``."""
-    parsed = F.from_json("data", DOCUMENT, {"mode": "PERMISSIVE"})
-    broken = F.get_json_object("data", "$").isNull()
-    return documents.withColumn("data", F.when(~broken, parsed))
+    schema = T.StructType([*DOCUMENT.fields, T.StructField("_broken", T.StringType())])
+    parsed = F.from_json("data", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    # bound once: copies of the parse would otherwise follow every field that is read
+    return documents.withColumn("data", geo.let(parsed, lambda d: F.when(d["_broken"].isNull(), d.dropFields("_broken"))))
 
 
 def explode_symbols(documents: DataFrame) -> DataFrame:

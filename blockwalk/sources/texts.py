@@ -10,6 +10,7 @@ from blockwalk.functions import geo
 # The three coordinate forms in their order of precedence, and the block code.
 COORDINATES = [r"[?&]q=(-?\d+\.?\d*),(-?\d+\.?\d*)", r"@(-?\d+\.?\d*),(-?\d+\.?\d*)",
                r"(-?\d{2}\.\d{3,}),\s*(-?\d{2,3}\.\d{3,})"]
+PAIR = r"(-?\d+\.?\d*),\s*(-?\d+\.?\d*)$"
 BLOCK_CODE = r"(?i)HLB\s*(\d{4})"
 _NUMBER = r"(-?\d+\.?\d*)"
 BBOX = rf"/BBox\s*\[\s*{_NUMBER}\s+{_NUMBER}\s+{_NUMBER}\s+{_NUMBER}\s*\]"
@@ -28,13 +29,21 @@ def scan_messages(messages: DataFrame, text: str = "text") -> DataFrame:
     (0, 0), which is not usable as a position.
     """
     t = F.col(text)
-    lat = F.coalesce(*[_group(t, p, 1) for p in COORDINATES]).cast("double")
-    lng = F.coalesce(*[_group(t, p, 2) for p in COORDINATES]).cast("double")
-    out = messages.withColumns({"_lat": lat, "_lng": lng, "_hlb": _group(t, BLOCK_CODE, 1)}).drop(text)
-    return out.filter("_lat IS NOT NULL OR _hlb IS NOT NULL") \
-        .withColumns({"hlb": F.coalesce("_hlb", F.lit("0000")), "lat": F.coalesce("_lat", F.lit(0.0)),
-                      "lng": F.coalesce("_lng", F.lit(0.0))}) \
-        .withColumn("usable", F.col("lat") != 0).drop("_lat", "_lng", "_hlb")
+    # one pass per pattern over the text; the pair is then read off the short match
+    found = F.coalesce(*[_group(t, p, 0) for p in COORDINATES])
+    number = lambda m, g: F.regexp_extract(m, PAIR, g).cast("double")
+
+    def read(w):
+        return F.when(w["at"].isNotNull() | w["hlb"].isNotNull(), F.struct(
+            F.coalesce(w["hlb"], F.lit("0000")).alias("hlb"),
+            F.coalesce(F.when(w["at"].isNotNull(), number(w["at"], 1)), F.lit(0.0)).alias("lat"),
+            F.coalesce(F.when(w["at"].isNotNull(), number(w["at"], 2)), F.lit(0.0)).alias("lng")))
+
+    parsed = geo.let(F.struct(found.alias("at"), _group(t, BLOCK_CODE, 1).alias("hlb")), read)
+    keep = [c for c in messages.columns if c != text]
+    # exploding the one-element array drops messages without a match and keeps the scan in one operator
+    return messages.select(*keep, F.explode(F.array_compact(F.array(parsed))).alias("_m")) \
+        .select(*keep, "_m.*", (F.col("_m.lat") != 0).alias("usable"))
 
 
 def read_pdf_headers(spark: SparkSession, path: str) -> DataFrame:

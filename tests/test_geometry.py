@@ -83,11 +83,12 @@ def test_simplify_keeps_ends(spark):
     assert sorted(r["i"] for r in trajectory.simplify(rows, ["k"], 0.05).collect()) == [0, 1, 2]
 
 
-def test_simplify_equals_recursive(spark):
+@pytest.mark.parametrize("limit", [3, 100_000])
+def test_simplify_equals_recursive(spark, limit):
     import random
 
     rnd = random.Random(3)
-    lines = {k: [(rnd.uniform(0, 1), i + rnd.uniform(-.2, .2)) for i in range(60)] for k in range(4)}
+    lines = {k: [(rnd.uniform(0, 1), i + rnd.uniform(-.2, .2)) for i in range(12)] for k in range(3)}
     rows = spark.createDataFrame([(k, i, y, x) for k, pts in lines.items() for i, (y, x) in enumerate(pts)],
                                  "k int, i int, lat double, lng double")
 
@@ -112,7 +113,7 @@ def test_simplify_equals_recursive(spark):
         out = {0, len(pts) - 1}
         rec(pts, 0, len(pts) - 1, 0.3, out)
         want |= {(k, i) for i in out}
-    got = {(r["k"], r["i"]) for r in trajectory.simplify(rows, ["k"], 0.3).collect()}
+    got = {(r["k"], r["i"]) for r in trajectory.simplify(rows, ["k"], 0.3, limit).collect()}
     assert got == want
 
 
