@@ -18,7 +18,7 @@ from blockwalk.functions import domain, geo
 from blockwalk.operators import assign, cells, folds, kernels
 from blockwalk.operators.lineage import cut, spread
 from blockwalk.operators.nearest import split_groups
-from blockwalk.operators.ordered import TASK_ROWS, Ordered
+from blockwalk.operators.ordered import TASK_ROWS, Ordered, any_hot
 
 # Thresholds of the recorder.
 STILL_METRES = 1.0
@@ -235,22 +235,24 @@ def chaikin(lines: DataFrame, keys: list[str], iterations: int = 3, straight: fl
     Ends stay where they are; lines under three vertices are left alone.
     """
     rows = lines.select(*keys, F.col("i").cast("long").alias("i"), "lat", "lng")
+    # a pass at most triples a line, so one look at the input settles whether any line must be split
+    split = any_hot(rows, keys, max(1, limit // 3 ** iterations))
     for _ in range(iterations):
-        o = Ordered.of(rows, keys, [F.col("i")], limit).frame(
-            before=1, after=1, _pl=lambda w: F.lag("lat").over(w), _pg=lambda w: F.lag("lng").over(w),
-            _nl=lambda w: F.lead("lat").over(w), _ng=lambda w: F.lead("lng").over(w))
+        o = Ordered.of(rows, keys, [F.col("i")], limit) if split else Ordered(rows, tuple(keys), (F.col("i"),))
+        o = o.frame(
+            before=2, after=2, _pl=lambda w: F.lag("lat").over(w), _pg=lambda w: F.lag("lng").over(w),
+            _nl=lambda w: F.lead("lat").over(w), _ng=lambda w: F.lead("lng").over(w),
+            _p2=lambda w: F.lag("lat", 2).over(w), _n2=lambda w: F.lead("lat", 2).over(w))
         first, last = F.col("_pl").isNull(), F.col("_nl").isNull()
+        short = (first & F.col("_n2").isNull()) | (last & F.col("_p2").isNull())  # a line of one or two vertices
         turn = F.abs(geo.turn_angle(geo.bearing_deg("_pl", "_pg", "lat", "lng"), geo.bearing_deg("lat", "lng", "_nl", "_ng")))
         mix = lambda k, a: F.struct(F.lit(k).alias("k"), (a * F.col("lat") + (1 - a) * F.col("_nl")).alias("lat"),
                                     (a * F.col("lng") + (1 - a) * F.col("_ng")).alias("lng"))
-        own = lambda k: F.struct(F.lit(k).alias("k"), F.col("lat").alias("lat"), F.col("lng").alias("lng"))
-        cut_ = F.array(mix(1, 0.75), mix(2, 0.25))
-        out = F.when(first & last, F.array(own(0))).when(first, F.concat(F.array(own(0)), cut_)) \
-            .when(last, F.array(own(0))).when(turn < straight, F.array(own(0))).otherwise(cut_)
-        short = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        wide = o.rows().join(short, keys)
-        out = F.when(F.col("_n") < 3, F.array(own(0))).otherwise(out)
-        rows = wide.select(*keys, "i", F.explode(out).alias("_v")) \
+        own = F.struct(F.lit(0).alias("k"), F.col("lat").alias("lat"), F.col("lng").alias("lng"))
+        corner = F.array(mix(1, 0.75), mix(2, 0.25))
+        out = F.when(short | last, F.array(own)).when(first, F.concat(F.array(own), corner)) \
+            .when(turn < straight, F.array(own)).otherwise(corner)
+        rows = o.rows().select(*keys, "i", F.explode(out).alias("_v")) \
             .select(*keys, (F.col("i") * 3 + F.col("_v.k")).alias("i"), F.col("_v.lat").alias("lat"), F.col("_v.lng").alias("lng"))
     return rows
 
@@ -298,4 +300,4 @@ def _simplify_in_rounds(rows: DataFrame, keys: list[str], tolerance: float) -> D
 
 def beautify(lines: DataFrame, keys: list[str], tolerance_m: float = 2.5) -> DataFrame:
     """Simplify, then smooth; ends keep their place."""
-    return chaikin(simplify(lines, keys, tolerance_m * 0.000009), keys, 3, 12.0)
+    return chaikin(cut(simplify(lines, keys, tolerance_m * 0.000009)), keys, 3, 12.0)
