@@ -7,7 +7,7 @@ the wall clock, and returns one lazy DataFrame.  Activity is reduced per user
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,14 @@ def _ids(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).cast("string").alias("uid")).filter("uid IS NOT NULL")
 
 
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """Side by side columns of one-row results: stacked, then folded into one row."""
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+
+
 # ------------------------------------------------------------ user counting
 
 def active_users(projects, profiles, events, as_of: str, days: int = 7) -> DataFrame:
@@ -60,8 +68,8 @@ def kpis(profiles, projects, live_exports, donations, payments, events, as_of: s
     """One row: users, conversion, revenue in paise, users active this week."""
     users = profiles.agg(F.count(F.lit(1)).alias("total_users"))
     revenue = payments.agg(F.coalesce(F.sum("amount_paise"), F.lit(0)).cast("long").alias("total_revenue_paise"))
-    row = users.crossJoin(paid_users(projects, live_exports, donations)).crossJoin(revenue) \
-        .crossJoin(weekly_active(projects, profiles, events, as_of))  # one row each
+    row = _one_row(users, paid_users(projects, live_exports, donations), revenue,
+                   weekly_active(projects, profiles, events, as_of))
     return row.select("total_users", _pct(F.col("paid_or_donated"), F.col("total_users")).alias("paid_conversion_pct"),
                       "total_revenue_paise", "active_this_week")
 
@@ -71,7 +79,7 @@ def funnel(profiles, projects, live_exports, donations) -> DataFrame:
     people = profiles.agg(F.count(F.lit(1)).alias("signups"),
                           F.count_if(F.col("onboarding_completed")).alias("onboarding_done"))
     makers = projects.agg(F.count_distinct("user_id").alias("first_map"))
-    return people.crossJoin(makers).crossJoin(paid_users(projects, live_exports, donations))  # one row each
+    return _one_row(people, makers, paid_users(projects, live_exports, donations))
 
 
 # ----------------------------------------------------------------- calendar
@@ -158,10 +166,13 @@ def geo_distribution(profiles, top: int = 50) -> DataFrame:
     """Users by tehsil and village with their share; the ``top`` largest, names breaking ties."""
     unknown = lambda c: F.coalesce(F.col(c), F.lit("Unknown")).alias(c)
     counts = profiles.groupBy(unknown("tehsil"), unknown("town_village")).agg(F.count(F.lit(1)).alias("user_count"))
+    order = [F.desc("user_count"), F.col("tehsil"), F.col("town_village")]
     total = profiles.agg(F.count(F.lit(1)).alias("_n"))
-    return counts.crossJoin(total).select(  # one row
-        "tehsil", "town_village", "user_count", _pct(F.col("user_count"), F.col("_n")).alias("pct")) \
-        .orderBy(F.desc("user_count"), "tehsil", "town_village").limit(top)
+    # the total joins the top rows, which are few, as one more row of the same window
+    few = counts.orderBy(*order).limit(top).unionByName(total, allowMissingColumns=True) \
+        .withColumn("_n", F.max("_n").over(Window.partitionBy(F.lit(0))))
+    return few.filter("user_count IS NOT NULL").select(
+        "tehsil", "town_village", "user_count", _pct(F.col("user_count"), F.col("_n")).alias("pct")).orderBy(*order)
 
 
 # ------------------------------------------------------------------ payload
@@ -171,8 +182,5 @@ def payload(**parts: DataFrame) -> DataFrame:
 
     The parts are reports of fixed size (one row, one month of days, fifty places).
     """
-    out = None
-    for name, df in parts.items():
-        row = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-        out = row if out is None else out.crossJoin(row)  # one row each
-    return out.select(F.to_json(F.struct(*parts)).alias("payload"))
+    rows = [df.agg(F.collect_list(F.struct(*df.columns)).alias(name)) for name, df in parts.items()]
+    return _one_row(*rows).select(F.to_json(F.struct(*parts)).alias("payload"))
