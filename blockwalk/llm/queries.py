@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from blockwalk.llm import content_sort, host_rules, secret_ledger
+from blockwalk.llm import best_fit, content_sort, host_rules, secret_ledger, segment_bpe
 from blockwalk.llm.common import table
 
 
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return segment_bpe.round_trips(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     findings, _ = secret_ledger.scan(docs)
@@ -24,7 +33,7 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_ledger, op7_content_sort, op9_host_rules)}
+QUERIES = {f.__name__: f for f in (op2_best_fit, op3_segment_bpe, op4_secret_ledger, op7_content_sort, op9_host_rules)}
 
 
 def _secrets() -> str:
