@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwalk.llm import best_fit, content_sort, host_rules, secret_ledger, segment_bpe
+from blockwalk.llm import best_fit, content_sort, host_rules, language_codes, secret_ledger, segment_bpe, toxic_neighbours
 from blockwalk.llm.common import table
 
 
+def op1_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_codes.identified(docs, language_codes.train(docs))
+
+
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,7 +38,13 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit, op3_segment_bpe, op4_secret_ledger, op7_content_sort, op9_host_rules)}
+def op10_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxic_neighbours.scored(docs, *toxic_neighbours.build(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_codes, op2_best_fit, op3_segment_bpe, op4_secret_ledger, op7_content_sort, op9_host_rules, op10_toxic_neighbours)}
 
 
 def _secrets() -> str:
