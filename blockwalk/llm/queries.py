@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwalk.llm import best_fit, content_sort, host_rules, jaccard_pruning, language_codes, secret_ledger, segment_bpe, toxic_neighbours
+from blockwalk.llm import best_fit, content_sort, host_rules, jaccard_pruning, language_codes, secret_ledger, segment_bpe, sparse_suffix, toxic_neighbours
 from blockwalk.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_suffix.repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = host_rules.judged(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
@@ -48,7 +52,7 @@ def op10_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_codes, op2_best_fit, op3_segment_bpe, op4_secret_ledger, op6_jaccard_pruning, op7_content_sort, op9_host_rules, op10_toxic_neighbours)}
+    op1_language_codes, op2_best_fit, op3_segment_bpe, op4_secret_ledger, op6_jaccard_pruning, op7_content_sort, op8_sparse_suffix, op9_host_rules, op10_toxic_neighbours)}
 
 
 def _secrets() -> str:
