@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwalk.llm import best_fit, content_sort, host_rules, jaccard_pruning, language_codes, secret_ledger, segment_bpe, sparse_suffix, toxic_neighbours
+from blockwalk.llm import best_fit, content_sort, host_rules, jaccard_pruning, language_codes, secret_ledger, segment_bpe, sparse_suffix, template_removal, toxic_neighbours
 from blockwalk.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.by_row(docs, findings).drop("blob")
 
 
+def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_removal.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_jaccard_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_pruning.classes(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_codes, op2_best_fit, op3_segment_bpe, op4_secret_ledger, op6_jaccard_pruning, op7_content_sort, op8_sparse_suffix, op9_host_rules, op10_toxic_neighbours)}
+    op1_language_codes, op2_best_fit, op3_segment_bpe, op4_secret_ledger, op5_template_removal, op6_jaccard_pruning, op7_content_sort, op8_sparse_suffix, op9_host_rules, op10_toxic_neighbours)}
 
 
 def _secrets() -> str:
