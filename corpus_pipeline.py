@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwalk.llm import content_sort, host_rules, secret_ledger
+from blockwalk.llm import best_fit, content_sort, host_rules, jaccard_pruning, secret_ledger
 from blockwalk.operators.lineage import checkpoint_dir
 
 
@@ -31,11 +32,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return content_sort.kept_rows(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_pruning.kept_rows(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_ledger.redacted(docs)
 
 
-STAGES = [("quality", quality), ("exact", exact), ("secrets", secrets)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return best_fit.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("secrets", secrets), ("packing", packing)]
 
 #: The packing stage has no SQL form; tests hold the run against a brute-force version.
 ORACLE_SQL = None
