@@ -59,9 +59,9 @@ def kept_rows(docs: DataFrame) -> DataFrame:
 
     Two rows with one id and one text are the same row: one of them stays.
     """
-    gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("keep_id").alias("__keep"))
-    again = gone.where(F.col("__gone").eqNullSafe(F.col("__keep"))).select(F.col("__gone").alias("__again")).distinct()
-    once = docs.join(gone.where(~F.col("__gone").eqNullSafe(F.col("__keep"))),
-                     docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
-    twice = once.join(again, once["doc_id"].eqNullSafe(F.col("__again")), "left_semi").dropDuplicates(["doc_id"])
-    return once.join(again, once["doc_id"].eqNullSafe(F.col("__again")), "left_anti").unionByName(twice)
+    gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("id"), "keep_id")
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.id"))
+    again = gone.where(F.col("id").eqNullSafe(F.col("keep_id"))).select("id").distinct()
+    once = docs.alias("l").join(gone.where(~F.col("id").eqNullSafe(F.col("keep_id"))).alias("r"), same, "left_anti")
+    twice = once.alias("l").join(again.alias("r"), same, "left_semi").dropDuplicates(["doc_id"])
+    return once.alias("l").join(again.alias("r"), same, "left_anti").unionByName(twice)

@@ -256,5 +256,5 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with its own columns: of each class the least id, and rows without an id."""
-    gone = classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = classes(docs).where("class_id <> doc_id").select("doc_id")
+    return docs.alias("l").join(gone.alias("r"), F.col("l.doc_id") == F.col("r.doc_id"), "left_anti")

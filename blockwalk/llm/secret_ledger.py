@@ -150,8 +150,8 @@ def _mask_one(rule: Rule, text: Column) -> Column:
 def redacted(docs: DataFrame, rules=RULES, ledger: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, its own columns; texts whose blob has findings are masked."""
     findings, _ = scan(docs, rules, ledger)
-    rows = docs.withColumn("__blob", blob_of(F.coalesce("text", F.lit(""))))
-    hit = findings.select(F.col("blob").alias("__hit")).distinct()
-    joined_ = rows.join(hit, F.col("__blob") == F.col("__hit"), "left")
-    text = F.when(F.col("__hit").isNotNull(), masked(F.col("text"), rules)).otherwise(F.col("text"))
-    return joined_.withColumn("text", text).select(*docs.columns)
+    hit = findings.select("blob").distinct()
+    blob = blob_of(F.coalesce(F.col("l.text"), F.lit("")))
+    rows = docs.alias("l").join(hit.alias("r"), blob == F.col("r.blob"), "left")
+    text = F.when(F.col("r.blob").isNotNull(), masked(F.col("l.text"), rules)).otherwise(F.col("l.text"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"l.`{c}`") for c in docs.columns])

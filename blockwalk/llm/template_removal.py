@@ -85,7 +85,7 @@ class Element:
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
-                names.update(_NAME.findall(_CAMEL.sub("-", value).lower()))
+                names.update(_NAME.findall(value.lower()), _NAME.findall(_CAMEL.sub("-", value).lower()))
             elif key == "role":
                 named.update(value.lower().split())
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():

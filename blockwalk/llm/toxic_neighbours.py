@@ -133,6 +133,8 @@ class Index:
         return share, self.ids[where[side][:EVIDENCE]].tolist()
 
     def score(self, found: tuple[tuple[int, int], ...]) -> tuple[float, list[int]]:
+        if not len(self.ids):
+            return 0.0, []
         share, evidence = self.vote(found)
         return _probability(share, self.curve), evidence
 
