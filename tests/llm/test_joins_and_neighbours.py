@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from blockwalk.llm import jaccard_pruning as J
 from blockwalk.llm import links, sparse_suffix, toxic_neighbours
 from blockwalk.llm.words import shingles, windows, word_hashes
-from tests.llm.conftest import by_id, documents
+from llm.conftest import by_id, documents
 
 
 def roots_of(ids, pairs):

@@ -6,7 +6,7 @@ import pytest
 
 from blockwalk.llm import language_codes as L
 from blockwalk.llm.queries import op1_language_codes
-from tests.llm.conftest import documents
+from llm.conftest import documents
 
 STEMS = {"aa": ["ka", "ro", "ti"], "bb": ["zu", "we", "gho"], "cc": ["lia", "mne", "dor"]}
 

@@ -5,7 +5,7 @@ import pytest
 
 from blockwalk.llm import content_sort, host_rules, secret_ledger
 from blockwalk.llm.secret_ledger import RULES, Rule
-from tests.llm.conftest import by_id, documents
+from llm.conftest import by_id, documents
 
 PY = {"assign": re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
       "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+")}

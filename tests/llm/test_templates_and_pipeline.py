@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from blockwalk.llm import template_removal as X
 from blockwalk.llm.queries import op5_template_removal
-from tests.llm.conftest import documents
-from tests.llm.test_joins_and_neighbours import brute_classes
-from tests.llm.test_ledger_sort_rules import counts_of
+from llm.conftest import documents
+from llm.test_joins_and_neighbours import brute_classes
+from llm.test_ledger_sort_rules import counts_of
 
 
 def text_of(html, template=frozenset()):
