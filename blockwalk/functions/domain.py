@@ -156,12 +156,16 @@ def element_name(tags: Column) -> Column:
 
 
 def excel_label(index: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA ...  (three letters cover 18 277 blocks)."""
-    letter = lambda n: F.chr(F.lit(65) + n % 26)
-    return (F.when(index < 26, letter(index))
-            .when(index < 702, F.concat(letter(F.floor(index / 26) - 1), letter(index)))
-            .otherwise(F.concat(letter(F.floor((index - 702) / 676)),
-                                letter(F.floor((index - 702) / 26)), letter(index - 702))))
+    """0 -> A, 25 -> Z, 26 -> AA, 702 -> AAA ...: as many letters as a 64-bit index needs."""
+    start = F.struct(index.cast("bigint").alias("rest"), F.lit("").alias("text"))
+
+    def add(so_far: Column, _: Column) -> Column:
+        rest = so_far["rest"]
+        letter = F.chr(F.lit(65) + F.pmod(rest, F.lit(26)))
+        longer = F.struct((F.floor(rest / 26) - 1).cast("bigint").alias("rest"), F.concat(letter, so_far["text"]).alias("text"))
+        return F.when(rest >= 0, longer).otherwise(so_far)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, add, lambda so_far: so_far["text"])
 
 
 def house_label(number: Column, units: Column, sub_number: Column, u_loop: bool) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,37 +36,49 @@ FIELDS = [
 KEYS = [key for _, key, _, _ in FIELDS]
 TEXT_KEYS = [key for _, key, _, kind in FIELDS if kind == "text"]
 
-# Code labels per column, listed from code 1; a leading "0:" entry is code 0.
-OPTIONS = {
-    4: "Mud|Wood/Bamboo|Burnt Brick|Stone|Cement|Mosaic/Tiles|Any Other",
-    5: "Grass/Thatch/Bamboo|Plastic/Polythene|Mud/Unburnt Brick|Wood|Stone (No Mortar)|Stone (With Mortar)"
-       "|GI/Metal Sheets|Burnt Brick|Concrete|0:Any Other",
-    6: "Grass/Thatch/Wood|Plastic/Polythene|Handmade Tiles|Machine Made Tiles|Burnt Brick|Stone|Slate"
-       "|GI/Metal Sheets|Concrete|0:Any Other",
-    7: "Residence|Residence-cum-other|Shop/Office|School/College|Hotel/Lodge|Hospital/Dispensary|Factory/Workshop"
-       "|Place of Worship|Other Non-Residential|0:Vacant",
-    8: "Good|Livable|Dilapidated", 12: "Male|Female|Transgender", 13: "SC|ST|Other",
-    14: "Owned|Rented (Own house elsewhere)|Rented (No other house)|Any Other",
-    17: "Tap Water (Treated)|Tap Water (Untreated)|Well|Hand Pump|Tubewell/Borehole|Spring|River/Canal"
-        "|Tank/Pond/Lake|Packaged/Bottled Water|0:Other Source",
-    18: "Within Premises|Near Premises|Away",
-    19: "Electricity|Kerosene|Solar Energy|Other Oil|Any Other|No Lighting",
-    20: "Exclusive for Household|Shared with other Household|Public Latrine|No: Open Defecation",
-    21: "Flush to Sewer|Flush to Septic Tank|Flush to Twin Pit|Flush to Single Pit|Flush to Other"
-        "|Pit Latrine with Slab|Pit Latrine without Slab|Service Latrine|Other Latrine|0:No Latrine / Not Connected",
-    22: "Closed Drainage|Open Drainage|No Drainage", 23: "Yes: Bathroom|Yes: Enclosure without Roof|No",
-    24: "Kitchen with LPG/PNG|Kitchen without LPG/PNG|No Separate Kitchen with LPG/PNG"
-        "|No Separate Kitchen without LPG/PNG|Cooking in Open with LPG/PNG|Cooking in Open without LPG/PNG"
-        "|No Cooking Done",
-    25: "Firewood|Crop Residue|Cowdung Cake|Coal/Lignite/Charcoal|Kerosene|LPG/PNG|Electricity"
-        "|Bio-gas/Gobar Gas|Solar Energy|0:Any Other",
-    26: "Traditional Radio Set|On Mobile/Smartphone|On other device|No",
-    27: "DD Free Dish|Other DTH/Dish|Cable Connection|Other|No",
-    28: "On Laptop/Computer|On Mobile/Smartphone|On other device|No", 29: "Yes|No",
-    30: "Landline only|Mobile Smartphone only|Other basic mobile|Both|No",
-    31: "Bicycle|Scooter/Motorcycle/Moped|Both|None", 32: "Yes|No",
-    33: "Rice|Wheat|Jowar|Bajra|Maize|Any Other",
-}
+# Fixed values: (column, code, label), in the order in which the sheet lists them.
+OPTIONS = [
+    (4, 1, "Mud"), (4, 2, "Wood/Bamboo"), (4, 3, "Burnt Brick"), (4, 4, "Stone"), (4, 5, "Cement"), (4, 6, "Mosaic/Tiles"),
+    (4, 7, "Any Other"),
+    (5, 1, "Grass/Thatch/Bamboo"), (5, 2, "Plastic/Polythene"), (5, 3, "Mud/Unburnt Brick"), (5, 4, "Wood"),
+    (5, 5, "Stone (No Mortar)"), (5, 6, "Stone (With Mortar)"), (5, 7, "GI/Metal Sheets"), (5, 8, "Burnt Brick"), (5, 9, "Concrete"),
+    (5, 0, "Any Other"),
+    (6, 1, "Grass/Thatch/Wood"), (6, 2, "Plastic/Polythene"), (6, 3, "Handmade Tiles"), (6, 4, "Machine Made Tiles"),
+    (6, 5, "Burnt Brick"), (6, 6, "Stone"), (6, 7, "Slate"), (6, 8, "GI/Metal Sheets"), (6, 9, "Concrete"), (6, 0, "Any Other"),
+    (7, 1, "Residence"), (7, 2, "Residence-cum-other"), (7, 3, "Shop/Office"), (7, 4, "School/College"), (7, 5, "Hotel/Lodge"),
+    (7, 6, "Hospital/Dispensary"), (7, 7, "Factory/Workshop"), (7, 8, "Place of Worship"), (7, 9, "Other Non-Residential"),
+    (7, 0, "Vacant"),
+    (8, 1, "Good"), (8, 2, "Livable"), (8, 3, "Dilapidated"),
+    (12, 1, "Male"), (12, 2, "Female"), (12, 3, "Transgender"),
+    (13, 1, "SC"), (13, 2, "ST"), (13, 3, "Other"),
+    (14, 1, "Owned"), (14, 2, "Rented (Own house elsewhere)"), (14, 3, "Rented (No other house)"), (14, 4, "Any Other"),
+    (17, 1, "Tap Water (Treated)"), (17, 2, "Tap Water (Untreated)"), (17, 3, "Well"), (17, 4, "Hand Pump"),
+    (17, 5, "Tubewell/Borehole"), (17, 6, "Spring"), (17, 7, "River/Canal"), (17, 8, "Tank/Pond/Lake"),
+    (17, 9, "Packaged/Bottled Water"), (17, 0, "Other Source"),
+    (18, 1, "Within Premises"), (18, 2, "Near Premises"), (18, 3, "Away"),
+    (19, 1, "Electricity"), (19, 2, "Kerosene"), (19, 3, "Solar Energy"), (19, 4, "Other Oil"), (19, 5, "Any Other"),
+    (19, 6, "No Lighting"),
+    (20, 1, "Exclusive for Household"), (20, 2, "Shared with other Household"), (20, 3, "Public Latrine"),
+    (20, 4, "No: Open Defecation"),
+    (21, 1, "Flush to Sewer"), (21, 2, "Flush to Septic Tank"), (21, 3, "Flush to Twin Pit"), (21, 4, "Flush to Single Pit"),
+    (21, 5, "Flush to Other"), (21, 6, "Pit Latrine with Slab"), (21, 7, "Pit Latrine without Slab"), (21, 8, "Service Latrine"),
+    (21, 9, "Other Latrine"), (21, 0, "No Latrine / Not Connected"),
+    (22, 1, "Closed Drainage"), (22, 2, "Open Drainage"), (22, 3, "No Drainage"),
+    (23, 1, "Yes: Bathroom"), (23, 2, "Yes: Enclosure without Roof"), (23, 3, "No"),
+    (24, 1, "Kitchen with LPG/PNG"), (24, 2, "Kitchen without LPG/PNG"), (24, 3, "No Separate Kitchen with LPG/PNG"),
+    (24, 4, "No Separate Kitchen without LPG/PNG"), (24, 5, "Cooking in Open with LPG/PNG"),
+    (24, 6, "Cooking in Open without LPG/PNG"), (24, 7, "No Cooking Done"),
+    (25, 1, "Firewood"), (25, 2, "Crop Residue"), (25, 3, "Cowdung Cake"), (25, 4, "Coal/Lignite/Charcoal"), (25, 5, "Kerosene"),
+    (25, 6, "LPG/PNG"), (25, 7, "Electricity"), (25, 8, "Bio-gas/Gobar Gas"), (25, 9, "Solar Energy"), (25, 0, "Any Other"),
+    (26, 1, "Traditional Radio Set"), (26, 2, "On Mobile/Smartphone"), (26, 3, "On other device"), (26, 4, "No"),
+    (27, 1, "DD Free Dish"), (27, 2, "Other DTH/Dish"), (27, 3, "Cable Connection"), (27, 4, "Other"), (27, 5, "No"),
+    (28, 1, "On Laptop/Computer"), (28, 2, "On Mobile/Smartphone"), (28, 3, "On other device"), (28, 4, "No"),
+    (29, 1, "Yes"), (29, 2, "No"),
+    (30, 1, "Landline only"), (30, 2, "Mobile Smartphone only"), (30, 3, "Other basic mobile"), (30, 4, "Both"), (30, 5, "No"),
+    (31, 1, "Bicycle"), (31, 2, "Scooter/Motorcycle/Moped"), (31, 3, "Both"), (31, 4, "None"),
+    (32, 1, "Yes"), (32, 2, "No"),
+    (33, 1, "Rice"), (33, 2, "Wheat"), (33, 3, "Jowar"), (33, 4, "Bajra"), (33, 5, "Maize"), (33, 6, "Any Other"),
+]
 
 # Older answer -> current field, applied in this order when the current one is missing.
 RENAMED = [
@@ -86,11 +100,11 @@ YES_NO = [
 def options() -> list[tuple[int, str, int, str, int]]:
     """(column, key, code, label, position) of every listed code."""
     key = {col: k for col, k, _, _ in FIELDS}
+    place: Counter[int] = Counter()
     rows = []
-    for col, text in OPTIONS.items():
-        for i, label in enumerate(text.split("|")):
-            code = 0 if label.startswith("0:") else i + 1
-            rows.append((col, key[col], code, label.removeprefix("0:"), i))
+    for col, code, label in OPTIONS:
+        rows.append((col, key[col], code, label, place[col]))
+        place[col] += 1
     return rows
 
 

@@ -109,17 +109,22 @@ def event_types(events: DataFrame) -> DataFrame:
 
 def visible_projects(projects: DataFrame, assignments: DataFrame, profiles: DataFrame,
                      viewers: DataFrame) -> DataFrame:
-    """(viewer, project) pairs a viewer may read: own, assigned, or everything for admins.
+    """(viewer, project, all_projects): what each viewer may read.
 
-    ``viewers`` is a list of ids.  Own and assigned rows are equi-joins; an admin
-    sees all rows through :func:`visible_to_admin`, never through a product of lists.
+    ``viewers`` is a list of ids.  Own and assigned rows are equi-joins.  An admin of ``profiles`` may read every
+    project: that is one row with ``all_projects`` set and no project, never a product of admins and projects;
+    :func:`visible_to` lists the rows of one viewer.
     """
+    admins = viewers.join(profiles.filter("is_admin").select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    viewers = viewers.join(admins, "user_id", "left_anti")
     mine = viewers.select(F.col("user_id")).join(projects, "user_id") \
         .select(F.col("user_id").alias("viewer_id"), F.col("id").alias("project_id"))
     given = viewers.join(assignments, "user_id") \
         .join(projects.select(F.col("id").alias("project_id")), "project_id", "left_semi") \
         .select(F.col("user_id").alias("viewer_id"), "project_id")
-    return mine.unionByName(given).distinct()
+    everything = admins.select(F.col("user_id").alias("viewer_id"), F.lit(None).cast("bigint").alias("project_id"),
+                               F.lit(True).alias("all_projects")).distinct()
+    return mine.unionByName(given).distinct().withColumn("all_projects", F.lit(False)).unionByName(everything)
 
 
 def visible_to(projects: DataFrame, assignments: DataFrame, user_id, is_admin: bool = False) -> DataFrame:
@@ -185,17 +190,16 @@ def support_totals(donations: DataFrame, min_rows: int = SUPPORT_MIN_ROWS) -> Da
 
 
 def paid_transitions(versions: DataFrame) -> DataFrame:
-    """Versions at which a donation becomes paid, with the thank-you text derived from them.
+    """Versions at which a donation becomes paid, with the donor, amount and note of the announcement; wording is left to a template.
 
     ``versions`` holds (id, version, is_paid, name, amount, note); the first paid
     version counts, as does every change from unpaid or unknown to paid.
     """
     rows = Ordered.of(versions, ["id"], [F.col("version")]).lag(_before="is_paid").rows()
     blank = lambda c, default: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit(default))
-    donor = blank("name", "Anonymous / अनाम")
+    donor = blank("name", "anonymous")
     return rows.filter(F.col("is_paid") & ~F.coalesce(F.col("_before"), F.lit(False))).select(
-        "id", "version", F.concat(F.lit("💖 Thank You, "), donor, F.lit("! / दिल से आभार!")).alias("title"),
-        donor.alias("donor"), "amount", blank("note", "Study support / शिक्षा सहायता").alias("note"))
+        "id", "version", donor.alias("donor"), "amount", blank("note", "donation").alias("note"))
 
 
 # -------------------------------------------------------- quotas and latest

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockwalk.operators import components, kernels
@@ -64,12 +64,18 @@ def conflate(buildings: DataFrame, keys: Sequence[str] = ("hlb_id",), near: floa
 
 
 def _stacked(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Chains at one single position, of any size: the n-th row of a provider opens a building
-    exactly when every provider before it has fewer than n rows there."""
-    counts = rows.groupBy(*keys, "_pref", "source").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.alias("p").join(counts.alias("q"), [*keys], "left") \
-        .filter((F.col("q._pref") < F.col("p._pref")) | ((F.col("q._pref") == F.col("p._pref")) & (F.col("q.source") == F.col("p.source")))) \
-        .groupBy(*keys, F.col("p.source").alias("source")) \
-        .agg(F.max(F.when(F.col("q._pref") < F.col("p._pref"), F.col("q._c")).otherwise(0)).alias("_have"))
-    ranked = Ordered.of(rows, [*keys, "source"], [F.col("id")]).row_number("_n").rows()
-    return ranked.join(before, [*keys, "source"]).filter(F.col("_n") > F.col("_have")).drop("_n", "_have")
+    """Chains at one single position, of any size.
+
+    The n-th row of a provider opens a building exactly when no row before it is the n-th of its provider: buildings
+    are as many as the most rows any provider has had so far.  Preferred providers come before as a whole; providers
+    outside the preference list (a missing one is one of them) take turns by id.
+    """
+    named = rows.withColumn("_src", F.coalesce(F.col("source"), F.lit("\0")))
+    counts = named.groupBy(*keys, "_pref", "_src").agg(F.count(F.lit(1)).alias("_c")) \
+        .groupBy(*keys, "_pref").agg(F.max("_c").alias("_c"))
+    lower = Window.partitionBy(*keys).orderBy("_pref").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*keys, "_pref", F.coalesce(F.max("_c").over(lower), F.lit(0)).alias("_have"))
+    ranked = Ordered.of(named, [*keys, "_src"], [F.col("id")]).row_number("_n").rows()
+    first = F.row_number().over(Window.partitionBy(*keys, "_pref", "_n").orderBy("id", "_src"))
+    return ranked.join(before, [*keys, "_pref"]).withColumn("_first", first) \
+        .filter((F.col("_n") > F.col("_have")) & (F.col("_first") == 1)).drop("_n", "_have", "_first", "_src")

@@ -11,10 +11,12 @@ from blockwalk.ship import ship
 
 
 def checkpoint_dir(spark) -> str:
-    """The cluster's shared checkpoint folder; a private one only where none is named."""
+    """The cluster's shared checkpoint folder; a private one only in local mode, where none is named."""
     context = spark.sparkContext
     named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)

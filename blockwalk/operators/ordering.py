@@ -78,20 +78,21 @@ def order_houses(symbols: DataFrame, blocks: DataFrame | None = None, system: st
         placed = assign.assign_blocks(houses, blocks)
     placed = cut(placed)  # read for frames, rows, orphans
     inside = placed.filter("block_id IS NOT NULL")
+    no_first = F.when(F.lit(False), F.struct("pos", "id"))
     if system == "census_u_loop":
         within = _u_loop(inside.withColumn("cluster", F.lit(0).cast("long")), frames, split)
-        within = within.withColumns({"_cscore": F.lit(0.0), "cluster": F.lit(0).cast("long")})
+        within = within.withColumns({"_cscore": F.lit(0.0), "cluster": F.lit(0).cast("long"), "_cfirst": no_first})
     else:
         within = _cluster_order(inside, frames, split, largest)
     path = ["_a", "_b", "_c"]
     ranked = within.select("hlb_id", "id", "pos", "lat", "lng", "block_id", "cluster", F.lit(0).alias("_orphan"),
-                           "block_score", "block_pos", "_cscore", *path)
+                           "block_score", "block_pos", "_cscore", "_cfirst", *path)
     nothing = {c: F.lit(0.0) for c in ("_cscore", "_a", "_b", "_c")}
     orphans = placed.filter("block_id IS NULL").select(
         "hlb_id", "id", "pos", "lat", "lng", "block_id", F.lit(None).cast("long").alias("cluster"), F.lit(1).alias("_orphan"),
         geo.nwse_score("lat", "lng").alias("block_score"), F.lit(0).cast(ranked.schema["block_pos"].dataType).alias("block_pos"),
-        *[v.alias(c) for c, v in nothing.items()])
-    order = [F.col(c) for c in ("_orphan", "block_score", "block_pos", "_cscore", "cluster", *path, "pos", "id")]
+        *[v.alias(c) for c, v in nothing.items()], no_first.alias("_cfirst"))
+    order = [F.col(c) for c in ("_orphan", "block_score", "block_pos", "_cscore", "_cfirst", "cluster", *path, "pos", "id")]
     rows = ranked.unionByName(orphans)
     final = Ordered.of(rows, ["hlb_id"], order) if split else Ordered(rows, ("hlb_id",), tuple(order))
     return final.row_number("place").rows().select("hlb_id", "id", "pos", "lat", "lng", "block_id", "cluster", "place")
@@ -292,9 +293,11 @@ def _cluster_large(rows: DataFrame, keys: Sequence[str], schema: str) -> DataFra
 def _cluster_order(inside: DataFrame, frames: DataFrame, split: bool, largest: int) -> DataFrame:
     """Clusters north-west first; rows inside regular ones, a short walk inside the others."""
     clustered = cut(cluster_blocks(inside, largest=largest))  # read several times below
-    centre = clustered.groupBy(*GROUP).agg(geo.nwse_score(F.avg("lat"), F.avg("lng")).alias("_cscore"))
+    # equal scores go by the cluster's first house in input order, whichever way the cluster was found
+    centre = clustered.groupBy(*GROUP).agg(geo.nwse_score(F.avg("lat"), F.avg("lng")).alias("_cscore"),
+                                           F.min(F.struct("pos", "id")).alias("_cfirst"))
     rows = clustered.join(centre, GROUP)
-    keep = ["hlb_id", "id", "pos", "lat", "lng", "block_id", "cluster", "block_score", "block_pos", "_cscore", "_a", "_b", "_c"]
+    keep = ["hlb_id", "id", "pos", "lat", "lng", "block_id", "cluster", "block_score", "block_pos", "_cscore", "_cfirst", "_a", "_b", "_c"]
     in_rows = _serpentine(rows.filter("regular"), frames, split).select(*keep)
     walked = rows.filter(~F.col("regular")).withColumns({"_a": F.col("step").cast("double"), "_b": F.lit(0.0), "_c": F.lit(0.0)})
     return in_rows.unionByName(walked.select(*keep))

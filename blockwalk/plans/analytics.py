@@ -51,7 +51,7 @@ QUERIES = {
     "support_totals": lambda s, d: accounts.support_totals(b.donations(s, d)),
     "donation_transitions": lambda s, d: accounts.paid_transitions(_donation_versions(s, d)),
     "quota_usage": lambda s, d: accounts.quota_usage(
-        b.image_generations(s, d), b.image_generations(s, d, "click"), "2024-01-15"),
+        b.image_generations(s, d, "other"), b.image_generations(s, d, "click"), "2024-01-15"),
     "latest_selected": lambda s, d: accounts.select_newest(b.image_generations(s, d)).drop("created_at"),
     "recent_boundaries": lambda s, d: accounts.recent_boundaries(_saved(s, d)).drop("created_at"),
     "project_status": lambda s, d: accounts.project_status(accounts.dashboard_lists(
@@ -213,8 +213,11 @@ CHECKS = {
         FROM (SELECT * FROM projects ORDER BY updated_at DESC, id LIMIT 20 OFFSET 40) p
         LEFT JOIN user_profiles u ON u.id = p.user_id"""),
     "visible_projects": with_tables("user_profiles", "projects", "project_assignments", query="""
-        SELECT u.id AS viewer_id, p.id AS project_id FROM user_profiles u JOIN projects p ON p.user_id = u.id
-        UNION SELECT a.user_id, a.project_id FROM project_assignments a JOIN user_profiles u ON u.id = a.user_id"""),
+        SELECT u.id AS viewer_id, p.id AS project_id, false AS all_projects FROM user_profiles u JOIN projects p ON p.user_id = u.id
+         WHERE NOT u.is_admin
+        UNION SELECT a.user_id, a.project_id, false FROM project_assignments a JOIN user_profiles u ON u.id = a.user_id
+         WHERE NOT u.is_admin
+        UNION ALL SELECT id, NULL, true FROM user_profiles WHERE is_admin"""),
     "own_and_assigned": with_tables("projects", "project_assignments", query="""
         SELECT user_id AS viewer_id, id AS project_id, false AS assigned FROM projects
         UNION ALL SELECT user_id, project_id, true FROM project_assignments"""),
@@ -243,18 +246,17 @@ CHECKS = {
               ELSE is_paid OR id % 5 = 0 END AS is_paid
             FROM donations, (SELECT unnest([0::BIGINT, 1, 2]) AS version)),
         v AS (SELECT *, lag(is_paid) OVER (PARTITION BY id ORDER BY version) AS old,
-                     coalesce(nullif(trim(name), ''), 'Anonymous / अनाम') AS donor FROM versions)
-        SELECT id, version, '💖 Thank You, ' || donor || '! / दिल से आभार!' AS title, donor, amount,
-               coalesce(nullif(trim(note), ''), 'Study support / शिक्षा सहायता') AS note
+                     coalesce(nullif(trim(name), ''), 'anonymous') AS donor FROM versions)
+        SELECT id, version, donor, amount, coalesce(nullif(trim(note), ''), 'donation') AS note
         FROM v WHERE is_paid AND old IS DISTINCT FROM true"""),
-    "quota_usage": with_tables("image_generations_view", "image_generations_click", query="""
+    "quota_usage": with_tables("image_generations_other", "image_generations_click", query="""
         SELECT user_id, count(*) AS used, greatest(0, 6 - count(*)) AS remaining, count(*) >= 6 AS blocked
-        FROM (SELECT * FROM image_generations_view UNION ALL SELECT * FROM image_generations_click)
+        FROM (SELECT * FROM image_generations_other UNION ALL SELECT * FROM image_generations_click)
         WHERE created_at >= TIMESTAMP '2024-01-15' AND created_at < TIMESTAMP '2024-01-16' GROUP BY 1"""),
-    "latest_selected": with_tables("image_generations_view", query="""
+    "latest_selected": with_tables("image_generations_all", query="""
         SELECT id, project_id, user_id,
                row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) = 1 AS selected
-        FROM image_generations_view"""),
+        FROM image_generations_all"""),
     "recent_boundaries": """
         SELECT user_id, hlb_number, id, rank FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rank FROM (

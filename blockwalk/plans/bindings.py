@@ -78,7 +78,7 @@ def payment_events(spark, sf_dir):
 
 
 def live_exports(spark, sf_dir):
-    return table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 3 == 0).select(
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("user_id"),
         F.when(F.col("o_orderstatus") == "F", "paid").otherwise("unpaid").alias("payment_status"),
         F.concat(F.lit("pay_"), F.col("o_orderkey").cast("string")).alias("payment_id"),
@@ -99,13 +99,16 @@ def donations(spark, sf_dir):
 
 
 def project_assignments(spark, sf_dir):
-    """Every tenth project is also assigned to the customer 17 keys below its owner."""
-    return table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 10 == 0).select(
+    """Every project is also assigned to the customer 17 keys below its owner."""
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("project_id"), F.abs(F.col("o_custkey") - 17).alias("user_id"))
 
 
-def image_generations(spark, sf_dir, kind="view"):
-    return table(spark, sf_dir, "events").filter(F.col("event_type") == kind).select(
+def image_generations(spark, sf_dir, kind="all"):
+    """Every event is one picture: clicks are of one kind, all others of the other."""
+    click = F.col("event_type") == "click"
+    keep = {"all": F.lit(True), "click": click, "other": ~click}[kind]
+    return table(spark, sf_dir, "events").filter(keep).select(
         F.col("event_id").alias("id"), F.col("user_id").alias("project_id"), "user_id",
         F.col("ts").cast("timestamp").alias("created_at"))
 
@@ -283,7 +286,7 @@ SQL = {
         SELECT o_orderkey AS session_id, o_custkey AS user_id,
                CASE WHEN o_orderstatus = 'F' THEN 'paid' ELSE 'unpaid' END AS payment_status,
                'pay_' || o_orderkey AS payment_id, o_orderkey % 5 AS regen_used, o_orderdate AS created_at
-        FROM orders WHERE o_orderkey % 3 = 0""",
+        FROM orders""",
     "donations": """
         SELECT o_orderkey AS id, o_custkey AS user_id, o_totalprice AS amount,
                CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus = 'F' END AS is_paid,
@@ -292,7 +295,7 @@ SQL = {
                CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE o_orderpriority END AS note,
                'pay_' || o_orderkey AS payment_id, o_orderdate AS created_at FROM orders""",
     "project_assignments": """
-        SELECT o_orderkey AS project_id, abs(o_custkey - 17) AS user_id FROM orders WHERE o_orderkey % 10 = 0""",
+        SELECT o_orderkey AS project_id, abs(o_custkey - 17) AS user_id FROM orders""",
     "symbols": f"""
         SELECT o_orderkey // 1000 AS hlb_id, o_orderkey AS id, o_orderkey AS pos,
                CASE o_orderkey % 8 WHEN 0 THEN 'pucca_house' WHEN 6 THEN 'pucca_house' WHEN 1 THEN 'kutcha_house'
@@ -383,10 +386,10 @@ SQL = {
                      '80.' || lpad(CAST(doc_id * 7 % 1000 AS VARCHAR), 4, '0') AS lng,
                      ' HLB ' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') AS code FROM documents)""",
 }
-for _kind in ("view", "click"):
+for _kind, _keep in {"all": "true", "click": "event_type = 'click'", "other": "event_type <> 'click'"}.items():
     SQL[f"image_generations_{_kind}"] = f"""
         SELECT event_id AS id, user_id AS project_id, user_id, ts AS created_at FROM events
-        WHERE event_type = '{_kind}'"""
+        WHERE {_keep}"""
 
 
 def with_tables(*names: str, query: str) -> str:

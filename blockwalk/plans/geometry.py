@@ -97,7 +97,7 @@ def _index_lines(s, d):
 
 
 def tile_prune(s, d):
-    wanted = footprints.tiles_for(_wide_boxes(s, d), full_cover=False)
+    wanted = footprints.tiles_for(_wide_boxes(s, d))
     return footprints.tile_counts(footprints.prune_tiles(wanted, footprints.tile_index(_index_lines(s, d))))
 
 
@@ -207,15 +207,15 @@ CHECKS = {
     "tile_prune": f"""
         WITH {_WIDE},
         need AS (SELECT DISTINCT hlb_id, {_qk('x', 'y', 9)} AS quadkey FROM (
-          SELECT hlb_id, x0 AS x, y0 AS y FROM corners UNION ALL SELECT hlb_id, x1, y0 FROM corners
-          UNION ALL SELECT hlb_id, x0, y1 FROM corners UNION ALL SELECT hlb_id, x1, y1 FROM corners)),
+          SELECT hlb_id, x, unnest(generate_series(y0, y1)) AS y FROM (
+            SELECT hlb_id, y0, y1, unnest(generate_series(x0, x1)) AS x FROM corners))),
         idx AS (SELECT {_qk('x', 'y', 9)} AS quadkey, arg_min(mb, k) AS mb FROM (
           SELECT c_custkey AS k, {_X.format(lng='((c_custkey * 7 % 350) - 175.0::DOUBLE)', n=512)} AS x,
                  {_Y.format(lat='((c_custkey % 120) - 60.0::DOUBLE)', n=512)} AS y,
                  CASE c_custkey % 3 WHEN 0 THEN c_custkey % 60 + 0.5 WHEN 1 THEN (c_custkey % 900) / 1024.0
                       ELSE c_custkey / 1048576.0 END AS mb FROM customer) GROUP BY 1)
-        SELECT hlb_id, count(*) FILTER (WHERE mb <= 35) AS tiles, count(*) FILTER (WHERE mb IS NULL) AS errors,
-               count(*) FILTER (WHERE mb > 35) AS skipped FROM need LEFT JOIN idx USING (quadkey) GROUP BY 1""",
+        SELECT hlb_id, count(*) FILTER (WHERE mb IS NOT NULL) AS tiles, count(*) FILTER (WHERE mb IS NULL) AS errors,
+               0::BIGINT AS skipped FROM need LEFT JOIN idx USING (quadkey) GROUP BY 1""",
     "quadkeys": f"""
         WITH {_WIDE},
         q AS (SELECT hlb_id, {_qk('x', 'y', 9)} AS qk FROM (SELECT hlb_id, x, unnest(generate_series(y0, y1)) AS y FROM (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from blockwalk.streaming import changes, events, recorder, sinks
 
 def _folder(spark) -> str:
     """A new folder under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark) or tempfile.gettempdir()}/streams/{uuid.uuid4()}"
+    return f"{checkpoint_dir(spark)}/streams/{uuid.uuid4()}"
 
 
 def _stream(spark, sf_dir, name):
@@ -98,11 +97,11 @@ def stream_announcements(s, d):
     v = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)).cast("array<bigint>"))
     k = F.col("o_orderkey")
     rows = _stream(s, d, "orders").select(
-        k.alias("id"), F.concat(F.lit("Donor "), F.col("o_custkey").cast("string")).alias("name"), F.col("o_totalprice").alias("amount"),
-        F.col("o_orderpriority").alias("note"), F.when(k % 11 != 0, F.col("o_orderstatus") == "F").alias("_paid"), v.alias("version"))
+        k.alias("id"), F.when(k % 7 != 0, F.concat(F.lit("Donor "), F.col("o_custkey").cast("string"))).alias("name"),
+        F.col("o_totalprice").cast("double").alias("amount"), F.when(k % 4 == 0, " ").otherwise(F.col("o_orderpriority")).alias("note"), F.when(k % 11 != 0, F.col("o_orderstatus") == "F").alias("_paid"), v.alias("version"))
     paid = F.when(F.col("version") == 0, F.when(F.col("id") % 3 == 0, False)).when(F.col("version") == 1, F.col("_paid")) \
         .otherwise(F.col("_paid") | (F.col("id") % 5 == 0))
-    return sinks.drain(changes.announcements(rows.withColumn("is_paid", paid).drop("_paid")), _folder(s)).select("id", "version")
+    return sinks.drain(changes.announcements(rows.withColumn("is_paid", paid).drop("_paid")), _folder(s)).drop("batch")
 
 
 def stream_documents(s, d):
@@ -140,7 +139,8 @@ CHECKS = {
                  ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'paid' ELSE 'created' END END AS payment_status,
                CASE WHEN o_orderkey % 6 = 0 THEN true END AS is_paid,
                CASE WHEN o_orderkey % 2 = 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN 10 ELSE 5 END END AS regen_allowance FROM orders""",
-    "stream_announcements": ANALYTICS["donation_transitions"].split("SELECT id, version, '💖")[0] + "SELECT id, version FROM v WHERE is_paid AND old IS DISTINCT FROM true",
+    "stream_announcements": ANALYTICS["donation_transitions"].split("SELECT id, version, donor")[0]
+        + "SELECT id, version, name, amount::DOUBLE AS amount, note FROM v WHERE is_paid AND old IS DISTINCT FROM true",
     "stream_documents": """
         SELECT c_custkey AS id, coalesce(d, 'empty') AS data FROM customer LEFT JOIN (
           SELECT o_custkey, 'doc ' || arg_max(o_orderkey, epoch_us(o_orderdate)::HUGEINT * 1000000000 + o_orderkey) AS d FROM orders GROUP BY 1) ON o_custkey = c_custkey""",

@@ -15,9 +15,8 @@ LINE = T.StructType([
         T.StructField("coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))])),
     T.StructField("properties", T.MapType(T.StringType(), T.StringType()))])
 
-# Tile zoom, largest tile read, least confidence, smallest building kept.
+# Tile zoom, least confidence, smallest building kept.
 TILE_ZOOM = 9
-MAX_TILE_MB = 35.0
 MIN_CONFIDENCE = 0.70
 NOISE_M2 = 5.0
 
@@ -55,10 +54,11 @@ def tiles_for(boxes: DataFrame, full_cover: bool = True, zoom: int = TILE_ZOOM)
     return out.select("hlb_id", geo.tile_quadkey(F.col("_x"), F.col("_y"), zoom).alias("quadkey"))
 
 
-def prune_tiles(wanted: DataFrame, index: DataFrame, max_mb: float = MAX_TILE_MB) -> DataFrame:
-    """Tiles to read per area with their state: read, skipped (too large) or missing."""
+def prune_tiles(wanted: DataFrame, index: DataFrame, max_mb: float | None = None) -> DataFrame:
+    """Tiles to read per area with their state: read, missing, or skipped where the caller asks for a limit in MB."""
+    too_large = F.lit(False) if max_mb is None else F.col("size_mb") > max_mb
     return wanted.join(index, "quadkey", "left").withColumn(
-        "state", F.when(F.col("url").isNull(), "missing").when(F.col("size_mb") > max_mb, "skipped").otherwise("read"))
+        "state", F.when(F.col("url").isNull(), "missing").when(too_large, "skipped").otherwise("read"))
 
 
 def tile_counts(pruned: DataFrame) -> DataFrame:

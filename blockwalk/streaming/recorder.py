@@ -84,10 +84,12 @@ def record(fixes: DataFrame, late: str = "10 minutes", idle: str = "30 minutes")
         update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def snap_batch(points: DataFrame, roads: DataFrame, least: int = 5) -> DataFrame:
-    """Match one micro-batch of path points to mapped roads, for sessions with at least ``least`` points."""
-    enough = points.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("session_id")
-    ready = points.join(enough, "session_id", "left_semi")
-    near = assign.snap_points(ready, roads, "session_id", "point_id")
-    return ready.join(near, ["session_id", "point_id"], "left").withColumns({
+def snap_batch(points: DataFrame, roads: DataFrame) -> DataFrame:
+    """Match one micro-batch of path points to mapped roads; a point that matches none stays as it is.
+
+    Every point is matched by itself, so neither the number of points a session has in a batch nor how the input is
+    cut into batches changes a row, and none is lost.
+    """
+    near = assign.snap_points(points, roads, "session_id", "point_id")
+    return points.join(near, ["session_id", "point_id"], "left").withColumns({
         "out_lat": F.coalesce("snap_lat", "lat"), "out_lng": F.coalesce("snap_lng", "lng")}).drop("snap_lat", "snap_lng")
