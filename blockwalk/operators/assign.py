@@ -114,8 +114,13 @@ def snap_points(points: DataFrame, roads: DataFrame, key: str, id_col: str, metr
         .join(vertex, ["_cy", "_cx"]) \
         .filter((F.abs(F.col("_vy") - F.col("lat")) < VERTEX_REACH) & (F.abs(F.col("_vx") - F.col("lng")) < VERTEX_REACH)) \
         .select("lat", "lng", "road_id").distinct()
-    lines = cells.road_segments(usable, "road_id", "pos")
-    met = near.join(lines, "road_id").withColumn("road_dist", geo.point_segment_m("lat", "lng", "alat", "alng", "blat", "blng"))
+    # only segments within ``metres`` can win: a long road meets a point by the cell, never as a whole
+    dy, side = metres / cells.METRES, max(4 * metres / cells.METRES, 0.001)
+    dx = cells.reach_lng(metres, "alat", "blat")
+    span = lambda a, b, pad: F.explode(F.sequence(cells.cell(F.least(a, b) - pad, side), cells.cell(F.greatest(a, b) + pad, side)))
+    lines = cells.road_segments(usable, "road_id", "pos").withColumn("_cy", span("alat", "blat", dy)).withColumn("_cx", span("alng", "blng", dx))
+    at = near.withColumns({"_cy": cells.cell(F.col("lat"), side), "_cx": cells.cell(F.col("lng"), side)})
+    met = at.join(lines, ["road_id", "_cy", "_cx"]).withColumn("road_dist", geo.point_segment_m("lat", "lng", "alat", "alng", "blat", "blng"))
     best = met.groupBy("lat", "lng").agg(F.min_by(F.struct("road_id", "road_dist", "alat", "alng", "blat", "blng"),
                                                   F.struct("road_dist", "pos", "seg")).alias("_b")) \
         .select("lat", "lng", "_b.*").filter(F.col("road_dist") <= metres)

@@ -30,12 +30,28 @@ def probe(df: DataFrame, y: Column, x: Column, reach_y, reach_x, size_y, size_x)
     return df.withColumn("_cy", F.explode(ys)).withColumn("_cx", F.explode(xs))
 
 
-def degrees_for(metres: float, max_abs_lat: float = 60.0) -> tuple[float, float]:
-    """Latitude and longitude reach that covers ``metres`` up to ``max_abs_lat``."""
-    import math
+METRES = 111000.0  # per degree, a little less than the least there is
+POLE = 89.0  # reaches grow with latitude up to here
 
-    lat = metres / 111000.0
-    return lat, lat / math.cos(math.radians(max_abs_lat))
+
+def degrees_for(metres: float) -> tuple[float, float]:
+    """Sides in degrees from which cells for ``metres`` are sized: the longitude side is that of 60 degrees."""
+    lat = metres / METRES
+    return lat, 2 * lat
+
+
+def reach_lng(metres: float, *lats) -> Column:
+    """Degrees of longitude that cover ``metres`` at every one of the row's latitudes."""
+    each = [F.abs(F.col(c) if isinstance(c, str) else c) for c in lats]
+    highest = F.greatest(*each) if len(each) > 1 else each[0]
+    return F.lit(metres / METRES) / F.cos(F.radians(F.least(highest + metres / METRES, F.lit(POLE))))
+
+
+def around(df: DataFrame, lng: str, margin: Column) -> DataFrame:
+    """Rows within ``margin`` of the 180th meridian stand on its other side as well."""
+    x = F.col(lng)
+    return df.withColumn(lng, F.explode(F.array_compact(F.array(
+        x, F.when(x > 180 - margin, x - 360), F.when(x < -180 + margin, x + 360)))))
 
 
 def distinct_points(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -46,10 +62,10 @@ def near_flags(points: DataFrame, others: DataFrame, keys: Sequence[str], metres
     """Distinct positions of ``points`` that lie within ``metres`` of some row of ``others``."""
     dy, dx = degrees_for(metres)
     cy, cx = 2 * dy, 2 * dx
-    targets = distinct_points(others, keys).withColumns(
+    targets = around(distinct_points(others, keys), "lng", 2 * reach_lng(metres, "lat")).withColumns(
         {"_cy": cell(F.col("lat"), cy), "_cx": cell(F.col("lng"), cx)}) \
         .withColumnsRenamed({"lat": "_olat", "lng": "_olng"})
-    asked = probe(distinct_points(points, keys), F.col("lat"), F.col("lng"), dy, dx, cy, cx)
+    asked = probe(distinct_points(points, keys), F.col("lat"), F.col("lng"), dy, reach_lng(metres, "lat"), cy, cx)
     close = geo.haversine_m("lat", "lng", "_olat", "_olng") < metres
     return asked.join(targets, [*keys, "_cy", "_cx"]).filter(close).select(*keys, "lat", "lng").distinct()
 
@@ -80,7 +96,8 @@ def nearest_segment(points: DataFrame, segments: DataFrame, keys: Sequence[str],
     dy, dx = degrees_for(metres)
     size_y, size_x = max(4 * dy, 0.001), max(4 * dx, 0.001)
     ys = F.sequence(cell(F.least("alat", "blat") - dy, size_y), cell(F.greatest("alat", "blat") + dy, size_y))
-    xs = F.sequence(cell(F.least("alng", "blng") - dx, size_x), cell(F.greatest("alng", "blng") + dx, size_x))
+    pad = reach_lng(metres, "alat", "blat")
+    xs = F.sequence(cell(F.least("alng", "blng") - pad, size_x), cell(F.greatest("alng", "blng") + pad, size_x))
     keyed = segments.withColumn("_cy", F.explode(ys)).withColumn("_cx", F.explode(xs))
     at = points.select(*keys, id_col, "lat", "lng",
                        cell(F.col("lat"), size_y).alias("_cy"), cell(F.col("lng"), size_x).alias("_cx"))

@@ -58,7 +58,7 @@ def _gaps_by_cells(points: DataFrame, keys: Sequence[str], start: float = 1.0, g
         dy, dx = cells.degrees_for(reach)
         targets = places.select(*keys, F.col("lat").alias("_la"), F.col("lng").alias("_ln"),
                                 cells.cell(F.col("lat"), 2 * dy).alias("_cy"), cells.cell(F.col("lng"), 2 * dx).alias("_cx"))
-        met = cells.probe(open_, F.col("lat"), F.col("lng"), dy, dx, 2 * dy, 2 * dx).join(targets, [*keys, "_cy", "_cx"]) \
+        met = cells.probe(open_, F.col("lat"), F.col("lng"), dy, cells.reach_lng(reach, "lat"), 2 * dy, 2 * dx).join(targets, [*keys, "_cy", "_cx"]) \
             .filter((F.col("lat") != F.col("_la")) | (F.col("lng") != F.col("_ln"))) \
             .withColumn("gap", geo.equirect_m("lat", "lng", "_la", "_ln")).filter(F.col("gap") <= reach)
         near = cut(met.groupBy(*keys, "lat", "lng").agg(F.min("gap").alias("gap")))
@@ -137,7 +137,7 @@ def local_cell_size(points: DataFrame, keys: Sequence[str], k: int = 5) -> DataF
     targets = rows.select(*keys, F.col("id").alias("_id"), F.col("lat").alias("_la"), F.col("lng").alias("_ln"),
                           cells.cell(F.col("lat"), 2 * dy).alias("_cy"), cells.cell(F.col("lng"), 2 * dx).alias("_cx"))
     sparse = rows.filter(F.col("_n") <= k)
-    met = cells.probe(sparse, F.col("lat"), F.col("lng"), dy, dx, 2 * dy, 2 * dx).join(targets, [*keys, "_cy", "_cx"]) \
+    met = cells.probe(sparse, F.col("lat"), F.col("lng"), dy, cells.reach_lng(reach, "lat"), 2 * dy, 2 * dx).join(targets, [*keys, "_cy", "_cx"]) \
         .filter(F.col("id") != F.col("_id")).withColumn("_d", geo.equirect_m("lat", "lng", "_la", "_ln")) \
         .filter(F.col("_d") <= reach)
     nearest = met.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "id").orderBy("_d"))) \

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +45,12 @@ def greedy_thin(df: DataFrame, keys: Sequence[str], priority: Sequence[Column],
     by, ascending = ["_fix", *order], [False, *[True] * len(order)]
     small, large = split_groups(rows, keys, limit)
     distance = _py_metric(metric)
-    # Cells of the walk are squares in degrees that cover the radius on both axes.
-    reach = radius if metric == "degrees" else max(cells.degrees_for(radius))
-
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(by, ascending=ascending, kind="stable")
         y, x = pdf["lat"].to_numpy(), pdf["lng"].to_numpy()
+        # cells of the walk are squares in degrees that cover the radius on both axes
+        top = min(float(np.abs(y).max()) + radius / cells.METRES, cells.POLE) if metric == "metres" else 0.0
+        reach = radius if metric == "degrees" else radius / cells.METRES / math.cos(math.radians(top))
         return pdf[kernels.greedy_keep(y, x, radius, distance, pdf["_fix"].to_numpy(), reach)]
 
     kept = spread(small, *keys).groupBy(*keys).applyInPandas(walk, rows.schema)
@@ -66,7 +67,8 @@ def _thin_in_rounds(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     reach; kept rows then strike out open rows near them.  Copies of a position
     are reduced to their best row first: the others can never be kept.
     """
-    dy, dx = (radius, radius) if metric == "degrees" else cells.degrees_for(radius)
+    dy = radius if metric == "degrees" else radius / cells.METRES
+    across = (lambda lat: F.lit(radius)) if metric == "degrees" else (lambda lat: cells.reach_lng(radius, lat))
     side = 0.999 * radius / math.sqrt(2) if metric == "degrees" else 0.99 * radius / math.sqrt(2) / geo.METRES_PER_DEGREE
     rank = F.struct((~F.col("_fix")).alias("_nf"), *order)
     near = lambda a, b, c, d: (geo.degree_distance if metric == "degrees" else geo.haversine_m)(a, b, c, d) < radius
@@ -80,7 +82,7 @@ def _thin_in_rounds(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     def strike(open_rows: DataFrame, kept: DataFrame) -> DataFrame:
         reach = cells.probe(kept.select(*keys, F.col("lat").alias("_la"), F.col("lng").alias("_ln")),
-                            F.col("_la"), F.col("_ln"), dy, dx, side, side)
+                            F.col("_la"), F.col("_ln"), dy, across("_la"), side, side)
         hit = open_rows.withColumns(at).join(reach, cell_keys).filter(near("lat", "lng", "_la", "_ln")) \
             .select(*keys, "lat", "lng").distinct()
         return open_rows.join(hit, [*keys, "lat", "lng"], "left_anti")
@@ -90,7 +92,7 @@ def _thin_in_rounds(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
         tops = open_.withColumns({**at, "_rank": rank}).groupBy(*cell_keys).agg(F.min("_rank").alias("_rank"))
         rivals = cells.probe(tops.withColumns({"_y": (F.col("_cy") + 0.5) * side, "_x": (F.col("_cx") + 0.5) * side})
                              .select(*keys, "_y", "_x", F.col("_rank").alias("_other")),
-                             F.col("_y"), F.col("_x"), dy + side, dx + side, side, side).drop("_y", "_x")
+                             F.col("_y"), F.col("_x"), dy + side, across(F.abs("_y") + side) + side, side, side).drop("_y", "_x")
         lead = tops.join(rivals, cell_keys).groupBy(*cell_keys).agg(
             F.first("_rank").alias("_rank"), F.min("_other").alias("_least")).filter(F.col("_rank") <= F.col("_least"))
         winners = open_.withColumns({**at, "_rank": rank}).join(lead.select(*cell_keys, "_rank"), [*cell_keys, "_rank"], "left_semi") \

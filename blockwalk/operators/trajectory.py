@@ -159,7 +159,7 @@ def return_path(path: DataFrame, points: DataFrame, limit: int = TASK_ROWS, coun
         .withColumns({"_cy": cells.cell(F.col("_slat"), 2 * dy), "_cx": cells.cell(F.col("_slng"), 2 * dx)})
     late = Ordered.of(path, KEY, _order(), limit, count_on).row_number("_n").rows().filter(F.col("_n") > RETURN_AFTER)
     asked = cells.probe(late.select("session_id", "point_id", "ts", "out_lat", "out_lng", "bearing"),
-                        F.col("out_lat"), F.col("out_lng"), dy, dx, 2 * dy, 2 * dx)
+                        F.col("out_lat"), F.col("out_lng"), dy, cells.reach_lng(RETURN_METRES, "out_lat"), 2 * dy, 2 * dx)
     met = asked.join(legs, ["session_id", "_cy", "_cx"]) \
         .filter((F.col("_end") < F.col("ts"))
                 & (geo.haversine_m("out_lat", "out_lng", "_slat", "_slng") < RETURN_METRES)

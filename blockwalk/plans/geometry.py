@@ -110,9 +110,9 @@ def quadkeys(s, d):
 def off_site(s, d):
     """Fixes farther than 200 m from the centre of mass of area 0."""
     centre = geo.area_centroid(F.col("ring"))
-    at = b.boundaries(s, d).select("hlb_id", centre["lat"].alias("clat"), centre["lng"].alias("clng"))
-    far = geo.haversine_m("lat", "lng", "clat", "clng", geo.TURF_RADIUS_M)
-    return b.gps_points(s, d).withColumn("hlb_id", F.lit(0).cast("long")).join(at, "hlb_id").select(
+    at = b.boundaries(s, d).where("hlb_id = 0").select(centre["lat"].alias("lat"), centre["lng"].alias("lng")).first()  # one row
+    far = geo.haversine_m("lat", "lng", F.lit(at["lat"]), F.lit(at["lng"]), geo.TURF_RADIUS_M)
+    return b.gps_points(s, d).select(
         "session_id", "point_id", _r(far, 3).alias("metres"), (far > 200).alias("off_site"))
 
 

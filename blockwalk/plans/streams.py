@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from blockwalk.operators.lineage import checkpoint_dir
 from blockwalk.plans import bindings as b
+from blockwalk.plans import sqltext as t
 from blockwalk.plans.analytics import CHECKS as ANALYTICS
 from blockwalk.plans.bindings import with_tables
-from blockwalk.plans.spatial import survey_roads
+from blockwalk.plans.spatial import _SROADS, _frac, survey_roads
 from blockwalk.plans.tracks import _KALMAN, _motion, _thinned
 from blockwalk.streaming import changes, events, recorder, sinks
 
@@ -66,7 +67,7 @@ def stream_snap(s, d):
 
     sinks.start(recorder.record(_fixes(s, d)), f"{folder}/checkpoint", each).awaitTermination()
     rows = s.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/batch=*")
-    return rows.select("session_id", "point_id", F.col("road_id").isNotNull().alias("snapped"))
+    return rows.select("session_id", "point_id", "road_id", F.round("out_lat", 7).alias("out_lat"), F.round("out_lng", 7).alias("out_lng"))
 
 
 def _callbacks(s, d):
@@ -134,6 +135,16 @@ CHECKS = {
     "stream_recorder": with_tables("gps_points", query=f"""
         , {_REC} SELECT k2.session_id, k2.k.id AS point_id, row_number() OVER (PARTITION BY k2.session_id ORDER BY ts, point_id) AS path_index
         FROM kept k2 JOIN src ON src.point_id = k2.k.id"""),
+    "stream_snap": with_tables("gps_points", query=f"""
+        , {_REC}, pts AS (SELECT src.session_id, src.point_id, src.lat, src.lng FROM kept k2 JOIN src ON src.point_id = k2.k.id),
+        {_SROADS}, near AS (SELECT DISTINCT p.point_id, p.lat, p.lng, v.road_id FROM pts p JOIN sv v
+            ON abs(v.lat - p.lat) < 0.0002 AND abs(v.lng - p.lng) < 0.0002),
+        m AS (SELECT n.*, g.ay, g.ax, g.by_, g.bx, g.i, {t.seg_dist_m('n.lat', 'n.lng', 'g.ay', 'g.ax', 'g.by_', 'g.bx')} AS dist
+              FROM near n JOIN sg g USING (road_id)),
+        best AS (SELECT *, {_frac('lat', 'lng', 'ay', 'ax', 'by_', 'bx')} AS f FROM m WHERE dist <= 10
+                 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY dist, road_id, i) = 1)
+        SELECT session_id, p.point_id, road_id, round(coalesce(ay + f * (by_ - ay), p.lat), 7) AS out_lat,
+               round(coalesce(ax + f * (bx - ax), p.lng), 7) AS out_lng FROM pts p LEFT JOIN best b ON b.point_id = p.point_id"""),
     "stream_payments": """
         SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 'paid' WHEN 1 THEN 'failed' ELSE 'abandoned' END
                  ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'paid' ELSE 'created' END END AS payment_status,

@@ -57,3 +57,27 @@ def test_option_table():
     rows = schedule.options()
     assert len(rows) == len({(c, v) for c, _, v, _, _ in rows}) and all(label for *_, label, _ in rows)
     assert [r[2] for r in rows if r[0] == 7] == [1, 2, 3, 4, 5, 6, 7, 8, 9, 0] and [r[4] for r in rows if r[0] == 29] == [0, 1]
+
+
+def _ring_of(lat, lng, n, metres):
+    import math
+    return [(0, i, lat + metres / 111320 * math.sin(i), ((lng + metres / 111320 / math.cos(math.radians(lat)) * math.cos(i) + 540) % 360) - 180) for i in range(n)]
+
+
+def test_near_at_high_latitude_and_the_date_line(spark):
+    from blockwalk.operators import cells
+    for lat, lng in ((80.0, 12.0), (-84.0, 30.0), (10.0, 179.99999), (75.0, -179.99998)):
+        new = spark.createDataFrame(_ring_of(lat, lng, 40, 4.5), "hlb_id long, id long, lat double, lng double")
+        old = spark.createDataFrame([(0, lat, lng)], "hlb_id long, lat double, lng double")
+        assert cells.drop_near(new, old, ["hlb_id"], 5.0).count() == 0, (lat, lng)
+        assert cells.drop_near(new, old, ["hlb_id"], 4.0).count() == 40, (lat, lng)
+
+
+def test_thinning_at_high_latitude_at_any_size(spark):
+    from blockwalk.operators import thin
+    rnd = random.Random(7)
+    rows = [(0, i, 80.0 + rnd.random() * 4e-4, 10.0 + rnd.random() * 2e-3) for i in range(250)]
+    df = spark.createDataFrame(rows, "hlb_id long, id long, lat double, lng double")
+    small = {r["id"] for r in thin.greedy_thin(df, ["hlb_id"], [F.col("id")], 8.0, "metres").collect()}
+    large = {r["id"] for r in thin.greedy_thin(df, ["hlb_id"], [F.col("id")], 8.0, "metres", limit=10).collect()}
+    assert small == large and 5 < len(small) < 250
