@@ -23,7 +23,8 @@ def kalman(s, d):
 
 
 def stationarity(s, d):
-    return trajectory.with_motion(b.gps_points(s, d)).select("session_id", "point_id", "movement", "gps_quality", "stationary",
+    raw = b.gps_points(s, d)
+    return trajectory.with_motion(trajectory.smooth(raw), count_on=raw).select("session_id", "point_id", "movement", "gps_quality", "stationary",
                                                              _r("bearing", 5))
 
 
@@ -34,7 +35,7 @@ def _raw_path(s, d):
 def path_thin(s, d):
     from blockwalk.operators import folds
 
-    return folds.thin_path(_raw_path(s, d), ["session_id"], ["ts", "point_id"], 12.0).select("session_id", "point_id")
+    return folds.thin_path(_raw_path(s, d), ["session_id"], ["ts", "point_id"], trajectory.THIN_METRES).select("session_id", "point_id")
 
 
 def path_length(s, d):
@@ -79,7 +80,7 @@ def return_path(s, d):
 
 def _marks(s, d):
     e = F.col("event_id")
-    return b.table(s, d, "events").filter("event_type = 'signup'").select(
+    return b.table(s, d, "events").select(
         F.col("user_id").alias("session_id"), e.alias("id"),
         F.when(e % 3 == 0, "pucca_house").when(e % 3 == 1, "kutcha_house").otherwise("apartment").alias("symbol_type"),
         b._lat(e % 1000).alias("lat"), b._lng(e % 1000).alias("lng"), (e % 9).cast("int").alias("number"))
@@ -103,11 +104,11 @@ def session_document(s, d):
 
 def symbol_placement(s, d):
     k = F.col("event_id")
-    wanted = b.table(s, d, "events").filter("event_type = 'click'").select(
+    wanted = b.table(s, d, "events").select(
         F.col("user_id").alias("session_id"), k.alias("placement_id"), F.col("ts").cast("timestamp").alias("ts"),
         F.when(k % 4 == 0, "left").when(k % 4 == 1, "right").when(k % 4 == 2, "center").otherwise("compass").alias("direction"),
         (k % 360).cast("double").alias("heading"))
-    walked = trajectory.with_motion(b.gps_points(s, d).filter("point_id % 3 <> 0"))
+    walked = trajectory.with_motion(b.gps_points(s, d))
     path = walked.withColumns({"out_lat": F.col("lat"), "out_lng": F.col("lng")})
     return trajectory.place_symbols(wanted, walked, path).select("session_id", "placement_id", "direction", _r("lat", 9), _r("lng", 9))
 
@@ -123,7 +124,7 @@ def _lines(s, d):
 
 
 def chaikin(s, d):
-    return trajectory.chaikin(_lines(s, d), ["line_id"], 1).select("line_id", "i", _r("lat", 9), _r("lng", 9))
+    return trajectory.chaikin(_lines(s, d), ["line_id"]).select("line_id", "i", _r("lat", 12), _r("lng", 12))
 
 
 def simplify(s, d):
@@ -199,14 +200,28 @@ _LEN = f"""len AS (SELECT session_id, sum(coalesce({t.hav('pla', 'pln', 'lat', '
    FROM (SELECT *, lag(lat) OVER w AS pla, lag(lng) OVER w AS pln FROM gps_points
          WINDOW w AS (PARTITION BY session_id ORDER BY ts, point_id)) GROUP BY 1)"""
 _MARKS = """marks AS (SELECT user_id AS session_id, count(*) AS n, count(*) FILTER (WHERE event_id % 3 IN (0, 1)) AS houses
-   FROM events WHERE event_type = 'signup' GROUP BY 1)"""
+   FROM events GROUP BY 1)"""
+
+
+def _cut_corners(n):
+    """One pass of corner cutting from p<n-1> to p<n>."""
+    return f"""w{n} AS (SELECT *, lag(lat) OVER p AS pl, lag(lng) OVER p AS pg, lead(lat) OVER p AS nl, lead(lng) OVER p AS ng,
+          count(*) OVER (PARTITION BY line_id) AS vertices FROM p{n - 1} WINDOW p AS (PARTITION BY line_id ORDER BY i)),
+        a{n} AS (SELECT *, abs(({t.bearing('lat', 'lng', 'nl', 'ng')} - {t.bearing('pl', 'pg', 'lat', 'lng')} + 1080 + 180) % 360 - 180) AS turn FROM w{n}),
+        p{n} AS (SELECT line_id, i * 3 AS i, lat, lng FROM a{n} WHERE pl IS NULL OR nl IS NULL OR turn < 12 OR vertices < 3
+          UNION ALL SELECT line_id, i * 3 + k, f * lat + (1 - f) * nl, f * lng + (1 - f) * ng
+          FROM a{n}, (VALUES (1, 0.75), (2, 0.25)) q(k, f) WHERE nl IS NOT NULL AND (pl IS NULL OR turn >= 12) AND vertices >= 3)"""
+
+
 CHECKS = {
     "kalman": with_tables("gps_points", query=f"""
         , {_KALMAN} SELECT session_id, k.id AS point_id, round(k.lat, 9) AS lat, round(k.lng, 9) AS lng FROM smoothed"""),
     "stationarity": with_tables("gps_points", query=f"""
-        , {_motion('gps_points', 'm')} SELECT session_id, point_id, movement, gps_quality, stationary, round(bearing, 5) AS bearing FROM m"""),
+        , {_KALMAN}, sm AS (SELECT g.session_id, g.point_id, g.ts, s.k.lat AS lat, s.k.lng AS lng, g.accuracy, g.speed
+            FROM gps_points g JOIN smoothed s ON s.k.id = g.point_id),
+        {_motion('sm', 'm')} SELECT session_id, point_id, movement, gps_quality, stationary, round(bearing, 5) AS bearing FROM m"""),
     "path_thin": with_tables("gps_points", query=f"""
-        , src AS (SELECT *, lat AS oy, lng AS ox FROM gps_points), kept AS ({_thinned('src', 12)})
+        , src AS (SELECT *, lat AS oy, lng AS ox FROM gps_points), kept AS ({_thinned('src', 0.8)})
         SELECT session_id, k.id AS point_id FROM kept"""),
     "path_length": with_tables("gps_points", query=f", {_LEN} SELECT session_id, round(m, 4) AS distance_m, n AS points FROM len"),
     "recorded_path": with_tables("gps_points", query=f"""
@@ -243,8 +258,8 @@ CHECKS = {
         SELECT session_id, coalesce(marks.n, 0) AS symbols, coalesce(sc.n, 0) AS roads, '{{"type":"Polygon"}}' AS boundary
         FROM (SELECT DISTINCT session_id FROM gps_points) LEFT JOIN marks USING (session_id) LEFT JOIN sc USING (session_id)"""),
     "symbol_placement": with_tables("gps_points", query=f"""
-        , src AS (SELECT * FROM gps_points WHERE point_id % 3 <> 0), {_motion('src', 'm')},
-        w AS (SELECT user_id AS session_id, event_id AS k, ts FROM events WHERE event_type = 'click'),
+        , {_motion('gps_points', 'm')},
+        w AS (SELECT user_id AS session_id, event_id AS k, ts FROM events),
         j AS (SELECT w.*, m.lat, m.lng, m.bearing FROM w ASOF JOIN m ON m.session_id = w.session_id AND m.ts <= w.ts),
         d AS (SELECT *, CASE k % 4 WHEN 2 THEN 0.0 WHEN 3 THEN 7.0 ELSE 3.0 END / 6371008.8::DOUBLE AS dd,
                 radians(CASE k % 4 WHEN 0 THEN bearing - 90 WHEN 1 THEN bearing + 90 WHEN 3 THEN k % 360 ELSE 0 END) AS th FROM j)
@@ -252,13 +267,9 @@ CHECKS = {
                round(lng + degrees(atan2(sin(th) * sin(dd) * cos(radians(lat)), cos(dd) - sin(radians(lat)) * sin(p2))), 9) AS lng
         FROM (SELECT *, asin(sin(radians(lat)) * cos(dd) + cos(radians(lat)) * sin(dd) * cos(th)) AS p2 FROM d)"""),
     "chaikin": f"""
-        WITH ln AS (SELECT o_orderkey // 10 AS line_id, o_orderkey % 10 AS i,
+        WITH p0 AS (SELECT o_orderkey // 10 AS line_id, o_orderkey % 10 AS i,
             26.0 + (o_orderkey % 10) * 1e-4 + ((o_orderkey * 7919) % 13) * 3e-6 AS lat,
             80.0 + (CASE WHEN o_orderkey % 10 < 5 THEN o_orderkey % 10 ELSE 10 - o_orderkey % 10 END) * 1e-4 + ((o_orderkey * 31) % 11) * 3e-6 AS lng FROM orders),
-        w AS (SELECT *, lag(lat) OVER p AS pl, lag(lng) OVER p AS pg, lead(lat) OVER p AS nl, lead(lng) OVER p AS ng FROM ln
-              WINDOW p AS (PARTITION BY line_id ORDER BY i)),
-        a AS (SELECT *, abs(({t.bearing('lat', 'lng', 'nl', 'ng')} - {t.bearing('pl', 'pg', 'lat', 'lng')} + 1080 + 180) % 360 - 180) AS turn FROM w)
-        SELECT line_id, i * 3 AS i, round(lat, 9) AS lat, round(lng, 9) AS lng FROM a WHERE pl IS NULL OR nl IS NULL OR turn < 12
-        UNION ALL SELECT line_id, i * 3 + k, round(f * lat + (1 - f) * nl, 9), round(f * lng + (1 - f) * ng, 9)
-        FROM a, (VALUES (1, 0.75), (2, 0.25)) q(k, f) WHERE nl IS NOT NULL AND (pl IS NULL OR turn >= 12)""",
+        {', '.join(_cut_corners(n) for n in (1, 2, 3))}
+        SELECT line_id, i, round(lat, 12) AS lat, round(lng, 12) AS lng FROM p3""",
 }
