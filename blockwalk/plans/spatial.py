@@ -329,6 +329,15 @@ CHECKS = {
         comp AS (SELECT a AS id, min(c) AS comp, count(*) AS n FROM reach GROUP BY 1)
         SELECT hlb_id, id, CASE WHEN n < 3 THEN id ELSE comp END AS cluster, CASE WHEN n < 3 THEN 1 ELSE n END AS size
         FROM pt JOIN comp USING (id)""",
+    "dense_insets": "WITH RECURSIVE symbols AS (" + b.SQL["symbols"] + "), boundary_points AS (" + b.SQL["boundary_points"] + f"""),
+        u AS (SELECT hlb_id, greatest(max(lat) - min(lat), max(lng) - min(lng)) * 0.03::DOUBLE AS u FROM boundary_points GROUP BY 1),
+        pt AS (SELECT hlb_id, id, lat, lng, lat / u AS y, lng / u AS x FROM symbols JOIN u USING (hlb_id) WHERE {_HOUSE}),
+        link AS (SELECT a.id AS a, c.id AS c FROM pt a JOIN pt c ON a.hlb_id = c.hlb_id AND a.id <> c.id
+                 AND pow(a.y - c.y, 2) + pow(a.x - c.x, 2) <= 1),
+        reach(a, c) AS (SELECT id, id FROM pt UNION SELECT r.a, l.c FROM reach r JOIN link l ON l.a = r.c),
+        comp AS (SELECT a AS id, min(c) AS cluster FROM reach GROUP BY 1)
+        SELECT hlb_id, cluster, count(*) AS members, min(lat) AS south, max(lat) AS north, min(lng) AS west, max(lng) AS east
+        FROM pt JOIN comp USING (id) GROUP BY 1, 2 HAVING count(*) >= 12""",
     "median_nn": with_tables("symbols", query=f"""
         , {_NN} SELECT hlb_id, round(list(gap ORDER BY gap)[count(*) // 2 + 1], 6) AS median_gap FROM nn GROUP BY 1"""),
     "regularity": with_tables("symbols", query=f"""

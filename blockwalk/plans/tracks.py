@@ -132,7 +132,7 @@ def simplify(s, d):
 
 
 def beautify(s, d):
-    return trajectory.beautify(_lines(s, d), ["line_id"]).select("line_id", "i", _r("lat", 9), _r("lng", 9))
+    return trajectory.beautify(_lines(s, d), ["line_id"]).select("line_id", "i", _r("lat", 12), _r("lng", 12))
 
 
 QUERIES = {f.__name__: f for f in (kalman, stationarity, path_thin, path_length, recorded_path, segments, return_path,
@@ -203,6 +203,24 @@ _MARKS = """marks AS (SELECT user_id AS session_id, count(*) AS n, count(*) FILT
    FROM events GROUP BY 1)"""
 
 
+_VERTICES = """SELECT o_orderkey // 10 AS line_id, o_orderkey % 10 AS i,
+            26.0 + (o_orderkey % 10) * 1e-4 + ((o_orderkey * 7919) % 13) * 3e-6 AS lat,
+            80.0 + (CASE WHEN o_orderkey % 10 < 5 THEN o_orderkey % 10 ELSE 10 - o_orderkey % 10 END) * 1e-4 + ((o_orderkey * 31) % 11) * 3e-6 AS lng FROM orders"""
+
+
+def _deviating(tolerance):
+    """Kept vertices of ln as (line_id, i): intervals split at their farthest vertex, the first of equals."""
+    return f"""iv(line_id, lo, hi) AS (SELECT line_id, min(i), max(i) FROM ln GROUP BY 1
+        UNION ALL SELECT line_id, unnest([lo, mid]), unnest([mid, hi]) FROM (
+          SELECT line_id, lo, hi, arg_min(i, -d * 1e18::DOUBLE + i * 1e-9::DOUBLE) AS mid, max(d) AS far FROM (
+            SELECT *, pow(px - t * dx, 2) + pow(py - t * dy, 2) AS d FROM (
+              SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, (px * dx + py * dy) / (dx * dx + dy * dy))) ELSE 0 END AS t FROM (
+                SELECT v.line_id, v.lo, v.hi, p.i, p.lng - a.lng AS px, p.lat - a.lat AS py, z.lng - a.lng AS dx, z.lat - a.lat AS dy
+                FROM iv v JOIN ln a ON a.line_id = v.line_id AND a.i = v.lo JOIN ln z ON z.line_id = v.line_id AND z.i = v.hi
+                JOIN ln p ON p.line_id = v.line_id AND p.i > v.lo AND p.i < v.hi))) GROUP BY 1, 2, 3) WHERE far > pow({tolerance}::DOUBLE, 2)),
+      stays AS (SELECT line_id, lo AS i FROM iv UNION SELECT line_id, hi FROM iv)"""
+
+
 def _cut_corners(n):
     """One pass of corner cutting from p<n-1> to p<n>."""
     return f"""w{n} AS (SELECT *, lag(lat) OVER p AS pl, lag(lng) OVER p AS pg, lead(lat) OVER p AS nl, lead(lng) OVER p AS ng,
@@ -267,9 +285,12 @@ CHECKS = {
                round(lng + degrees(atan2(sin(th) * sin(dd) * cos(radians(lat)), cos(dd) - sin(radians(lat)) * sin(p2))), 9) AS lng
         FROM (SELECT *, asin(sin(radians(lat)) * cos(dd) + cos(radians(lat)) * sin(dd) * cos(th)) AS p2 FROM d)"""),
     "chaikin": f"""
-        WITH p0 AS (SELECT o_orderkey // 10 AS line_id, o_orderkey % 10 AS i,
-            26.0 + (o_orderkey % 10) * 1e-4 + ((o_orderkey * 7919) % 13) * 3e-6 AS lat,
-            80.0 + (CASE WHEN o_orderkey % 10 < 5 THEN o_orderkey % 10 ELSE 10 - o_orderkey % 10 END) * 1e-4 + ((o_orderkey * 31) % 11) * 3e-6 AS lng FROM orders),
+        WITH p0 AS ({_VERTICES}),
+        {', '.join(_cut_corners(n) for n in (1, 2, 3))}
+        SELECT line_id, i, round(lat, 12) AS lat, round(lng, 12) AS lng FROM p3""",
+    "simplify": f"WITH RECURSIVE ln AS ({_VERTICES}), {_deviating(1.5e-5)} SELECT line_id, i FROM stays",
+    "beautify": f"""
+        WITH RECURSIVE ln AS ({_VERTICES}), {_deviating(2.5 * 9e-6)}, p0 AS (SELECT ln.* FROM ln JOIN stays USING (line_id, i)),
         {', '.join(_cut_corners(n) for n in (1, 2, 3))}
         SELECT line_id, i, round(lat, 12) AS lat, round(lng, 12) AS lng FROM p3""",
 }
