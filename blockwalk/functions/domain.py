@@ -106,19 +106,35 @@ def footprint_symbol(building_type: Column) -> Column:
     return F.when(building_type == "commercial", "non_residential").otherwise(building_type)
 
 
+# Road classes with the width, line, colour and label they are drawn with; any other class gets the last.
+ROAD_STYLES = [
+    (("motorway", "trunk", "primary"), 3.0, "solid", "#000000", "Main Road"),
+    (("secondary", "tertiary", "unclassified"), 2.0, "solid", "#333333", "Road"),
+    (("residential", "service", "road"), 1.5, "solid", "#555555", "Lane"),
+    (("footway", "path", "pedestrian"), 1.0, "dashed", "#777777", "Footpath"),
+    (("track",), 1.0, "dotted", "#888888", "Kachcha Raasta"),
+    (("steps",), 0.8, "dotted", "#999999", "Steps"),
+    ((), 1.0, "dashed", "#aaaaaa", "Path"),
+]
+# Classes of the printed map's double lines; paved main roads are PAKKA_ROADS.
+STREETS = ["residential", "unclassified", "tertiary", "service", "living_street"]
+TRACKS = ["footway", "path", "track", "pedestrian", "steps"]
+
+
 def classify_road(highway: Column) -> Column:
     """Drawing width, style, colour and label of a road class."""
-    def style(width, line, color, label):
-        return F.struct(F.lit(width).alias("width"), F.lit(line).alias("style"),
-                        F.lit(color).alias("color"), F.lit(label).alias("label"))
+    names = ("width", "style", "color", "label")
+    style = lambda row: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row[1:])])
+    *listed, other = ROAD_STYLES
+    out = F.when(F.lit(False), style(other))
+    for row in listed:
+        out = out.when(highway.isin(*row[0]), style(row))
+    return out.otherwise(style(other))
+
 
-    return (F.when(highway.isin("motorway", "trunk", "primary"), style(3.0, "solid", "#000000", "Main Road"))
-            .when(highway.isin("secondary", "tertiary", "unclassified"), style(2.0, "solid", "#333333", "Road"))
-            .when(highway.isin("residential", "service", "road"), style(1.5, "solid", "#555555", "Lane"))
-            .when(highway.isin("footway", "path", "pedestrian"), style(1.0, "dashed", "#777777", "Footpath"))
-            .when(highway == "track", style(1.0, "dotted", "#888888", "Kachcha Raasta"))
-            .when(highway == "steps", style(0.8, "dotted", "#999999", "Steps"))
-            .otherwise(style(1.0, "dashed", "#aaaaaa", "Path")))
+def render_class(highway: Column) -> Column:
+    """pk for paved roads, rs for streets, kt for tracks and paths, else null; the first that holds."""
+    return F.when(is_pakka_road(highway), "pk").when(highway.isin(STREETS), "rs").when(highway.isin(TRACKS), "kt")
 
 
 def is_pakka_road(highway: Column) -> Column:
@@ -189,6 +205,10 @@ def district_of(address: Column) -> Column:
     return F.coalesce(*[tag(address, p) for p in parts], F.lit(""))
 
 
+def state_of(address: Column) -> Column:
+    return F.coalesce(tag(address, "state"), F.lit(""))
+
+
 def same_code(text: Column, target: Column) -> Column:
     """A scanned label equals a block code once the letter O is read as zero."""
     return F.translate(text, "Oo", "00") == F.translate(target, "Oo", "00")

@@ -408,16 +408,22 @@ def pixel_to_lnglat(px, py, width, height, lon0, lon1, lat0, lat1) -> tuple[Colu
 
 def thin_outline(line: Column, parts: int = 20) -> Column:
     """Keep the first, the last and every max(1, n div parts)-th vertex."""
-    n = F.size(line)
-    step = F.greatest(F.lit(1), F.floor(n / F.lit(parts)).cast("int"))
-    return F.filter(line, lambda p, i: (i == 0) | (i == n - 1) | (i % step == 0))
+    def pick(points: Column) -> Column:
+        n = F.size(points)
+        step = F.greatest(F.lit(1), F.floor(n / F.lit(parts)).cast("int"))
+        return F.filter(points, lambda p, i: (i == 0) | (i == n - 1) | (i % step == 0))
+
+    return let(line, pick)
 
 
 def sample_line(line: Column, most: int = 60) -> Column:
     """Every ceil(n / most)-th vertex, with the last one."""
-    n = F.size(line)
-    step = F.greatest(F.lit(1), F.ceil(n / F.lit(float(most))).cast("int"))
-    return F.filter(line, lambda p, i: (i % step == 0) | (i == n - 1))
+    def pick(points: Column) -> Column:
+        n = F.size(points)
+        step = F.greatest(F.lit(1), F.ceil(n / F.lit(float(most))).cast("int"))
+        return F.filter(points, lambda p, i: (i % step == 0) | (i == n - 1))
+
+    return let(line, pick)
 
 
 # ---------------------------------------------------------------- SQL surface

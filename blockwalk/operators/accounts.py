@@ -96,6 +96,18 @@ def search_sessions(sessions: DataFrame, profiles: DataFrame, query: str, tab: s
                        | F.col("session_id").cast("string").contains(query.lower()))
 
 
+def search_feedback(feedback: DataFrame, profiles: DataFrame, query: str) -> DataFrame:
+    """Feedback whose text, answer or owner holds the query."""
+    return with_owner(feedback, profiles).filter(contains_text(
+        query, F.col("suggestions"), F.col("useful"), F.col("owner_name"), F.col("owner_mobile")))
+
+
+def page_with_total(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+    """One page with the exact number of all rows beside each (``total``): a top-k plan and one count."""
+    total = df.agg(F.count(F.lit(1)).alias("total")).first()["total"]
+    return page(df, order, number, size).withColumn("total", F.lit(total).cast("bigint"))
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """One page; a top-k plan, never a full sort."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)

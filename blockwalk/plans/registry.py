@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["analytics", "geometry", "features", "spatial", "tracks", "layouts", "streams"]
+MODULES = ["analytics", "geometry", "features", "spatial", "tracks", "layouts", "desk", "streams"]
 
 
 def _modules():

@@ -81,16 +81,32 @@ def without_keys(df: DataFrame, deleted: DataFrame, keys: list[str]) -> DataFram
     return df.join(deleted.select(*keys).distinct(), keys, "left_anti")
 
 
-def write_sessions(points: DataFrame, path: str, buckets: int = 64) -> None:
-    """Store fixes partitioned by a hash bucket of the session, so one session reads one folder."""
-    points.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")) \
-        .repartition("bucket", F.pmod(F.xxhash64("point_id"), F.lit(8))) \
-        .write.mode("append").partitionBy("bucket").parquet(path)
+def layers(current: DataFrame, new: DataFrame, keys: list[str], replace: bool) -> DataFrame:
+    """Map layers after an import: appended to what is there, or in place of it for every key that the import covers."""
+    kept = without_keys(current, new, keys) if replace else current
+    return kept.unionByName(new)
 
 
-def read_session(spark: SparkSession, path: str, session_id, buckets: int = 64) -> DataFrame:
-    probe = spark.range(1).select(F.pmod(F.xxhash64(F.lit(session_id)), F.lit(buckets)).cast("int")).first()[0]
-    return spark.read.parquet(path).filter((F.col("bucket") == probe) & (F.col("session_id") == session_id)).drop("bucket")
+BUCKET_ROWS = 4_000_000
+
+
+def write_sessions(points: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> None:
+    """Store fixes in hash buckets of the session, about ``bucket_rows`` fixes each, in session order inside a file.
+
+    The number of buckets follows the data of each append and is part of the folder's name, so appends of different sizes lie
+    side by side.
+    """
+    buckets = max(1, -(-points.count() // bucket_rows))
+    points.withColumns({"buckets": F.lit(buckets), "bucket": F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")}) \
+        .repartition("bucket", F.pmod(F.xxhash64("point_id"), F.lit(8))).sortWithinPartitions("bucket", "session_id", "point_id") \
+        .write.mode("append").partitionBy("buckets", "bucket").parquet(path)
+
+
+def read_session(spark: SparkSession, path: str, session_id) -> DataFrame:
+    """One session's fixes: folders are pruned by bucket, row groups by the session's place in the sort order."""
+    stored = spark.read.parquet(path)
+    own = F.pmod(F.xxhash64(F.lit(session_id).cast(stored.schema["session_id"].dataType)), F.col("buckets"))
+    return stored.filter((F.col("bucket") == own) & (F.col("session_id") == session_id)).drop("buckets", "bucket")
 
 
 # --------------------------------------------------------------------- CSV

@@ -213,8 +213,9 @@ def test_full_cover_finds_inner_tiles(spark):
 
 def test_session_store(spark, tmp_path):
     pts = spark.createDataFrame([(s, i, float(i)) for s in range(5) for i in range(10)], "session_id long, point_id long, v double")
-    tables.write_sessions(pts, str(tmp_path / "s"), 4)
-    assert tables.read_session(spark, str(tmp_path / "s"), 3, 4).count() == 10
+    tables.write_sessions(pts, str(tmp_path / "s"), 7)
+    tables.write_sessions(pts.withColumn("point_id", pts.point_id + 100), str(tmp_path / "s"))
+    assert tables.read_session(spark, str(tmp_path / "s"), 3).count() == 20
     merged = tables.merge_latest(spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "id int, state string, n int"),
                                  spark.createDataFrame([(2, "c", None), (3, "d", 9)], "id int, state string, n int"), ["id"])
     assert {tuple(r) for r in merged.collect()} == {(1, "a", 5), (2, "c", 6), (3, "d", 9)}
