@@ -9,6 +9,7 @@ from blockwalk.operators import assign, features, layout
 from blockwalk.plans import bindings as b
 from blockwalk.plans import sqltext as t
 from blockwalk.plans.bindings import with_tables
+from blockwalk.plans.features import _BOUNDARY_AREA, _EMIT, _FARM_AREA, _TOUCH
 from blockwalk.sources import osm, texts
 
 
@@ -169,6 +170,16 @@ _PIX = """px AS (SELECT l_orderkey // 1000 AS hlb_id, (l_orderkey % 1000) // 32
                 cy * 10000000 + cx AS id FROM md WHERE label IN (0, 1, 4))"""
 _BOX = "bb AS (SELECT hlb_id, min(lat) AS s, max(lat) AS n, min(lng) AS w, max(lng) AS e FROM boundary_points GROUP BY 1)"
 CHECKS = {
+    "landcover_merge": with_tables("osm_elements", "boundary_points", query=f"""
+        , {_TOUCH}, {_EMIT},
+        f AS (SELECT hlb_id, sum({_FARM_AREA}) AS farm FROM touching WHERE br = 6 AND nv = 4 GROUP BY 1),
+        thin AS (SELECT a.hlb_id FROM {_BOUNDARY_AREA} a LEFT JOIN f USING (hlb_id) WHERE floor(coalesce(farm, 0) + 0.5) < area * 0.4),
+        cover AS (SELECT c_custkey AS id, c_custkey // 1000 AS hlb_id, CASE WHEN c_custkey % 2 = 0 THEN 'water' ELSE 'forest' END AS feature_type,
+                         {b.LAT.format(k='c_custkey % 1000')} AS lat, {b.LNG.format(k='c_custkey % 1000')} AS lng FROM customer),
+        inside AS (SELECT c.id, any_value(c.hlb_id) AS hlb_id, any_value(feature_type) AS feature_type FROM cover c JOIN thin USING (hlb_id) JOIN edges e USING (hlb_id)
+                   GROUP BY 1 HAVING count(*) FILTER (WHERE {t.crosses('c.lat', 'c.lng')}) % 2 = 1)
+        SELECT hlb_id, feature_type, count(*) AS polygons FROM (
+          SELECT hlb_id, feature_type FROM emitted WHERE kind = 'landuse' UNION ALL SELECT hlb_id, feature_type FROM inside) GROUP BY 1, 2"""),
     "grid_chunks": with_tables("boundary_points", query=f"""
         , {_BOX}, st AS (SELECT *, 97.0::DOUBLE / 111111 AS dy, 97.0::DOUBLE / (111111 * cos(radians((s + n) / 2))) AS dx FROM bb),
         r AS (SELECT *, unnest(range(0, CAST(ceil((n - s) / dy) AS BIGINT))) AS r FROM st),
