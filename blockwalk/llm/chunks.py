@@ -8,9 +8,10 @@ chunks up to ``LIMIT`` and starts over beyond it, which bounds its memory and ne
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 LIMIT = 800_000
+GROUP = 1 << 20
 
 _CHUNK = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 
@@ -24,22 +25,36 @@ class Chunked:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], special: str | None = None):
         self.encode, self.special = encode, special
-        self.known: dict[str, bytes | None] = {}
-
-    def __call__(self, text: str) -> bytes:
-        parts = _CHUNK.findall(text)
-        try:
-            return b"".join([self.known[p] for p in parts])
-        except (KeyError, TypeError):  # a chunk not seen yet, or one that must not be cut out
-            pass
+        self.known: dict[str, bytes] = {}
+        self.whole: set[str] = set()
+
+    def _learn(self, new: list[str]) -> None:
+        self.known.update(zip(new, self.encode(new), strict=True))
+        self.whole.update(p for p in new if _WIDE.search(p) or self.special and self.special in p)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > LIMIT:
             self.known.clear()
-        new = [p for p in set(parts) if p not in self.known]
-        whole = [p for p in new if _WIDE.search(p) or self.special and self.special in p]
-        if whole:
-            self.known.update(dict.fromkeys(whole))
-            new = list(set(new).difference(whole))
-        self.known.update(zip(new, self.encode(new), strict=True))
-        if any(self.known[p] is None for p in set(parts)):
-            return self.encode([text])[0]
-        return b"".join([self.known[p] for p in parts])
+            self.whole.clear()
+        get = self.known.get
+        parts = [_CHUNK.findall(t) for t in texts]
+        found = [list(map(get, p)) for p in parts]
+        new = list({p for ps, fs in zip(parts, found, strict=True) if None in fs for p, f in zip(ps, fs, strict=True) if f is None})
+        if new:
+            self._learn(new)
+        for text, ps, fs in zip(texts, parts, found, strict=True):
+            if self.whole and not self.whole.isdisjoint(ps):
+                yield self.encode([text])[0]
+            else:
+                yield b"".join(map(get, ps) if None in fs else fs)
+
+    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text; texts are worked on in groups of about ``GROUP`` characters."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)

@@ -204,8 +204,7 @@ def round_trips(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         bpe, encode = _kept(lines.value, pattern)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encode(text)
+            for doc_id, ids in zip(batch["doc_id"], encode(batch["text"]), strict=True):
                 out.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
 
