@@ -34,6 +34,7 @@ HEAD = 12
 SELECT = LEAST - HEAD + 1
 FILTER_BITS = 1 << 27
 SLICES = 64
+ROWS = 10_000
 _PLACE = 24  # bits of a position beside the order of a gram
 
 
@@ -81,7 +82,7 @@ def repeated_filter(suffixes: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"part": [p], "bits": [bits.tobytes()]})
 
     whole = np.zeros((SLICES, FILTER_BITS // SLICES // 8), dtype=np.uint8)
-    for row in repeated.repartition(SLICES, "part").mapInPandas(fill, "part int, bits binary").toLocalIterator():
+    for row in repeated.repartition(SLICES, "part").mapInPandas(fill, "part int, bits binary").collect():  # FILTER_BITS in all
         whole[row["part"]] |= np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
     return whole
 
@@ -104,7 +105,7 @@ def extensions(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(repeated_filter(rows.mapInPandas(keep, "suffix long, doc_id long")))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
+        bits, columns = shared.value, ["doc_id", "ext", "first", "wins"]
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -117,14 +118,18 @@ def extensions(docs: DataFrame) -> DataFrame:
                 for a, b in zip(first[stay].tolist(), n[stay].tolist(), strict=True):
                     own = wins[a:a + b]
                     out.append((doc_id, xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63), a, own))
-            yield pd.DataFrame(out, columns=["doc_id", "ext", "first", "wins"])
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
 
     return rows.mapInPandas(extend, "doc_id long, ext long, first int, wins array<long>")
 
 
 def _spans(first: np.ndarray, mask: np.ndarray) -> list[list[int]]:
     """Word spans (start, end exclusive) that the marked windows cover."""
-    starts = np.unique(np.concatenate([a + np.flatnonzero([(m >> k) & 1 for k in range(SELECT)]) for a, m in zip(first.tolist(), mask.tolist(), strict=True)]))
+    row, off = np.nonzero((mask[:, None] >> np.arange(SELECT)) & 1)
+    starts = np.unique(first[row] + off)
     if not len(starts):
         return []
     new = np.r_[True, np.diff(starts) > LEAST]
@@ -150,13 +155,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = found.select("doc_id", "ext", "first").join(masks, "ext").select(
         "doc_id", "first", "mask", F.when(F.col("doc_id") > F.col("lo"), F.col("mask")).otherwise(F.col("mask_least")).alias("mask_cut"),
         F.when(F.col("w_lo") != F.col("doc_id"), F.col("w_lo")).otherwise(F.col("w_hi")).alias("partner"))
-    per_doc = rows.groupBy("doc_id").agg(F.collect_list(F.struct("first", "mask", "mask_cut")).alias("m"), F.collect_set("partner").alias("partners"))
+    per_doc = rows.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array(F.col("first").cast("long"), "mask", "mask_cut"))).alias("m"), F.collect_set("partner").alias("partners"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc_id, m, partners in zip(batch["doc_id"], batch["m"], batch["partners"], strict=True):
-                table = np.array([(x["first"], x["mask"], x["mask_cut"]) for x in m], dtype=np.int64)
+                table = np.array(m, dtype=np.int64).reshape(-1, 3)
                 spans, cuts = _spans(table[:, 0], table[:, 1]), _spans(table[:, 0], table[:, 2])
                 out.append((doc_id, sum(b - a for a, b in spans), spans, cuts, sorted(partners)))
             yield pd.DataFrame(out, columns=["doc_id", "n_repeated", "spans", "cut_spans", "partners"])

@@ -10,7 +10,7 @@ import xxhash
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-REMEMBER = 1_000_000
+REMEMBER = 300_000
 
 
 class _Hashes(dict):
@@ -26,7 +26,7 @@ _known = _Hashes()
 
 def word_hashes(text: str) -> np.ndarray:
     known, found = _known, _WORD.findall(text)
-    return np.array([known[w] for w in found], dtype=np.uint64)
+    return np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
