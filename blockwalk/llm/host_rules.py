@@ -22,6 +22,7 @@ from blockwalk.llm.common import SPACE, cut, squeezed, texts
 
 MIN_WORDS = 50
 HOST_LIMIT = 0.8
+BROADCAST_HOSTS = 100_000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -125,6 +126,12 @@ def kept_rows(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT)
     counted = with_counts(docs, prefix="__q_")
     names = (*COUNTS, "n_lines")
     seen = counted.select(F.col(host).alias("host"), *[F.col(f"__q_{c}").alias(c) for c in names])
-    bad_hosts = host_verdicts(seen, limit).where("host_failed").select(F.col("host").alias("__host"))
+    bad_hosts = cut(host_verdicts(seen, limit).where("host_failed").select(F.col("host").alias("__host")))
+    n = bad_hosts.count()
     failed = " OR ".join(RULES[k] for k in BASE).replace("n_", "__q_n_")
-    return counted.where(~F.expr(failed)).join(bad_hosts, F.col(host) == F.col("__host"), "left_anti").select(*docs.columns)
+    passed = counted.where(~F.expr(failed))
+    if n:
+        # few hosts fail: texts stay where they are; beyond the bound the adaptive join splits a large host
+        side = F.broadcast(bad_hosts) if n <= BROADCAST_HOSTS else bad_hosts
+        passed = passed.join(side, F.col(host) == F.col("__host"), "left_anti")
+    return passed.select(*docs.columns)
