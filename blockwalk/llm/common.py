@@ -39,8 +39,16 @@ def in_fold(doc_id: Column, parts: int, which: int) -> Column:
     return F.coalesce(fold(doc_id, parts) == which, F.lit(False))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have yet."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["SPACE", "cut", "fold", "in_fold", "partitions", "squeezed", "table", "texts"]
+__all__ = ["SPACE", "cut", "fold", "free_name", "in_fold", "partitions", "squeezed", "table", "texts"]

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockwalk.llm.common import cut, squeezed, texts
+from blockwalk.llm.common import cut, free_name, squeezed, texts
 
 HOT_SHARE = 1000
 SALTS = 64
@@ -57,11 +57,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with its own columns.
 
-    Two rows with one id and one text are the same row: one of them stays.
+    Rows are told apart by id and text together, so an id, or no id, may stand on several texts. Two rows with one id
+    and one text are the same row: one of them stays.
     """
-    gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("id"), "keep_id")
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.id"))
-    again = gone.where(F.col("id").eqNullSafe(F.col("keep_id"))).select("id").distinct()
-    once = docs.alias("l").join(gone.where(~F.col("id").eqNullSafe(F.col("keep_id"))).alias("r"), same, "left_anti")
-    twice = once.alias("l").join(again.alias("r"), same, "left_semi").dropDuplicates(["doc_id"])
-    return once.alias("l").join(again.alias("r"), same, "left_anti").unionByName(twice)
+    key = free_name(docs, "text_sha256")
+    rows = docs.withColumn(key, F.sha2(squeezed(F.coalesce(F.col("text"), F.lit(""))), 256))
+    gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("id"), "keep_id", "text_sha256")
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.id")) & (F.col(f"l.{key}") == F.col("r.text_sha256"))
+    again = gone.where(F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "text_sha256").distinct()
+    once = rows.alias("l").join(gone.where(~F.col("id").eqNullSafe(F.col("keep_id"))).alias("r"), same, "left_anti")
+    twice = once.alias("l").join(again.alias("r"), same, "left_semi").dropDuplicates(["doc_id", key])
+    return once.alias("l").join(again.alias("r"), same, "left_anti").unionByName(twice).drop(key)

@@ -13,7 +13,7 @@ one row per member (its links, its local component), never pairs, so a group's p
 
 Cases: a text of one to four words is one shingle; a text without words has no links and is its own class; rows that
 repeat an id are one document (with different texts: the one of the least hash); null ids are not compared, each gives
-(null, null, 0); an empty table gives no rows.
+(null, null, 0) in ``classes``, while ``kept_rows`` compares rows and not ids; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockwalk.llm.common import cut, partitions, texts
+from blockwalk.llm.common import cut, free_name, partitions, texts
 from blockwalk.llm.links import components
 from blockwalk.llm.words import shingles
 
@@ -63,18 +63,31 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
     return [next(m for m in range(n + 1) if reach(m, n, threshold) >= tolerance) for n in range(STEP, VALUES + 1, STEP)]
 
 
+def _set_id(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
+def _body_id(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, set_id, n, sig) per document with an id."""
+    """(doc_id, body_id, set_id, n, sig), one row per row of ``docs``; ``body_id`` is the SHA-256 of the text."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for text in batch["text"]:
                 found = shingles(text, WORDS)
-                out.append((doc_id, hashlib.blake2b(found.tobytes(), digest_size=16).digest(), len(found), minhash(found)))
-            yield pd.DataFrame(out, columns=["doc_id", "set_id", "n", "sig"])
+                out.append((_set_id(found), len(found), minhash(found)))
+            new = pd.DataFrame(out, columns=["set_id", "n", "sig"])
+            yield batch[["id", "unknown", "body_id"]].assign(**{c: new[c].to_numpy() for c in new})
 
-    return texts(docs).where("doc_id IS NOT NULL").mapInPandas(sign, "doc_id long, set_id binary, n long, sig binary")
+    # a column of longs with nulls would reach Python as floats
+    rows = texts(docs).select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("unknown"),
+                              _body_id(F.col("text")).alias("body_id"), "text")
+    return rows.mapInPandas(sign, "id long, unknown boolean, body_id binary, set_id binary, n long, sig binary") \
+        .select(F.when(~F.col("unknown"), F.col("id")).alias("doc_id"), "body_id", "set_id", "n", "sig")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -195,10 +208,12 @@ def exact_links(sets: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndar
 def _verified(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(id, root, blocks, links, label) per task: links to others by their copies, and the least id of the local component.
 
-    ``nodes`` has (id, set_id, copies, root, blocks).
+    ``nodes`` has (id, doc_id, body_id, set_id, copies, root, blocks); a node's text is that of the row with its doc_id and body_id.
     """
-    kept = nodes.select("id", "set_id", "copies", "root", "blocks")
-    rows = texts(docs).join(kept, F.col("doc_id") == F.col("id")).select("id", "set_id", "copies", "root", "blocks", "text")
+    kept = nodes.select("id", F.col("doc_id").alias("of_doc"), F.col("body_id").alias("of_body"), "set_id", "copies", "root", "blocks")
+    rows = texts(docs).withColumn("body_id", _body_id(F.col("text"))) \
+        .join(kept, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("body_id") == F.col("of_body"))) \
+        .select("id", "set_id", "copies", "root", "blocks", "text")
     tasks = _blocks(rows.withColumn("of", F.col("blocks")), "root", "blocks")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -206,7 +221,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
         sets, keep = [], []
         for k, (text, set_id) in enumerate(zip(group["text"], group["set_id"], strict=True)):
             found = shingles(text, WORDS)
-            if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == bytes(set_id):
+            if _set_id(found) == bytes(set_id):
                 sets.append(found)
                 keep.append(k)
         group = group.iloc[keep]
@@ -223,16 +238,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return tasks.groupBy("root", "i", "j").applyInPandas(compare, "id long, root long, blocks long, links long, label long")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, class_id, n_links, copy_of), one row per document.
-
-    ``class_id`` is the least id among all documents reached over links, ``n_links`` the number of other documents at or
-    over the threshold, copies included, and ``copy_of`` the least id with the same shingle set.
-    """
-    signed = cut(signatures(docs).groupBy("doc_id").agg(F.min(F.struct("set_id", "n", "sig")).alias("v")).select("doc_id", "v.*"))
-    sets = cut(signed.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
-    reps = signed.join(sets, (F.col("doc_id") == F.col("id")) & (signed["set_id"] == sets["set_id"])) \
-        .select("id", signed["set_id"], "copies", "n", "sig")
+def _linked(docs: DataFrame, reps: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(id, links, least) of the nodes ``reps`` (id, doc_id, body_id, set_id, copies, n, sig) that may have links: documents linked, the component's least node."""
     roots = components(candidates(reps, threshold, tolerance))
     sized = reps.drop("sig").join(roots, "id")
     per_root = sized.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
@@ -240,8 +247,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     nodes = sized.join(per_root, "root").withColumn("blocks", blocks)
     checked = cut(_verified(docs, nodes, threshold))
     split = components(checked.where("blocks > 1").select(F.col("id").alias("a"), F.col("label").alias("b")))
-    found = checked.groupBy("id").agg(F.sum("links").alias("links"), F.min("label").alias("label")).join(split, "id", "left") \
+    return checked.groupBy("id").agg(F.sum("links").alias("links"), F.min("label").alias("label")).join(split, "id", "left") \
         .select("id", "links", F.coalesce("root", "label").alias("least"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """(doc_id, class_id, n_links, copy_of), one row per document.
+
+    ``class_id`` is the least id among all documents reached over links, ``n_links`` the number of other documents at or
+    over the threshold, copies included, and ``copy_of`` the least id with the same shingle set.
+    """
+    known = signatures(docs.where("doc_id IS NOT NULL"))
+    signed = cut(known.groupBy("doc_id").agg(F.min(F.struct("set_id", "n", "sig", "body_id")).alias("v")).select("doc_id", "v.*"))
+    sets = cut(signed.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
+    reps = signed.join(sets, (F.col("doc_id") == F.col("id")) & (signed["set_id"] == sets["set_id"])) \
+        .select("id", "doc_id", "body_id", signed["set_id"], "copies", "n", "sig")
+    found = _linked(docs, reps, threshold, tolerance)
     per_set = sets.join(found, "id", "left").select(
         "set_id", F.col("id").alias("copy_of"), F.coalesce("least", "id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
@@ -255,6 +276,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with its own columns: of each class the least id, and rows without an id."""
-    gone = classes(docs).where("class_id <> doc_id").select("doc_id")
-    return docs.alias("l").join(gone.alias("r"), F.col("l.doc_id") == F.col("r.doc_id"), "left_anti")
+    """The rows of ``docs`` that stay, with its own columns: of each class the row of the least id, and rows without words.
+
+    Here rows are compared by (doc_id, text), so every text of an id and every row without an id takes part; null ids sort last.
+    """
+    signed = cut(signatures(docs).where("n > 0").distinct())
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "set_id", "body_id")
+    sets = cut(signed.groupBy("set_id").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+               .withColumn("id", F.monotonically_increasing_id()))  # fixed by the checkpoint
+    found = _linked(docs, sets.select("id", "first.doc_id", "first.body_id", "set_id", "copies", "n", "sig"), THRESHOLD, TOLERANCE)
+    stays = sets.join(found, "id", "left").groupBy(F.coalesce("least", "id")).agg(F.min("first").alias("first")).select("first.*")
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
+    gone = signed.alias("l").join(stays.alias("r"), same & (F.col("l.body_id") == F.col("r.body_id")), "left_anti").select("doc_id", "body_id")
+    key = free_name(docs, "body_id")
+    rows = docs.withColumn(key, _body_id(F.coalesce(F.col("text"), F.lit(""))))
+    return rows.alias("l").join(gone.alias("r"), same & (F.col(f"l.{key}") == F.col("r.body_id")), "left_anti").drop(key)

@@ -9,6 +9,8 @@ reads it back for the next stage. All but the last return the columns of ``docum
 * ``secrets``: secrets are masked in place; no document goes.
 * ``packing``: the token pieces and their places in sequences of at most 2048 tokens.
 
+Rows are told apart by id and text: a missing id, or one that stands on several texts, takes no other row with it.
+
 Cases: null texts fail the quality rules; empty tables pass through as empty; repeated rows collapse in ``exact``; extra columns are kept
 until packing.
 """

@@ -86,6 +86,25 @@ def test_jaccard_odd_rows(odd, nothing):
     assert J.classes(nothing).count() == 0 and J.kept_rows(nothing).count() == 0
 
 
+def test_near_stage_drops_rows_not_ids(spark, words):
+    rnd = random.Random(3)
+    text = [" ".join(rnd.choices(words, k=60)) for _ in range(5)]
+    big = 2**53 + 1
+    rows = [(5, text[0]), (7, text[0] + " tail"), (7, text[1]), (None, text[0] + " end"), (None, text[2]), (None, text[2] + " end"), (None, text[3]),
+            (None, ""), (big, text[4]), (big + 1, text[4] + " tail"), (None, None), (8, text[1] + " tail")]
+    got = J.kept_rows(documents(spark, rows).withColumn("body_id", F.lit("clash"))).collect()
+    kept = {(r["doc_id"], r["text"]) for r in got}
+    twins = {(None, text[2]), (None, text[2] + " end")}
+    assert len(kept & twins) == 1
+    assert kept - twins == {(5, text[0]), (7, text[1]), (None, text[3]), (None, ""), (None, None), (big, text[4])} and len(got) == 7
+
+
+def test_near_stage_against_all_pairs(spark, near, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 40)
+    kept = {r["doc_id"] for r in J.kept_rows(documents(spark, list(near.items()))).collect()}
+    assert kept == {i for i, (root, _) in brute_classes(near).items() if root == i}
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
 def test_components(spark, shape):
     rnd = random.Random(4)

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from blockwalk.llm import content_sort, host_rules, secret_ledger
 from blockwalk.llm.secret_ledger import RULES, Rule
@@ -87,6 +88,14 @@ def test_sort_odd_rows(odd, nothing):
     assert content_sort.exact_groups(nothing).count() == 0 and content_sort.kept_rows(nothing).count() == 0
 
 
+def test_exact_stage_drops_rows_not_ids(spark, odd):
+    kept = content_sort.kept_rows(odd)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect() if r["doc_id"] in (None, 1, 3)) == [(0, "no id here"), (1, "alpha beta"), (3, None)]
+    rows = [(None, "a b"), (None, "a  b"), (None, "c"), (None, "c d"), (1, "c"), (2, "x"), (2, "y"), (2, "y"), (3, "x"), (4, "z"), (4, "x")]
+    got = content_sort.kept_rows(documents(spark, rows).withColumn("text_sha256", F.lit("clash"))).collect()
+    assert sorted((r["doc_id"] or 0, " ".join(r["text"].split())) for r in got) == [(0, "a b"), (0, "c d"), (1, "c"), (2, "x"), (2, "y"), (4, "z")]
+
+
 def test_ledger_odd_rows(odd, nothing):
     findings, _ = secret_ledger.scan(odd)
     got = secret_ledger.by_row(odd, findings)
