@@ -1,15 +1,15 @@
 """Main text of web pages, without what a site repeats.
 
 A page is read into a tree of elements; every element's subtree has a hash of its tag, names and text. Spark counts, per
-host, on how many different pages a subtree stands (pages of one content count once). Subtrees that recur on at least ``LEAST_PAGES``
-pages and ``LEAST_SHARE`` of the host's pages are the site's template and are deleted. Independently of that, elements that by
+host and per section of it (the first folder of the path), on how many different pages a subtree stands (pages of one content count once).
+Subtrees that recur on at least ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's or the section's pages are template and are deleted. Independently of that, elements that by
 their tag, role or names are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments are left out.
 
-Where a page marks its article (``article``, ``main``), only that is read, and its headings, paragraphs and quotations stay
-even if they recur: a sentence that many articles share is text, not template.
+The whole page is read. Where it marks its article (``article``, else ``main``), headings, paragraphs and quotations inside stay
+even if they recur: a sentence that many articles share is text, not template. Outside, recurring ones go like any subtree.
 
-A host has at most (subtrees per page / ``LEAST_SHARE``) template hashes. They are broadcast if all hosts' hashes
-together are under ``BROADCAST_HASHES``; else they are joined by host, where the adaptive plan splits a large host.
+A host or section has at most (subtrees per page / ``LEAST_SHARE``) template hashes. They are broadcast if all hosts' hashes
+together are under ``BROADCAST_HASHES``; else they are joined by host and by section, where the adaptive plan splits a large one.
 
 Cases: a null or empty html gives an empty text; a null url has no host and no template; repeated rows count once and repeat their result;
 an empty table gives no rows; cut-off and unbalanced markup is closed at the end of the page.
@@ -164,24 +164,21 @@ def subtrees(root: Element) -> Iterator[Element]:
                 todo.append(kid)
 
 
-def _roots(page: Element) -> tuple[list[Element], bool]:
-    """Where the main text is, and whether the page says so itself."""
-    for wanted in ("article", "main"):
-        found, todo = [], [page]
-        while todo:
-            at = todo.pop()
-            if at.tag == wanted and not at.dropped:
-                found.append(at)
-            elif not at.dropped:
-                todo += [k for k in reversed(at.kids) if not isinstance(k, str)]
-        if found:
-            return found, True
-    return [page], False
+def _holder(page: Element) -> str:
+    """The element that holds the page's article: ``article`` if any is read, else ``main``."""
+    todo = [page]
+    while todo:
+        at = todo.pop()
+        if not at.dropped:
+            if at.tag == "article":
+                return "article"
+            todo += [k for k in at.kids if not isinstance(k, str)]
+    return "main"
 
 
 def main_text(page: Element, template: frozenset[int] | set[int] = frozenset()) -> str:
     """Blocks in page order, joined by an empty line."""
-    roots, stated = _roots(page)
+    holder = _holder(page)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -190,24 +187,24 @@ def main_text(page: Element, template: frozenset[int] | set[int] = frozenset())
             blocks.append(text)
         line.clear()
 
-    todo: list[Element | str | None] = list(reversed(roots))
+    todo: list[tuple[Element | str | None, bool]] = [(page, False)]
     while todo:
-        at = todo.pop()
+        at, inside = todo.pop()
         if at is None:
             flush()
         elif isinstance(at, str):
             line.append(at)
         elif at.tag in SPACED:
             line.append(" ")
-            todo += reversed(at.kids)
-        elif at not in roots and (at.dropped or at.digest in template and not (stated and at.tag in PROSE)):
-            continue
-        elif at.tag in BLOCKS or at in roots:
-            flush()
-            todo.append(None)
-            todo += reversed(at.kids)
+            todo += [(k, inside) for k in reversed(at.kids)]
         else:
-            todo += reversed(at.kids)
+            first = at.tag == holder and not inside
+            if at.dropped or at.digest in template and not first and not (inside and at.tag in PROSE):
+                continue
+            if at.tag in BLOCKS:
+                flush()
+                todo.append((None, False))
+            todo += [(k, inside or first) for k in reversed(at.kids)]
     flush()
     return "\n\n".join(blocks)
 
@@ -215,25 +212,28 @@ def main_text(page: Element, template: frozenset[int] | set[int] = frozenset())
 def _pages(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     host = F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.nullif(host, F.lit("")).alias("host"))
+    folder = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^/?#]+)/", 1)
+    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.nullif(host, F.lit("")).alias("host"),
+                        F.when((host != "") & (folder != ""), F.concat(host, folder)).alias("section"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, hashes): the subtrees that recur on a host. ``pages`` has the columns of ``_pages``."""
+    """(site, hashes): the subtrees that recur on a host or in a section. ``pages`` has the columns of ``_pages``."""
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for host, html in zip(batch["host"], batch["html"], strict=True):
+            for host, section, html in zip(batch["host"], batch["section"], batch["html"], strict=True):
                 page = parse(html)
-                out += [(host, page.digest, d) for d in {e.digest for e in subtrees(page)} | {0}]
-            yield pd.DataFrame(out, columns=["host", "page", "subtree"])
+                found = {e.digest for e in subtrees(page)} | {0}
+                out += [(site, page.digest, d) for site in (host, section) if site is not None for d in found]
+            yield pd.DataFrame(out, columns=["site", "page", "subtree"])
 
-    rows = pages.where("host IS NOT NULL").mapInPandas(hashes, "host string, page long, subtree long").distinct()
-    counts = cut(rows.groupBy("host", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST_PAGES) | (F.col("subtree") == 0)))
-    total = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))  # 0 stands for the page itself
-    return counts.where("subtree <> 0").join(total, "host").where(F.col("n") >= F.col("pages") * LEAST_SHARE) \
-        .groupBy("host").agg(F.collect_list("subtree").alias("hashes"))
+    rows = pages.where("host IS NOT NULL").mapInPandas(hashes, "site string, page long, subtree long").distinct()
+    counts = cut(rows.groupBy("site", "subtree").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST_PAGES) | (F.col("subtree") == 0)))
+    total = counts.where("subtree = 0").select("site", F.col("n").alias("pages"))  # 0 stands for the page itself
+    return counts.where("subtree <> 0").join(total, "site").where(F.col("n") >= F.col("pages") * LEAST_SHARE) \
+        .groupBy("site").agg(F.collect_list("subtree").alias("hashes"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -241,12 +241,15 @@ def extracted(pages: DataFrame) -> DataFrame:
     rows = _pages(pages)
     found = cut(templates(rows))
     size = found.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0)).alias("n")).first()["n"]
-    side = F.broadcast(found) if size <= BROADCAST_HASHES else found
+    small = size <= BROADCAST_HASHES
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            text = [main_text(parse(h), set() if t is None else set(t)) for h, t in zip(batch["html"], batch["hashes"], strict=True)]
+            text = [main_text(parse(h), {d for t in both if t is not None for d in t})
+                    for h, *both in zip(batch["html"], batch["of_host"], batch["of_section"], strict=True)]
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    return rows.join(side, "host", "left").select("page_id", "url", "html", "hashes") \
+    of = lambda column: found.select(F.col("site").alias(column), F.col("hashes").alias(f"of_{column}"))
+    return rows.join(F.broadcast(of("host")) if small else of("host"), "host", "left") \
+        .join(F.broadcast(of("section")) if small else of("section"), "section", "left").select("page_id", "url", "html", "of_host", "of_section") \
         .mapInPandas(read, "page_id long, url string, text string, n_chars long")

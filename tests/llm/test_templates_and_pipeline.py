@@ -24,6 +24,22 @@ def test_rules():
     assert text_of('<body class="no-sidebar with-comments"><p>stays</p>') == "stays"
 
 
+def test_text_outside_articles_stays():
+    assert text_of("<main><h1>T</h1><p>text</p><article>teaser</article></main>") == "T\n\ntext\n\nteaser"
+    assert text_of("<body><nav>n</nav><h1>T</h1><p>intro</p><article><p>a</article><p>end<footer>f") == "T\n\nintro\n\na\n\nend"
+    page = X.parse("<body><p>notice</p><main><p>notice</p><article><p>notice</p></article></main>")
+    notice = {e.digest for e in X.subtrees(page) if e.tag == "p"}
+    assert X.main_text(page, notice) == "notice"  # the one inside the article
+
+
+def test_templates_of_a_section(spark):
+    rnd = random.Random(5)
+    rows = [(i, f"https://c.example/{'sport' if i % 40 == 0 else 'news'}/{i}",
+             f"<body><p>{' '.join(f'w{rnd.randrange(10_000)}' for _ in range(9))}</p>{'<div>Sport desk</div>' if i % 40 == 0 else ''}</body>") for i in range(240)]
+    got = {r["page_id"]: r["text"] for r in X.extracted(pages(spark, rows)).collect()}
+    assert all(re.fullmatch(r"w[w\d ]+", t) for t in got.values()) and len(got) == 240  # 6 of 240 pages of the host, all of the section
+
+
 def test_broken_markup():
     assert text_of("") == "" and text_of("<") == "<" and text_of("a < b") == "a < b" and text_of("<div") == "" and text_of("<p>x</p></div></p>y &am") == "x\n\ny &am"
     assert text_of("<div>" * 5000 + "deep") == "deep"
