@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -67,6 +68,17 @@ def test_pruning_rule():
         assert J.reach(m, n) >= 1e-5 and (m == 0 or J.reach(m - 1, n) < 1e-5)
 
 
+def test_pruning_loses_less_than_the_bands():
+    s = J.THRESHOLD
+    step = [math.comb(J.STEP, k) * s**k * (1 - s) ** (J.STEP - k) for k in range(J.STEP + 1)]
+    chance, lost = np.array([1.0]), 0.0
+    for least in J.least_matches(s, J.TOLERANCE):
+        chance = np.convolve(chance, step)
+        lost += chance[:least].sum()
+        chance[:least] = 0
+    assert lost < (1 - s**J.ROWS) ** J.BANDS
+
+
 def test_minhash_estimates(words):
     a = set(range(4000))
     for share in (0.3, 0.8):
