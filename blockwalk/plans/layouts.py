@@ -48,7 +48,7 @@ def grid_size(s, d):
 
 
 def block_detect(s, d):
-    return layout.detect_blocks(b.boundaries(s, d), b.roads(s, d), 10.0).select(
+    return layout.detect_blocks(b.boundaries(s, d), b.roads(s, d)).select(
         "hlb_id", "label", "area_m2", F.round("clat", 6).alias("clat"), F.round("clng", 6).alias("clng"))
 
 
@@ -58,7 +58,7 @@ def _block_jobs(s, d):
 
 def lattice(s, d):
     blocks = _block_jobs(s, d)
-    kept = layout.preserved_symbols(b.symbols(s, d).filter("symbol_type = 'temple'"), blocks).withColumn("ring", F.col("exclusion"))
+    kept = layout.preserved_symbols(b.symbols(s, d), blocks).withColumn("ring", F.col("exclusion"))
     return layout.lattice(blocks.withColumn("ring", assign.block_ring()), kept, b.roads(s, d)).groupBy("hlb_id", "block_id").agg(
         F.count(F.lit(1)).alias("candidates"), F.round(F.min("edge_m"), 2).alias("least_edge_m"), F.round(F.first("step"), 6).alias("step"))
 
@@ -69,8 +69,7 @@ def place_groups(s, d):
     groups = _block_jobs(s, d).select("hlb_id", "block_id", F.explode(F.array(
         group(0, "pucca_house", F.lit(12).cast("long"), None), group(1, "apartment", F.lit(5).cast("long"), 4),
         group(2, "non_residential", F.col("count") - 20, None))).alias("_g")).select("hlb_id", "block_id", "_g.*")
-    temples = b.symbols(s, d).filter("symbol_type = 'temple'")
-    return layout.populate(_block_jobs(s, d), groups, temples, b.roads(s, d), "serpentine").select("hlb_id", "block_id", "slot", "symbol_type", "unit_count", "is_residential")
+    return layout.populate(_block_jobs(s, d), groups, b.symbols(s, d), b.roads(s, d), "serpentine").select("hlb_id", "block_id", "slot", "symbol_type", "unit_count", "is_residential")
 
 
 def _pixels(s, d):

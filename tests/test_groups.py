@@ -404,3 +404,19 @@ def test_square_offsets(spark):
     assert min(nine) == (-10.0, -10.0) and max(nine) == (10.0, 10.0) and nine[1] == (0.0, -10.0)
     assert len([r for r in rows if r["key"] == 2]) == 4 and not [r for r in rows if r["key"] == 3]
     assert [(r["x"], r["y"]) for r in rows if r["key"] == 4] == [(5.0, 7.0)]
+
+
+def test_layout_queries_do_the_whole_job(spark, sf, monkeypatch):
+    """Every kept symbol of the binding keeps its place clear, and blocks have the operator's own cells."""
+    from blockwalk.plans import bindings, layouts
+    kept = {r[0] for r in bindings.symbols(spark, sf).select("symbol_type").distinct().collect()}
+    seen = []
+    keep = layout.preserved_symbols
+    monkeypatch.setattr(layout, "preserved_symbols", lambda symbols, blocks: seen.append(symbols) or keep(symbols, blocks))
+    layouts.lattice(spark, sf)
+    layouts.place_groups(spark, sf)
+    assert len(seen) == 2 and all({r[0] for r in s.select("symbol_type").distinct().collect()} == kept for s in seen)
+    cells = []
+    monkeypatch.setattr(layout, "block_cells", lambda boundaries, roads, cell_m, half, f=layout.block_cells: cells.append(cell_m) or f(boundaries, roads, cell_m, half))
+    layouts.block_detect(spark, sf)
+    assert cells == [2.0]
