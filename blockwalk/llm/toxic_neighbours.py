@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples.
 
 Texts are TF-IDF vectors over the words and word beginnings that tell labelled toxic texts from others (chi-squared over
-a bounded, hash-chosen sample of labelled rows), with one pseudo-term that every text has, so that texts with little
+a bounded, hash-chosen sample of labelled rows; document frequencies are those of the whole table), with one pseudo-term that every text has, so that texts with little
 evidence lie near each other. The nearest examples by cosine are found exactly in an inverted index whose postings
 are kept in blocks of examples: a block's greatest possible cosine is the query's weights times the blocks' greatest
 weights, and blocks are scored in that order until none can reach the k-th best. Ties at the k-th place all vote.
@@ -31,7 +31,6 @@ from blockwalk.llm.common import in_fold, texts
 
 FOLDS, HELD_OUT = 5, 0
 PER_CLASS = 2000
-TERMS = 600
 LEAST_DOCS, LEAST_Z = 5, 5.0
 PREFIXES = range(3, 8)
 BACKGROUND = 2.0
@@ -202,6 +201,25 @@ def _associations(examples: DataFrame) -> DataFrame:
         .groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
 
 
+def _idf(docs: DataFrame, chosen: list[str]) -> np.ndarray:
+    """Inverse document frequencies over all rows of ``docs``, summed in each task first."""
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms = Terms(shared.value)
+        n = np.zeros(len(shared.value) + 1, dtype=np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                n[[t for t, _ in terms(text)]] += 1
+            n[-1] += len(batch)
+        yield pd.DataFrame({"at": np.arange(len(n)), "n": n})
+
+    held = np.zeros(len(chosen) + 1)
+    for row in texts(docs).select("text").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        held[row["at"]] = row["n"]
+    return np.log(1 + held[-1] / np.maximum(held[:-1], 1))
+
+
 def build(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], Index]:
     """The chosen terms and the calibrated index."""
     examples, totals = sample(docs, labels, per_class)
@@ -214,9 +232,9 @@ def build(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
         spread = F.sqrt(F.col("n") * rate * (1 - rate) * (1 - F.col("n") / n) + 1e-9)
         top = _associations(examples).where(F.col("n") >= LEAST_DOCS) \
             .withColumn("z", F.abs(F.col("n_toxic") - F.col("n") * rate) / spread).where(F.col("z") >= LEAST_Z) \
-            .orderBy(F.desc("z"), "term").limit(TERMS).collect()
+            .orderBy(F.desc("z"), "term").collect()  # bounded by the examples
         chosen = [r["term"] for r in top]
-        idf = np.array([np.log(1 + n / r["n"]) for r in top])
+        idf = _idf(docs, chosen)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = Terms(chosen)

@@ -224,6 +224,14 @@ def test_held_out_labels_are_never_read(labelled):
     assert one[0] == two[0] and one[1].curve == two[1].curve and (one[1].ids == two[1].ids).all()
 
 
+def test_document_frequencies_are_of_the_whole_table(labelled):
+    docs, labels = labelled
+    more = docs.unionByName(docs.selectExpr("doc_id + 100000 AS doc_id", "'vile words' AS text", "lang", "source", "n_chars"))
+    chosen, index = toxic_neighbours.build(more, labels)
+    held = sum("vile" in r["text"].split() for r in more.collect())
+    assert np.isclose(index.idf[chosen.index("vile")], np.log(1 + 1800 / held)) and held > 900
+
+
 def test_nearest_is_exact(labelled):
     docs, labels = labelled
     chosen, index = toxic_neighbours.build(docs, labels)
