@@ -5,7 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockwalk.llm import best_fit, content_sort, host_rules, jaccard_pruning, language_codes, secret_ledger, segment_bpe, sparse_suffix, template_removal, toxic_neighbours
+from blockwalk.llm import (
+    best_fit,
+    collocations,
+    content_sort,
+    host_rules,
+    jaccard_pruning,
+    language_codes,
+    secret_ledger,
+    segment_bpe,
+    sparse_suffix,
+    template_removal,
+    toxic_neighbours,
+)
 from blockwalk.llm.common import table
 
 
@@ -55,8 +67,13 @@ def op10_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_neighbours.scored(docs, *toxic_neighbours.build(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_codes, op2_best_fit, op3_segment_bpe, op4_secret_ledger, op5_template_removal, op6_jaccard_pruning, op7_content_sort, op8_sparse_suffix, op9_host_rules, op10_toxic_neighbours)}
+    op1_language_codes, op2_best_fit, op3_segment_bpe, op4_secret_ledger, op5_template_removal, op6_jaccard_pruning, op7_content_sort, op8_sparse_suffix,
+    op9_host_rules, op10_toxic_neighbours, op11_collocations)}
 
 
 def _secrets() -> str:
