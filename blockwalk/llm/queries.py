@@ -12,11 +12,13 @@ from blockwalk.llm import (
     host_rules,
     jaccard_pruning,
     language_codes,
+    projection_passes,
     secret_ledger,
     segment_bpe,
     sparse_suffix,
     template_removal,
     toxic_neighbours,
+    whitening,
 )
 from blockwalk.llm.common import table
 
@@ -71,9 +73,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_passes.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spectrum_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_codes, op2_best_fit, op3_segment_bpe, op4_secret_ledger, op5_template_removal, op6_jaccard_pruning, op7_content_sort, op8_sparse_suffix,
-    op9_host_rules, op10_toxic_neighbours, op11_collocations)}
+    op9_host_rules, op10_toxic_neighbours, op11_collocations, op12_projection_passes, op13_spectrum_slices)}
 
 
 def _secrets() -> str:
