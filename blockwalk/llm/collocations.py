@@ -3,11 +3,11 @@
 A suffix is a word and the words that follow it in its piece, cut at the longest phrase length. A first scan counts, inside each task,
 the distinct suffixes below prefixes of one and two words; prefixes that would fill more than a share of the memory budget are extended
 by a word, and prefixes are then dealt to groups of about one budget each. A second scan sends every suffix, with its number in the
-task, to the group of its prefix. A group sorts its suffixes - the leaves of its subtrees, in order - and reads the totals
-of all nodes from runs of leaves. Nodes above an extended prefix are totalled over their groups.
+task, to the group of its prefix, all suffixes of a prefix in one row. A group takes its prefixes in order, builds the subtree of each from its
+leaves and reads the totals of all nodes from theirs. Nodes above an extended prefix are totalled over their groups.
 
 No language, word or passage gathers in one task: equal suffixes are counted before they travel, and a heavy prefix is spread by its
-extensions. What goes back to the tasks is the list of extended prefixes, at most ``SHARE`` entries per budget of leaves.
+extensions. What goes back to the tasks is the list of extended prefixes, at most ``SHARE`` per group and depth.
 
 Cases: a null text is empty, a null language is ``und``; an empty table or one without candidates gives no rows; repeated rows count
 again; other columns are left out; ids play no part.
@@ -33,7 +33,8 @@ TOP = 2000
 #: Leaves of one group, and the share of it (1 / SHARE) beyond which a prefix is extended.
 BUDGET = 1_000_000
 SHARE = 4
-#: Words that a task counts at once, distinct words it numbers, and bytes of a text that it reads at once.
+#: Prefixes sent at once, words that a task counts at once, distinct words it numbers, and bytes of a text that it reads at once.
+PREFIXES = 2_000
 AT_ONCE = 3_000_000
 NUMBERED = 1_000_000
 SLICE = 1 << 20
@@ -127,24 +128,17 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _strings(words: list[bytes], numbers: np.ndarray) -> pa.Array:
-    used, place = np.unique(numbers, return_inverse=True)
-    known = pa.array([words[i] for i in used], type=pa.binary()).cast(pa.string())
-    return known.take(pa.array(place))
-
-
 def heavy_prefixes(docs: DataFrame, budget: int = BUDGET) -> tuple[int, list[tuple]]:
-    """The number of leaves, and the prefixes (lang, first word, second word or empty) that are extended.
+    """The number of groups, and the prefixes (lang, first word, second word or empty) that are extended.
 
-    A task names the prefixes above its own share of the limit, so a prefix that is not named by any has at most the limit,
-    and one that some tasks leave out is short of at most the limit.
+    The limit is a share of the budget and of an even group. Each count of a task names what exceeds half the limit's share of it, so a prefix
+    that no task names is below the limit.
     """
-    rows = _rows(docs)
-    limit = max(1, budget // SHARE)
-    share = max(1, limit // max(1, rows.rdd.getNumPartitions()))
+    least_groups = partitions(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, codes, _ in _leaves(batches):
+            share = max(1, min(budget, len(codes) / least_groups) / (2 * SHARE))
             out = [("", "", len(codes))]
             for depth in range(1, LONGEST):
                 prefix = codes >> (_BITS * (LONGEST - depth))
@@ -158,89 +152,145 @@ def heavy_prefixes(docs: DataFrame, budget: int = BUDGET) -> tuple[int, list[tup
             first, second, size = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out)), pa.array(first), pa.array(second), pa.array(size)], ["lang", "first", "second", "leaves"])
 
-    named = rows.mapInArrow(count, "lang string, first string, second string, leaves long")
-    found = named.groupBy(F.when(F.col("first") != "", F.col("lang")).alias("lang"), "first", "second").agg(F.sum("leaves").alias("leaves")) \
-        .where((F.col("first") == "") | (F.col("leaves") >= limit)).collect()
-    return sum(r["leaves"] for r in found if not r["first"]), [(r["lang"], r["first"], r["second"]) for r in found if r["first"]]
+    named = _rows(docs).mapInArrow(count, "lang string, first string, second string, leaves long") \
+        .groupBy(F.when(F.col("first") != "", F.col("lang")).alias("lang"), "first", "second").agg(F.sum("leaves").alias("leaves"))
+    named = cut(named)
+    total = named.where("first = ''").agg(F.sum("leaves")).first()[0] or 0
+    groups = max(least_groups, -(-total // budget))
+    limit = max(1, total / groups / SHARE)
+    found = named.where((F.col("first") != "") & (F.col("leaves") >= limit)).collect()
+    return groups, [(r["lang"], r["first"], r["second"]) for r in found]
+
+
+_DEALT = "lang string, w1 string, w2 string, w3 string, tails string, counts array<int>"
 
 
 def _dealt(docs: DataFrame, heavy: list[tuple]) -> DataFrame:
-    """(lang, w1, w2, w3, level, leaves): suffixes with their number in a task; the first ``level`` words choose the group."""
+    """A row per count of a task and prefix: its words (null from where it ends), the rest of each suffix below it, and their numbers."""
     known = docs.sparkSession.sparkContext.broadcast(
         {level: {(lang, *[w.encode() for w in rest[:level]]) for lang, *rest in heavy if bool(rest[1]) == (level > 1)} for level in (1, 2)})
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones, twos = known.value[1], known.value[2]
         for lang, words, codes, counts in _leaves(batches):
-            w1, w2, w3 = codes >> (2 * _BITS), (codes >> _BITS) & _MASK, codes & _MASK
-            used1 = np.unique(w1)
-            level = 1 + np.isin(w1, [i for i in used1 if (lang, words[i]) in ones]).astype(np.int8)
+            level = 1 + np.isin(codes >> (2 * _BITS), [i for i in np.unique(codes >> (2 * _BITS)) if (lang, words[i]) in ones]).astype(np.int8)
             if twos:
                 pairs = np.unique(codes[level == 2] >> _BITS)
-                level = level + np.isin(codes >> _BITS, [p for p in pairs if (lang, words[p >> _BITS], words[p & _MASK]) in twos]).astype(np.int8)
-            columns = [_strings(words, w) for w in (w1, w2, w3)]
-            whole = pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(codes), dtype=np.int8))), *columns, pa.array(level.astype(np.int8)),
-                                                pa.array(counts.astype(np.int64))], ["lang", "w1", "w2", "w3", "level", "leaves"])
-            for at in range(0, len(codes), 50_000):
-                yield whole.slice(at, 50_000)
-
-    return _rows(docs).mapInArrow(send, "lang string, w1 string, w2 string, w3 string, level byte, leaves long")
-
-
-def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Totals of the nodes of sorted leaves, per depth; nodes above the group's own prefixes whatever their total."""
-    names = ["lang", "w1", "w2", "w3"]
-    waiting: list[tuple | None] = [None] * LONGEST  # per depth the last node, which the next batch may go on with
-    totals: dict[str, int] = {}
+                level += np.isin(codes >> _BITS, [p for p in pairs if (lang, words[p >> _BITS], words[p & _MASK]) in twos]).astype(np.int8)
+            text = pa.array(words, type=pa.binary()).cast(pa.string())
+            head = codes >> (_BITS * (LONGEST - level))
+            starts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (level[1:] != level[:-1])])
+            for first in range(0, len(starts), PREFIXES):
+                at = starts[first:first + PREFIXES]
+                end = starts[first + PREFIXES] if first + PREFIXES < len(starts) else len(codes)
+                part, depth = codes[at[0]:end], level[at[0]:end]
+                place = [(part >> (_BITS * k)) & _MASK for k in (2, 1, 0)]
+                below = [pc.if_else(pa.array(depth <= k), text.take(pa.array(place[k])), "") for k in (1, 2)]
+                tails = pc.binary_join_element_wise(*below, " ")
+                offsets = pa.array(np.r_[at, end] - at[0], type=pa.int32())
+                columns = [pc.if_else(pa.array(level[at] > k), text.take(pa.array(place[k][at - at[0]])), pa.scalar(None, pa.string())) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(at)), text.take(pa.array(place[0][at - at[0]])), *columns, pc.binary_join(pa.ListArray.from_arrays(offsets, tails), "\n"),
+                     pa.ListArray.from_arrays(offsets, pa.array(counts[at[0]:end].astype(np.int32)))], ["lang", "w1", "w2", "w3", "tails", "counts"])
+
+    return _rows(docs).mapInArrow(send, _DEALT)
+
+
+class _Subtree:
+    """The leaves below one prefix, by the words that follow it."""
+
+    def __init__(self, lang: str, prefix: tuple[str, ...]):
+        self.lang, self.prefix, self.parts, self.total = lang, prefix, [], 0
+
+    def add(self, tails: str, counts: np.ndarray, total: int) -> None:
+        self.parts.append((tails, counts))
+        self.total += total
+
+    def nodes(self, least: int) -> Iterator[tuple]:
+        """(words, total) of the prefix's own node and of all nodes below it that are found often enough."""
+        if self.total < least or not self.prefix[-1]:  # a suffix that ends where its prefix is extended has no node of its own
+            return
+        leaves: dict[str, int] = {}
+        for tails, counts in self.parts:
+            for tail, n in zip(tails.split("\n"), counts.tolist(), strict=True):
+                leaves[tail] = leaves.get(tail, 0) + n
+        above: dict[str, int] = {}
+        depth = len(self.prefix)
+        yield self.prefix, self.total
+        for tail, n in leaves.items():
+            first, _, second = tail.strip(" ").partition(" ")
+            if first:
+                above[first] = above.get(first, 0) + n
+                if second and n >= least:
+                    yield (*self.prefix, first, second), n
+        if depth < LONGEST:
+            for first, n in above.items():
+                if n >= least:
+                    yield (*self.prefix, first), n
+
+
+def _totals(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Totals of nodes from prefixes in order, one prefix in memory at a time; nodes above extended prefixes as far as this group goes."""
+    shared: dict[tuple, int] = {}
+    out: list[tuple] = []
+    tree: _Subtree | None = None
+
+    def close() -> None:
+        if tree is None:
+            return
+        for depth in range(1, len(tree.prefix)):
+            key = (tree.lang, *tree.prefix[:depth], *[""] * (LONGEST - depth))
+            shared[key] = shared.get(key, 0) + tree.total
+        out.extend((tree.lang, *words, *[""] * (LONGEST - len(words)), n) for words, n in tree.nodes(least))
 
     def given(rows: list[tuple]) -> pa.RecordBatch:
-        keys = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([*[pa.array(k, type=pa.string()) for k in keys[:4]], pa.array(keys[4], type=pa.int64())], [*names, "a"])
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64() if k == LONGEST + 1 else pa.string()) for k, c in enumerate(columns)], ["lang", "w1", "w2", "w3", "a"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i) for i in range(4)]
-        level, leaves = batch.column(4).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)
-        moved = [np.r_[True, pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)].astype(bool) for c in columns]
-        ended: list[tuple] = []
-        new = moved[0]
-        for at, end in zip(np.flatnonzero(new), [*np.flatnonzero(new)[1:], len(leaves)], strict=True):
-            lang = columns[0][int(at)].as_py()
-            totals[lang] = totals.get(lang, 0) + int(leaves[at:end].sum())
-        for depth in range(1, LONGEST + 1):
-            new = new | moved[depth]
-            starts = np.flatnonzero(new)
-            sums = np.add.reduceat(leaves, starts)
-            ok = np.ones(len(starts), dtype=bool) if depth == 1 else pc.not_equal(columns[depth].take(pa.array(starts)), "").to_numpy(zero_copy_only=False)
-            key = lambda i, d=depth: tuple(c[int(i)].as_py() for c in columns[:d + 1]) + ("",) * (LONGEST - d)
-            before = waiting[depth - 1]
-            if before is not None:
-                if before[0] == key(starts[0]):
-                    sums[0] += before[1]
-                elif before[2] and (before[1] >= least or before[3]):
-                    ended.append((*before[0], before[1]))
-            waiting[depth - 1] = (key(starts[-1]), int(sums[-1]), bool(ok[-1]), bool(level[starts[-1]] > depth))
-            out = (ok & ((sums >= least) | (level[starts] > depth)))[:-1].nonzero()[0]
-            if len(out):
-                index = pa.array(starts[out])
-                blank = pa.array([""] * len(out))
-                yield pa.RecordBatch.from_arrays([*[c.take(index) for c in columns[:depth + 1]], *[blank] * (LONGEST - depth), pa.array(sums[out])], [*names, "a"])
-        if ended:
-            yield given(ended)
-    rest = [(*x[0], x[1]) for x in waiting if x is not None and x[2] and (x[1] >= least or x[3])]
-    rest += [(lang, "", "", "", n) for lang, n in totals.items()]
-    if rest:
-        yield given(rest)
+        keys = [batch.column(i) if i < 2 else pc.fill_null(batch.column(i), "\n") for i in range(4)]  # no word has a line's end
+        counts = batch.column(5)
+        offsets = counts.offsets.to_numpy() - counts.offsets[0].as_py()
+        flat = counts.flatten().to_numpy()
+        sums = np.add.reduceat(flat.astype(np.int64), offsets[:-1])
+        langs = keys[0].dictionary_encode()
+        for lang, n in zip(langs.dictionary.to_pylist(), np.bincount(langs.indices.to_numpy(), weights=sums), strict=True):
+            shared[(lang, *[""] * LONGEST)] = shared.get((lang, *[""] * LONGEST), 0) + int(n)
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for column in keys:
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+        new[0] = True
+        starts = np.flatnonzero(new)
+        ends = np.r_[starts[1:], batch.num_rows]
+        # whole prefixes that are found too seldom for any node end here; the first and last may go on in other batches
+        seen = np.add.reduceat(sums, starts) >= least
+        seen |= pc.not_equal(keys[2], "\n").to_numpy(zero_copy_only=False)[starts]
+        seen[[0, -1]] = True
+        for at, end in zip(starts[seen].tolist(), ends[seen].tolist(), strict=True):
+            lang, *words = (c[at].as_py() for c in keys)
+            prefix = tuple(w for w in words if w != "\n")
+            if tree is None or tree.prefix != prefix or tree.lang != lang:
+                close()
+                tree = _Subtree(lang, prefix)
+            for i in range(at, end):
+                tree.add(batch.column(4)[i].as_py(), flat[offsets[i]:offsets[i + 1]], int(sums[i]))
+        if out:
+            yield given(out)
+            out.clear()
+    close()
+    out += [(*key, n) for key, n in shared.items()]
+    if out:
+        yield given(out)
 
 
 def nodes(docs: DataFrame, least: int = LEAST, budget: int = BUDGET) -> DataFrame:
     """(lang, w1, w2, w3, a): phrases of one to three words found ``least`` times or more; with no word, all words of the language."""
-    total, heavy = heavy_prefixes(docs, budget)
-    groups = max(partitions(docs.sparkSession), -(-total // budget))
-    by = [F.col("lang"), F.col("w1"), F.when(F.col("level") > 1, F.col("w2")), F.when(F.col("level") > 2, F.col("w3"))]
-    sorted_leaves = _dealt(docs, heavy).repartition(groups, *by).sortWithinPartitions("w1", "lang", "w2", "w3")
-    found = sorted_leaves.mapInArrow(lambda batches: _runs(batches, least), "lang string, w1 string, w2 string, w3 string, a long")
+    groups, heavy = heavy_prefixes(docs, budget)
+    # a prefix lies in one group; the groups of a task come one prefix after another
+    prefixes = _dealt(docs, heavy).repartition(groups, "lang", "w1", "w2", "w3").sortWithinPartitions("w1", "lang", "w2", "w3")
+    found = prefixes.mapInArrow(lambda batches: _totals(batches, least), "lang string, w1 string, w2 string, w3 string, a long")
     return found.groupBy("lang", "w1", "w2", "w3").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("w1") == ""))
 
 
