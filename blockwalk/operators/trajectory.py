@@ -52,6 +52,11 @@ def with_motion(smoothed: DataFrame, limit: int = TASK_ROWS, count_on: DataFrame
 
     rows = Ordered.of(smoothed, KEY, _order(), limit, count_on).frame(
         before=4, _ys=last5("lat"), _xs=last5("lng")).rows()
+    return motion_columns(rows)
+
+
+def motion_columns(rows: DataFrame) -> DataFrame:
+    """What follows from the last five smoothed positions (``_ys``, ``_xs``), the speed and the accuracy of a fix."""
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v) / 5
     rows = rows.withColumns({"_cy": mean(F.col("_ys")), "_cx": mean(F.col("_xs"))})
     far = F.exists(F.arrays_zip("_ys", "_xs"), lambda p: geo.haversine_m(
@@ -136,7 +141,7 @@ def path_length(path: DataFrame, lat: str = "out_lat", lng: str = "out_lng", lim
                 count_on: DataFrame | None = None) -> DataFrame:
     """Metres along the path and its point count per session."""
     rows = Ordered.of(path, KEY, _order(), limit, count_on).lag(_lat=lat, _lng=lng).rows()
-    hop = F.coalesce(geo.haversine_m("_lat", "_lng", lat, lng), F.lit(0.0))
+    hop = F.when(F.col("_lat").isNotNull(), geo.haversine_m("_lat", "_lng", lat, lng)).otherwise(0.0)  # the first point has no way behind it
     return rows.groupBy("session_id").agg(F.sum(hop).alias("distance_m"), F.count(F.lit(1)).alias("points"))
 
 

@@ -196,7 +196,7 @@ _BROKEN = _SNAP.format(src="gps_points") + """,
   path AS (SELECT p.*, n.road_id IS NOT NULL AND p.point_id % 4 = 0 AS on_road, p.point_id % 37 = 0 AS paused,
            CASE WHEN (p.point_id // 900) % 2 = 0 THEN 'residential' ELSE 'track' END AS road_type
            FROM gps_points p LEFT JOIN snap n ON n.point_id = p.point_id), """ + _segments("path")
-_LEN = f"""len AS (SELECT session_id, sum(coalesce({t.hav('pla', 'pln', 'lat', 'lng')}, 0)) AS m, count(*) AS n, min(ts) AS t0, max(ts) AS t1
+_LEN = f"""len AS (SELECT session_id, sum(CASE WHEN pla IS NULL THEN 0 ELSE {t.hav('pla', 'pln', 'lat', 'lng')} END) AS m, count(*) AS n, min(ts) AS t0, max(ts) AS t1
    FROM (SELECT *, lag(lat) OVER w AS pla, lag(lng) OVER w AS pln FROM gps_points
          WINDOW w AS (PARTITION BY session_id ORDER BY ts, point_id)) GROUP BY 1)"""
 _MARKS = """marks AS (SELECT user_id AS session_id, count(*) AS n, count(*) FILTER (WHERE event_id % 3 IN (0, 1)) AS houses

@@ -30,6 +30,20 @@ def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/batch=*")
 
 
+def relay(stream: DataFrame, folder: str, interval: str | None = None) -> DataFrame:
+    """Store an appending stream with Spark's exactly-once file sink and read it on as a stream, for a step with a state of its own.
+
+    Without an interval the available input is stored before the next step begins; with one both queries run side by side.
+    """
+    spark = stream.sparkSession
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+    if interval:
+        writer.trigger(processingTime=interval).start()
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.readStream.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Last stored version of every key of an updating result."""
     rest = [c for c in rows.columns if c not in (*keys, "batch")]
