@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockwalk.functions.geo import let
-from blockwalk.llm.common import texts
+from blockwalk.llm.common import cut, texts
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` in Java syntax; its group ``measured`` (0: the match) must have ``least`` characters, or the match is dropped.
+    """``pattern`` in Java syntax, without repeated groups: the matcher calls itself for each turn of one, and a long text ends the executor. Its group ``measured`` (0: the match) must have ``least`` characters, or the match is dropped.
     ``hint`` is a cheap pattern that every text with a match satisfies."""
 
     kind: str
@@ -45,7 +45,7 @@ RULES = (
          r"""(?i:word|passwd|secret|token|key)["']?\x20*[:=]"""),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16}"),
     Rule("hex", 1, r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1, r"PRIVATE KEY-----"),
+    Rule("pem", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"PRIVATE KEY-----"),
     Rule("forge", 1, r"gh[opsu]_[A-Za-z0-9]+", 0, 40, r"gh[opsu]_[A-Za-z0-9]{36}"),
 )
 
@@ -147,10 +147,27 @@ def _mask_one(rule: Rule, text: Column) -> Column:
     return F.when(text.rlike(rule.hint), F.concat(written, rest)).otherwise(text)
 
 
-def redacted(docs: DataFrame, rules=RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs``, its own columns; texts whose blob has findings are masked."""
+def scan_in_turns(batches: list[DataFrame], rules=RULES, ledger: DataFrame | None = None, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings, ledger) after one batch of versions after another: each turn scans what the ledger lacks, and both tables grow by its results."""
+    for docs in batches:
+        found, scanned = map(cut, scan(docs, rules, ledger))
+        stored = found if stored is None else stored.unionByName(found)
+        ledger = scanned if ledger is None else ledger.unionByName(scanned)
+    return stored, ledger
+
+
+def redacted(docs: DataFrame, rules=RULES, ledger: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs``, its own columns; texts whose blob has findings are masked.
+
+    With a ledger, ``stored`` must hold the findings of the scans it lists: their blobs are not scanned again, and are masked all the same.
+    """
+    if ledger is not None and stored is None:
+        raise ValueError("a ledger needs the findings of its scans")
     findings, _ = scan(docs, rules, ledger)
-    hit = findings.select("blob").distinct()
+    hit = findings.select("blob")
+    if stored is not None:
+        hit = hit.unionByName(stored.select("blob"))
+    hit = hit.distinct()
     blob = blob_of(F.coalesce(F.col("l.text"), F.lit("")))
     rows = docs.alias("l").join(hit.alias("r"), blob == F.col("r.blob"), "left")
     text = F.when(F.col("r.blob").isNotNull(), masked(F.col("l.text"), rules)).otherwise(F.col("l.text"))

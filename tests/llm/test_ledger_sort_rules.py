@@ -61,6 +61,34 @@ def test_added_rules_and_masks(spark):
     assert got == {1: "[pem]\nx [forge] [assign], deadbeef token:abc end", 2: "clean text stays", 3: None}
 
 
+def test_turns_add_up_and_mask(spark):
+    docs = documents(spark, TEXTS)
+    whole = by_id(secret_ledger.by_row(docs, secret_ledger.scan(docs)[0]), "spans")
+    stored, ledger = secret_ledger.scan_in_turns([docs.where("doc_id < 4"), docs, docs])
+    assert by_id(secret_ledger.by_row(docs, stored), "spans") == whole and ledger.count() == 6 * len(RULES) == ledger.distinct().count()
+    plain = by_id(secret_ledger.redacted(docs), "text")
+    assert by_id(secret_ledger.redacted(docs, ledger=ledger, stored=stored), "text") == plain and "hunter22" not in plain[1]
+    half, known = secret_ledger.scan_in_turns([docs.where("doc_id < 4")])
+    assert by_id(secret_ledger.redacted(docs, ledger=known, stored=half), "text") == plain
+    with pytest.raises(ValueError, match="findings"):
+        secret_ledger.redacted(docs, ledger=ledger)
+
+
+@pytest.mark.parametrize(("run", "spans"), [
+    ("-----BEGIN " + "AB " * 350_000 + "PRIVATE KEY-----", "pem:0:1050027"), ("-----BEGIN " + "A" * 1_000_000, ""), ("-----BEGIN " * 90_000 + "PRIVATE KEY-----", "pem:989989:990016"),
+    ("password=" + "a" * 1_000_000, "assign:0:1000009"), ("password" + " " * 1_000_000 + "= abcdef", "assign:0:1000016"), ("token" * 200_000, ""), ("AKIA" + "Z" * 1_000_000, "access:0:1000004"),
+    ("deadbeef" * 125_000, "hex:0:1000000"), ("ghp_" + "a1" * 500_000, "forge:0:1000004"), ("x" * 1_000_000 + " secret:abcdef", "assign:1000001:1000014"),
+])
+def test_rules_stand_long_runs(spark, run, spans):
+    """No rule's matcher goes deeper with its text, in scans or masks."""
+    docs = documents(spark, [(1, run)])
+    findings = secret_ledger.scan(docs)[0]
+    found = secret_ledger.by_row(docs, findings).first()["spans"]
+    assert spans in found and bool(spans) == bool(found)
+    left = secret_ledger.redacted(docs).first()["text"]
+    assert (left == run) == (not found)
+
+
 def test_exact_groups(spark):
     rows = [(5, "a b"), (3, "a\n\tb"), (9, "a  b"), (4, "ab"), (7, "A b"), (8, " a b"), (2, None), (6, ""), (1, "é" * 100 + "x"), (10, "é" * 100 + "y")]
     got = by_id(content_sort.exact_groups(documents(spark, rows)), "keep_id", "group_size", "kept", "text_sha256")
