@@ -2,7 +2,8 @@
 
 Counts of each text are column arithmetic: words, symbols, repeated lines, and the words inside 3-word windows that the
 text repeats. For the last, each window's 64-bit hash is shifted and its position put into the free bits; one in-row
-sort then puts equal windows side by side, and neighbours settle which positions repeat. Nothing is exploded or shuffled.
+sort then puts equal windows side by side, and neighbours name the positions that may repeat. Only their windows are then sorted by
+their words, which settles it: a hash that two windows share by chance counts nothing. Nothing is exploded or shuffled.
 
 Failures of each rule are summed per host with partial aggregation. A host's failure rate is shrunk by a beta prior that
 is fitted to all hosts by the method of moments, so a host with few documents is judged by the prior. A host
@@ -55,6 +56,12 @@ def repeat_words(words: Column) -> Column:
         kept = F.filter(s, lambda x, i: same(F.get(s, i - 1), x, mask) | same(F.get(s, i + 1), x, mask))
         return F.sort_array(F.transform(kept, lambda x: x.bitwiseAND(mask)))
 
+    def confirmed(p: Column, w: Column) -> Column:
+        window = lambda i: F.concat_ws(" ", *[F.get(w, i.cast("int") + k) for k in range(3)])
+        told = F.sort_array(F.transform(p, lambda i: F.struct(window(i).alias("t"), i.alias("i"))))
+        return let(told, lambda s: F.sort_array(F.transform(F.filter(
+            s, lambda x, i: F.coalesce(F.get(s, i - 1)["t"] == x["t"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["t"] == x["t"], F.lit(False))), lambda x: x["i"])))
+
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, i: F.coalesce(F.least(F.get(p, i + 1) - x, F.lit(3).cast("long")), F.lit(3).cast("long")))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, b: a + b)
@@ -62,7 +69,7 @@ def repeat_words(words: Column) -> Column:
     def counted(w: Column) -> Column:
         bits = F.length(F.bin(F.size(w)))
         room = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        found = let(bits, lambda b: let(F.sort_array(marked(w, b)), lambda s: let(room, lambda mask: let(repeated(s, mask), covered))))
+        found = let(bits, lambda b: let(F.sort_array(marked(w, b)), lambda s: let(room, lambda mask: let(repeated(s, mask), lambda p: let(confirmed(p, w), covered)))))
         return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(found)
 
     return let(words, counted)

@@ -4,6 +4,8 @@ A page is read into a tree of elements; every element's subtree has a hash of it
 host and per section of it (the first folder of the path), on how many different pages a subtree stands (pages of one content count once).
 Subtrees that recur on at least ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's or the section's pages are template and are deleted. Independently of that, elements that by
 their tag, role or names are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments are left out.
+A name alone never drops what the page is about: an element that holds most of the articles' prose (on a page without ``article``, of ``main``'s, else of
+the page's) stays whatever its class or id says, as ``has-sidebar`` or ``notice-board`` may; one named for comments stays only if it holds all articles.
 
 The whole page is read. Where it marks its article (``article``, else ``main``), headings, paragraphs and quotations inside stay
 even if they recur: a sentence that many articles share is text, not template. Outside, recurring ones go like any subtree.
@@ -68,14 +70,18 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("attrs", "digest", "dropped", "kids", "tag")
+    """``dropped`` by its tag, role or hiding, ``named`` for what is left out (twice for comments). ``prose`` counts the characters outside links in what is not
+    dropped: all, those inside ``main``, those inside articles; ``articles`` the articles that are not comments."""
+
+    __slots__ = ("articles", "attrs", "digest", "dropped", "kids", "named", "prose", "tag")
 
     def __init__(self, tag: str, attrs: str = "", article: bool = False):
-        self.tag, self.kids, self.digest = tag, [], 0
+        self.tag, self.kids, self.digest, self.prose, self.articles, self.named = tag, [], 0, (0, 0, 0), 0, 0
         self.attrs = " ".join(attrs.split())
         self.dropped = self._dropped(attrs, article)
 
     def _dropped(self, attrs: str, article: bool) -> bool:
+        """Also notes whether the element's names speak against it."""
         tag = self.tag
         if tag in DROPPED_TAGS or tag == "header" and not article:
             return True
@@ -92,9 +98,18 @@ class Element:
                 return tag not in ROOTS
         if tag in ROOTS:
             return False
-        return bool(named & DROPPED_ROLES or names & (COMMENT_NAMES if tag == "article" else DROPPED_NAMES))
+        if tag == "article":
+            return bool(named & DROPPED_ROLES or names & COMMENT_NAMES)
+        self.named = 2 if names & COMMENT_NAMES else 1 if names & DROPPED_NAMES else 0
+        return bool(named & DROPPED_ROLES)
 
     def close(self) -> None:
+        if not self.dropped and self.tag != "a":
+            own = sum(len(k) for k in self.kids if isinstance(k, str) and not k.isspace())
+            every, main, article = (sum(k.prose[i] for k in self.kids if not isinstance(k, str)) for i in range(3))
+            every += own
+            self.prose = (every, every if self.tag == "main" else main, every if self.tag == "article" else article)
+            self.articles = sum(k.articles for k in self.kids if not isinstance(k, str)) + (self.tag == "article")
         parts = [self.tag, self.attrs] + [k if isinstance(k, str) else f"\0{k.digest:x}" for k in self.kids]
         self.digest = xxhash.xxh3_64_intdigest("\1".join(parts)) - (1 << 63)
 
@@ -152,7 +167,22 @@ def parse(html: str) -> Element:
                 if stack[i].tag in ("article", "main", "body") and tag not in BLOCKS:
                     break  # a stray end tag inside does not end what holds it
     leave(0)
-    return root
+    return settle(root)
+
+
+def settle(page: Element) -> Element:
+    """Named elements go, but for those that hold most of the prose the page is about, and, if named for comments, all of its articles."""
+    kind = 2 if page.prose[2] else 1 if page.prose[1] else 0
+    todo = [page]
+    while todo:
+        at = todo.pop()
+        if at.dropped:
+            continue
+        if at.named:
+            most = 2 * at.prose[kind] > page.prose[kind] if kind or at.named == 1 else False
+            at.dropped = not (most and (at.named == 1 or at.articles == page.articles))
+        todo += [k for k in at.kids if not isinstance(k, str)]
+    return page
 
 
 def subtrees(root: Element) -> Iterator[Element]:

@@ -24,6 +24,22 @@ def test_rules():
     assert text_of('<body class="no-sidebar with-comments"><p>stays</p>') == "stays"
 
 
+def test_names_never_drop_what_the_page_is_about():
+    body = "<p>" + "The council met and spoke of roads. " * 8 + "</p>"
+    said = " ".join(("The council met and spoke of roads. " * 8).split())
+    for names in ('class="content has-sidebar"', 'id="layout" class="with-related"', 'class="share-page"', 'class="no-comments"'):
+        assert text_of(f"<body><div {names}><article>{body}</article></div><footer>f") == said, names
+        assert text_of(f"<body><div {names}><main>{body}</main></div><footer>f") in (said, ""), names
+    assert text_of(f'<body><div class="content has-sidebar"><main>{body}</main></div>') == said
+    assert text_of(f'<body><div class="notice-board-minutes">{body}</div><div class="notice">n</div>') == said
+    # names still drop what stands beside the article, however long
+    assert text_of(f'<body><article>{body}</article><div class="related"><article>teaser</article></div><div class="sidebar">{body}</div>') == said
+    assert text_of(f'<body><article>{body}</article><section id="comments"><article>{body}{body}</article></section>') == said
+    assert text_of(f'<body><p>short</p><div class="comments">{body}</div>') == "short"
+    assert text_of(f'<article>{body}<div class="share">s</div></article>') == said
+    assert text_of(f'<body><div class="nav-menu"><a href=x>{"one two three " * 40}</a></div><p>few words</p>') == "few words"
+
+
 def test_text_outside_articles_stays():
     assert text_of("<main><h1>T</h1><p>text</p><article>teaser</article></main>") == "T\n\ntext\n\nteaser"
     assert text_of("<body><nav>n</nav><h1>T</h1><p>intro</p><article><p>a</article><p>end<footer>f") == "T\n\nintro\n\na\n\nend"
