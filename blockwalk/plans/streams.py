@@ -13,6 +13,7 @@ from blockwalk.plans.analytics import CHECKS as ANALYTICS
 from blockwalk.plans.bindings import with_tables
 from blockwalk.plans.spatial import _SROADS, _frac, survey_roads
 from blockwalk.plans.tracks import _KALMAN, _SNAP, _marks, _motion, _segments, _thinned
+from blockwalk.sources.changelog import KeyedLog
 from blockwalk.streaming import changes, events, live, recorder, sinks
 
 
@@ -134,28 +135,37 @@ def stream_match(s, d):
                        F.round("out_lat", 7).alias("out_lat"), F.round("out_lng", 7).alias("out_lng"))
 
 
+def _order_id(k):
+    return F.concat(F.when(k % 4 == 0, "don_").when(k % 4 == 1, "ord_").when(k % 4 == 2, "live_").otherwise("lrg_"), k.cast("string"))
+
+
 def _callbacks(s, d):
     k = F.col("o_orderkey")
     kind = F.when(k % 3 == 0, changes.SUCCESS).when(k % 3 == 1, changes.FAILED).otherwise(changes.DROPPED[0])
-    order = F.concat(F.when(k % 2 == 0, "don_").otherwise("ord_"), k.cast("string"))
-    rows = _stream(s, d, "orders").select(order.alias("order_id"), kind.alias("type"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    rows = _stream(s, d, "orders").select(_order_id(k).alias("order_id"), kind.alias("type"), F.col("o_orderdate").cast("timestamp").alias("ts"))
     return rows.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")  # every callback arrives twice
 
 
 def stream_payments(s, d):
-    """Donations and maps settled from doubled callbacks, as one list of states."""
+    """Donations, live sessions and maps settled from doubled callbacks, all three tables whole."""
     folder, k = _folder(s), F.col("id")
-    order = F.concat(F.when(k % 2 == 0, "don_").otherwise("ord_"), k.cast("string"))
-    rows = b.projects(s, d).select("id", order.alias("payment_id"), F.lit("created").alias("payment_status"),
+    order = _order_id(k)
+    rows = b.projects(s, d).select("id", order.alias("payment_id"), order.alias("order_id"), F.lit("created").alias("payment_status"),
                                    F.lit(5).alias("regen_allowance"))
-    live = b.live_exports(s, d).select("session_id", "payment_id", "payment_status", F.lit(0).alias("regen_allowance"))
-    start = {"donations": rows.drop("regen_allowance").withColumn("is_paid", F.lit(None).cast("boolean")), "live_exports": live,
-             "projects": rows}
-    tables = {n: sinks.VersionedTable(s, f"{folder}/{n}").create(df) for n, df in start.items()}
+    start = {"donations": rows.filter(k % 4 == 0).drop("regen_allowance").withColumn("is_paid", F.lit(None).cast("boolean")),
+             "live_exports": rows.filter(k % 4 >= 2).withColumn("regen_allowance", F.lit(1)).withColumnRenamed("id", "session_id"),
+             "projects": rows.filter(k % 4 == 1)}
+    tables = {n: KeyedLog(s, f"{folder}/{n}", ["order_id"]).create(df) for n, df in start.items()}
     changes.settle_stream(_callbacks(s, d), tables, f"{folder}/checkpoint").awaitTermination()
-    don = tables["donations"].read().filter("id % 2 = 0").select("id", "payment_status", "is_paid", F.lit(None).cast("int").alias("regen_allowance"))
-    maps = tables["projects"].read().filter("id % 2 = 1").select("id", "payment_status", F.lit(None).cast("boolean").alias("is_paid"), "regen_allowance")
-    return don.unionByName(maps)
+    tables["projects"].compact(0)  # the drained input is one batch; a compacted table reads the same
+    out = None
+    for name, t in tables.items():
+        part = t.read().withColumnRenamed("session_id", "id")
+        part = part if "is_paid" in part.columns else part.withColumn("is_paid", F.lit(None).cast("boolean"))
+        part = part if "regen_allowance" in part.columns else part.withColumn("regen_allowance", F.lit(None).cast("int"))
+        part = part.select(F.lit(name).alias("relation"), "id", "payment_id", "payment_status", "is_paid", "regen_allowance")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def stream_announcements(s, d):
@@ -177,7 +187,7 @@ def stream_documents(s, d):
         F.struct(F.col("o_orderdate").cast("timestamp").alias("t"), F.col("o_orderkey").alias("k")).alias("updated_at"))
     stored = b.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("empty").alias("data"),
                                               F.lit(None).cast("struct<t:timestamp,k:bigint>").alias("updated_at"))
-    table = sinks.VersionedTable(s, f"{folder}/projects").create(stored)
+    table = KeyedLog(s, f"{folder}/projects", ["id"]).create(stored)
     changes.save_documents(saves, table, f"{folder}/checkpoint", interval=None).awaitTermination()
     return table.read().select("id", "data")
 
@@ -271,10 +281,13 @@ CHECKS = {
         SELECT session_id, p.point_id, road_id, round(coalesce(ay + f * (by_ - ay), p.lat), 7) AS out_lat,
                round(coalesce(ax + f * (bx - ax), p.lng), 7) AS out_lng FROM pts p LEFT JOIN best b ON b.point_id = p.point_id"""),
     "stream_payments": """
-        SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 'paid' WHEN 1 THEN 'failed' ELSE 'abandoned' END
-                 ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'paid' ELSE 'created' END END AS payment_status,
-               CASE WHEN o_orderkey % 6 = 0 THEN true END AS is_paid,
-               CASE WHEN o_orderkey % 2 = 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN 10 ELSE 5 END END AS regen_allowance FROM orders""",
+        SELECT CASE k % 4 WHEN 0 THEN 'donations' WHEN 1 THEN 'projects' ELSE 'live_exports' END AS relation, k AS id,
+               CASE WHEN k % 4 = 3 AND ok THEN 'processed_' ELSE '' END || CASE k % 4 WHEN 0 THEN 'don_' WHEN 1 THEN 'ord_' WHEN 2 THEN 'live_' ELSE 'lrg_' END || k AS payment_id,
+               CASE WHEN k % 4 = 0 THEN CASE k % 3 WHEN 0 THEN 'paid' WHEN 1 THEN 'failed' ELSE 'abandoned' END
+                    WHEN k % 4 < 3 AND ok THEN 'paid' ELSE 'created' END AS payment_status,
+               CASE WHEN k % 4 = 0 AND ok THEN true END AS is_paid,
+               CASE k % 4 WHEN 1 THEN CASE WHEN ok THEN 10 ELSE 5 END WHEN 2 THEN CASE WHEN ok THEN 6 ELSE 1 END WHEN 3 THEN CASE WHEN ok THEN 7 ELSE 1 END END AS regen_allowance
+        FROM (SELECT o_orderkey AS k, o_orderkey % 3 = 0 AS ok FROM orders)""",
     "stream_announcements": ANALYTICS["donation_transitions"].split("SELECT id, version, donor")[0]
         + "SELECT id, version, name, amount::DOUBLE AS amount, note FROM v WHERE is_paid AND old IS DISTINCT FROM true",
     "stream_documents": """

@@ -11,9 +11,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from blockwalk.functions import domain
 from blockwalk.operators.accounts import paid_transitions
+from blockwalk.operators.lineage import cut
 from blockwalk.ship import ship
+from blockwalk.sources.changelog import KeyedLog, changed_rows
 from blockwalk.sources.tables import merge_latest
-from blockwalk.streaming.sinks import VersionedTable, newest_rows, start
+from blockwalk.streaming.sinks import newest_rows, start
+
+#: The own key of each settled table.
+IDS = {"donations": "id", "live_exports": "session_id", "projects": "id"}
 
 # What a callback type means, and the images granted by a payment.
 SUCCESS = "PAYMENT_SUCCESS_WEBHOOK"
@@ -60,12 +65,19 @@ def settle(callbacks: DataFrame, donations: DataFrame, live_exports: DataFrame,
     return {"donations": don, "live_exports": live, "projects": maps}
 
 
-def settle_stream(callbacks: DataFrame, tables: dict[str, VersionedTable], checkpoint: str, interval: str | None = None):
-    """Keep the three tables settled from a callback stream."""
+def settle_stream(callbacks: DataFrame, tables: dict[str, KeyedLog], checkpoint: str, interval: str | None = None):
+    """Keep the three tables settled from a callback stream.
+
+    Each table is keyed by ``order_id``, the payment id that the order was made with. A batch reads the rows of its orders and logs those
+    that it changes.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
-        out = settle(batch, **{name: t.read(batch_id) for name, t in tables.items()})
-        for name, df in out.items():
-            tables[name].write(df, batch_id)
+        batch = cut(batch)
+        now = {name: cut(t.lookup(batch, batch_id)) for name, t in tables.items()}
+        out = settle(batch, **{name: rows.drop("order_id") for name, rows in now.items()})
+        for name, rows in out.items():
+            key = now[name].select("order_id", F.col(IDS[name]))
+            tables[name].append(changed_rows(now[name], rows.join(key, IDS[name]).select(*now[name].columns)), batch_id)
 
     return start(distinct_callbacks(callbacks), checkpoint, each, interval=interval)
 
@@ -86,11 +98,12 @@ def announcements(versions: DataFrame) -> DataFrame:
     return versions.groupBy("id").applyInPandasWithState(update, out, "paid boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def save_documents(saves: DataFrame, table: VersionedTable, checkpoint: str, interval: str | None = "2 seconds"):
-    """Store the last save of every project per micro-batch (``id``, ``data``, ``updated_at``)."""
+def save_documents(saves: DataFrame, table: KeyedLog, checkpoint: str, interval: str | None = "2 seconds"):
+    """Store the last save of every project per micro-batch (``id``, ``data``, ``updated_at``); a null keeps what was stored."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        last = newest_rows(batch, "id", ["updated_at"])
-        table.write(merge_latest(table.read(batch_id), last, ["id"]), batch_id)
+        last = cut(newest_rows(batch, "id", ["updated_at"]))
+        now = cut(table.lookup(last, batch_id))
+        table.append(changed_rows(now, merge_latest(now, last, ["id"])), batch_id)
 
     return start(saves, checkpoint, each, interval=interval)
 
