@@ -94,42 +94,148 @@ def nearest_gaps(lat, lng):
     return out
 
 
-def walk_order(lat, lng, start, passes=40):
-    """Nearest-neighbour walk from ``start``, then open-path 2-opt; returns row indices."""
+class Grid:
+    """Points by cells of about ``side`` metres; two points whose cells are k apart are at least (k - 1) sides apart.
+
+    ``take`` removes a point. Coarser grids over the same points tell where any are left.
+    """
+
+    def __init__(self, lat, lng, side, levels=1):
+        k = 111320.0
+        narrow = math.cos(math.radians(min(89.0, float(np.abs(lat).max()))))
+        self.side = side
+        self.cy = np.floor((lat - lat.min()) * k / side).astype(np.int64)
+        self.cx = np.floor((lng - lng.min()) * k * narrow / side).astype(np.int64)
+        self.levels = [defaultdict(set) if not n else defaultdict(int) for n in range(levels)]
+        for i, (y, x) in enumerate(zip(self.cy.tolist(), self.cx.tolist())):
+            self.levels[0][(y, x)].add(i)
+            for n in range(1, levels):
+                self.levels[n][(y >> n, x >> n)] += 1
+
+    def take(self, i):
+        y, x = int(self.cy[i]), int(self.cx[i])
+        self.levels[0][(y, x)].discard(i)
+        for n in range(1, len(self.levels)):
+            self.levels[n][(y >> n, x >> n)] -= 1
+
+    def within(self, y, x, reach):
+        """Points whose cells are at most ``reach`` cells away. Wide reaches go through the coarse cells that still hold points."""
+        n = 0
+        while n + 1 < len(self.levels) and (reach >> n) > 4:
+            n += 1
+        fine, found = self.levels[0], []
+        for by in range((y - reach) >> n, ((y + reach) >> n) + 1):
+            for bx in range((x - reach) >> n, ((x + reach) >> n) + 1):
+                if n and not self.levels[n].get((by, bx)):
+                    continue
+                for cy in range(max(by << n, y - reach), min((by + 1) << n, y + reach + 1)):
+                    for cx in range(max(bx << n, x - reach), min((bx + 1) << n, x + reach + 1)):
+                        found.extend(fine.get((cy, cx), ()))
+        return found
+
+
+def _cell_side(lat, lng):
+    """Metres: a few points per cell if they lie evenly, and no finer than a metre."""
+    high = (lat.max() - lat.min()) * 111320.0
+    wide = (lng.max() - lng.min()) * 111320.0 * math.cos(math.radians(float(lat.mean())))
+    return max(1.0, math.sqrt(2 * max(high, 1.0) * max(wide, 1.0) / len(lat)))
+
+
+def nearest_walk(lat, lng, start):
+    """Always on to the nearest point that is left, the first in order among equals.
+
+    The points that are left are found by growing squares of cells, so a step costs what lies about it.
+    """
     n = len(lat)
-    left = np.ones(n, bool)
+    levels = max(1, int(math.log2(n)) // 2)
+    grid = Grid(lat, lng, _cell_side(lat, lng), levels)
+    widest = int(max(grid.cy.max(), grid.cx.max())) + 1
     path, at = [start], start
-    left[start] = False
+    grid.take(start)
     for _ in range(n - 1):
-        cand = np.nonzero(left)[0]
-        at = int(cand[np.argmin(flat_m(lat[at], lng[at], lat[cand], lng[cand]))])
-        left[at] = False
+        y, x, reach = int(grid.cy[at]), int(grid.cx[at]), 1
+        best = None
+        while True:
+            cand = np.array(sorted(grid.within(y, x, reach)), dtype=np.int64)
+            if len(cand):
+                d = flat_m(lat[at], lng[at], lat[cand], lng[cand])
+                best = int(np.argmin(d))
+                # a point in a cell further out is at least ``reach`` sides away; the margin covers the scale of longitudes
+                if d[best] < reach * grid.side * 0.999 or reach > widest:
+                    break
+                reach = max(reach + 1, min(widest + 1, int(d[best] / (grid.side * 0.999)) + 1))
+            else:
+                reach *= 2
+        at = int(cand[best])
+        grid.take(at)
         path.append(at)
-    return two_opt(lat, lng, np.array(path), passes)
+    return np.array(path)
+
+
+def walk_order(lat, lng, start, passes=40):
+    """Nearest-neighbour walk from ``start``, then open-path 2-opt; returns row indices."""
+    return two_opt(lat, lng, nearest_walk(lat, lng, start), passes)
+
+
+def _about(y, x, lat, lng, radius, side, widest=6):
+    """Pairs (k, i): centre k of (y, x) and points i that lie within its radius, and some that lie a little further.
+
+    Centres are served by rings of cells; the few whose radius spans more than ``widest`` cells are held against all points.
+    """
+    k = 111320.0
+    narrow = math.cos(math.radians(min(89.0, float(np.abs(lat).max()))))
+    rows = lambda v: np.floor((v - lat.min()) * k / side).astype(np.int64)
+    columns = lambda v: np.floor((v - lng.min()) * k * narrow / side).astype(np.int64)
+    span = int(columns(lng.max())) + 2 * widest + 3
+    cell = rows(lat) * span + columns(lng) + widest
+    order = np.argsort(cell, kind="stable")
+    cells = cell[order]
+    ring = np.ceil(radius * 1.001 / side).astype(np.int64)
+    centres, points = [], []
+    for k_ in np.nonzero(ring > widest)[0]:
+        near = np.nonzero(flat_m(y[k_], x[k_], lat, lng) <= radius[k_] * 1.001)[0]
+        centres.append(np.full(len(near), k_))
+        points.append(near)
+    for r in range(1, widest + 1):
+        own = np.nonzero(np.maximum(ring, 1) == r)[0]
+        if not len(own):
+            continue
+        cy, cx = rows(y[own]), columns(x[own]) + widest
+        for dy in range(-r, r + 1):
+            low = np.searchsorted(cells, (cy + dy) * span + cx - r)
+            high = np.searchsorted(cells, (cy + dy) * span + cx + r, side="right")
+            size = high - low
+            at = np.repeat(low - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            centres.append(np.repeat(own, size))
+            points.append(order[at])
+    return np.concatenate(centres) if centres else np.zeros(0, np.int64), np.concatenate(points) if points else np.zeros(0, np.int64)
 
 
 def two_opt(lat, lng, path, passes=40):
-    """Reverse the first stretch whose reversal saves over 1 cm; at most ``passes`` times."""
+    """Reverse the first stretch whose reversal saves over 1 cm; at most ``passes`` times.
+
+    Two steps i and j can only gain if the path's point i lies nearer to point j than to point i + 1, or point j + 1 nearer to point i + 1 than to
+    point j; such pairs are found by cells, so a pass costs what lies about the steps.
+    """
     n = len(path)
     if n <= 3:
         return path
+    path, side = np.array(path), _cell_side(lat, lng)
     for _ in range(passes):
         la, ln = lat[path], lng[path]
         hop = flat_m(la[:-1], ln[:-1], la[1:], ln[1:])
-        found = None
-        for i in range(n - 2):
-            j = np.arange(i + 2, n - 1)
-            if not len(j):
-                break
-            before = hop[i] + hop[j]
-            after = flat_m(la[i], ln[i], la[j], ln[j]) + flat_m(la[i + 1], ln[i + 1], la[j + 1], ln[j + 1])
-            better = np.nonzero(after + 0.01 < before)[0]
-            if len(better):
-                found = (i + 1, int(j[better[0]]) + 1)
-                break
-        if found is None:
+        i1, j1 = _about(la[:-1], ln[:-1], la, ln, hop, side)  # from a step's first point to other steps' first points
+        j2, i2 = _about(la[1:], ln[1:], la, ln, hop, side)  # from a step's second point to other steps' second points
+        i, j = np.r_[i1, i2 - 1], np.r_[j1, j2]
+        ok = (i >= 0) & (j >= i + 2) & (j < n - 1)
+        i, j = i[ok], j[ok]
+        before = hop[i] + hop[j]
+        after = flat_m(la[i], ln[i], la[j], ln[j]) + flat_m(la[i + 1], ln[i + 1], la[j + 1], ln[j + 1])
+        better = np.nonzero(after + 0.01 < before)[0]
+        if not len(better):
             break
-        path[found[0]:found[1]] = path[found[0]:found[1]][::-1]
+        first = better[np.lexsort((j[better], i[better]))[0]]
+        path[i[first] + 1:j[first] + 1] = path[i[first] + 1:j[first] + 1][::-1]
     return path
 
 

@@ -176,7 +176,10 @@ def stream_announcements(s, d):
         F.col("o_totalprice").cast("double").alias("amount"), F.when(k % 4 == 0, " ").otherwise(F.col("o_orderpriority")).alias("note"), F.when(k % 11 != 0, F.col("o_orderstatus") == "F").alias("_paid"), v.alias("version"))
     paid = F.when(F.col("version") == 0, F.when(F.col("id") % 3 == 0, False)).when(F.col("version") == 1, F.col("_paid")) \
         .otherwise(F.col("_paid") | (F.col("id") % 5 == 0))
-    return sinks.drain(changes.announcements(rows.withColumn("is_paid", paid).drop("_paid")), _folder(s)).drop("batch")
+    folder = _folder(s)
+    log = KeyedLog(s, f"{folder}/paid", ["id"]).create(b.table(s, d, "orders").select(k.alias("id"), F.lit(None).cast("boolean").alias("is_paid")))
+    changes.announce_stream(rows.withColumn("is_paid", paid).drop("_paid"), log, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return s.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/batch=*").drop("batch")
 
 
 def stream_documents(s, d):

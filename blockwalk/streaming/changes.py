@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from blockwalk.functions import domain
 from blockwalk.operators.accounts import paid_transitions
 from blockwalk.operators.lineage import cut
-from blockwalk.ship import ship
 from blockwalk.sources.changelog import KeyedLog, changed_rows
 from blockwalk.sources.tables import merge_latest
 from blockwalk.streaming.sinks import newest_rows, start
@@ -82,20 +77,28 @@ def settle_stream(callbacks: DataFrame, tables: dict[str, KeyedLog], checkpoint:
     return start(distinct_callbacks(callbacks), checkpoint, each, interval=interval)
 
 
-def announcements(versions: DataFrame) -> DataFrame:
-    """Stream of donations that become paid: (id, version, name, amount, note), one row per change."""
-    ship(versions.sparkSession)
-    out = "id long, version long, name string, amount double, note string"
+def announce(versions: DataFrame, before: DataFrame) -> DataFrame:
+    """(id, version, name, amount, note) of the versions that make a donation paid, by its last state in ``before`` (id, is_paid)."""
+    last = before.select("id", F.lit(-1).cast("long").alias("version"), "is_paid")
+    rows = versions.select("id", "version", "is_paid", "name", "amount", "note").unionByName(last, allowMissingColumns=True)
+    paid = F.coalesce("is_paid", F.lit(False))
+    was = F.coalesce(F.lag(paid).over(Window.partitionBy("id").orderBy("version")), F.lit(False))
+    return rows.withColumn("_new", paid & ~was).filter("_new AND version >= 0").select("id", "version", "name", "amount", "note")
+
+
+def announce_stream(versions: DataFrame, paid: KeyedLog, folder: str, checkpoint: str, interval: str | None = None):
+    """Write the announcements of each micro-batch to ``folder``, one per change to paid.
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        paid = bool(state.get[0]) if state.exists else False
-        rows = pd.concat(list(batches)).sort_values("version", kind="stable")
-        now = rows["is_paid"].map(lambda v: v is not None and v == True)  # noqa: E712 - nulls are unpaid
-        before = now.shift(1, fill_value=paid).astype(bool)
-        state.update((bool(now.iloc[-1]),))
-        yield rows[now & ~before][["id", "version", "name", "amount", "note"]]
+    What a donation was before is read from ``paid`` (id, is_paid), a keyed log: the stream holds no state of its own, a donation that was
+    paid in the stored table is not announced again however long ago that was, and a replayed batch sees what it saw.
+    """
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = cut(batch)
+        before = cut(paid.lookup(batch, batch_id))
+        announce(batch, before).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        paid.append(changed_rows(before, newest_rows(batch, "id", ["version"]).select("id", "is_paid")), batch_id)
 
-    return versions.groupBy("id").applyInPandasWithState(update, out, "paid boolean", "append", GroupStateTimeout.NoTimeout)
+    return start(versions, checkpoint, each, interval=interval)
 
 
 def save_documents(saves: DataFrame, table: KeyedLog, checkpoint: str, interval: str | None = "2 seconds"):
@@ -108,4 +111,4 @@ def save_documents(saves: DataFrame, table: KeyedLog, checkpoint: str, interval:
     return start(saves, checkpoint, each, interval=interval)
 
 
-__all__ = ["announcements", "distinct_callbacks", "paid_transitions", "save_documents", "settle", "settle_stream"]
+__all__ = ["announce", "announce_stream", "distinct_callbacks", "paid_transitions", "save_documents", "settle", "settle_stream"]
