@@ -440,6 +440,13 @@ _SQL_FUNCTIONS = {
     "tile_x(lng DOUBLE, z INT)": "BIGINT RETURN CAST(floor((lng + 180) / 360 * pow(2, z)) AS BIGINT)",
     "tile_y(lat DOUBLE, z INT)":
         "BIGINT RETURN CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * pow(2, z)) AS BIGINT)",
+    "quadkey(lat DOUBLE, lng DOUBLE, z INT)":
+        "STRING RETURN array_join(zip_with(regexp_extract_all(lpad(bin(tile_y(lat, z)), z, '0'), '[01]', 0), regexp_extract_all(lpad(bin(tile_x(lng, z)), z, '0'), '[01]', 0),"
+        " (a, b) -> CAST(2 * CAST(a AS INT) + CAST(b AS INT) AS STRING)), '')",
+    "ring_area_m2(ring ARRAY<STRUCT<lat: DOUBLE, lng: DOUBLE>>)":
+        "DOUBLE RETURN CASE WHEN size(ring) < 3 THEN 0D ELSE abs(aggregate(zip_with(ring, concat(slice(ring, 2, greatest(size(ring) - 1, 0)), slice(ring, 1, 1)),"
+        " (p, q) -> (p.lng - ring[0].lng) * (q.lat - ring[0].lat) - (q.lng - ring[0].lng) * (p.lat - ring[0].lat)), 0D, (t, v) -> t + v)) / 2"
+        " * 111320D * 111320D * cos(radians(aggregate(ring, 0D, (t, p) -> t + p.lat) / size(ring))) END",
 }
 
 

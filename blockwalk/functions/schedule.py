@@ -216,17 +216,24 @@ def completeness(df: DataFrame) -> DataFrame:
         "schedule1_complete": houses, "schedule_a_complete": ~_residential() | living, "can_save": can_save})
 
 
-def glossary(spark: SparkSession, translations: DataFrame | None = None) -> DataFrame:
+def glossary(spark: SparkSession, translations: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
     """Code sheet: one row per code, the column and its name only on the first of a run.
 
-    ``translations`` (col, code, label_local) adds labels in another language.
+    ``translations`` (col, code, label_local) adds labels in another language, ``answers`` (col, code, one row per answer) how often each code was given and
+    the row's number on the sheet.
     """
     fields = spark.createDataFrame([(c, n) for c, _, n, _ in FIELDS], "col int, name string")
     rows = options_table(spark).join(F.broadcast(fields), "col")  # 34 fields
+    extra = []
     if translations is not None:
-        rows = rows.join(translations, ["col", "code"], "left")
+        rows, extra = rows.join(translations, ["col", "code"], "left"), ["label_local"]
+    if answers is not None:
+        given = answers.groupBy("col", "code").agg(F.count(F.lit(1)).alias("_given"))
+        place = {(col, code): n for n, (col, _, code, _, _) in enumerate(sorted(options(), key=lambda o: (o[0], o[4])), 1)}
+        numbered = spark.createDataFrame([(*k, n) for k, n in place.items()], "col int, code int, sheet_row int")
+        rows = rows.join(given, ["col", "code"], "left").join(F.broadcast(numbered), ["col", "code"])  # as many rows as codes
+        extra += ["sheet_row", F.coalesce("_given", F.lit(0)).alias("answers")]
     first = F.col("idx") == 0
-    extra = ["label_local"] if translations is not None else []
     return rows.orderBy("col", "idx").select(
         F.when(first, F.concat(F.lit("Col "), F.col("col").cast("string"))).otherwise("").alias("column_number"),
         F.when(first, F.col("name")).otherwise("").alias("column_name"), "code", "label", *extra)

@@ -177,10 +177,28 @@ def geo_distribution(profiles, top: int = 50) -> DataFrame:
 
 # ------------------------------------------------------------------ payload
 
-def payload(**parts: DataFrame) -> DataFrame:
-    """One JSON document from named results; each is collected as a list of rows.
+def payload(lists: dict[str, list[Column]] | None = None, **parts: DataFrame) -> DataFrame:
+    """One JSON document from named results: an object per one-row result, and a list of rows, in the order given, per result in ``lists``.
 
     The parts are reports of fixed size (one row, one month of days, fifty places).
     """
-    rows = [df.agg(F.collect_list(F.struct(*df.columns)).alias(name)) for name, df in parts.items()]
-    return _one_row(*rows).select(F.to_json(F.struct(*parts)).alias("payload"))
+    lists = lists or {}
+
+    def folded(name: str, df: DataFrame) -> DataFrame:
+        row = F.struct(*df.columns)
+        if name not in lists:
+            return df.agg(F.first(row).alias(name))
+        ordered = F.array_sort(F.collect_list(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(lists[name])], row.alias("row"))))
+        return df.agg(F.transform(ordered, lambda x: x["row"]).alias(name))
+
+    return _one_row(*[folded(name, df) for name, df in parts.items()]).select(F.to_json(F.struct(*parts)).alias("payload"))
+
+
+def admin_payload(profiles, projects, live_exports, donations, payments, events, as_of: str, days: int = 30, tz: str = "Asia/Kolkata") -> DataFrame:
+    """All seven parts of the statistics page as one document."""
+    revenue = [c for c in revenue_breakdown(payments).columns if c.endswith("_paise")]
+    return payload(
+        {"timeline": [F.col("day")], "geo": [-F.col("user_count"), F.col("tehsil"), F.col("town_village")]},
+        kpis=kpis(profiles, projects, live_exports, donations, payments, events, as_of), timeline=timeline(profiles, projects, payments, as_of, days, tz),
+        funnel=funnel(profiles, projects, live_exports, donations), revenue_breakdown=revenue_breakdown(payments).select(*revenue),
+        cohort_retention=cohort_retention(profiles, projects, events, as_of), geo=geo_distribution(profiles), live_funnel=live_funnel(live_exports))

@@ -62,9 +62,8 @@ QUERIES = {
         .select("project_id", "id", "symbol_type", "number"),
     "session_states": lambda s, d: accounts.session_state_counts(_sessions(s, d), ORDER_AS_OF),
     "event_types": lambda s, d: accounts.event_types(b.user_events(s, d)),
-    "dashboard_payload": lambda s, d: dashboard.payload(
-        live_funnel=dashboard.live_funnel(b.live_exports(s, d)),
-        funnel=dashboard.funnel(b.user_profiles(s, d), b.projects(s, d), b.live_exports(s, d), b.donations(s, d))),
+    "dashboard_payload": lambda s, d: dashboard.admin_payload(
+        b.user_profiles(s, d), b.projects(s, d), b.live_exports(s, d), b.donations(s, d), b.payment_events(s, d), b.user_events(s, d), EVENT_AS_OF),
     "csv_export": lambda s, d: tables.csv_lines(
         b.donations(s, d).select("id", F.concat(F.lit('He said "'), F.col("note"), F.lit('", ok')).alias("remark"),
                                  "name")),
@@ -282,10 +281,20 @@ CHECKS = {
                count(*) FILTER (WHERE regen_used = 1) AS paused, count(*) FILTER (WHERE regen_used = 2) AS completed
         FROM live_exports"""),
     "event_types": "SELECT DISTINCT event_type FROM events",
-    "dashboard_payload": with_tables("user_profiles", "projects", "live_exports", "donations", query=f"""
-        SELECT '{{"live_funnel":[' || (SELECT to_json(l) FROM ({_LIVE}) l) || '],"funnel":['
-               || (SELECT to_json(f) FROM ({_FUNNEL}) f) || ']}}' AS payload"""),
     "csv_export": with_tables("donations", query="""
         SELECT 'id,remark,name' AS line UNION ALL
         SELECT id || ',"He said ""' || note || '"", ok",' || coalesce(name, '') FROM donations"""),
 }
+
+
+def _object(name: str, columns: str = "*") -> str:
+    return f"""'"{name}":' || (SELECT to_json(x) FROM (SELECT {columns} FROM ({CHECKS[name if name in CHECKS else name + '_top50']})) x)"""
+
+
+def _list(name: str, order: str) -> str:
+    return f"""'"{name}":[' || (SELECT string_agg(CAST(to_json(x) AS VARCHAR), ',' ORDER BY {order}) FROM ({CHECKS[name if name in CHECKS else name + '_top50']}) x) || ']'"""
+
+
+CHECKS["dashboard_payload"] = "SELECT '{' || " + " || ',' || ".join((
+    _object("kpis"), _list("timeline", "day"), _object("funnel"), _object("revenue_breakdown", "maps_paise, sessions_paise, donations_paise, upi_paise"),
+    _object("cohort_retention"), _list("geo", "user_count DESC, tehsil, town_village"), _object("live_funnel"))) + " || '}' AS payload"

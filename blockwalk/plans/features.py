@@ -177,6 +177,14 @@ def glossary(s, d):
     return schedule.options_table(s).join(used, ["col", "code"]).select("col", "key", "code", "label", "answers")
 
 
+def code_sheet(s, d):
+    """The sheet of codes as exported, with the answers of all houses to its fields."""
+    m = schedule.with_all_fields(schedule.migrate(b.schedule_answers(s, d)))
+    coded = sorted({(c, k) for c, k, _, _, _ in schedule.options()})
+    pairs = m.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(k).cast("int").alias("code")) for c, k in coded])).alias("_p")).select("_p.*")
+    return schedule.glossary(s, answers=pairs)
+
+
 def option_labels(s, d):
     return schedule.option_labels(schedule.migrate(b.schedule_answers(s, d)), "col_7_use", s).select("id", "col_7_use_label")
 
@@ -219,7 +227,7 @@ QUERIES = {f.__name__: f for f in (
     classify_building, classify_road, osm_features, farmland_letters, area_stats, satellite_features, road_clip,
     element_selection, layer_status, dump_elements, element_geojson, boundary_geojson, footprint_scan, building_elements,
     confident_buildings, source_counts, sms_scan, geopdf_header, schedule_migrate, schedule_completeness,
-    schedule_cleanup, glossary, option_labels, official_register, symbol_symbology, sub_numbers)}
+    schedule_cleanup, glossary, code_sheet, option_labels, official_register, symbol_symbology, sub_numbers)}
 QUERIES["register"] = register_query
 QUERIES["register_u_loop"] = lambda s, d: register_query(s, d, True)
 
@@ -318,6 +326,8 @@ def _register(u_loop):
 
 _OPTION_VALUES = ", ".join("({}, '{}', {}, '{}')".format(c, k, v, label.replace("'", "''"))
                            for c, k, v, label, _ in schedule.options())
+_SHEET_VALUES = ", ".join("({}, {}, '{}', {}, '{}')".format(c, v, label.replace("'", "''"), i, {f[0]: f[2] for f in schedule.FIELDS}[c].replace("'", "''"))
+                          for c, _, v, label, i in schedule.options())
 _UNITS = "CASE WHEN symbol_type = 'apartment' AND unit_count > 1 THEN unit_count ELSE 1 END"
 _FEATURES_PICK = """(type = 'way' AND (building IS NOT NULL OR highway IS NOT NULL OR landuse IN ('farmland', 'forest')
     OR nat IN ('water', 'scrub') OR waterway IS NOT NULL OR leisure IS NOT NULL OR amenity IN ('place_of_worship', 'clinic')
@@ -474,6 +484,14 @@ CHECKS = {
         , {_MIG}, a AS (SELECT 5 AS col, wall AS code FROM mig UNION ALL SELECT 7, use_ FROM mig UNION ALL SELECT 20, col_20_latrine FROM mig)
         SELECT o.*, n AS answers FROM (VALUES {_OPTION_VALUES}) o(col, key, code, label)
         JOIN (SELECT col, code, count(*) AS n FROM a GROUP BY 1, 2) USING (col, code)"""),
+    "code_sheet": with_tables("schedule_answers", query=f"""
+        , {_MIG}, a AS (SELECT unnest([{{'col': 4, 'code': col_4_floor}}, {{'col': 5, 'code': wall}}, {{'col': 6, 'code': col_6_roof}}, {{'col': 7, 'code': use_}},
+              {{'col': 17, 'code': col_18_water_source}}, {{'col': 19, 'code': light}}, {{'col': 20, 'code': col_20_latrine}}, {{'col': 24, 'code': col_24_kitchen}},
+              {{'col': 31, 'code': veh}}]) AS p FROM mig),
+        n AS (SELECT p.col AS col, p.code AS code, count(*) AS n FROM a GROUP BY 1, 2),
+        o AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY idx) = 1 AS head FROM (VALUES {_SHEET_VALUES}) v(col, code, label, idx, name))
+        SELECT CASE WHEN head THEN 'Col ' || col ELSE '' END AS column_number, CASE WHEN head THEN name ELSE '' END AS column_name, code, label,
+               row_number() OVER (ORDER BY col, idx) AS sheet_row, coalesce(n, 0) AS answers FROM o LEFT JOIN n USING (col, code)"""),
     "option_labels": with_tables("schedule_answers", query=f"""
         , {_MIG} SELECT id, CASE WHEN use_ IS NULL THEN '-' ELSE label || ' (' || use_ || ')' END AS col_7_use_label
         FROM mig LEFT JOIN (VALUES {_OPTION_VALUES}) o(col, key, code, label) ON o.col = 7 AND o.code = use_"""),

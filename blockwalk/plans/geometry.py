@@ -121,7 +121,9 @@ def sql_functions(s, d):
     geo.register_sql_functions(s)
     b.symbols(s, d).createOrReplaceTempView("blockwalk_symbols")
     return s.sql("SELECT id, round(haversine_m(lat, lng, 26.0D, 80.0D), 6) AS m, round(equirect_m(lat, lng, 26.0D, 80.0D), 6) AS f,"
-                 " round(bearing_deg(26.0D, 80.0D, lat, lng), 6) AS brg, tile_x(lng, 18) AS x, tile_y(lat, 18) AS y"
+                 " round(bearing_deg(26.0D, 80.0D, lat, lng), 6) AS brg, tile_x(lng, 18) AS x, tile_y(lat, 18) AS y, quadkey(lat, lng, 12) AS qk,"
+                 " round(ring_area_m2(array(named_struct('lat', lat, 'lng', lng), named_struct('lat', lat + 0.001D, 'lng', lng),"
+                 " named_struct('lat', lat + 0.001D, 'lng', lng + 0.002D), named_struct('lat', lat, 'lng', lng + 0.001D * (1 + id % 3)))), 2) AS area"
                  " FROM blockwalk_symbols")
 
 
@@ -232,5 +234,7 @@ CHECKS = {
         SELECT id, round({t.hav('lat', 'lng', '26.0::DOUBLE', '80.0::DOUBLE')}, 6) AS m,
                round({t.flat('lat', 'lng', '26.0::DOUBLE', '80.0::DOUBLE')}, 6) AS f,
                round(({t.bearing('26.0::DOUBLE', '80.0::DOUBLE', 'lat', 'lng')} + 360) % 360, 6) AS brg,
-               {_X.format(lng='lng', n=262144)} AS x, {_Y.format(lat='lat', n=262144)} AS y FROM symbols"""),
+               {_X.format(lng='lng', n=262144)} AS x, {_Y.format(lat='lat', n=262144)} AS y,
+               {_QK.format(x=_X.format(lng='lng', n=4096), y=_Y.format(lat='lat', n=4096), z=12)} AS qk,
+               round((0.002 + 0.001 * (1 + id % 3)) / 2 * 0.001::DOUBLE * pow(111320.0::DOUBLE, 2) * cos(radians(lat + 0.0005::DOUBLE)), 2) AS area FROM symbols"""),
 }
