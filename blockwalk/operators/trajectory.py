@@ -187,20 +187,38 @@ def session_summary(sessions: DataFrame, path: DataFrame, points: DataFrame, sym
             zero("house_count"), zero("road_count"), F.coalesce("points", F.lit(0)).alias("gps_point_count"))
 
 
+#: Lists of drawn features in a stored session; absent ones are empty in its document.
+DRAWN = ("blocks", "farmlandBlocks", "forests", "waterBodies", "landuseAreas", "landmarks")
+# Fixed value: where a map opens that has no boundary.
+MAP_CENTER = (26.4499, 80.3319)
+
+_POLYGON = "struct<geometry: struct<coordinates: array<array<array<double>>>>>"
+
+
 def session_document(sessions: DataFrame, symbols: DataFrame, lines: DataFrame, default_highway: str = "residential") -> DataFrame:
-    """One JSON map document per session from its symbols, segments and stored boundary.
+    """One JSON map document per session: symbols, segments of two points or more, drawn features and boundary.
 
+    ``sessions``: session_id and, where stored, hlb_number, polygon_geojson, drawn_features (JSON texts) and payment_status. Broken texts count as absent.
     A document is the unit the product stores; it is as large as one survey.
     """
+    stored = {c: F.lit(None).cast("string") for c in ("hlb_number", "polygon_geojson", "drawn_features", "payment_status") if c not in sessions.columns}
+    sessions = sessions.withColumns(stored)
     marks = symbols.groupBy("session_id").agg(F.array_sort(F.collect_list(
         F.struct("id", "symbol_type", "lat", "lng", "number"))).alias("symbols"))
     drawn = lines.filter(F.size("points") >= 2).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct(
         F.col("segment").alias("id"), F.coalesce("road_type", F.lit(default_highway)).alias("highway"),
-        F.col("points").alias("coords")))).alias("roads"))
-    return sessions.join(marks, "session_id", "left").join(drawn, "session_id", "left").select(
-        "session_id", F.to_json(F.struct(F.coalesce("symbols", F.array().cast(marks.schema["symbols"].dataType)).alias("symbols"),
-                                         F.coalesce("roads", F.array().cast(drawn.schema["roads"].dataType)).alias("roads"),
-                                         F.col("boundary"))).alias("document"))
+        F.col("points").alias("coords"), F.lit(True).alias("confirmed"), F.lit("user").alias("source")))).alias("roads"))
+    ring = F.get(F.from_json("polygon_geojson", _POLYGON)["geometry"]["coordinates"], F.lit(0))
+    features = F.try_parse_json("drawn_features")
+    listed = lambda name: F.coalesce(F.try_variant_get(features, f"$.{name}", "variant"), F.parse_json(F.lit("[]"))).alias(name)
+    rows = sessions.withColumn("_ring", F.coalesce(ring, F.array().cast("array<array<double>>"))).join(marks, "session_id", "left").join(drawn, "session_id", "left")
+    at = lambda p: F.struct(p[1].alias("lat"), p[0].alias("lng"))
+    first = F.when(F.size("_ring") > 0, at(F.get("_ring", F.lit(0)))).otherwise(F.struct(F.lit(MAP_CENTER[0]).alias("lat"), F.lit(MAP_CENTER[1]).alias("lng")))
+    none = lambda df, c: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)).alias(c)
+    return rows.select("session_id", F.to_json(F.struct(
+        F.coalesce("hlb_number", F.lit("LIVE")).alias("hlbNumber"), first.alias("center"), none(marks, "symbols"), none(drawn, "roads"), *map(listed, DRAWN),
+        F.transform("_ring", at).alias("boundaryPins"), F.lit(True).alias("boundaryClosed"), F.lit(True).alias("numberingComplete"),
+        F.col("session_id").alias("projectId"), F.lit(True).alias("isLive"), F.coalesce("payment_status", F.lit("unpaid")).alias("paymentStatus"))).alias("document"))
 
 
 def place_symbols(placements: DataFrame, motion: DataFrame, path: DataFrame) -> DataFrame:

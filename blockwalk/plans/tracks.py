@@ -93,13 +93,30 @@ def session_summary(s, d):
 
 
 def session_document(s, d):
-    """Sizes of the parts of every session's document."""
+    """Every session's map document, its parts read back from the text."""
     path, raw = _broken_path(s, d), b.gps_points(s, d)
-    sessions = raw.select("session_id").distinct().withColumn("boundary", F.lit('{"type":"Polygon"}'))
+    i = F.col("session_id").cast("string")
+    square = F.format_string('{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[80.5,%s.0],[81.5,26.5],[80.5,%s.0]]]}}', i, i)
+    sessions = raw.select("session_id").distinct().select(
+        "session_id", F.when(F.col("session_id") % 4 != 0, F.concat(F.lit("HLB "), i)).alias("hlb_number"),
+        F.when(F.col("session_id") % 5 != 0, square).when(F.col("session_id") % 2 == 0, "{broken").alias("polygon_geojson"),
+        F.when(F.col("session_id") % 3 != 0, F.format_string('{"blocks":[{"id":%s,"label":"A"}],"forests":[%s,null],"landmarks":"none"}', i, i)).alias("drawn_features"),
+        F.when(F.col("session_id") % 7 == 0, "paid").alias("payment_status"))
     docs = trajectory.session_document(sessions, _marks(s, d), trajectory.segment_lines(trajectory.segments(path, count_on=raw)))
-    size = lambda part: F.json_array_length(F.get_json_object("document", part)).cast("long")
-    return docs.select("session_id", size("$.symbols").alias("symbols"), size("$.roads").alias("roads"),
-                       F.get_json_object("document", "$.boundary").alias("boundary"))
+    schema = ("hlbNumber string, center struct<lat: double, lng: double>, symbols array<struct<id: bigint, symbol_type: string, lat: double, lng: double, number: int>>,"
+              " roads array<struct<id: bigint, highway: string, coords: array<struct<lat: double, lng: double>>, confirmed: boolean, source: string>>,"
+              " boundaryPins array<struct<lat: double, lng: double>>, projectId bigint, isLive boolean, paymentStatus string")
+    read = docs.select("session_id", "document", F.from_json("document", schema).alias("v"))
+    listed = lambda a, f: F.array_join(F.transform(a, f), ",")
+    part = lambda name: F.get_json_object("document", f"$.{name}").alias(name)
+    return read.select(
+        "session_id", "v.hlbNumber", F.col("v.center.lat").alias("center_lat"), F.col("v.center.lng").alias("center_lng"),
+        listed("v.symbols", lambda x: F.concat_ws(":", x["id"], x["symbol_type"], x["number"])).alias("symbols"),
+        F.round(F.aggregate("v.symbols", F.lit(0.0), lambda t, x: t + x["lat"] * 3 + x["lng"]), 6).alias("symbol_places"),
+        listed("v.roads", lambda r: F.concat_ws(":", r["id"], r["highway"], F.size(r["coords"]), r["confirmed"], r["source"])).alias("roads"),
+        F.round(F.aggregate("v.roads", F.lit(0.0), lambda t, r: t + F.aggregate(r["coords"], F.lit(0.0), lambda u, p: u + p["lat"] * 3 + p["lng"])), 5).alias("road_places"),
+        *map(part, trajectory.DRAWN), listed("v.boundaryPins", lambda p: F.concat_ws("/", p["lat"].cast("int"), (p["lng"] * 10).cast("int"))).alias("boundary"),
+        "v.projectId", "v.isLive", "v.paymentStatus")
 
 
 def symbol_placement(s, d):
@@ -272,9 +289,20 @@ CHECKS = {
                coalesce(houses, 0) AS house_count, coalesce(sc.n, 0) AS road_count, l.n AS gps_point_count
         FROM len l LEFT JOIN marks USING (session_id) LEFT JOIN sc USING (session_id)"""),
     "session_document": with_tables("gps_points", query=f"""
-        , {_BROKEN}, {_MARKS}, sc AS (SELECT session_id, count(DISTINCT segment) AS n FROM segs GROUP BY 1)
-        SELECT session_id, coalesce(marks.n, 0) AS symbols, coalesce(sc.n, 0) AS roads, '{{"type":"Polygon"}}' AS boundary
-        FROM (SELECT DISTINCT session_id FROM gps_points) LEFT JOIN marks USING (session_id) LEFT JOIN sc USING (session_id)"""),
+        , {_BROKEN},
+        ln AS (SELECT session_id, segment, any_value(road_type) AS road_type, count(*) AS n, sum(lat * 3 + lng) AS spot FROM segs GROUP BY 1, 2),
+        rd AS (SELECT session_id, string_agg(segment || ':' || road_type || ':' || n || ':true:user', ',' ORDER BY segment) AS roads, sum(spot) AS spot FROM ln GROUP BY 1),
+        mk AS (SELECT user_id AS session_id, sum(({b.LAT.format(k='event_id % 1000')}) * 3 + {b.LNG.format(k='event_id % 1000')}) AS spot,
+            string_agg(event_id || ':' || ['pucca_house', 'kutcha_house', 'apartment'][event_id % 3 + 1] || ':' || event_id % 9, ',' ORDER BY event_id) AS symbols FROM events GROUP BY 1)
+        SELECT session_id, CASE WHEN session_id % 4 <> 0 THEN 'HLB ' || session_id ELSE 'LIVE' END AS hlbNumber,
+               CASE WHEN session_id % 5 <> 0 THEN session_id ELSE 26.4499 END AS center_lat, CASE WHEN session_id % 5 <> 0 THEN 80.5::DOUBLE ELSE 80.3319 END AS center_lng,
+               coalesce(symbols, '') AS symbols, round(coalesce(mk.spot, 0), 6) AS symbol_places, coalesce(roads, '') AS roads, round(coalesce(rd.spot, 0), 5) AS road_places,
+               CASE WHEN session_id % 3 <> 0 THEN '[{{"id":' || session_id || ',"label":"A"}}]' ELSE '[]' END AS blocks, '[]' AS "farmlandBlocks",
+               CASE WHEN session_id % 3 <> 0 THEN '[' || session_id || ',null]' ELSE '[]' END AS forests, '[]' AS "waterBodies", '[]' AS "landuseAreas",
+               CASE WHEN session_id % 3 <> 0 THEN 'none' ELSE '[]' END AS landmarks,
+               CASE WHEN session_id % 5 <> 0 THEN session_id || '/805,26/815,' || session_id || '/805' ELSE '' END AS boundary,
+               session_id AS projectId, true AS isLive, CASE WHEN session_id % 7 = 0 THEN 'paid' ELSE 'unpaid' END AS paymentStatus
+        FROM (SELECT DISTINCT session_id FROM gps_points) LEFT JOIN mk USING (session_id) LEFT JOIN rd USING (session_id)"""),
     "symbol_placement": with_tables("gps_points", query=f"""
         , {_motion('gps_points', 'm')},
         w AS (SELECT user_id AS session_id, event_id AS k, ts FROM events),
