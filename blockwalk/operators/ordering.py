@@ -293,8 +293,8 @@ def _cluster_large(rows: DataFrame, keys: Sequence[str], schema: str) -> DataFra
 def _cluster_order(inside: DataFrame, frames: DataFrame, split: bool, largest: int) -> DataFrame:
     """Clusters north-west first; rows inside regular ones, a short walk inside the others."""
     clustered = cut(cluster_blocks(inside, largest=largest))  # read several times below
-    # equal scores go by the cluster's first house in input order, whichever way the cluster was found
-    centre = clustered.groupBy(*GROUP).agg(geo.nwse_score(F.avg("lat"), F.avg("lng")).alias("_cscore"),
+    # equal scores (to a tenth of a millimetre, so that the order of a sum decides nothing) go by the cluster's first house in input order
+    centre = clustered.groupBy(*GROUP).agg(F.round(geo.nwse_score(F.avg("lat"), F.avg("lng")), 9).alias("_cscore"),
                                            F.min(F.struct("pos", "id")).alias("_cfirst"))
     rows = clustered.join(centre, GROUP)
     keep = ["hlb_id", "id", "pos", "lat", "lng", "block_id", "cluster", "block_score", "block_pos", "_cscore", "_cfirst", "_a", "_b", "_c"]
