@@ -35,6 +35,29 @@ def greedy_keep(y, x, radius, metric, fixed=None, reach=None):
     return kept
 
 
+def settle_tile(y, x, own, radius, metric, reach):
+    """Rows of a tile and of its surroundings in order: 1 kept, 0 struck out, 2 open until more is known about the surroundings.
+
+    What becomes of a row that is not ``own`` is decided elsewhere, so it leaves open whatever it might strike out, and so on down the order.
+    """
+    cy, cx = _cells(y, x, reach)
+    state, kept, unknown = np.full(len(y), 2, np.int8), defaultdict(list), defaultdict(list)
+    around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    for i in range(len(y)):
+        at = (cy[i], cx[i])
+        meets = lambda grid: any(metric(y[i], x[i], y[j], x[j]) < radius for a, b in around for j in grid.get((at[0] + a, at[1] + b), ()))  # noqa: B023, E731
+        if not own[i]:
+            unknown[at].append(i)
+        elif meets(kept):
+            state[i] = 0
+        elif meets(unknown):
+            unknown[at].append(i)
+        else:
+            state[i] = 1
+            kept[at].append(i)
+    return state
+
+
 def single_link(y, x, radius):
     """Component labels (lowest member index) of points linked at distance <= radius."""
     n = len(y)

@@ -81,6 +81,25 @@ def test_thin_with_fixed_rows(spark, limit):
     assert {r["id"] for r in got.collect()} == {r[1] for g in kept.values() for r in g}
 
 
+@pytest.mark.parametrize(("tile_rows", "line"), [(100_000, 600), (12, 24)])
+def test_thinning_rounds_follow_tiles(spark, monkeypatch, tile_rows, line):
+    """A line of rows in order of priority is one long chain; its rounds are those of the tiles that it crosses."""
+    monkeypatch.setattr(thin, "TILE_ROWS", tile_rows)
+    rows = [(0, i, 26.0 + i * 6e-5, 80.0, 1.0, "a") for i in range(line)] + [(0, 1000 + i, 26.01, 80.0 + i * 1e-7, 1.0, "a") for i in range(20)]
+    want, last = set(), []
+    for r in rows:
+        if not any(math.hypot(r[2] - k[2], r[3] - k[3]) < 1.35e-4 for k in last):
+            last.append(r)
+            want.add(r[1])
+    seen = []
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["id"] for r in thin.greedy_thin(df, ["hlb_id"], [F.col("id")], 1.35e-4, limit=10, rounds=seen).collect()}
+    assert got == want
+    tiles = 600 * 6e-5 / (thin.TILE * 0.999 * 1.35e-4 / 2 ** 0.5)
+    if tile_rows > line:
+        assert len(seen) <= tiles + 2 < len(want) / 20
+
+
 def _labels(points, radius):
     parent = list(range(len(points)))
 
