@@ -81,7 +81,7 @@ def test_thin_with_fixed_rows(spark, limit):
     assert {r["id"] for r in got.collect()} == {r[1] for g in kept.values() for r in g}
 
 
-@pytest.mark.parametrize(("tile_rows", "line"), [(100_000, 600), (12, 24)])
+@pytest.mark.parametrize(("tile_rows", "line"), [(100_000, 600), (12, 10)])
 def test_thinning_rounds_follow_tiles(spark, monkeypatch, tile_rows, line):
     """A line of rows in order of priority is one long chain; its rounds are those of the tiles that it crosses."""
     monkeypatch.setattr(thin, "TILE_ROWS", tile_rows)
