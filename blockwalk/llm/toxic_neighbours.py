@@ -1,12 +1,15 @@
 """Toxicity from the nearest labelled examples.
 
-Texts are TF-IDF vectors over the words and word beginnings that tell labelled toxic texts from others (chi-squared over
-a bounded, hash-chosen sample of labelled rows; document frequencies are those of the whole table), with one pseudo-term that every text has, so that texts with little
-evidence lie near each other. The nearest examples by cosine are found exactly in an inverted index whose postings
-are kept in blocks of examples: a block's greatest possible cosine is the query's weights times the blocks' greatest
-weights, and blocks are scored in that order until none can reach the k-th best. Ties at the k-th place all vote.
-Votes are weighted by closeness and by how many labelled rows an example stands for; a logistic curve fitted to
-leave-one-out votes of the sample makes them probabilities. The examples that voted most are returned as evidence.
+Texts are TF-IDF vectors over every word of the examples (a bounded, hash-chosen sample of labelled rows; document
+frequencies are those of the whole table). Words that tell labelled toxic texts from others (chi-squared over the sample) count in
+full, and so do their beginnings; all other words count ``QUIET`` times as much. One pseudo-term stands in every text, so that a
+text without any known word has a vector too.
+
+The nearest examples by cosine are found exactly in an inverted index whose postings are kept in blocks of examples: a block's greatest possible
+cosine is the sum of the query's weights times the block's greatest weights, and blocks are opened in that order until none
+can reach the k-th best. Ties at the k-th place all vote. Votes are weighted by closeness and by how many labelled
+rows an example stands for; a logistic curve fitted to leave-one-out votes of the sample makes them probabilities. The
+examples that voted most are returned as evidence.
 
 The index has at most ``PER_CLASS`` examples of each label, so it may be broadcast. Labels outside the training folds are never read.
 
@@ -19,25 +22,30 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwalk.llm.common import in_fold, texts
+from blockwalk.llm.common import cut, in_fold, texts
 
 FOLDS, HELD_OUT = 5, 0
 PER_CLASS = 2000
 LEAST_DOCS, LEAST_Z = 5, 5.0
+QUIET = 0.05
 PREFIXES = range(3, 8)
 BACKGROUND = 2.0
 NEAREST = 25
 BLOCK = 64
 EVIDENCE = 5
+FIRST_BLOCKS = 8
+ORDER_TERMS = 12
 REMEMBER = 200_000
+REMEMBER_SCORES = 20_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -48,76 +56,123 @@ def terms_of(word: str) -> list[str]:
 
 
 class Terms:
-    """Counts of the chosen terms; what a word contributes is remembered."""
+    """Counts of the indexed terms; what a word contributes is remembered."""
 
     def __init__(self, chosen: list[str]):
         self.at = {t: i for i, t in enumerate(chosen)}
         self.words: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str) -> tuple[tuple[int, int], ...]:
-        if len(self.words) > REMEMBER:
-            self.words.clear()
-        found = Counter(_WORD.findall(text.lower()))
-        out: Counter[int] = Counter()
-        for word, n in found.items():
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.words[word] = tuple(self.at[t] for t in terms_of(word) if t in self.at)
-            for i in ids:
-                out[i] += n
+        out: dict[int, int] = {}
+        for word, n in Counter(_WORD.findall(text.lower())).items():
+            for i in self.of(word):
+                out[i] = out.get(i, 0) + n
         return tuple(sorted(out.items()))
 
+    def of(self, word: str) -> tuple[int, ...]:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) > REMEMBER:
+                self.words.clear()
+            ids = self.words[word] = tuple(self.at[t] for t in terms_of(word) if t in self.at)
+        return ids
+
+    def held(self, text: str) -> list[int]:
+        """The terms of a text without their counts."""
+        return list({i for word in set(_WORD.findall(text.lower())) for i in self.of(word)})
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of every range, one range behind the other."""
+    end = np.cumsum(length)
+    return np.repeat(start - end + length, length) + np.arange(end[-1] if len(end) else 0)
+
 
 @dataclass
 class Index:
-    """Blocked postings of the examples. ``votes`` are the rows each example stands for."""
+    """Blocked postings of the examples. ``votes`` are the rows each example stands for, ``share`` what a term counts.
+
+    The terms of example i are ``term[first[i]:first[i + 1]]``, with their counts. Postings are sorted by term and example; a cell is the
+    part of a term's postings that lies in one block.
+    """
 
     ids: np.ndarray
     toxic: np.ndarray
     votes: np.ndarray
     idf: np.ndarray
-    examples: list[tuple[tuple[int, int], ...]]
+    share: np.ndarray
+    first: np.ndarray
+    term: np.ndarray
+    times: np.ndarray
     curve: tuple[float, float] = (0.0, 1.0)
-    greatest: np.ndarray = field(init=False)
-    postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = field(init=False)
+    example: np.ndarray = field(init=False)
+    weight: np.ndarray = field(init=False)
+    cells: np.ndarray = field(init=False)
+    starts: np.ndarray = field(init=False)
+    sizes: np.ndarray = field(init=False)
+    block: np.ndarray = field(init=False)
+    top: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        blocks = -(-len(self.ids) // BLOCK)
-        self.greatest = np.zeros((len(self.idf) + 1, max(blocks, 1)))
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, example in enumerate(self.examples):
-            at, weight = self.vector(example)
-            for t, w in zip(at.tolist(), weight.tolist(), strict=True):
-                lists.setdefault((t, i // BLOCK), []).append((i % BLOCK, w))
-        self.postings = {k: (np.array([p for p, _ in v]), np.array([w for _, w in v])) for k, v in lists.items()}
-        for (t, block), (_, weights) in self.postings.items():
-            self.greatest[t, block] = weights.max()
+        n, pseudo = len(self.ids), len(self.idf)
+        example = np.r_[np.repeat(np.arange(n), np.diff(self.first)), np.arange(n)].astype(np.int32)
+        term = np.r_[self.term, np.full(n, pseudo)].astype(np.int64)
+        weight = np.r_[self._weights(self.term, self.times), np.full(n, BACKGROUND)]
+        weight /= np.sqrt(np.bincount(example, weight * weight, minlength=n))[example]
+        order = np.lexsort((example, term))
+        self.example, term, self.weight = example[order], term[order], weight[order]
+        block = self.example // BLOCK
+        new = np.flatnonzero(np.r_[np.ones(min(len(term), 1), bool), (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
+        self.starts, self.sizes = new, np.diff(np.r_[new, len(term)])
+        self.block, self.top = block[new], np.maximum.reduceat(self.weight, new) if len(new) else self.weight
+        self.cells = np.searchsorted(term[new], np.arange(pseudo + 2))
+
+    @property
+    def examples(self) -> list[tuple[tuple[int, int], ...]]:
+        return [self.found(i) for i in range(len(self.ids))]
+
+    def found(self, i: int) -> tuple[tuple[int, int], ...]:
+        part = slice(self.first[i], self.first[i + 1])
+        return tuple(zip(self.term[part].tolist(), self.times[part].tolist(), strict=True))
+
+    def _weights(self, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+        return (1 + np.log(times)) * self.idf[at] * self.share[at]
 
     def vector(self, found: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of unit length; the pseudo-term is the last."""
-        at = np.array([t for t, _ in found] + [len(self.idf)])
-        weight = np.array([(1 + np.log(n)) * self.idf[t] for t, n in found] + [BACKGROUND])
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+        at, weight = np.r_[pairs[:, 0], len(self.idf)], np.r_[self._weights(pairs[:, 0], pairs[:, 1]), BACKGROUND]
         return at, weight / np.linalg.norm(weight)
 
     def nearest(self, found: tuple[tuple[int, int], ...], without: int = -1, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples and all that tie with the last, with their cosines."""
         at, weight = self.vector(found)
-        bound = weight @ self.greatest[at]
-        best = np.zeros(0)
-        where = np.zeros(0, dtype=np.int64)
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if len(best) >= k and bound[block] < np.partition(best, -k)[-k] - 1e-9:
-                break
-            score = np.zeros(min(BLOCK, len(self.ids) - block * BLOCK))
-            for t, w in zip(at.tolist(), weight.tolist(), strict=True):
-                if (hit := self.postings.get((t, block))) is not None:
-                    score[hit[0]] += w * hit[1]
-            own = np.arange(len(score)) + block * BLOCK
-            keep = own != without
-            best, where = np.concatenate([best, score[keep]]), np.concatenate([where, own[keep]])
-        if len(best) > k:
-            keep = best >= np.partition(best, -k)[-k] - 1e-9
-            best, where = best[keep], where[keep]
+        n = self.cells[at + 1] - self.cells[at]
+        cells, weight = _ranges(self.cells[at], n), np.repeat(weight, n)
+        block = self.block[cells]
+        bound = np.bincount(block, weight * self.top[cells], minlength=-(-len(self.ids) // BLOCK))
+        order = np.argsort(-bound, kind="stable")
+        score, least = np.full(len(self.ids), -1.0), -1.0
+        done, step = 0, FIRST_BLOCKS
+        while done < len(order) and bound[order[done]] >= least - 1e-9:
+            batch = order[done:done + step]
+            batch = batch[bound[batch] >= least - 1e-9]
+            opened = np.zeros(len(bound), bool)
+            opened[batch] = True
+            own = opened[block]
+            cell = cells[own]
+            size = self.sizes[cell]
+            posting = _ranges(self.starts[cell], size)
+            cosine = np.bincount(self.example[posting], np.repeat(weight[own], size) * self.weight[posting], minlength=len(score))
+            here = np.repeat(opened, BLOCK)[:len(score)]
+            score[here] = cosine[here]
+            if without >= 0:
+                score[without] = -1.0
+            if len(score) > k:
+                least = np.partition(score, -k)[-k]
+            done, step = done + step, 2 * step
+        where = np.flatnonzero((score >= 0) & (score >= least - 1e-9))
+        best = score[where]
         order = np.lexsort((self.ids[where], -best))
         return where[order], best[order]
 
@@ -138,15 +193,20 @@ class Index:
         share, evidence = self.vote(found)
         return _probability(share, self.curve), evidence
 
-    def calibrated(self) -> Index:
-        """Fits the curve to leave-one-out votes, weighted like the votes."""
-        if not len(self.ids) or self.toxic.all() or not self.toxic.any():
-            return self
-        shares: dict = {}
-        logit = _logit(np.array([self.vote(e, i)[0] if e else shares.setdefault(self.toxic[i], self.vote(e, i)[0])
-                                 for i, e in enumerate(self.examples)]))
-        self.curve = _fit_curve(logit, self.toxic.astype(float), self.votes / self.votes.sum())
-        return self
+
+def calibrated(spark: SparkSession, index: Index) -> Index:
+    """The index with a curve fitted to the leave-one-out votes of its examples, weighted like the votes."""
+    if not len(index.ids) or index.toxic.all() or not index.toxic.any():
+        return index
+    shared = spark.sparkContext.broadcast(index)
+
+    def leave_one_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"i": batch["id"], "vote": [shared.value.vote(shared.value.found(i), i)[0] for i in batch["id"].tolist()]})
+
+    votes = spark.range(len(index.ids)).mapInPandas(leave_one_out, "i long, vote double").toPandas().sort_values("i")["vote"].to_numpy()
+    curve = _fit_curve(_logit(votes), index.toxic.astype(float), index.votes / index.votes.sum())
+    return replace(index, curve=curve)
 
 
 def _logit(share: np.ndarray) -> np.ndarray:
@@ -210,9 +270,10 @@ def _idf(docs: DataFrame, chosen: list[str]) -> np.ndarray:
         n = np.zeros(len(shared.value) + 1, dtype=np.int64)
         for batch in batches:
             for text in batch["text"]:
-                n[[t for t, _ in terms(text)]] += 1
+                n[terms.held(text)] += 1
             n[-1] += len(batch)
-        yield pd.DataFrame({"at": np.arange(len(n)), "n": n})
+        held = np.flatnonzero(n)
+        yield pd.DataFrame({"at": held, "n": n[held]})
 
     held = np.zeros(len(chosen) + 1)
     for row in texts(docs).select("text").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
@@ -221,34 +282,42 @@ def _idf(docs: DataFrame, chosen: list[str]) -> np.ndarray:
 
 
 def build(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], Index]:
-    """The chosen terms and the calibrated index."""
+    """The indexed terms and the calibrated index."""
     examples, totals = sample(docs, labels, per_class)
+    examples = cut(examples)
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n, n_toxic = sum(sizes.values()), sizes.get(1, 0)
     rate = n_toxic / n if n else 0.0
     chosen: list[str] = []
-    idf = np.zeros(0)
+    idf = share = np.zeros(0)
     if 0 < rate < 1:
         spread = F.sqrt(F.col("n") * rate * (1 - rate) * (1 - F.col("n") / n) + 1e-9)
-        top = _associations(examples).where(F.col("n") >= LEAST_DOCS) \
-            .withColumn("z", F.abs(F.col("n_toxic") - F.col("n") * rate) / spread).where(F.col("z") >= LEAST_Z) \
-            .orderBy(F.desc("z"), "term").collect()  # bounded by the examples
-        chosen = [r["term"] for r in top]
+        z = F.abs(F.col("n_toxic") - F.col("n") * rate) / spread
+        terms = _associations(examples).select("term", ((F.col("n") >= LEAST_DOCS) & (z >= LEAST_Z)).alias("tells")) \
+            .where(F.col("tells") | ~F.col("term").endswith("*")).orderBy("term").toPandas()  # the words of the examples
+        chosen = terms["term"].tolist()
+        share = np.where(terms["tells"], 1.0, QUIET)
         idf = _idf(docs, chosen)
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = Terms(chosen)
+        terms = Terms(shared.value)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"],
                                 "found": [[x for pair in terms(t) for x in pair] for t in batch["text"]]})
 
     rows = examples.mapInPandas(vectors, "doc_id long, toxic int, found array<int>").collect()
-    found = [tuple(zip(r["found"][::2], r["found"][1::2], strict=True)) for r in rows]
-    order = sorted(range(len(rows)), key=lambda i: ([t for t, _ in found[i]], rows[i]["doc_id"]))  # like beside like
+    pairs = [np.array(r["found"], dtype=np.int64).reshape(-1, 2) for r in rows]
+    telling = [[t for t in p[:, 0].tolist() if share[t] == 1.0] for p in pairs]
+    common = np.argsort(-np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *[p[:, 0] for p in pairs]])), kind="stable")[:ORDER_TERMS]
+    order = sorted(range(len(rows)), key=lambda i: (telling[i], (~np.isin(common, pairs[i][:, 0])).tolist(), len(pairs[i]),
+                                                    rows[i]["doc_id"], pairs[i].tolist()))  # like beside like, so that few blocks are opened
     toxic = np.array([rows[i]["toxic"] for i in order], dtype=np.int64)
     votes = np.array([totals[y] / sizes[y] for y in toxic.tolist()])
-    index = Index(np.array([rows[i]["doc_id"] for i in order], dtype=np.int64), toxic, votes, idf, [found[i] for i in order])
-    return chosen, index.calibrated()
+    flat = np.concatenate([np.zeros((0, 2), dtype=np.int64), *[pairs[i] for i in order]])
+    first = np.cumsum([0, *[len(pairs[i]) for i in order]])
+    index = Index(np.array([rows[i]["doc_id"] for i in order], dtype=np.int64), toxic, votes, idf, share, first, flat[:, 0], flat[:, 1])
+    return chosen, calibrated(docs.sparkSession, index)
 
 
 def scored(docs: DataFrame, chosen: list[str], index: Index) -> DataFrame:
@@ -262,11 +331,12 @@ def scored(docs: DataFrame, chosen: list[str], index: Index) -> DataFrame:
             out = []
             for text in batch["text"]:
                 found = terms(text)
-                if len(known) > REMEMBER:
+                if len(known) > REMEMBER_SCORES:
                     known.clear()
-                if found not in known:
-                    known[found] = index_.score(found)
-                out.append(known[found])
+                key = xxhash.xxh3_128_digest(np.array(found, dtype=np.int64).tobytes())
+                if key not in known:
+                    known[key] = index_.score(found)
+                out.append(known[key])
             score = np.array([s for s, _ in out])
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": score,
                                 "predicted": (score >= 0.5).astype("int32"), "evidence": [e for _, e in out]})
