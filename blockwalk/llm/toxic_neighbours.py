@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 from functools import reduce
 
 import numpy as np
@@ -127,6 +127,14 @@ class Index:
         self.block, self.top = block[new], np.maximum.reduceat(self.weight, new) if len(new) else self.weight
         self.cells = np.searchsorted(term[new], np.arange(pseudo + 2))
 
+    def __getstate__(self) -> dict:
+        """Postings are made again where an index arrives; they are several times as large."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.init}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
     @property
     def examples(self) -> list[tuple[tuple[int, int], ...]]:
         return [self.found(i) for i in range(len(self.ids))]
@@ -205,6 +213,7 @@ def calibrated(spark: SparkSession, index: Index) -> Index:
             yield pd.DataFrame({"i": batch["id"], "vote": [shared.value.vote(shared.value.found(i), i)[0] for i in batch["id"].tolist()]})
 
     votes = spark.range(len(index.ids)).mapInPandas(leave_one_out, "i long, vote double").toPandas().sort_values("i")["vote"].to_numpy()
+    shared.destroy()
     curve = _fit_curve(_logit(votes), index.toxic.astype(float), index.votes / index.votes.sum())
     return replace(index, curve=curve)
 
@@ -278,6 +287,7 @@ def _idf(docs: DataFrame, chosen: list[str]) -> np.ndarray:
     held = np.zeros(len(chosen) + 1)
     for row in texts(docs).select("text").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         held[row["at"]] = row["n"]
+    shared.destroy()
     return np.log(1 + held[-1] / np.maximum(held[:-1], 1))
 
 
@@ -307,6 +317,7 @@ def build(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
                                 "found": [[x for pair in terms(t) for x in pair] for t in batch["text"]]})
 
     rows = examples.mapInPandas(vectors, "doc_id long, toxic int, found array<int>").collect()
+    shared.destroy()
     pairs = [np.array(r["found"], dtype=np.int64).reshape(-1, 2) for r in rows]
     telling = [[t for t in p[:, 0].tolist() if share[t] == 1.0] for p in pairs]
     common = np.argsort(-np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *[p[:, 0] for p in pairs]])), kind="stable")[:ORDER_TERMS]
@@ -316,7 +327,8 @@ def build(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     votes = np.array([totals[y] / sizes[y] for y in toxic.tolist()])
     flat = np.concatenate([np.zeros((0, 2), dtype=np.int64), *[pairs[i] for i in order]])
     first = np.cumsum([0, *[len(pairs[i]) for i in order]])
-    index = Index(np.array([rows[i]["doc_id"] for i in order], dtype=np.int64), toxic, votes, idf, share, first, flat[:, 0], flat[:, 1])
+    index = Index(np.array([rows[i]["doc_id"] for i in order], dtype=np.int64), toxic, votes, idf, share, first,
+                  flat[:, 0].astype(np.int32), flat[:, 1].astype(np.int32))
     return chosen, calibrated(docs.sparkSession, index)
 
 
