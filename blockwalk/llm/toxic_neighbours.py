@@ -47,6 +47,9 @@ ORDER_TERMS = 12
 REMEMBER = 200_000
 REMEMBER_SCORES = 20_000
 
+#: (term, count) pairs, as tuples or as rows of an array.
+Found = tuple[tuple[int, int], ...] | np.ndarray
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -63,11 +66,19 @@ class Terms:
         self.words: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str) -> tuple[tuple[int, int], ...]:
+        return tuple(map(tuple, self.table(text).tolist()))
+
+    def table(self, text: str) -> np.ndarray:
+        """Rows (term, count) in the order of terms."""
         out: dict[int, int] = {}
+        known = self.words.get
         for word, n in Counter(_WORD.findall(text.lower())).items():
-            for i in self.of(word):
+            for i in known(word) or self.of(word):
                 out[i] = out.get(i, 0) + n
-        return tuple(sorted(out.items()))
+        pairs = np.empty((len(out), 2), dtype=np.int64)
+        pairs[:, 0] = np.fromiter(out, np.int64, len(out))
+        pairs[:, 1] = np.fromiter(out.values(), np.int64, len(out))
+        return pairs[np.argsort(pairs[:, 0])]
 
     def of(self, word: str) -> tuple[int, ...]:
         ids = self.words.get(word)
@@ -79,7 +90,8 @@ class Terms:
 
     def held(self, text: str) -> list[int]:
         """The terms of a text without their counts."""
-        return list({i for word in set(_WORD.findall(text.lower())) for i in self.of(word)})
+        known = self.words.get
+        return list({i for word in set(_WORD.findall(text.lower())) for i in known(word) or self.of(word)})
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -137,22 +149,22 @@ class Index:
 
     @property
     def examples(self) -> list[tuple[tuple[int, int], ...]]:
-        return [self.found(i) for i in range(len(self.ids))]
+        return [tuple(map(tuple, self.found(i).tolist())) for i in range(len(self.ids))]
 
-    def found(self, i: int) -> tuple[tuple[int, int], ...]:
+    def found(self, i: int) -> np.ndarray:
         part = slice(self.first[i], self.first[i + 1])
-        return tuple(zip(self.term[part].tolist(), self.times[part].tolist(), strict=True))
+        return np.stack([self.term[part], self.times[part]], 1)
 
     def _weights(self, at: np.ndarray, times: np.ndarray) -> np.ndarray:
         return (1 + np.log(times)) * self.idf[at] * self.share[at]
 
-    def vector(self, found: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, found: Found) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of unit length; the pseudo-term is the last."""
-        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+        pairs = np.asarray(found, dtype=np.int64).reshape(-1, 2)
         at, weight = np.r_[pairs[:, 0], len(self.idf)], np.r_[self._weights(pairs[:, 0], pairs[:, 1]), BACKGROUND]
         return at, weight / np.linalg.norm(weight)
 
-    def nearest(self, found: tuple[tuple[int, int], ...], without: int = -1, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, found: Found, without: int = -1, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples and all that tie with the last, with their cosines."""
         at, weight = self.vector(found)
         n = self.cells[at + 1] - self.cells[at]
@@ -184,7 +196,7 @@ class Index:
         order = np.lexsort((self.ids[where], -best))
         return where[order], best[order]
 
-    def vote(self, found: tuple[tuple[int, int], ...], without: int = -1) -> tuple[float, list[int]]:
+    def vote(self, found: Found, without: int = -1) -> tuple[float, list[int]]:
         """The weighted share of toxic examples among the nearest, and the ids that weigh most for the outcome."""
         where, cosine = self.nearest(found, without)
         if not len(where):
@@ -195,7 +207,7 @@ class Index:
         side = toxic == (share >= 0.5)
         return share, self.ids[where[side][:EVIDENCE]].tolist()
 
-    def score(self, found: tuple[tuple[int, int], ...]) -> tuple[float, list[int]]:
+    def score(self, found: Found) -> tuple[float, list[int]]:
         if not len(self.ids):
             return 0.0, []
         share, evidence = self.vote(found)
@@ -314,7 +326,7 @@ def build(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
         terms = Terms(shared.value)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"],
-                                "found": [[x for pair in terms(t) for x in pair] for t in batch["text"]]})
+                                "found": [terms.table(t).ravel() for t in batch["text"]]})
 
     rows = examples.mapInPandas(vectors, "doc_id long, toxic int, found array<int>").collect()
     shared.destroy()
@@ -342,10 +354,10 @@ def scored(docs: DataFrame, chosen: list[str], index: Index) -> DataFrame:
         for batch in batches:
             out = []
             for text in batch["text"]:
-                found = terms(text)
+                found = terms.table(text)
                 if len(known) > REMEMBER_SCORES:
                     known.clear()
-                key = xxhash.xxh3_128_digest(np.array(found, dtype=np.int64).tobytes())
+                key = xxhash.xxh3_128_digest(found.tobytes())
                 if key not in known:
                     known[key] = index_.score(found)
                 out.append(known[key])
