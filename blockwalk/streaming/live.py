@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from blockwalk.functions import geo
 from blockwalk.operators import assign, cells, folds, trajectory
 from blockwalk.operators.lineage import cut
 from blockwalk.ship import ship
@@ -108,41 +107,8 @@ def motion(fixes: DataFrame, late: str = LATE, idle: str = IDLE) -> DataFrame:
 
 # ------------------------------------------------------------------ roads by cell
 
-def road_cells(roads: DataFrame, metres: float = assign.SNAP_METRES) -> DataFrame:
-    """(_cy, _cx, lines, vertices): the road sides that a point of a cell may lie on, and the vertices that let it consider them.
-
-    One row per cell, sized by the roads of a cell of some forty metres; a stream joins it by equality.
-    """
-    side = 2 * assign.VERTEX_REACH
-    usable = roads.filter(F.size("coords") >= 2)
-    dx = cells.reach_lng(metres, "alat", "blat")
-    span = lambda a, b, pad: F.explode(F.sequence(cells.cell(F.least(a, b) - pad, side), cells.cell(F.greatest(a, b) + pad, side)))
-    line = F.struct("pos", "seg", "road_id", "alat", "alng", "blat", "blng")
-    lines = cells.road_segments(usable, "road_id", "pos").withColumn("_cy", span("alat", "blat", metres / cells.METRES)) \
-        .withColumn("_cx", span("alng", "blng", dx)).groupBy("_cy", "_cx").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    vertex = usable.select("road_id", F.explode("coords").alias("_v")).select("road_id", F.col("_v.lat").alias("lat"), F.col("_v.lng").alias("lng")).distinct()
-    reach = assign.VERTEX_REACH
-    vertices = cells.probe(vertex, F.col("lat"), F.col("lng"), reach, reach, side, side) \
-        .groupBy("_cy", "_cx").agg(F.collect_list(F.struct("road_id", "lat", "lng")).alias("vertices"))
-    return cut(lines.join(vertices, ["_cy", "_cx"]))
-
-
-def on_roads(points: DataFrame, by_cell: DataFrame, metres: float = assign.SNAP_METRES) -> DataFrame:
-    """Adds road_id, snap_lat and snap_lng (null off the roads), by the rule of ``assign.snap_points``; no aggregation, so a stream may use it."""
-    side, reach = 2 * assign.VERTEX_REACH, assign.VERTEX_REACH
-    met = points.withColumns({"_cy": cells.cell(F.col("lat"), side), "_cx": cells.cell(F.col("lng"), side)}).join(by_cell, ["_cy", "_cx"], "left")
-    lat, lng = F.col("lat"), F.col("lng")
-    near = F.transform(F.filter("vertices", lambda v: (F.abs(v["lat"] - lat) < reach) & (F.abs(v["lng"] - lng) < reach)), lambda v: v["road_id"])
-    met = met.withColumn("_near", near)
-    held = F.filter("lines", lambda s: F.array_contains("_near", s["road_id"]))
-    far = lambda s: geo.point_segment_m(lat, lng, s["alat"], s["alng"], s["blat"], s["blng"])
-    best = F.array_min(F.transform(held, lambda s: F.struct(far(s).alias("dist"), s["pos"].alias("pos"), s["seg"].alias("seg"), s.alias("side"))))
-    met = met.withColumn("_best", F.when(best["dist"] <= metres, best["side"]))
-    k, b = F.cos(F.radians("lat")), lambda c: F.col(f"_best.{c}")
-    frac = geo.segment_fraction(lng * k, lat, b("alng") * k, b("alat"), b("blng") * k, b("blat"))
-    return met.withColumns({
-        "road_id": b("road_id"), "snap_lat": b("alat") + frac * (b("blat") - b("alat")),
-        "snap_lng": b("alng") + frac * (b("blng") - b("alng"))}).drop("_cy", "_cx", "lines", "vertices", "_near", "_best")
+#: The static table that a stream of points meets by cell, and the meeting (see ``assign``).
+road_cells, on_roads = assign.road_cells, assign.on_roads
 
 
 # ------------------------------------------------------------------ step two
