@@ -3,6 +3,8 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from blockwalk.functions import geo
+from blockwalk.operators import layout
 from blockwalk.plans import registry
 
 
@@ -23,3 +25,33 @@ def test_footprints_of_high_keys_equal_their_sql(spark, sf, tmp_path):
     want = con.execute(f"SELECT hlb_id, id, lat, lng, area_sqm, source FROM ({registry.oracle_sql()['footprint_scan']})").fetchall()
     assert want and min(r[4] for r in want) < 0
     assert _rows(got.collect()) == _rows(want)
+
+
+def test_blocks_travel_as_runs_of_cells(spark, monkeypatch):
+    """A fine grid gives rows by runs, not by cells; areas with many runs are linked across tasks alike."""
+    ring = lambda *points: [{"lat": y, "lng": x} for y, x in points]
+    shape = "array<struct<lat:double,lng:double>>"
+    area = spark.createDataFrame([(1, ring((26.0, 80.0), (26.0, 80.004), (26.004, 80.004), (26.002, 80.002), (26.004, 80.0)))],
+                                 f"hlb_id long, ring {shape}")
+    roads = spark.createDataFrame([(1, 0, ring((26.001, 79.99), (26.0012, 80.01))), (1, 1, ring((25.99, 80.001), (26.01, 80.0013)))],
+                                  f"hlb_id long, pos long, coords {shape}")
+    runs = layout.block_cells(area, roads, 2.0).cache()
+    cells = {(r.cy, x): (r.lat, r.west + (x + 0.5) * r.dx) for r in runs.collect() for x in range(r.cx, r["last"] + 1)}
+    assert runs.count() < len(cells) / 20
+    at = spark.createDataFrame([(y, x, lat, lng) for (y, x), (lat, lng) in cells.items()], "cy long, cx long, lat double, lng double")
+    sides = roads.crossJoin(at).select("cy", "cx", geo.min_edge_m("lat", "lng", geo.line_segments(F.col("coords"))).alias("m"))
+    assert sides.agg(F.min("m")).first()[0] >= layout.ROAD_HALF_WIDTH
+    want = {}
+    for cell in sorted(cells):
+        if cell not in want:
+            want[cell], queue = cell, [cell]
+            while queue:
+                y, x = queue.pop()
+                for near in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                    if near in cells and near not in want:
+                        want[near] = cell
+                        queue.append(near)
+    blocks = {c: y * 10_000_000 + x for c, (y, x) in want.items()}
+    for limit in (10, 100_000):
+        labelled = layout.label_runs(runs, 2.0, 0.0, limit).collect()
+        assert {(r.cy, x): r.block_id for r in labelled for x in range(r.cx, r["last"] + 1)} == blocks
