@@ -164,6 +164,32 @@ def nearest_gaps(lat, lng):
     return out
 
 
+def nearest_mean(lat, lng, k, block=256):
+    """Mean distance of every point to its ``k`` nearest others, or to all where they are fewer (0 when alone)."""
+    n, k = len(lat), min(k, len(lat) - 1)
+    out = np.zeros(n)
+    if k < 1:
+        return out
+    order = np.argsort(lat, kind="stable")
+    la, ln = lat[order], lng[order]
+    for start in range(0, n, block):
+        end = min(start + block, n)
+        lo, hi = max(0, start - 4 * k), min(n, end + 4 * k)
+        while True:
+            d = flat_m(la[start:end, None], ln[start:end, None], la[None, lo:hi], ln[None, lo:hi])
+            d[np.arange(end - start), np.arange(start - lo, end - lo)] = np.inf
+            near = np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1)
+            # rows further off in latitude alone than the k-th neighbour cannot be nearer
+            reach = near[:, -1] / 111320.0
+            low = int(np.searchsorted(la, (la[start:end] - reach).min(), "left"))
+            high = int(np.searchsorted(la, (la[start:end] + reach).max(), "right"))
+            if low >= lo and high <= hi:
+                break
+            lo, hi = min(lo, max(low, lo - (hi - lo))), max(hi, min(high, hi + (hi - lo)))
+        out[order[start:end]] = near.sum(axis=1) / k
+    return out
+
+
 class Grid:
     """Points by cells of about ``side`` metres; two points whose cells are k apart are at least (k - 1) sides apart.
 

@@ -116,9 +116,26 @@ def nearest_target(points: DataFrame, targets: DataFrame, keys: Sequence[str], c
     return points.join(found, [*keys, "lat", "lng"], "left")
 
 
-def local_cell_size(points: DataFrame, keys: Sequence[str], k: int = 5) -> DataFrame:
+def local_cell_size(points: DataFrame, keys: Sequence[str], k: int = 5, limit: int = GROUP_ROWS) -> DataFrame:
     """clamp(14, 28, 0.9 x mean of the k nearest distances) in metres for each point.
 
+    Small groups are measured inside one task each; points of larger ones meet by cells.
+    """
+    rows = points.select(*keys, "id", "lat", "lng")
+    small, large = split_groups(rows, keys, limit)
+    schema = T.StructType([small.schema[c] for c in (*keys, "id")] + [T.StructField("cell_size", T.DoubleType())])
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        mean = kernels.nearest_mean(pdf["lat"].to_numpy(), pdf["lng"].to_numpy(), k)
+        return pdf[[*keys, "id"]].assign(cell_size=np.clip(mean * 0.9, 14.0, 28.0))
+
+    out = spread(small, *keys).groupBy(*keys).applyInPandas(measure, schema)
+    return out if large is None else out.unionByName(_cell_size_by_cells(large, keys, k))
+
+
+def _cell_size_by_cells(points: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """The sizes in groups too large for a task.
+
     Only points whose k nearest lie within 156 m can leave the upper clamp, which
     bounds the search; a point sharing an 11 m cell with k others is at the lower
     clamp by counting alone.

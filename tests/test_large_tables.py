@@ -4,8 +4,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from blockwalk.functions import geo
-from blockwalk.operators import layout
-from blockwalk.plans import registry
+from blockwalk.operators import layout, nearest
+from blockwalk.plans import bindings, registry
 
 
 def _rows(rows):
@@ -55,3 +55,13 @@ def test_blocks_travel_as_runs_of_cells(spark, monkeypatch):
     for limit in (10, 100_000):
         labelled = layout.label_runs(runs, 2.0, 0.0, limit).collect()
         assert {(r.cy, x): r.block_id for r in labelled for x in range(r.cx, r["last"] + 1)} == blocks
+
+
+def test_cell_sizes_of_small_groups_are_measured_in_tasks(spark, sf):
+    """No pairs travel: one exchange of the group's own rows; groups over the limit give the same sizes by cells."""
+    rows = bindings.symbols(spark, sf)
+    inside = nearest.local_cell_size(rows, ["hlb_id"])
+    assert "Join" not in inside._jdf.queryExecution().executedPlan().toString()
+    by_cells = nearest.local_cell_size(rows, ["hlb_id"], limit=10)
+    size = lambda df: {r["id"]: round(r["cell_size"], 6) for r in df.collect()}
+    assert size(inside) == size(by_cells)
