@@ -10,6 +10,9 @@ raw fixes); the check for oversized sessions then does not run the steps before
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -288,11 +291,22 @@ def simplify(lines: DataFrame, keys: list[str], tolerance: float = 2.5 * 9e-6, l
     rows = lines.select(*keys, F.col("i").cast("long").alias("i"), "lat", "lng")
     small, large = split_groups(rows, keys, limit)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", kind="stable")
-        return pdf[kernels.deviating(pdf["lat"].to_numpy(), pdf["lng"].to_numpy(), tolerance)]
-
-    kept = spread(small, *keys).groupBy(*keys).applyInPandas(walk, rows.schema)
+    # lines are mostly short, so a task walks all that a batch of sorted rows holds; its last line may go on in the next batch
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            lines = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            done = int(np.flatnonzero(lines == lines[-1])[0]) if len(pdf) else 0
+            held = pdf[done:]
+            yield kept_of(pdf[:done], lines[:done])
+        if held is not None:
+            yield kept_of(held, np.zeros(len(held)))
+
+    def kept_of(pdf: pd.DataFrame, lines: np.ndarray) -> pd.DataFrame:
+        return pdf[kernels.deviating_lines(pdf["lat"].to_numpy(), pdf["lng"].to_numpy(), lines, tolerance)] if len(pdf) else pdf
+
+    kept = spread(small, *keys).sortWithinPartitions(*keys, "i").mapInPandas(walk, rows.schema)
     return kept if large is None else kept.unionByName(_simplify_in_rounds(large, keys, tolerance))
 
 

@@ -1,10 +1,11 @@
 """Queries on keys and sizes that only the larger tables hold."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from blockwalk.functions import geo
-from blockwalk.operators import layout, nearest
+from blockwalk.operators import kernels, layout, nearest, trajectory
 from blockwalk.plans import bindings, registry
 
 
@@ -65,3 +66,19 @@ def test_cell_sizes_of_small_groups_are_measured_in_tasks(spark, sf):
     by_cells = nearest.local_cell_size(rows, ["hlb_id"], limit=10)
     size = lambda df: {r["id"]: round(r["cell_size"], 6) for r in df.collect()}
     assert size(inside) == size(by_cells)
+
+
+def test_short_lines_are_walked_together(spark):
+    """Many lines make few Python calls, and a line that goes on in the next batch keeps the same vertices."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rng = np.random.default_rng(3)
+    lines = [(k, i, float(np.round(rng.random(), 1)), float(np.round(rng.random(), 1))) for k in range(60) for i in range(int(rng.integers(1, 25)))]
+    out = trajectory.simplify(spark.createDataFrame(lines, "k long, i long, lat double, lng double"), ["k"], 0.2)
+    got = {(r["k"], r["i"]) for r in out.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for k in range(60):
+        at = np.array([r[1:] for r in lines if r[0] == k])
+        want |= {(k, int(i)) for i in at[kernels.deviating(at[:, 1], at[:, 2], 0.2), 0]}
+    assert got == want
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
