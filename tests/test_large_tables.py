@@ -1,5 +1,7 @@
 """Queries on keys and sizes that only the larger tables hold."""
 
+import math
+
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
@@ -82,3 +84,16 @@ def test_short_lines_are_walked_together(spark):
         want |= {(k, int(i)) for i in at[kernels.deviating(at[:, 1], at[:, 2], 0.2), 0]}
     assert got == want
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slots_are_picked_by_striking_out():
+    """The first houses that keep their distance, ties at exactly the distance included, as the walk over all candidates keeps them."""
+    rng = np.random.default_rng(0)
+    flat = lambda a, b, p, q: math.hypot(a - p, b - q)
+    for step, gap in ((3.0, 5.0), (5.0, 5.0), (1.2, 6.0), (14.4, 43.2), (2.5, 17.3)):
+        row, col = np.divmod(np.arange(600), 25)
+        turn = rng.random()
+        v, u = step * (row * np.cos(turn) - col * np.sin(turn)), step * (row * np.sin(turn) + col * np.cos(turn))
+        for y, x in ((v, u), (row * step, col * step)):
+            want = np.flatnonzero(kernels.greedy_keep(y, x, gap, flat))[:20]
+            assert kernels.first_apart(y, x, gap, 20).tolist() == want.tolist()
