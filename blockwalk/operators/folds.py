@@ -30,20 +30,26 @@ START_VARIANCE = 1.0
 FALLBACK_NOISE = 0.0005
 
 
-def kalman_step(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-    """Filter fixes in order.  State: (variance, lat, lng); both axes share the variance."""
+def kalman_walk(state: tuple, lats: list, lngs: list, accuracies: list) -> tuple[tuple, list, list]:
+    """Filter positions in order.  State: (variance, lat, lng); both axes share the variance."""
     p, y, x = state
-    lats, lngs = [], []
-    for lat, lng, acc in zip(pdf["lat"].to_numpy(), pdf["lng"].to_numpy(), pdf["accuracy"].to_numpy()):
+    ys, xs = [], []
+    for lat, lng, acc in zip(lats, lngs, accuracies, strict=True):
         p += PROCESS_NOISE
         r = acc * acc / 10 if acc == acc and acc else FALLBACK_NOISE
         gain = p / (p + r)
         y = lat if y == 0 else y + gain * (lat - y)
         x = lng if x == 0 else x + gain * (lng - x)
         p *= 1 - gain
-        lats.append(y)
-        lngs.append(x)
-    return (p, y, x), pdf.assign(lat=lats, lng=lngs)
+        ys.append(y)
+        xs.append(x)
+    return (p, y, x), ys, xs
+
+
+def kalman_step(state: tuple, pdf: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    """Filter fixes in order, see :func:`kalman_walk`."""
+    state, ys, xs = kalman_walk(state, *(pdf[c].to_numpy(float).tolist() for c in ("lat", "lng", "accuracy")))
+    return state, pdf.assign(lat=ys, lng=xs)
 
 
 KALMAN_START = (START_VARIANCE, 0.0, 0.0)
@@ -55,17 +61,23 @@ def metres(a, b, c, d):
     return 2 * EARTH_RADIUS_M * math.asin(math.sqrt(min(1.0, h)))
 
 
+def thin_walk(state: tuple, gap: float, lats: list, lngs: list, out_lats: list, out_lngs: list) -> tuple[tuple, list]:
+    """Which positions lie at least ``gap`` metres from the last kept output position.  State: (lat, lng), NaN before any."""
+    y, x = state
+    keep = []
+    for lat, lng, oy, ox in zip(lats, lngs, out_lats, out_lngs, strict=True):
+        ok = y != y or not metres(y, x, lat, lng) < gap
+        keep.append(ok)
+        if ok:
+            y, x = oy, ox
+    return (y, x), keep
+
+
 def thin_step(gap: float) -> Step:
-    """Keep rows at least ``gap`` metres from the last kept output position.  State: (lat, lng), NaN before any."""
+    """Keep rows by :func:`thin_walk`."""
     def step(state, pdf):
-        y, x = state
-        keep = []
-        for lat, lng, oy, ox in zip(pdf["lat"].to_numpy(), pdf["lng"].to_numpy(), pdf["out_lat"].to_numpy(), pdf["out_lng"].to_numpy()):
-            ok = y != y or not metres(y, x, lat, lng) < gap
-            keep.append(ok)
-            if ok:
-                y, x = oy, ox
-        return (y, x), pdf[np.array(keep, dtype=bool)]
+        state, keep = thin_walk(state, gap, *(pdf[c].to_numpy(float).tolist() for c in ("lat", "lng", "out_lat", "out_lng")))
+        return state, pdf[np.array(keep, dtype=bool)]
 
     return step
 

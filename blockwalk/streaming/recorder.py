@@ -32,34 +32,44 @@ def _still(ys: list, xs: list) -> bool:
     if len(ys) < 5:
         return False
     cy, cx = sum(ys) / 5, sum(xs) / 5
+    k = math.cos(math.radians(cy))
 
     def far(y, x):
         h = math.sin(math.radians(cy - y) / 2) ** 2 \
-            + math.cos(math.radians(y)) * math.cos(math.radians(cy)) * math.sin(math.radians(cx - x) / 2) ** 2
+            + math.cos(math.radians(y)) * k * math.sin(math.radians(cx - x) / 2) ** 2
         return 2 * TURF_RADIUS_M * math.asin(math.sqrt(min(1.0, h)))
 
-    return max(far(y, x) for y, x in zip(ys, xs)) < trajectory.STILL_METRES
+    return all(far(y, x) < trajectory.STILL_METRES for y, x in zip(ys, xs, strict=True))
 
 
 def advance(state: tuple, fixes: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-    """Take fixes in time order; returns the new state and the fixes that entered the path.
+    """Take fixes in the order of (ts, point_id); returns the new state and the fixes that entered the path.
 
-    Built from the batch folds, so that stream and batch keep the same points.
+    Built from the batch folds, so that stream and batch keep the same points. Lists are walked and only the path becomes a
+    frame: sessions are short, and a step of pandas takes longer than their fixes.
     """
     p, y, x, ky, kx, kept, ys, xs = state
-    (p, y, x), smooth = folds.kalman_step((p, y, x), fixes)
-    all_y, all_x = [*ys, *smooth["lat"]], [*xs, *smooth["lng"]]
-    back = len(ys)
-    still = np.array([_still(all_y[max(0, i + back - 4):i + back + 1], all_x[max(0, i + back - 4):i + back + 1])
-                      for i in range(len(smooth))], dtype=bool)
-    speed = smooth["speed"].fillna(0.0).to_numpy()
-    acc = smooth["accuracy"].to_numpy()
-    on_foot = (speed <= 4.2) & ((speed > 2.0) | ~(acc > 20))
-    rows = smooth[~still & (acc <= trajectory.MAX_ACCURACY) & on_foot]
-    rows = rows.assign(out_lat=rows["lat"], out_lng=rows["lng"])
-    (ky, kx), path = folds.thin_step(trajectory.THIN_METRES)((ky, kx), rows)
-    path = path.assign(path_index=np.arange(kept + 1, kept + 1 + len(path)))
-    return (p, y, x, ky, kx, kept + len(path), all_y[-4:], all_x[-4:]), path
+    order = np.lexsort((fixes["point_id"].to_numpy(), fixes["ts"].to_numpy()))
+    raw_lats, raw_lngs, speeds, accuracies = (fixes[c].to_numpy(float)[order].tolist() for c in ("lat", "lng", "speed", "accuracy"))
+    (p, y, x), lats, lngs = folds.kalman_walk((p, y, x), raw_lats, raw_lngs, accuracies)
+    all_y, all_x, back = [*ys, *lats], [*xs, *lngs], len(ys)
+
+    def recordable(i: int) -> bool:
+        speed, acc = speeds[i], accuracies[i]
+        speed = speed if speed == speed else 0.0
+        on_foot = speed <= 4.2 and (speed > 2.0 or not acc > 20)
+        at = slice(max(0, i + back - 4), i + back + 1)
+        return acc <= trajectory.MAX_ACCURACY and on_foot and not _still(all_y[at], all_x[at])
+
+    rows = [i for i in range(len(lats)) if recordable(i)]
+    own = [lats[i] for i in rows], [lngs[i] for i in rows]
+    (ky, kx), keep = folds.thin_walk((ky, kx), trajectory.THIN_METRES, *own, *own)
+    rows = [i for i, k in zip(rows, keep, strict=True) if k]
+    taken = {"lat": np.array([lats[i] for i in rows], float), "lng": np.array([lngs[i] for i in rows], float),
+             "path_index": np.arange(kept + 1, kept + 1 + len(rows))}
+    at = order[np.array(rows, dtype=np.int64)]
+    path = pd.DataFrame({c: taken[c] if c in taken else fixes[c].to_numpy()[at] for c in OUTPUT.names})
+    return (p, y, x, ky, kx, kept + len(rows), all_y[-4:], all_x[-4:]), path
 
 
 def record(fixes: DataFrame, late: str = "10 minutes", idle: str = "30 minutes") -> DataFrame:
@@ -73,12 +83,13 @@ def record(fixes: DataFrame, late: str = "10 minutes", idle: str = "30 minutes")
             return
         now = tuple(state.get) if state.exists else START
         now = (*now[:6], list(now[6]), list(now[7]))
-        pdf = pd.concat(list(batches)).sort_values(["ts", "point_id"], kind="stable")
+        parts = list(batches)
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts)
         now, path = advance(now, pdf)
         state.update(now)
         newest = int(pdf["ts"].max().timestamp() * 1000)
         state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
-        yield path[OUTPUT.names]
+        yield path
 
     return fixes.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(
         update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

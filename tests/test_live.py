@@ -180,3 +180,46 @@ def test_windows_of_matches(spark, tmp_path, n):
     assert min(shares) < 0.6 <= max(shares)
     place = {r[1]: r[4] for r in rows}
     assert all((abs(r["out_lat"] - 26.0015) < 1e-9) if r["road_id"] else r["out_lat"] == place[r["point_id"]] for r in got)
+
+
+def test_a_short_session_costs_little_beside_its_fixes():
+    """The recorder's step by itself: same path as the folds over frames, in few calls (a step of pandas is some hundred)."""
+    import sys
+
+    import numpy as np
+    import pandas as pd
+
+    from blockwalk.operators import folds, trajectory
+    from blockwalk.streaming import recorder
+
+    rng = np.random.default_rng(3)
+    n = 60
+    fixes = pd.DataFrame({
+        "session_id": 1, "point_id": rng.permutation(n), "ts": pd.to_datetime(1704067200 + rng.integers(0, 40, n) * 60, unit="s"),
+        "lat": 26.0 + rng.random(n) * 1e-4, "lng": 80.0 + rng.random(n) * 1e-4, "accuracy": rng.choice([0.0, 5.0, 25.0, 55.0, np.nan], n),
+        "speed": rng.choice([0.5, 3.0, 9.0, np.nan], n)})
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    recorder.advance(recorder.START, fixes)
+    sys.setprofile(count)
+    try:
+        state, path = recorder.advance(recorder.START, fixes)
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 4000
+    rows = fixes.sort_values(["ts", "point_id"])
+    last, smooth = folds.kalman_step(folds.KALMAN_START, rows)
+    ys, xs = smooth["lat"].tolist(), smooth["lng"].tolist()
+    still = np.array([recorder._still(ys[max(0, i - 4):i + 1], xs[max(0, i - 4):i + 1]) for i in range(n)])
+    speed = smooth["speed"].fillna(0.0)
+    rows = smooth[~still & (smooth["accuracy"] <= trajectory.MAX_ACCURACY) & (speed <= 4.2) & ((speed > 2.0) | ~(smooth["accuracy"] > 20))]
+    kept = folds.thin_step(trajectory.THIN_METRES)((float("nan"), float("nan")), rows.assign(out_lat=rows["lat"], out_lng=rows["lng"]))[1]
+    assert len(kept) > 5 and path["point_id"].tolist() == kept["point_id"].tolist() and path["lat"].tolist() == kept["lat"].tolist()
+    assert path["path_index"].tolist() == list(range(1, len(kept) + 1)) and state[:3] == last and state[5] == len(kept)
+    assert path.columns.tolist() == recorder.OUTPUT.names
+    cut_state, first = recorder.advance(recorder.START, fixes.sort_values(["ts", "point_id"])[:23])
+    again, second = recorder.advance(cut_state, fixes.sort_values(["ts", "point_id"])[23:])
+    assert again == state and first["point_id"].tolist() + second["point_id"].tolist() == kept["point_id"].tolist()
