@@ -295,10 +295,10 @@ def segment_fraction(px, py, ax, ay, bx, by) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)), F.lit(0.0))
 
 
-def point_segment_m(lat, lng, alat, alng, blat, blng) -> Column:
-    """Distance in metres to a lat/lng segment, in a flat frame centred on the point."""
+def point_segment_m(lat, lng, alat, alng, blat, blng, k: Column | None = None) -> Column:
+    """Distance in metres to a lat/lng segment, in a flat frame centred on the point; ``k``: metres per degree of longitude there, if known."""
     lat, lng, alat, alng, blat, blng = map(_c, (lat, lng, alat, alng, blat, blng))
-    k = F.cos(F.radians(lat)) * METRES_PER_DEGREE
+    k = F.cos(F.radians(lat)) * METRES_PER_DEGREE if k is None else k
     z = F.lit(0.0)
     return point_segment(z, z, (alng - lng) * k, (alat - lat) * METRES_PER_DEGREE,
                          (blng - lng) * k, (blat - lat) * METRES_PER_DEGREE)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from blockwalk.functions import domain, geo
 from blockwalk.operators import cells, nearest
-from blockwalk.operators.lineage import cut
+from blockwalk.operators.lineage import cut, spread
 
 CELL_DEGREES = 0.001
 SNAP_METRES = 10.0
@@ -147,18 +147,25 @@ def snap_points(points: DataFrame, roads: DataFrame, key: str, id_col: str, metr
     ``roads``: road_id, pos, coords - the same roads serve all keys.
     """
     sides = road_sides(roads, metres)
-    # fixes repeat positions; each distinct position is matched once
-    places = points.select("lat", "lng").distinct() \
-        .withColumns({"_cy": cells.cell(F.col("lat"), SIDE_CELL), "_cx": cells.cell(F.col("lng"), SIDE_CELL)})
+    # fixes repeat positions; each distinct position is matched once. Few bytes, much work: merged by bytes they would all be one task
+    places = spread(points.select("lat", "lng").distinct(), "lat", "lng") \
+        .withColumns({"_cy": cells.cell(F.col("lat"), SIDE_CELL), "_cx": cells.cell(F.col("lng"), SIDE_CELL),
+                      "_k": F.cos(F.radians("lat")) * geo.METRES_PER_DEGREE})
 
     def meet(at: DataFrame, within: Column) -> DataFrame:
-        return at.join(sides, ["_cy", "_cx"]) \
-            .withColumn("road_dist", geo.point_segment_m("lat", "lng", "alat", "alng", "blat", "blng")) \
+        # comparisons first, and what depends on the place alone (cosine, margins) is worked out before it meets the sides of its cell:
+        # a condition on pairs does not share its parts
+        at = at.withColumns({"_dy": within * (1.001 / geo.METRES_PER_DEGREE) + 1e-12, "_dx": within * 1.001 / F.col("_k") + 1e-12})
+        lat, lng, dy, dx = map(F.col, ("lat", "lng", "_dy", "_dx"))
+        box = (lat >= F.least("alat", "blat") - dy) & (lat <= F.greatest("alat", "blat") + dy) \
+            & (lng >= F.least("alng", "blng") - dx) & (lng <= F.greatest("alng", "blng") + dx)
+        return at.join(sides, ["_cy", "_cx"]).filter(box) \
+            .withColumn("road_dist", geo.point_segment_m("lat", "lng", "alat", "alng", "blat", "blng", F.col("_k"))) \
             .filter(F.col("road_dist") <= within).filter(_considered(*map(F.col, ("verts", *ENDS))))
 
     # Pairs of a place and a side never travel: the least distance is a plain number, combined where the pairs are made,
     # and only sides at that distance meet their place again, to be told apart by position and number.
-    least = meet(places, F.lit(metres)).groupBy("lat", "lng", "_cy", "_cx").agg(F.min("road_dist").alias("_least"))
+    least = meet(places, F.lit(metres)).groupBy("lat", "lng", "_cy", "_cx", "_k").agg(F.min("road_dist").alias("_least"))
     best = meet(least, F.col("_least") * (1 + 1e-12)).groupBy("lat", "lng").agg(F.min_by(
         F.struct("road_id", "road_dist", "alat", "alng", "blat", "blng"), F.struct("road_dist", "pos", "seg")).alias("_b")).select("lat", "lng", "_b.*")
     on = best.withColumns(_foot(*map(F.col, ENDS)))

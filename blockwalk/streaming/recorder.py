@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from blockwalk.functions.geo import TURF_RADIUS_M
 from blockwalk.operators import assign, folds, trajectory
+from blockwalk.operators.lineage import cut
 from blockwalk.ship import ship
 
 OUTPUT = T.StructType([
@@ -99,8 +100,10 @@ def snap_batch(points: DataFrame, roads: DataFrame) -> DataFrame:
     """Match one micro-batch of path points to mapped roads; a point that matches none stays as it is.
 
     Every point is matched by itself, so neither the number of points a session has in a batch nor how the input is
-    cut into batches changes a row, and none is lost.
+    cut into batches changes a row, and none is lost. The points are stored first: they are read several times below, and
+    each reading of a stateful batch would walk all its sessions again.
     """
+    points = cut(points)
     near = assign.snap_points(points, roads, "session_id", "point_id")
     return points.join(near, ["session_id", "point_id"], "left").withColumns({
         "out_lat": F.coalesce("snap_lat", "lat"), "out_lng": F.coalesce("snap_lng", "lng")}).drop("snap_lat", "snap_lng")

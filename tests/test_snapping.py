@@ -71,3 +71,21 @@ def test_pairs_of_points_and_roads_do_not_travel(spark):
     before = shuffled(spark)
     assert assign.snap_points(p, r, "session_id", "point_id").agg(F.count("road_id")).first()[0] == 3000
     assert shuffled(spark) - before < 60_000
+
+
+def test_a_stateful_batch_is_read_once(spark):
+    """What a micro-batch costs to make is paid once, however often its points are read."""
+    from blockwalk.streaming import recorder
+
+    made = spark.sparkContext.accumulator(0)
+
+    def walk(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    roads = [(n, n, [(26.0 + n * 1e-5, 80.0), (26.0001 + n * 1e-5, 80.00005)]) for n in range(5)]
+    p, r = frames(spark, [(i, 26.0 + i * 1e-6, 80.00002) for i in range(200)], roads)
+    found = recorder.snap_batch(p.mapInPandas(walk, p.schema), r).collect()
+    assert len(found) == 200 and sum(x["road_id"] is not None for x in found) > 50
+    assert made.value == 200
