@@ -76,6 +76,10 @@ def settle_tile(y, x, own, radius, metric, reach):
     return state
 
 
+#: Up to so many points a table of all distances costs less than looking up cells, and comparing along one axis less than walking cells.
+TABLE_POINTS, AXIS_POINTS = 128, 2_000
+
+
 def single_link(y, x, radius):
     """Component labels (lowest member index) of points linked at distance <= radius."""
     n = len(y)
@@ -87,9 +91,23 @@ def single_link(y, x, radius):
             a = parent[a]
         return a
 
+    limit = radius * radius
+    if n <= AXIS_POINTS:
+        order = np.argsort(y, kind="stable")
+        sy, sx = y[order], x[order]
+        for step in range(1, n):
+            dy = sy[step:] - sy[:-step]
+            if not (dy <= radius * (1 + 1e-9)).any():
+                break
+            dx = sx[step:] - sx[:-step]
+            linked = np.flatnonzero(dx * dx + dy * dy <= limit)
+            for a, b in zip(order[linked].tolist(), order[linked + step].tolist(), strict=True):
+                ra, rb = find(a), find(b)
+                if ra != rb:
+                    parent[max(ra, rb)] = min(ra, rb)
+        return np.array([find(i) for i in range(n)], dtype=np.int64)
     grid = defaultdict(list)
     cy, cx = _cells(y, x, radius if radius > 0 else 1.0)
-    limit = radius * radius
     for i in range(n):
         for a in (-1, 0, 1):
             for b in (-1, 0, 1):
@@ -156,12 +174,21 @@ def flat_m(lat1, lng1, lat2, lng2):
     return np.hypot(dx, (lat2 - lat1) * k)
 
 
+def distances(lat, lng):
+    """The table of all distances; a point is infinitely far from itself."""
+    d = flat_m(lat[:, None], lng[:, None], lat, lng)
+    np.fill_diagonal(d, np.inf)
+    return d
+
+
 def nearest_gaps(lat, lng):
     """Distance of every point to its nearest other point (inf when alone)."""
     n = len(lat)
     out = np.full(n, np.inf)
     if n < 2:
         return out
+    if n <= TABLE_POINTS:
+        return distances(lat, lng).min(axis=1)
     order = np.argsort(lat, kind="stable")
     la, ln = lat[order], lng[order]
     best = np.full(n, np.inf)
@@ -288,9 +315,35 @@ def nearest_walk(lat, lng, start):
 
 def walk_order(lat, lng, start, passes=40):
     """Nearest-neighbour walk from ``start``, then open-path 2-opt; returns row indices."""
+    if 1 < len(lat) <= TABLE_POINTS:
+        return _short_walk(distances(lat, lng), start, passes)
     return two_opt(lat, lng, nearest_walk(lat, lng, start), passes)
 
 
+def _short_walk(d, start, passes):
+    """:func:`nearest_walk` and :func:`two_opt` of a few points by the table of their distances."""
+    n, path, left = len(d), [start], d.copy()
+    left[:, start] = np.inf
+    for _ in range(n - 1):
+        at = int(left[path[-1]].argmin())
+        left[:, at] = np.inf
+        path.append(at)
+    path = np.array(path)
+    if n <= 3:
+        return path
+    later = np.triu(np.ones((n - 1, n - 1), bool), 2)
+    for _ in range(passes):
+        along = d[path[:, None], path]
+        hop = along.diagonal(1)
+        better = ((along[:-1, :-1] + along[1:, 1:]) + 0.01 < hop[:, None] + hop) & later
+        first = int(better.argmax())  # the first in the order of (i, j)
+        i, j = divmod(first, n - 1)
+        if not better[i, j]:
+            break
+        path[i + 1:j + 1] = path[i + 1:j + 1][::-1]
+    return path
+
+
 def _about(y, x, lat, lng, radius, side, widest=6):
     """Pairs (k, i): centre k of (y, x) and points i that lie within its radius, and some that lie a little further.
 

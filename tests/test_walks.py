@@ -81,3 +81,40 @@ def test_cost_grows_with_the_houses():
         took.append(time.process_time() - began)
         assert sorted(path.tolist()) == list(range(n))
     assert took[1] < 10 * took[0] and took[1] < 60
+
+
+@pytest.mark.parametrize("seed", range(24))
+def test_short_forms_equal_the_forms_by_cells(seed, monkeypatch):
+    lat, lng = shapes(seed)
+    y, x, start = lat * 111320.0, lng * 111320.0, seed % len(lat)
+    results = lambda: [f.tolist() for f in (kernels.walk_order(lat, lng, start), kernels.nearest_gaps(lat, lng),
+                                            *(kernels.single_link(y, x, r) for r in (0.0, 15.0, 60.0)))]
+    short = results()
+    monkeypatch.setattr(kernels, "TABLE_POINTS", 0)
+    monkeypatch.setattr(kernels, "AXIS_POINTS", 0)
+    assert results() == short
+
+
+def test_blocks_of_small_clusters_cost_little():
+    """Python calls for one block of 180 houses, its irregular clusters walked (15 000 by cells)."""
+    import sys
+
+    import pandas as pd
+
+    from blockwalk.operators import ordering
+
+    key = np.arange(180)
+    rows = pd.DataFrame({"id": key, "pos": key, "lat": 26 + (key * 7919 % 1000) / 2e5, "lng": 80 + ((key * key * 37 + key * 11) % 997) / 2e5})
+    calls = [0]
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    walked = ordering._cluster_block(rows)
+    assert (~walked["regular"]).sum() > 20
+    sys.setprofile(count)
+    try:
+        ordering._cluster_block(rows)
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 4500
