@@ -21,9 +21,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field, fields, replace
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,15 @@ REMEMBER_SCORES = 20_000
 Found = tuple[tuple[int, int], ...] | np.ndarray
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: UTF-8 bytes with every ASCII byte but the letters blanked.
+_LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+
+
+def words_of(text: str) -> list[str]:
+    """The words of the lower-cased text, as ``_WORD`` finds them; a pattern is needed only where other scripts bring more than letters."""
+    text = text.lower()
+    plain = text.encode("utf-8", "surrogatepass").translate(_LETTERS).decode("utf-8", "surrogatepass")
+    return plain.split() if plain.isascii() or plain.replace(" ", "").isalpha() else _WORD.findall(text)
 
 
 def terms_of(word: str) -> list[str]:
@@ -59,40 +69,50 @@ def terms_of(word: str) -> list[str]:
 
 
 class Terms:
-    """Counts of the indexed terms; what a word contributes is remembered."""
+    """Counts of the indexed terms. A word is looked up once: its own term where it has no other, or a mark."""
+
+    NOTHING, SEVERAL, NEW = -1, -2, -3
 
     def __init__(self, chosen: list[str]):
         self.at = {t: i for i, t in enumerate(chosen)}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, int] = {}
 
     def __call__(self, text: str) -> tuple[tuple[int, int], ...]:
         return tuple(map(tuple, self.table(text).tolist()))
 
     def table(self, text: str) -> np.ndarray:
         """Rows (term, count) in the order of terms."""
+        counts = Counter(words_of(text))
+        own, others = self.found(counts)
         out: dict[int, int] = {}
-        known = self.words.get
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            for i in known(word) or self.of(word):
-                out[i] = out.get(i, 0) + n
-        pairs = np.empty((len(out), 2), dtype=np.int64)
-        pairs[:, 0] = np.fromiter(out, np.int64, len(out))
-        pairs[:, 1] = np.fromiter(out.values(), np.int64, len(out))
+        for word, ids in others:
+            for i in ids:
+                out[i] = out.get(i, 0) + counts[word]
+        plain = own >= 0
+        pairs = np.empty((np.count_nonzero(plain) + len(out), 2), dtype=np.int64)
+        pairs[:, 0] = np.concatenate([own[plain], np.fromiter(out, np.int64, len(out))])
+        pairs[:, 1] = np.concatenate([np.fromiter(counts.values(), np.int64, len(counts))[plain], np.fromiter(out.values(), np.int64, len(out))])
         return pairs[np.argsort(pairs[:, 0])]
 
+    def held(self, text: str) -> np.ndarray:
+        """The terms of a text without their counts."""
+        own, others = self.found(set(words_of(text)))
+        return np.concatenate([own[own >= 0], np.array(list({i for _, ids in others for i in ids}), dtype=np.int64)])
+
+    def found(self, words: Collection[str]) -> tuple[np.ndarray, list[tuple[str, tuple[int, ...]]]]:
+        """The only term of each of the distinct words, negative where it is not one; and all terms of the words that the first leaves out."""
+        own = np.fromiter(map(self.known.get, words, repeat(self.NEW)), np.int64, len(words))
+        rest = np.flatnonzero(own < self.NOTHING).tolist()
+        at = list(words) if rest else []
+        return own, [(at[k], self.of(at[k])) for k in rest]
+
     def of(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) > REMEMBER:
-                self.words.clear()
-            ids = self.words[word] = tuple(self.at[t] for t in terms_of(word) if t in self.at)
+        ids = tuple(self.at[t] for t in terms_of(word) if t in self.at)
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        self.known[word] = self.NOTHING if not ids else ids[0] if ids == (self.at.get(word),) else self.SEVERAL
         return ids
 
-    def held(self, text: str) -> list[int]:
-        """The terms of a text without their counts."""
-        known = self.words.get
-        return list({i for word in set(_WORD.findall(text.lower())) for i in known(word) or self.of(word)})
-
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of every range, one range behind the other."""
@@ -271,7 +291,7 @@ def _associations(examples: DataFrame) -> DataFrame:
         toxic: Counter[str] = Counter()
         for batch in batches:
             for text, y in zip(batch["text"], batch["toxic"], strict=True):
-                own = {t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)}
+                own = {t for w in set(words_of(text)) for t in terms_of(w)}
                 n.update(own)
                 if y:
                     toxic.update(own)

@@ -269,3 +269,33 @@ def test_toxic_odd_rows(spark, odd, nothing, labelled):
     twice = labels.unionByName(labels.withColumn("toxic", F.lit(None).cast("int")))
     assert toxic_neighbours.build(docs, twice)[0] == built[0]
     assert toxic_neighbours.build(odd, labels) is not None
+
+
+def test_words_are_split_without_a_pattern_where_letters_alone_are_left():
+    """Same words and counts as by the pattern, each known word looked up once (before: a step of the interpreter per word)."""
+    import sys
+    from collections import Counter
+
+    odd = ["", "a_b1c²d Straße", "É́ ß x", "日本 １２ a b", "ǅ İ", "٣a b c", "ﬁn \x00q\x1cr", "kill killer, KILLING hat"]
+    split = lambda t: toxic_neighbours._WORD.findall(t.lower())
+    assert [toxic_neighbours.words_of(t) for t in odd] == [split(t) for t in odd]
+    long = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500))
+    terms = toxic_neighbours.Terms(["kill", "kil*", "kill*", "hat", "a", *long.split()])
+    for text in (*odd, long):
+        want: Counter = Counter()
+        for word, n in Counter(split(text)).items():
+            want.update({terms.at[t]: n for t in toxic_neighbours.terms_of(word) if t in terms.at})
+        for _ in range(2):
+            assert terms(text) == tuple(sorted(want.items())) and sorted(terms.held(text).tolist()) == sorted(want)
+    lines = [0]
+
+    def count(frame, event, arg):
+        lines[0] += event == "line"
+        return count
+
+    sys.settrace(count)
+    try:
+        terms.table(long)
+    finally:
+        sys.settrace(None)
+    assert lines[0] < 200
