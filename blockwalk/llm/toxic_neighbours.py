@@ -5,9 +5,11 @@ frequencies are those of the whole table). Words that tell labelled toxic texts
 full, and so do their beginnings; all other words count ``QUIET`` times as much. One pseudo-term stands in every text, so that a
 text without any known word has a vector too.
 
-The nearest examples by cosine are found exactly in an inverted index whose postings are kept in blocks of examples: a block's greatest possible
-cosine is the sum of the query's weights times the block's greatest weights, and blocks are opened in that order until none
-can reach the k-th best. Ties at the k-th place all vote. Votes are weighted by closeness and by how many labelled
+The nearest examples by cosine are found exactly in an inverted index, for many texts at once. Postings of seldom terms are summed outright. Those of
+the terms that most examples hold are kept in blocks of examples, as matrices: a block's greatest possible cosine is its greatest sum over
+seldom terms and the query's weights times the block's greatest weights; blocks are opened in that order, each for all texts that
+need it, until none can reach the k-th best. What reaches it is summed again term by term, so that a result does not depend on the
+texts beside it. Ties at the k-th place all vote. Votes are weighted by closeness and by how many labelled
 rows an example stands for; a logistic curve fitted to leave-one-out votes of the sample makes them probabilities. The
 examples that voted most are returned as evidence.
 
@@ -21,13 +23,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, fields, replace
 from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +49,11 @@ BLOCK = 64
 EVIDENCE = 5
 FIRST_BLOCKS = 8
 ORDER_TERMS = 12
-REMEMBER = 200_000
+COMMON = 768  # terms kept as columns of matrices; the others have lists
+ROUNDING = 1e-9
 REMEMBER_SCORES = 20_000
+CHARACTERS, TEXTS = 4_000_000, 20_000  # texts split together
+POSTINGS, QUERIES = 2_000_000, 128  # texts compared together
 
 #: (term, count) pairs, as tuples or as rows of an array.
 Found = tuple[tuple[int, int], ...] | np.ndarray
@@ -56,11 +63,17 @@ _WORD = re.compile(r"[^\W\d_]+")
 _LETTERS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
-def words_of(text: str) -> list[str]:
-    """The words of the lower-cased text, as ``_WORD`` finds them; a pattern is needed only where other scripts bring more than letters."""
+def letters_of(text: str) -> bytes:
+    """The words of the lower-cased text, as ``_WORD`` finds them, between blanks; a pattern is needed only where other scripts bring more than letters."""
     text = text.lower()
-    plain = text.encode("utf-8", "surrogatepass").translate(_LETTERS).decode("utf-8", "surrogatepass")
-    return plain.split() if plain.isascii() or plain.replace(" ", "").isalpha() else _WORD.findall(text)
+    plain = text.encode("utf-8", "surrogatepass").translate(_LETTERS)
+    if plain.isascii() or plain.decode("utf-8", "surrogatepass").replace(" ", "").isalpha():
+        return plain
+    return " ".join(_WORD.findall(text)).encode("utf-8", "surrogatepass")
+
+
+def words_of(text: str) -> list[str]:
+    return letters_of(text).decode("utf-8", "surrogatepass").split()
 
 
 def terms_of(word: str) -> list[str]:
@@ -68,64 +81,90 @@ def terms_of(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in PREFIXES if k <= len(word)]]
 
 
-class Terms:
-    """Counts of the indexed terms. A word is looked up once: its own term where it has no other, or a mark."""
+def _groups(sizes: Sequence[int], budget: int, most: int) -> Iterator[slice]:
+    """Runs of at most ``most`` items that sum to no more than the budget, or have one item."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and (total + size > budget or i - start == most):
+            yield slice(start, i)
+            start, total = i, 0
+        total += size
+    if len(sizes):
+        yield slice(start, len(sizes))
 
-    NOTHING, SEVERAL, NEW = -1, -2, -3
+
+class Terms:
+    """Counts of the indexed terms. Texts are taken together, and each of their distinct words is looked up once."""
 
     def __init__(self, chosen: list[str]):
         self.at = {t: i for i, t in enumerate(chosen)}
-        self.known: dict[str, int] = {}
+        encoded = [t.encode("utf-8", "surrogatepass") for t in chosen]
+        self.chosen = pa.array([t + b" " for t in encoded], pa.large_binary())
+        self.starts = pa.array({t[:PREFIXES.start] for t in encoded if t.endswith(b"*")}, pa.large_binary())
 
     def __call__(self, text: str) -> tuple[tuple[int, int], ...]:
         return tuple(map(tuple, self.table(text).tolist()))
 
     def table(self, text: str) -> np.ndarray:
         """Rows (term, count) in the order of terms."""
-        counts = Counter(words_of(text))
-        own, others = self.found(counts)
-        out: dict[int, int] = {}
-        for word, ids in others:
-            for i in ids:
-                out[i] = out.get(i, 0) + counts[word]
-        plain = own >= 0
-        pairs = np.empty((np.count_nonzero(plain) + len(out), 2), dtype=np.int64)
-        pairs[:, 0] = np.concatenate([own[plain], np.fromiter(out, np.int64, len(out))])
-        pairs[:, 1] = np.concatenate([np.fromiter(counts.values(), np.int64, len(counts))[plain], np.fromiter(out.values(), np.int64, len(out))])
-        return pairs[np.argsort(pairs[:, 0])]
+        return np.stack(self.counted([text])[1:], 1)
 
     def held(self, text: str) -> np.ndarray:
         """The terms of a text without their counts."""
-        own, others = self.found(set(words_of(text)))
-        return np.concatenate([own[own >= 0], np.array(list({i for _, ids in others for i in ids}), dtype=np.int64)])
-
-    def found(self, words: Collection[str]) -> tuple[np.ndarray, list[tuple[str, tuple[int, ...]]]]:
-        """The only term of each of the distinct words, negative where it is not one; and all terms of the words that the first leaves out."""
-        own = np.fromiter(map(self.known.get, words, repeat(self.NEW)), np.int64, len(words))
-        rest = np.flatnonzero(own < self.NOTHING).tolist()
-        at = list(words) if rest else []
-        return own, [(at[k], self.of(at[k])) for k in rest]
-
-    def of(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.at[t] for t in terms_of(word) if t in self.at)
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        self.known[word] = self.NOTHING if not ids else ids[0] if ids == (self.at.get(word),) else self.SEVERAL
-        return ids
+        return self.counted([text])[1]
+
+    def tables(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
+        """The table of every text."""
+        for part in _groups(list(map(len, texts)), CHARACTERS, TEXTS):
+            row, term, times = self.counted(texts[part])
+            yield from np.split(np.stack([term, times], 1), np.searchsorted(row, np.arange(1, part.stop - part.start)))
+
+    def counted(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count) as columns, in the order of texts and terms."""
+        own = list(map(letters_of, texts))
+        signs = np.frombuffer(b" ".join([b"", *own, b""]), np.uint8)
+        blank = signs == 32
+        end = (blank[1:] > blank[:-1]).nonzero()[0] + 1  # a blank stays behind each word, the others go
+        blank[end] = False
+        kept = signs[~blank]
+        at = np.concatenate([[0], (kept == 32).nonzero()[0] + 1])
+        words = pa.Array.from_buffers(pa.large_binary(), len(end), [None, pa.py_buffer(at), pa.py_buffer(kept)]).dictionary_encode()
+        places = end.searchsorted(np.array([0, *map(len, own)]).cumsum() + np.arange(1, len(own) + 2))
+        code = words.indices.to_numpy()
+        first, n, ids = self.found(words.dictionary)
+        first, n = first[code], n[code]
+        key = (np.arange(len(own)) * len(self.at)).repeat(places[1:] - places[:-1]).repeat(n) + ids[_ranges(first, n)]
+        key.sort()
+        new = np.concatenate([[True], key[1:] != key[:-1], [True]]).nonzero()[0] if len(key) else np.zeros(1, int)
+        row, term = np.divmod(key[new[:-1]], max(len(self.at), 1))
+        return row, term, new[1:] - new[:-1]
+
+    def found(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The i-th word (a blank behind each) has ``n[i]`` terms, in ``ids`` from ``first[i]`` on."""
+        own = pc.index_in(words, self.chosen).fill_null(-1).to_numpy()
+        near = pc.is_in(pc.binary_slice(words, 0, PREFIXES.start), self.starts).to_numpy(zero_copy_only=False).nonzero()[0]
+        near_words = [w[:-1].decode("utf-8", "surrogatepass") for w in words.take(pa.array(near)).to_pylist()]
+        more = [(i, self.at[t]) for i, w in zip(near.tolist(), near_words, strict=True) for t in terms_of(w)[1:] if t in self.at]
+        more = np.array(more, dtype=np.int64).reshape(-1, 2)
+        plain = (own >= 0).nonzero()[0]
+        word, ids = np.concatenate([plain, more[:, 0]]), np.concatenate([own[plain], more[:, 1]])
+        n = np.bincount(word, minlength=len(words))
+        return n.cumsum() - n, n, ids[word.argsort(kind="stable")]
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of every range, one range behind the other."""
-    end = np.cumsum(length)
-    return np.repeat(start - end + length, length) + np.arange(end[-1] if len(end) else 0)
+    end = length.cumsum()
+    return (start - end + length).repeat(length) + np.arange(end[-1] if len(end) else 0)
 
 
 @dataclass
 class Index:
-    """Blocked postings of the examples. ``votes`` are the rows each example stands for, ``share`` what a term counts.
+    """Postings of the examples. ``votes`` are the rows each example stands for, ``share`` what a term counts.
 
-    The terms of example i are ``term[first[i]:first[i + 1]]``, with their counts. Postings are sorted by term and example; a cell is the
-    part of a term's postings that lies in one block.
+    The terms of example i are ``term[first[i]:first[i + 1]]``, with their counts; ``vectors[i]`` holds them and the pseudo-term, with weights of
+    unit length. A common term has a ``column`` of ``dense``, whose greatest entries in each block are ``top``; the postings of
+    another lie from ``starts`` on, ``sizes`` of them, by example.
     """
 
     ids: np.ndarray
@@ -137,27 +176,38 @@ class Index:
     term: np.ndarray
     times: np.ndarray
     curve: tuple[float, float] = (0.0, 1.0)
+    vectors: list[tuple[np.ndarray, np.ndarray]] = field(init=False)
+    column: np.ndarray = field(init=False)
+    dense: np.ndarray = field(init=False)
+    top: np.ndarray = field(init=False)
     example: np.ndarray = field(init=False)
     weight: np.ndarray = field(init=False)
-    cells: np.ndarray = field(init=False)
     starts: np.ndarray = field(init=False)
     sizes: np.ndarray = field(init=False)
-    block: np.ndarray = field(init=False)
-    top: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         n, pseudo = len(self.ids), len(self.idf)
-        example = np.r_[np.repeat(np.arange(n), np.diff(self.first)), np.arange(n)].astype(np.int32)
+        example = np.r_[np.repeat(np.arange(n), np.diff(self.first)), np.arange(n)]
         term = np.r_[self.term, np.full(n, pseudo)].astype(np.int64)
         weight = np.r_[self._weights(self.term, self.times), np.full(n, BACKGROUND)]
         weight /= np.sqrt(np.bincount(example, weight * weight, minlength=n))[example]
-        order = np.lexsort((example, term))
-        self.example, term, self.weight = example[order], term[order], weight[order]
-        block = self.example // BLOCK
-        new = np.flatnonzero(np.r_[np.ones(min(len(term), 1), bool), (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
-        self.starts, self.sizes = new, np.diff(np.r_[new, len(term)])
-        self.block, self.top = block[new], np.maximum.reduceat(self.weight, new) if len(new) else self.weight
-        self.cells = np.searchsorted(term[new], np.arange(pseudo + 2))
+        order = np.argsort(example, kind="stable")
+        ends = (self.first[1:] + np.arange(1, n + 1))[:-1]
+        self.vectors = list(zip(np.split(term[order], ends), np.split(weight[order], ends), strict=True)) if n else []
+        postings = np.bincount(term, minlength=pseudo + 1)
+        common = np.argsort(-postings, kind="stable")[:COMMON]
+        common = common[postings[common] * BLOCK > n]  # more than one in a block
+        self.column = np.full(pseudo + 1, -1)
+        self.column[common] = np.arange(len(common))
+        at = self.column[term]
+        self.dense = np.zeros((n, len(common)))
+        self.dense[example[at >= 0], at[at >= 0]] = weight[at >= 0]
+        self.top = np.maximum.reduceat(self.dense, np.arange(0, n, BLOCK)).T if n else self.dense.T
+        seldom = np.flatnonzero(at < 0)
+        seldom = seldom[np.lexsort((example[seldom], term[seldom]))]
+        self.example, self.weight = example[seldom], weight[seldom]
+        self.sizes = np.where(self.column < 0, postings, 0)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def __getstate__(self) -> dict:
         """Postings are made again where an index arrives; they are several times as large."""
@@ -186,52 +236,81 @@ class Index:
 
     def nearest(self, found: Found, without: int = -1, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples and all that tie with the last, with their cosines."""
-        at, weight = self.vector(found)
-        n = self.cells[at + 1] - self.cells[at]
-        cells, weight = _ranges(self.cells[at], n), np.repeat(weight, n)
-        block = self.block[cells]
-        bound = np.bincount(block, weight * self.top[cells], minlength=-(-len(self.ids) // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        score, least = np.full(len(self.ids), -1.0), -1.0
+        return next(self.nearest_of([np.asarray(found, dtype=np.int64).reshape(-1, 2)], [without], k))
+
+    def nearest_of(self, found: Sequence[np.ndarray], without: Sequence[int] | None = None, k: int = NEAREST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest of every table; example ``without[i]`` is left out of the i-th answer."""
+        without = np.full(len(found), -1) if without is None else np.asarray(without)
+        sizes = [int(self.sizes[pairs[:, 0]].sum()) for pairs in found]
+        query = np.zeros(len(self.idf) + 1)
+        for part in _groups(sizes, POSTINGS, QUERIES):
+            vectors = [self.vector(pairs) for pairs in found[part]]
+            reached = self._reached(vectors, without[part], k)
+            for (at, weight), near in zip(vectors, reached, strict=True):
+                query[at] = weight
+                own = [self.vectors[i] for i in near.tolist()]
+                cosine = query[np.concatenate([t for t, _ in own])] * np.concatenate([w for _, w in own]) if own else np.zeros(0)
+                score = np.bincount(np.repeat(np.arange(len(own)), [len(t) for t, _ in own]), cosine, minlength=len(own))
+                query[at] = 0
+                if len(self.ids) > k:
+                    last = score >= np.partition(score, -k)[-k] - ROUNDING
+                    near, score = near[last], score[last]
+                order = np.lexsort((self.ids[near], -score))
+                yield near[order], score[order]
+
+    def _reached(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each vector the examples that may be among its nearest, up to rounding."""
+        m, n = len(vectors), len(self.ids)
+        row = np.repeat(np.arange(m), [len(at) for at, _ in vectors])
+        at, weight = np.concatenate([a for a, _ in vectors]), np.concatenate([w for _, w in vectors])
+        column = self.column[at]
+        query = np.zeros((m, len(self.top)))
+        query[row[column >= 0], column[column >= 0]] = weight[column >= 0]
+        seldom = self.sizes[at] > 0
+        size = self.sizes[at[seldom]]
+        posting = _ranges(self.starts[at[seldom]], size)
+        cosine = np.bincount(np.repeat(row[seldom] * n, size) + self.example[posting], np.repeat(weight[seldom], size) * self.weight[posting],
+                             minlength=m * n).reshape(m, n)
+        bound = np.maximum.reduceat(cosine, np.arange(0, n, BLOCK), axis=1) + query @ self.top
+        order = np.argsort(-bound, axis=1, kind="stable")
+        score = np.full((m, bound.shape[1], BLOCK), -1.0)
+        best = np.full((m, k), -1.0)
+        left_out = np.flatnonzero(without >= 0)
         done, step = 0, FIRST_BLOCKS
-        while done < len(order) and bound[order[done]] >= least - 1e-9:
-            batch = order[done:done + step]
-            batch = batch[bound[batch] >= least - 1e-9]
-            opened = np.zeros(len(bound), bool)
-            opened[batch] = True
-            own = opened[block]
-            cell = cells[own]
-            size = self.sizes[cell]
-            posting = _ranges(self.starts[cell], size)
-            cosine = np.bincount(self.example[posting], np.repeat(weight[own], size) * self.weight[posting], minlength=len(score))
-            here = np.repeat(opened, BLOCK)[:len(score)]
-            score[here] = cosine[here]
-            if without >= 0:
-                score[without] = -1.0
-            if len(score) > k:
-                least = np.partition(score, -k)[-k]
+        while True:
+            next_ = order[:, done:done + step]
+            wanted = np.zeros(bound.shape, bool)
+            np.put_along_axis(wanted, next_, np.take_along_axis(bound, next_, 1) >= best.min(axis=1, keepdims=True) - 2 * ROUNDING, 1)
+            rows = np.flatnonzero(wanted.any(axis=1))
+            if not len(rows):
+                break
+            for block in np.flatnonzero(wanted.any(axis=0)).tolist():
+                own, part = np.flatnonzero(wanted[:, block]), slice(block * BLOCK, min((block + 1) * BLOCK, n))
+                score[own, block, :part.stop - part.start] = cosine[own, part] + query[own] @ self.dense[part].T
+            score.reshape(m, -1)[left_out, without[left_out]] = -1.0
+            seen = np.concatenate([best[rows], score[rows[:, None], next_[rows]].reshape(len(rows), -1)], axis=1)
+            best[rows] = np.partition(seen, -k, axis=1)[:, -k:]
             done, step = done + step, 2 * step
-        where = np.flatnonzero((score >= 0) & (score >= least - 1e-9))
-        best = score[where]
-        order = np.lexsort((self.ids[where], -best))
-        return where[order], best[order]
-
-    def vote(self, found: Found, without: int = -1) -> tuple[float, list[int]]:
-        """The weighted share of toxic examples among the nearest, and the ids that weigh most for the outcome."""
-        where, cosine = self.nearest(found, without)
-        if not len(where):
-            return 0.0, []
-        weight = self.votes[where] / (1.02 - np.minimum(cosine, 1.0))
-        toxic = self.toxic[where]
-        share = float((weight * toxic).sum() / weight.sum())
-        side = toxic == (share >= 0.5)
-        return share, self.ids[where[side][:EVIDENCE]].tolist()
-
-    def score(self, found: Found) -> tuple[float, list[int]]:
+        score, least = score.reshape(m, -1), best.min(axis=1)
+        near, example = np.nonzero((score >= 0) & (score >= least[:, None] - 2 * ROUNDING))
+        return np.split(example, np.searchsorted(near, np.arange(1, m)))
+
+    def votes_of(self, found: Sequence[np.ndarray], without: Sequence[int] | None = None) -> Iterator[tuple[float, list[int]]]:
+        """The weighted share of toxic examples among the nearest, and the ids that weigh most for the outcome, for every table."""
+        for where, cosine in self.nearest_of(found, without):
+            if not len(where):
+                yield 0.0, []
+                continue
+            weight = self.votes[where] / (1.02 - np.minimum(cosine, 1.0))
+            toxic = self.toxic[where]
+            share = float((weight * toxic).sum() / weight.sum())
+            side = toxic == (share >= 0.5)
+            yield share, self.ids[where[side][:EVIDENCE]].tolist()
+
+    def scores(self, found: Sequence[np.ndarray]) -> Iterator[tuple[float, list[int]]]:
         if not len(self.ids):
-            return 0.0, []
-        share, evidence = self.vote(found)
-        return _probability(share, self.curve), evidence
+            return repeat((0.0, []), len(found))
+        return ((_probability(share, self.curve), evidence) for share, evidence in self.votes_of(found))
 
 
 def calibrated(spark: SparkSession, index: Index) -> Index:
@@ -242,7 +321,8 @@ def calibrated(spark: SparkSession, index: Index) -> Index:
 
     def leave_one_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"i": batch["id"], "vote": [shared.value.vote(shared.value.found(i), i)[0] for i in batch["id"].tolist()]})
+            i = batch["id"].tolist()
+            yield pd.DataFrame({"i": i, "vote": [share for share, _ in shared.value.votes_of(list(map(shared.value.found, i)), i)]})
 
     votes = spark.range(len(index.ids)).mapInPandas(leave_one_out, "i long, vote double").toPandas().sort_values("i")["vote"].to_numpy()
     shared.destroy()
@@ -310,8 +390,9 @@ def _idf(docs: DataFrame, chosen: list[str]) -> np.ndarray:
         terms = Terms(shared.value)
         n = np.zeros(len(shared.value) + 1, dtype=np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                n[terms.held(text)] += 1
+            texts_ = batch["text"].tolist()
+            for part in _groups(list(map(len, texts_)), CHARACTERS, TEXTS):
+                n += np.bincount(terms.counted(texts_[part])[1], minlength=len(n))
             n[-1] += len(batch)
         held = np.flatnonzero(n)
         yield pd.DataFrame({"at": held, "n": n[held]})
@@ -346,7 +427,7 @@ def build(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
         terms = Terms(shared.value)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"],
-                                "found": [terms.table(t).ravel() for t in batch["text"]]})
+                                "found": [t.ravel() for t in terms.tables(batch["text"].tolist())]})
 
     rows = examples.mapInPandas(vectors, "doc_id long, toxic int, found array<int>").collect()
     shared.destroy()
@@ -372,15 +453,15 @@ def scored(docs: DataFrame, chosen: list[str], index: Index) -> DataFrame:
         chosen_, index_ = shared.value
         terms, known = Terms(chosen_), {}
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                found = terms.table(text)
+            out, texts_ = [], batch["text"].tolist()
+            for part in _groups(list(map(len, texts_)), CHARACTERS, TEXTS):
+                found = list(terms.tables(texts_[part]))
+                keys = [xxhash.xxh3_128_digest(t.tobytes()) for t in found]
+                new = {key: t for key, t in zip(keys, found, strict=True) if key not in known}
+                known.update(zip(new, index_.scores(list(new.values())), strict=True))
+                out += [known[key] for key in keys]
                 if len(known) > REMEMBER_SCORES:
                     known.clear()
-                key = xxhash.xxh3_128_digest(found.tobytes())
-                if key not in known:
-                    known[key] = index_.score(found)
-                out.append(known[key])
             score = np.array([s for s, _ in out])
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": score,
                                 "predicted": (score >= 0.5).astype("int32"), "evidence": [e for _, e in out]})

@@ -299,3 +299,51 @@ def test_words_are_split_without_a_pattern_where_letters_alone_are_left():
     finally:
         sys.settrace(None)
     assert lines[0] < 200
+
+
+def test_texts_are_compared_together(labelled, monkeypatch):
+    """Many texts at once give what each gives alone, to the last bit, and what all cosines give; unknown words take no steps (before: some ten each)."""
+    import sys
+
+    docs, labels = labelled
+    chosen, index = toxic_neighbours.build(docs, labels)
+    texts = [r["text"] for r in docs.collect()][:200] + ["", "vile", "123 _", "Äß vile scornful", "vile"]
+    terms = toxic_neighbours.Terms(chosen)
+    tables = list(terms.tables(texts))
+    dense = np.zeros((len(index.ids), len(index.idf) + 1))
+    for i, e in enumerate(index.examples):
+        at, w = index.vector(e)
+        dense[i, at] = w
+    for common, k in ((0, 25), (5, 1), (768, 25), (768, 2000)):
+        monkeypatch.setattr(toxic_neighbours, "COMMON", common)
+        own = toxic_neighbours.replace(index)
+        without = [i % 3 - 1 for i in range(len(texts))]
+        together = list(own.nearest_of(tables, without, k))
+        for text, table, (where, got), i in zip(texts, tables, together, without, strict=True):
+            assert np.array_equal(table, terms.table(text))
+            alone = own.nearest(table, i, k)
+            assert np.array_equal(alone[0], where) and np.array_equal(alone[1], got)
+            at, w = own.vector(table)
+            cosine = dense[:, at] @ w
+            if i >= 0:
+                cosine[i] = -1
+            last = np.sort(cosine)[-k] if len(cosine) > k else 0
+            assert set(where.tolist()) == set(np.flatnonzero((cosine >= 0) & (cosine >= last - 1e-9)).tolist()) and np.allclose(got, cosine[where])
+    expected = list(index.scores(tables))
+    for name in ("CHARACTERS", "TEXTS", "POSTINGS", "QUERIES"):
+        monkeypatch.setattr(toxic_neighbours, name, 3)
+        assert list(index.scores(list(terms.tables(texts)))) == expected
+        monkeypatch.undo()
+    lines = [0]
+
+    def count(frame, event, arg):
+        lines[0] += event == "line"
+        return count
+
+    new = " ".join(f"new{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500))
+    sys.settrace(count)
+    try:
+        found = terms.table(new)
+    finally:
+        sys.settrace(None)
+    assert not len(found) and lines[0] < 200
