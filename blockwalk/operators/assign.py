@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockwalk.functions import domain, geo
 from blockwalk.operators import cells, nearest
 from blockwalk.operators.lineage import cut, spread
+from blockwalk.ship import ship
 
 CELL_DEGREES = 0.001
 SNAP_METRES = 10.0
@@ -16,6 +21,10 @@ VERTEX_REACH = 0.0002
 #: Side in degrees of the cells that points and road sides meet in.
 SIDE_CELL = 0.0001
 ENDS = ("alat", "alng", "blat", "blng")
+#: A cell with more sides than this is parted for live points, by at most so many rows and columns, up to this latitude.
+PART_SIDES = 4
+MOST_PARTS = 24
+PART_LATITUDE = 80.0
 
 
 def block_ring() -> Column:
@@ -173,29 +182,68 @@ def snap_points(points: DataFrame, roads: DataFrame, key: str, id_col: str, metr
         .select(key, id_col, "road_id", "road_dist", "snap_lat", "snap_lng")
 
 
+def side_parts(cy: int, cx: int, ends: tuple, metres: float) -> list[list[int]]:
+    """The sides of a cell that may be the nearest somewhere in each part of it, parts by rows from the south-west.
+
+    A side goes only where another one, which every point of the part considers, is nearer to all of the part, or where the part is out of reach.
+    """
+    alat, alng, blat, blng = ends
+    n = 1 if len(alat) <= PART_SIDES or abs(cy) * SIDE_CELL > PART_LATITUDE else min(MOST_PARTS, math.ceil(2 * math.sqrt(len(alat))))
+    if n == 1:
+        return [list(range(len(alat)))]
+    half = SIDE_CELL / n / 2
+    middle = half * (2 * np.arange(n) + 1)
+    y, x = np.repeat(cy * SIDE_CELL + middle, n)[:, None], np.tile(cx * SIDE_CELL + middle, n)[:, None]
+    k = np.cos(np.radians(y)) * geo.METRES_PER_DEGREE
+    ay, ax, by, bx = (alat - y) * geo.METRES_PER_DEGREE, (alng - x) * k, (blat - y) * geo.METRES_PER_DEGREE, (blng - x) * k
+    length = (by - ay) ** 2 + (bx - ax) ** 2
+    t = np.clip(-(ay * (by - ay) + ax * (bx - ax)) / np.where(length > 0, length, 1.0), 0.0, 1.0)
+    far = np.hypot(ay + t * (by - ay), ax + t * (bx - ax))
+    reach = VERTEX_REACH - half - 1e-9
+    sure = ((np.abs(alat - y) < reach) & (np.abs(alng - x) < reach)) | ((np.abs(blat - y) < reach) & (np.abs(blng - x) < reach))
+    # a corner of the part lies so far from its middle; the metre of a degree of longitude changes by less than a millimetre over a reach
+    corner = np.hypot(half * geo.METRES_PER_DEGREE, half * k[:, 0]) + 0.002
+    least = np.where(sure, far, np.inf).min(axis=1)
+    kept = far <= np.minimum(least + 2 * corner, metres + corner)[:, None]
+    return [np.flatnonzero(row).tolist() for row in kept]
+
+
 def road_cells(roads: DataFrame, metres: float = SNAP_METRES) -> DataFrame:
-    """(_cy, _cx, lines): one row per cell of some eleven metres with the :func:`road_sides` of it; a stream joins it by equality."""
+    """(_cy, _cx, lines, _parts, _n): one row per cell of some eleven metres with the :func:`road_sides` of it; a stream joins it by equality.
+
+    ``_parts`` lists the sides that matter in each of the cell's _n by _n parts, so that a point's cost does not grow with the roads of its cell.
+    """
+    ship(roads.sparkSession)
     line = F.struct("pos", "seg", "road_id", "alat", "alng", "blat", "blng", "verts")
-    return cut(road_sides(roads, metres).groupBy("_cy", "_cx").agg(F.collect_list(line).alias("lines")))
+
+    def parts(cy: pd.Series, cx: pd.Series, *ends: pd.Series) -> pd.Series:
+        return pd.Series([side_parts(y, x, e, metres) for y, x, *e in zip(cy, cx, *ends, strict=True)])
+
+    parted = F.pandas_udf(parts, "array<array<int>>")("_cy", "_cx", *[F.col(f"lines.{c}") for c in ENDS])
+    return cut(road_sides(roads, metres).groupBy("_cy", "_cx").agg(F.collect_list(line).alias("lines")).withColumn("_parts", parted)
+               .withColumn("_n", F.sqrt(F.size("_parts")).cast("int")))
 
 
 def on_roads(points: DataFrame, by_cell: DataFrame, metres: float = SNAP_METRES) -> DataFrame:
     """Adds road_id, snap_lat and snap_lng (null off the roads) from :func:`road_cells`, by the rule of :func:`snap_points`;
     no aggregation, so a stream may use it."""
-    lat, lng = F.col("lat"), F.col("lng")
+    lat, lng, n = F.col("lat"), F.col("lng"), F.col("_n")
     met = points.withColumns({"_cy": cells.cell(lat, SIDE_CELL), "_cx": cells.cell(lng, SIDE_CELL)}).join(by_cell, ["_cy", "_cx"], "left") \
-        .withColumn("_dx", cells.reach_lng(metres, "lat"))
+        .withColumns({"_dx": cells.reach_lng(metres, "lat"), "_k": F.cos(F.radians("lat")) * geo.METRES_PER_DEGREE})
     dy = metres / cells.METRES
+    at = lambda v, c: F.greatest(F.lit(0), F.least(n - 1, F.floor((v / SIDE_CELL - F.col(c)) * n).cast("int")))
+    sides = F.transform(F.get("_parts", at(lat, "_cy") * n + at(lng, "_cx")), lambda i: F.get("lines", i))
     # comparisons first: few sides are left to measure
     box = lambda s: ((lat >= F.least(s["alat"], s["blat"]) - dy) & (lat <= F.greatest(s["alat"], s["blat"]) + dy)
                      & (lng >= F.least(s["alng"], s["blng"]) - F.col("_dx")) & (lng <= F.greatest(s["alng"], s["blng"]) + F.col("_dx")))
-    held = F.filter("lines", lambda s: box(s) & _considered(s["verts"], *(s[c] for c in ENDS)))
-    far = lambda s: geo.point_segment_m(lat, lng, s["alat"], s["alng"], s["blat"], s["blng"])
+    held = F.filter(sides, lambda s: box(s) & _considered(s["verts"], *(s[c] for c in ENDS)))
+    flat = lambda s, end: (((s[f"{end}lng"] - lng) * F.col("_k")).alias(f"{end}x"), ((s[f"{end}lat"] - lat) * geo.METRES_PER_DEGREE).alias(f"{end}y"))
+    far = lambda s: geo.let(F.struct(*flat(s, "a"), *flat(s, "b")), lambda e: geo.point_segment(F.lit(0.0), F.lit(0.0), *(e[c] for c in ("ax", "ay", "bx", "by"))))
     best = F.array_min(F.transform(held, lambda s: F.struct(far(s).alias("dist"), s["pos"].alias("pos"), s["seg"].alias("seg"), s.alias("side"))))
     met = met.withColumn("_best", geo.let(best, lambda m: F.when(m["dist"] <= metres, m["side"])))
     b = lambda c: F.col(f"_best.{c}")
     return met.withColumns({"road_id": b("road_id"), **_foot(*map(b, ENDS))}) \
-        .drop("_cy", "_cx", "_dx", "lines", "_best")
+        .drop("_cy", "_cx", "_dx", "_k", "lines", "_parts", "_n", "_best")
 
 
 def nearest_road_bearing(symbols: DataFrame, roads: DataFrame, metric: str = "degrees", right_angles: bool = False) -> DataFrame:

@@ -18,7 +18,9 @@ the input is cut as long as a session's fixes are not reordered across batches.
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -51,11 +53,44 @@ def _timer(state: GroupState, us: int, silence: int) -> None:
     state.setTimeoutTimestamp(max(us // 1000, state.getCurrentWatermarkMs()) + silence + 1)
 
 
+class Columns(NamedTuple):
+    """What a step reads of a row. Every column costs each session a fixed time on its way to Python, so numbers travel as two lists."""
+
+    alone: tuple[str, ...]
+    whole: tuple[str, ...]
+    real: tuple[str, ...]
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return (*self.alone, *self.whole, *self.real)
+
+    def packed(self, rows: DataFrame, *keys: str) -> DataFrame:
+        whole, real = ([F.col(c).cast(t) for c in of] for of, t in ((self.whole, "long"), (self.real, "double")))
+        return rows.select(*keys, "ts", *self.alone, F.array(*whole).alias("_whole"), F.array(*real).alias("_real"))
+
+    def ordered(self, batches: Iterator[pd.DataFrame]) -> list[list]:
+        """One session's rows of a batch by (us, point_id), a list per column; sessions are short, and a step of pandas takes longer than their fixes."""
+        parts = list(batches)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        whole, real = np.stack(rows["_whole"].to_numpy()), np.stack(rows["_real"].to_numpy())
+        at = np.lexsort((rows["point_id"].to_numpy(), whole[:, self.whole.index("us")]))
+        return [*[rows[c].to_numpy()[at].tolist() for c in self.alone], *whole[at].T.tolist(), *real[at].T.tolist()]
+
+
+def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
+    """Rows as one block of objects; typed columns of so few rows cost more to make and to put together than the rows."""
+    values = np.empty((len(rows), len(schema)), object)
+    for i, row in enumerate(rows):
+        for j, value in enumerate(row):
+            values[i, j] = value
+    return pd.DataFrame(values, columns=schema.names, copy=False)
+
+
 # ------------------------------------------------------------------ step one
 
 MOTION = T.StructType([
     T.StructField("session_id", T.LongType()), T.StructField("started_us", T.LongType()), T.StructField("point_id", T.LongType()),
-    T.StructField("ts", T.TimestampType()), T.StructField("lat", T.DoubleType()), T.StructField("lng", T.DoubleType()),
+    T.StructField("us", T.LongType()), T.StructField("lat", T.DoubleType()), T.StructField("lng", T.DoubleType()),
     T.StructField("accuracy", T.DoubleType()), T.StructField("speed", T.DoubleType()), T.StructField("road_type", T.StringType()),
     T.StructField("paused", T.BooleanType()), T.StructField("_ys", T.ArrayType(T.DoubleType())), T.StructField("_xs", T.ArrayType(T.DoubleType()))])
 _MOTION_STATE = T.StructType([
@@ -63,14 +98,24 @@ _MOTION_STATE = T.StructType([
     T.StructField("ys", T.ArrayType(T.DoubleType())), T.StructField("xs", T.ArrayType(T.DoubleType()))])
 
 
-def _filtered(state: tuple | None, fixes: pd.DataFrame, started: int) -> tuple[tuple, pd.DataFrame]:
-    """One session's fixes in order, with the last five smoothed positions at each."""
-    filter_state, ys, xs = (folds.KALMAN_START, [], []) if state is None else (tuple(state[2:5]), list(state[5]), list(state[6]))
-    filter_state, smooth = folds.kalman_step(filter_state, fixes)
-    all_y, all_x, back = [*ys, *smooth["lat"]], [*xs, *smooth["lng"]], len(ys)
-    last5 = lambda v: [v[max(0, i + back - 4):i + back + 1] for i in range(len(smooth))]
-    out = smooth.assign(started_us=started, _ys=last5(all_y), _xs=last5(all_x))
-    return (started, int(fixes["us"].iloc[-1]), *filter_state, all_y[-4:], all_x[-4:]), out
+#: What the first step reads of a fix.
+_FIX = Columns(("point_id", "road_type", "paused"), ("us",), ("lat", "lng", "accuracy", "speed"))
+
+
+def _filtered(now: tuple | None, session_id: int, silence: int, ids: list, types: list, pauses: list, us: list, lats: list, lngs: list, accuracies: list,
+              speeds: list) -> tuple[tuple, list[tuple]]:
+    """The state after one session's fixes and their ``MOTION`` rows, with the last five smoothed positions at each."""
+    out, starts = [], [i for i, t in enumerate(us) if (i or now) and t - (us[i - 1] if i else now[1]) > 1000 * silence or not (i or now)]
+    bounds = sorted({0, *starts, len(us)})
+    for at, end in zip(bounds[:-1], bounds[1:], strict=True):
+        started, _, *filter_state, ys, xs = (us[at], None, *folds.KALMAN_START, [], []) if at in starts else now
+        filter_state, own_y, own_x = folds.kalman_walk(tuple(filter_state), lats[at:end], lngs[at:end], accuracies[at:end])
+        all_y, all_x, back = [*ys, *own_y], [*xs, *own_x], len(ys)
+        for k, i in enumerate(range(at, end)):
+            last5 = slice(max(0, k + back - 4), k + back + 1)
+            out.append((session_id, started, ids[i], us[i], own_y[k], own_x[k], accuracies[i], speeds[i], types[i], pauses[i], all_y[last5], all_x[last5]))
+        now = (started, us[end - 1], *filter_state, all_y[-4:], all_x[-4:])
+    return now, out
 
 
 def motion(fixes: DataFrame, late: str = LATE, idle: str = IDLE) -> DataFrame:
@@ -87,22 +132,15 @@ def motion(fixes: DataFrame, late: str = LATE, idle: str = IDLE) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["ts", "point_id"], kind="stable").reset_index(drop=True)
-        now = tuple(state.get) if state.exists else None
-        us = rows["us"].to_numpy()
-        gap = np.diff(us, prepend=now[1] if now else us[0] - 1000 * silence - 1)
-        first = np.flatnonzero(gap > 1000 * silence)
-        bounds = np.unique(np.r_[0, first, len(rows)])
-        for at, end in zip(bounds[:-1], bounds[1:], strict=True):
-            begins = at in first
-            now, out = _filtered(None if begins else now, rows.iloc[at:end], int(us[at]) if begins else now[0])
-            yield out[MOTION.names]
+        now, out = _filtered(tuple(state.get) if state.exists else None, key[0], silence, *_FIX.ordered(batches))
+        yield _frame(out, MOTION)
         state.update(now)
         _timer(state, now[1], silence)
 
-    rows = fixes.groupBy("session_id").applyInPandasWithState(
+    rows = _FIX.packed(fixes, "session_id").groupBy("session_id").applyInPandasWithState(
         update, MOTION, _MOTION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return trajectory.motion_columns(rows.withColumn("started_at", F.timestamp_micros("started_us")).drop("started_us"))
+    rows = rows.withColumns({"ts": F.timestamp_micros("us"), "started_at": F.timestamp_micros("started_us")})
+    return trajectory.motion_columns(rows.select("session_id", "point_id", "ts", "lat", "lng", "accuracy", "speed", "road_type", "paused", "_ys", "_xs", "started_at"))
 
 
 # ------------------------------------------------------------------ roads by cell
@@ -114,7 +152,7 @@ road_cells, on_roads = assign.road_cells, assign.on_roads
 # ------------------------------------------------------------------ step two
 
 SURVEY = T.StructType([
-    T.StructField("kind", T.StringType()), T.StructField("session_id", T.LongType()), T.StructField("started_at", T.TimestampType()),
+    T.StructField("kind", T.StringType()), T.StructField("session_id", T.LongType()), T.StructField("started_us", T.LongType()),
     T.StructField("point_id", T.LongType()), T.StructField("us", T.LongType()), T.StructField("path_index", T.LongType()),
     T.StructField("lat", T.DoubleType()), T.StructField("lng", T.DoubleType()), T.StructField("out_lat", T.DoubleType()),
     T.StructField("out_lng", T.DoubleType()), T.StructField("on_road", T.BooleanType()), T.StructField("road_id", T.LongType()),
@@ -136,6 +174,11 @@ def _way(y1: float, x1: float, y2: float, x2: float) -> float:
     return math.degrees(math.atan2(math.sin(d) * math.cos(p2), math.cos(p1) * math.sin(p2) - math.sin(p1) * math.cos(p2) * math.cos(d)))
 
 
+#: What the second step reads of a fix; off the roads the place of its road is its own.
+_MOVED = Columns(("point_id", "road_type"), ("us", "paused", "recordable", "on", "road_id"), ("lat", "lng", "bearing", "snap_lat", "snap_lng"))
+Fix = namedtuple("Fix", _MOVED.names)
+
+
 class Session:
     """The state of one session; ``take`` adds a fix and gives the rows that follow from it, ``close`` the rows of its end."""
 
@@ -194,7 +237,7 @@ class Session:
         self.pause = self.pause or bool(fix.paused)
         if not fix.recordable or self.kept and folds.metres(self.y, self.x, fix.lat, fix.lng) < trajectory.THIN_METRES:
             return
-        on = not pd.isna(fix.road_id)
+        on = bool(fix.on)
         y, x = (fix.snap_lat, fix.snap_lng) if on else (fix.lat, fix.lng)
         typed = self.kept > 0 and fix.road_type != self.road_type
         if on:
@@ -219,7 +262,7 @@ class Session:
             self.returned, self.grid = True, {}
             self.leg_lat, self.leg_lng, self.leg_way, self.leg_end = [], [], [], []
         yield {"kind": "point", "point_id": fix.point_id, "us": us, "path_index": self.kept, "lat": fix.lat, "lng": fix.lng, "out_lat": y, "out_lng": x,
-               "on_road": on, "road_id": int(fix.road_id) if on else None, "segment": None if on else self.segment, "returned": turned}
+               "on_road": on, "road_id": fix.road_id if on else None, "segment": None if on else self.segment, "returned": turned}
 
     def close(self) -> Iterator[dict]:
         yield from self._finish_segment()
@@ -228,9 +271,7 @@ class Session:
 
 
 def _rows(found: list[dict], key: tuple) -> pd.DataFrame:
-    whole = ("point_id", "us", "path_index", "road_id", "segment", "points", "duration_s", "road_count", "gps_point_count")
-    out = pd.DataFrame(found, columns=SURVEY.names).assign(session_id=key[0], started_at=key[1])
-    return out.astype({c: "Int64" for c in whole} | {c: "boolean" for c in ("on_road", "returned")})
+    return _frame([(row["kind"], *key, *[row.get(c) for c in SURVEY.names[3:]]) for row in found], SURVEY)
 
 
 def survey(moving: DataFrame, by_cell: DataFrame, late: str = LATE, idle: str = IDLE) -> DataFrame:
@@ -247,27 +288,40 @@ def survey(moving: DataFrame, by_cell: DataFrame, late: str = LATE, idle: str =
             found.extend(session.close())
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "point_id"], kind="stable")
-            for fix in rows.itertuples(index=False):
+            for fix in map(Fix._make, zip(*_MOVED.ordered(batches), strict=True)):
                 found.extend(session.take(fix))
             state.update(session.state())
             _timer(state, session.seen, silence)
         if found:
             yield _rows(found, key)
 
-    rows = on_roads(moving.withWatermark("ts", late).withColumns({"recordable": trajectory.recordable(), "us": F.unix_micros("ts")}), by_cell).select(
-        "session_id", "started_at", "point_id", "ts", "us", "lat", "lng", "bearing", "road_type", "paused", "recordable", "road_id", "snap_lat", "snap_lng")
-    found = rows.groupBy("session_id", "started_at").applyInPandasWithState(update, SURVEY, _SURVEY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return found.withColumn("ts", F.timestamp_micros("us")).drop("us")
+    rows = _on(on_roads(moving.withWatermark("ts", late).withColumns({"recordable": trajectory.recordable(), "us": F.unix_micros("ts")}), by_cell))
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("paused", "recordable")})
+    found = _MOVED.packed(rows, "session_id", "started_us").groupBy("session_id", "started_us").applyInPandasWithState(
+        update, SURVEY, _SURVEY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return _timed(found, SURVEY)
+
+
+def _on(rows: DataFrame) -> DataFrame:
+    """Whether a row lies on a road as a column of its own: numbers beside nulls would reach Python as doubles."""
+    return rows.withColumns({"started_us": F.unix_micros("started_at"), "on": F.col("road_id").isNotNull(), "road_id": F.coalesce("road_id", F.lit(0))})
+
+
+def _timed(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Moments for microseconds, ``ts`` as the last column."""
+    started = F.timestamp_micros("started_us").alias("started_at")
+    return rows.select(*[started if c == "started_us" else c for c in schema.names if c != "us"], F.timestamp_micros("us").alias("ts"))
 
 
 # ------------------------------------------------------------------ buffered matching
 
 MATCHED = T.StructType([
-    T.StructField("session_id", T.LongType()), T.StructField("started_at", T.TimestampType()), T.StructField("point_id", T.LongType()),
+    T.StructField("session_id", T.LongType()), T.StructField("started_us", T.LongType()), T.StructField("point_id", T.LongType()),
     T.StructField("us", T.LongType()), T.StructField("window_no", T.LongType()), T.StructField("confidence", T.DoubleType()),
     T.StructField("road_id", T.LongType()), T.StructField("out_lat", T.DoubleType()), T.StructField("out_lng", T.DoubleType())])
 _HELD = {"point_id": T.LongType(), "us": T.LongType(), "lat": T.DoubleType(), "lng": T.DoubleType(), "road_id": T.LongType(), "snap_lat": T.DoubleType(), "snap_lng": T.DoubleType()}
+#: What the third step reads of a point.
+_PLACED = Columns(("point_id",), ("us", "on", "road_id"), ("lat", "lng", "snap_lat", "snap_lng"))
 _MATCH_STATE = T.StructType([T.StructField("window_no", T.LongType()), T.StructField("since", T.LongType()), T.StructField("carried", T.BooleanType()),
                              *[T.StructField(n, T.ArrayType(t)) for n, t in _HELD.items()]])
 
@@ -319,19 +373,17 @@ def matched(points: DataFrame, by_cell: DataFrame, late: str = LATE, idle: str =
             found.extend(windows.close())
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "point_id"], kind="stable")
-            for r in rows.itertuples(index=False):
-                on = not pd.isna(r.road_id)
-                found.extend(windows.take((r.point_id, r.us, r.lat, r.lng, int(r.road_id) if on else None, r.snap_lat if on else None, r.snap_lng if on else None)))
+            for point_id, us, on, road_id, lat, lng, *snap in zip(*_PLACED.ordered(batches), strict=True):
+                found.extend(windows.take((point_id, us, lat, lng, *((road_id, *snap) if on else (None, None, None)))))
             state.update(windows.state())
-            _timer(state, int(rows["us"].max()), silence)
+            _timer(state, us, silence)
         if found:
-            out = pd.DataFrame(found, columns=MATCHED.names[2:]).astype({"road_id": "Int64"})
-            yield out.assign(session_id=key[0], started_at=key[1])[MATCHED.names]
+            yield _frame([(*key, *row) for row in found], MATCHED)
 
     rows = on_roads(points.withWatermark("ts", late).select("session_id", "started_at", "point_id", "ts", "lat", "lng", F.unix_micros("ts").alias("us")), by_cell)
-    found = rows.groupBy("session_id", "started_at").applyInPandasWithState(update, MATCHED, _MATCH_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return found.withColumn("ts", F.timestamp_micros("us")).drop("us")
+    found = _PLACED.packed(_on(rows), "session_id", "started_us").groupBy("session_id", "started_us").applyInPandasWithState(
+        update, MATCHED, _MATCH_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return _timed(found, MATCHED)
 
 
 # ------------------------------------------------------------------ the end of a session
