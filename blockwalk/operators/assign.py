@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from blockwalk.functions import domain, geo
 from blockwalk.operators import cells, nearest
-from blockwalk.operators.lineage import cut, spread
+from blockwalk.operators.lineage import cut
 from blockwalk.ship import ship
 
 CELL_DEGREES = 0.001
@@ -129,7 +129,7 @@ def road_sides(roads: DataFrame, metres: float = SNAP_METRES) -> DataFrame:
     span = lambda lo, hi: F.explode(F.sequence(cells.cell(lo, SIDE_CELL), cells.cell(hi, SIDE_CELL)))
     return cells.road_segments(usable, "road_id", "pos") \
         .withColumn("_cy", span(F.least("alat", "blat") - dy, F.greatest("alat", "blat") + dy)) \
-        .withColumn("_cx", span(F.least(low, high) - dx, F.greatest(low, high) + dx)).join(vertices, ["road_id", "_cy", "_cx"])
+        .withColumn("_cx", span(F.least(low, high) - dx, F.greatest(low, high) + dx)).join(vertices.hint("merge"), ["road_id", "_cy", "_cx"])
 
 
 def _near(lat: Column, lng: Column) -> Column:
@@ -155,15 +155,16 @@ def snap_points(points: DataFrame, roads: DataFrame, key: str, id_col: str, metr
     the point on both axes; then the nearest point of the whole line decides.
     ``roads``: road_id, pos, coords - the same roads serve all keys.
     """
-    sides = road_sides(roads, metres)
-    # fixes repeat positions; each distinct position is matched once. Few bytes, much work: merged by bytes they would all be one task
-    places = spread(points.select("lat", "lng").distinct(), "lat", "lng") \
-        .withColumns({"_cy": cells.cell(F.col("lat"), SIDE_CELL), "_cx": cells.cell(F.col("lng"), SIDE_CELL),
-                      "_k": F.cos(F.radians("lat")) * geo.METRES_PER_DEGREE})
+    # a row of the roads becomes some tens by cells, which no estimate knows: taken for small, they would be gathered on the driver
+    sides = road_sides(roads, metres).hint("merge")
+    # fixes repeat positions; each distinct position is matched once
+    places = points.select("lat", "lng").distinct()
 
     def meet(at: DataFrame, within: Column) -> DataFrame:
         # comparisons first, and what depends on the place alone (cosine, margins) is worked out before it meets the sides of its cell:
         # a condition on pairs does not share its parts
+        at = at.withColumns({"_cy": cells.cell(F.col("lat"), SIDE_CELL), "_cx": cells.cell(F.col("lng"), SIDE_CELL),
+                             "_k": F.cos(F.radians("lat")) * geo.METRES_PER_DEGREE})
         at = at.withColumns({"_dy": within * (1.001 / geo.METRES_PER_DEGREE) + 1e-12, "_dx": within * 1.001 / F.col("_k") + 1e-12})
         lat, lng, dy, dx = map(F.col, ("lat", "lng", "_dy", "_dx"))
         box = (lat >= F.least("alat", "blat") - dy) & (lat <= F.greatest("alat", "blat") + dy) \
@@ -173,8 +174,9 @@ def snap_points(points: DataFrame, roads: DataFrame, key: str, id_col: str, metr
             .filter(F.col("road_dist") <= within).filter(_considered(*map(F.col, ("verts", *ENDS))))
 
     # Pairs of a place and a side never travel: the least distance is a plain number, combined where the pairs are made,
-    # and only sides at that distance meet their place again, to be told apart by position and number.
-    least = meet(places, F.lit(metres)).groupBy("lat", "lng", "_cy", "_cx", "_k").agg(F.min("road_dist").alias("_least"))
+    # and only sides at that distance meet their place again, to be told apart by position and number. Places, not cells, are
+    # grouped, so that a crowded cell may be split over tasks.
+    least = meet(places, F.lit(metres)).groupBy("lat", "lng").agg(F.min("road_dist").alias("_least"))
     best = meet(least, F.col("_least") * (1 + 1e-12)).groupBy("lat", "lng").agg(F.min_by(
         F.struct("road_id", "road_dist", "alat", "alng", "blat", "blng"), F.struct("road_dist", "pos", "seg")).alias("_b")).select("lat", "lng", "_b.*")
     on = best.withColumns(_foot(*map(F.col, ENDS)))

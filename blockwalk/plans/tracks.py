@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from blockwalk.functions import geo
 from blockwalk.operators import assign, trajectory
+from blockwalk.operators.lineage import cut
 from blockwalk.plans import bindings as b
 from blockwalk.plans import sqltext as t
 from blockwalk.plans.bindings import with_tables
@@ -52,7 +53,7 @@ def recorded_path(s, d):
 
 def _broken_path(s, d):
     """Every fix on the path, snapped where it meets a road, with type changes and pauses by key."""
-    near = assign.snap_points(b.gps_points(s, d), survey_roads(s, d), "session_id", "point_id").select("session_id", "point_id", "road_id")
+    near = cut(assign.snap_points(b.gps_points(s, d), survey_roads(s, d), "session_id", "point_id").select("session_id", "point_id", "road_id"))  # the path is read up to three times
     k = F.col("point_id")
     return _raw_path(s, d).join(near, ["session_id", "point_id"], "left").withColumns({
         "on_road": F.col("road_id").isNotNull() & (k % 4 == 0), "paused": k % 37 == 0,
