@@ -25,6 +25,8 @@ ENDS = ("alat", "alng", "blat", "blng")
 PART_SIDES = 4
 MOST_PARTS = 24
 PART_LATITUDE = 80.0
+#: Sides times parts measured at once.
+PART_PAIRS = 500_000
 
 
 def block_ring() -> Column:
@@ -196,19 +198,22 @@ def side_parts(cy: int, cx: int, ends: tuple, metres: float) -> list[list[int]]:
         return [list(range(len(alat)))]
     half = SIDE_CELL / n / 2
     middle = half * (2 * np.arange(n) + 1)
-    y, x = np.repeat(cy * SIDE_CELL + middle, n)[:, None], np.tile(cx * SIDE_CELL + middle, n)[:, None]
-    k = np.cos(np.radians(y)) * geo.METRES_PER_DEGREE
-    ay, ax, by, bx = (alat - y) * geo.METRES_PER_DEGREE, (alng - x) * k, (blat - y) * geo.METRES_PER_DEGREE, (blng - x) * k
-    length = (by - ay) ** 2 + (bx - ax) ** 2
-    t = np.clip(-(ay * (by - ay) + ax * (bx - ax)) / np.where(length > 0, length, 1.0), 0.0, 1.0)
-    far = np.hypot(ay + t * (by - ay), ax + t * (bx - ax))
-    reach = VERTEX_REACH - half - 1e-9
-    sure = ((np.abs(alat - y) < reach) & (np.abs(alng - x) < reach)) | ((np.abs(blat - y) < reach) & (np.abs(blng - x) < reach))
-    # a corner of the part lies so far from its middle; the metre of a degree of longitude changes by less than a millimetre over a reach
-    corner = np.hypot(half * geo.METRES_PER_DEGREE, half * k[:, 0]) + 0.002
-    least = np.where(sure, far, np.inf).min(axis=1)
-    kept = far <= np.minimum(least + 2 * corner, metres + corner)[:, None]
-    return [np.flatnonzero(row).tolist() for row in kept]
+    ys, xs = np.repeat(cy * SIDE_CELL + middle, n)[:, None], np.tile(cx * SIDE_CELL + middle, n)[:, None]
+    reach, out = VERTEX_REACH - half - 1e-9, []
+    at_once = max(1, PART_PAIRS // len(alat))
+    for first in range(0, n * n, at_once):
+        y, x = ys[first:first + at_once], xs[first:first + at_once]
+        k = np.cos(np.radians(y)) * geo.METRES_PER_DEGREE
+        ay, ax, by, bx = (alat - y) * geo.METRES_PER_DEGREE, (alng - x) * k, (blat - y) * geo.METRES_PER_DEGREE, (blng - x) * k
+        length = (by - ay) ** 2 + (bx - ax) ** 2
+        t = np.clip(-(ay * (by - ay) + ax * (bx - ax)) / np.where(length > 0, length, 1.0), 0.0, 1.0)
+        far = np.hypot(ay + t * (by - ay), ax + t * (bx - ax))
+        sure = ((np.abs(alat - y) < reach) & (np.abs(alng - x) < reach)) | ((np.abs(blat - y) < reach) & (np.abs(blng - x) < reach))
+        # a corner of the part lies so far from its middle; the metre of a degree of longitude changes by less than a millimetre over a reach
+        corner = np.hypot(half * geo.METRES_PER_DEGREE, half * k[:, 0]) + 0.002
+        least = np.where(sure, far, np.inf).min(axis=1)
+        out += [np.flatnonzero(row).tolist() for row in far <= np.minimum(least + 2 * corner, metres + corner)[:, None]]
+    return out
 
 
 def road_cells(roads: DataFrame, metres: float = SNAP_METRES) -> DataFrame:
@@ -217,7 +222,9 @@ def road_cells(roads: DataFrame, metres: float = SNAP_METRES) -> DataFrame:
     ``_parts`` lists the sides that matter in each of the cell's _n by _n parts, so that a point's cost does not grow with the roads of its cell.
     """
     ship(roads.sparkSession)
-    line = F.struct("pos", "seg", "road_id", "alat", "alng", "blat", "blng", "verts")
+    # the side's own ends are at hand anyway
+    others = F.filter("verts", lambda v: ~(((v["lat"] == F.col("alat")) & (v["lng"] == F.col("alng"))) | ((v["lat"] == F.col("blat")) & (v["lng"] == F.col("blng")))))
+    line = F.struct("pos", "seg", "road_id", "alat", "alng", "blat", "blng", others.alias("verts"))
 
     def parts(cy: pd.Series, cx: pd.Series, *ends: pd.Series) -> pd.Series:
         return pd.Series([side_parts(y, x, e, metres) for y, x, *e in zip(cy, cx, *ends, strict=True)])

@@ -80,3 +80,11 @@ def test_large_road_numbers_stay_whole(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     found = sinks.drain(live.matched(stream, live.road_cells(road)), f"{tmp_path}/out").filter("session_id = 1 AND road_id IS NOT NULL")
     assert {r["road_id"] for r in found.collect()} == {number}
+
+
+def test_a_crowded_cell_is_parted_piece_by_piece(monkeypatch):
+    rng = np.random.default_rng(2)
+    ends = tuple(base + rng.random(90) * 1e-4 for base in (26.0, 80.0, 26.0, 80.0))
+    whole = assign.side_parts(260000, 800000, ends, 10.0)
+    monkeypatch.setattr(assign, "PART_PAIRS", 200)
+    assert assign.side_parts(260000, 800000, ends, 10.0) == whole and len(whole) == 19 * 19
